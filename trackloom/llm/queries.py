@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import token_output, toxicity
+from trackloom.llm import line_dedup, token_output, toxicity
 from trackloom.llm.common import table
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.digest(line_dedup.LineStore(spark, min_docs=10).insert(docs).apply(docs))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -19,8 +24,31 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_line_dedup": op5_line_dedup,
     "op8_token_output": op8_token_output,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+# A-Z alone are lower-cased, whatever the locale
+LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), keyed AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM docs
+), lined AS (
+  SELECT *, {LOWER_AZ.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM keyed
+), common AS (
+  SELECT key FROM lined WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
+), marked AS (
+  SELECT l.*, c.key IS NOT NULL AS gone FROM lined l LEFT JOIN common c ON l.key = c.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+}
