@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import line_dedup, token_output, toxicity
+from trackloom.llm import line_dedup, token_output, toxicity, url_filter
 from trackloom.llm.common import table
 
 
@@ -23,10 +23,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op8_token_output": op8_token_output,
     "op9_toxicity": op9_toxicity,
+    "op10_url_filter": op10_url_filter,
 }
 
 # A-Z alone are lower-cased, whatever the locale
