@@ -112,7 +112,7 @@ def template_tree(pages: DataFrame, settings: Settings = Settings()) -> DataFram
         parents = tree.groupBy("host", "template").agg(F.sum("w").alias("w0"), F.sum("bad").alias("b0"), F.count_distinct("segment").alias("kinds"))
         share = F.col("b0") / F.col("w0")
         z = (F.col("b1") / F.col("w1") - share) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-6)) / F.col("w1"))
-        step = F.when(F.col("segment") == "", "").when(F.abs(z) <= s.alike, "*").when(F.col("kinds") <= s.distinct, F.col("segment")).when(z > 0, "*worse").otherwise("*better")
+        step = F.when(F.col("segment") == "", "").when((F.abs(z) <= s.alike) | (F.col("w1") < s.least_rows), "*").when(F.col("kinds") <= s.distinct, F.col("segment")).when(z > 0, "*worse").otherwise("*better")
         steps = branches.join(parents, ["host", "template"]).select("host", "template", "segment", step.alias("step"))
         tree = tree.join(steps, ["host", "template", "segment"]).select("host", "key", "w", "bad", F.array_append("template", F.col("step")).alias("template"))
         tree = scratch.save(tree, f"level-{level + 1}")
