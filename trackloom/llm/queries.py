@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import line_dedup, token_output, toxicity, url_filter
+from trackloom.llm import line_dedup, pii, token_output, toxicity, url_filter
 from trackloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.LineStore(spark, min_docs=10).insert(docs).apply(docs))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
+    "op6_pii": op6_pii,
     "op8_token_output": op8_token_output,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
