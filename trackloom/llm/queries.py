@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import line_dedup, pii, token_output, toxicity, url_filter
+from trackloom.llm import decontaminate, line_dedup, pii, token_output, toxicity, url_filter
 from trackloom.llm.common import table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digest(line_dedup.LineStore(spark, min_docs=10).insert(docs).apply(docs))
@@ -32,6 +36,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op8_token_output": op8_token_output,
@@ -59,6 +64,35 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
 FROM marked GROUP BY r
 """
 
+OP2_WORDS = "list_filter(string_split_regex(" + LOWER_AZ.format("coalesce(text, '')") + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP2_SQL = f"""
+WITH b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {OP2_WORDS} AS words FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(words), 13) AS n,
+         array_to_string(words[i : i + least(len(words), 13) - 1], ' ') AS w
+  FROM (SELECT item_id, words, unnest(range(1, len(words) - least(len(words), 13) + 2)) AS i FROM b WHERE len(words) > 0)
+), sizes AS (
+  SELECT DISTINCT n FROM bw
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, {OP2_WORDS} AS words FROM documents
+), dw AS (
+  SELECT r, n, i, array_to_string(words[i : i + n - 1], ' ') AS w
+  FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, sizes WHERE len(words) >= n)
+), hits AS (
+  SELECT dw.r, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.w = bw.w
+), covered AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
 }
