@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontaminate, line_dedup, pii, token_output, toxicity, url_filter
+from trackloom.llm import decontaminate, line_dedup, mixing, pii, token_output, topk, toxicity, url_filter
 from trackloom.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.allocate(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = topk.codes(table(spark, sf_dir, "embeddings"))
+    return topk.search(codes, codes.filter("id % 20 = 0"), k=10)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digest(line_dedup.LineStore(spark, min_docs=10).insert(docs).apply(docs))
@@ -36,7 +45,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
+    "op3_topk_search": op3_topk_search,
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op8_token_output": op8_token_output,
@@ -92,7 +103,64 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce('s:' || source, 'null') AS src,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS tok, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents
+), sums AS (SELECT src, sum(tok)::DOUBLE AS tokens FROM d GROUP BY src HAVING sum(tok) > 0
+), tot AS (SELECT sum(tokens) AS total, count(*) AS k FROM sums
+), p AS (SELECT src, tokens, tokens / total AS p FROM sums, tot
+), ent(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+               (SELECT ln(sum(pow(p, (lo + hi) / 2))) - sum(pow(p, (lo + hi) / 2) * ln(pow(p, (lo + hi) / 2))) / sum(pow(p, (lo + hi) / 2)) FROM p)
+               >= 0.95 * (SELECT ln(k) FROM tot) AS good FROM ent WHERE i < 30)
+), rep(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN good THEN lo ELSE mid END, CASE WHEN good THEN mid ELSE hi END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+               (SELECT max(pow(p, (lo + hi) / 2 - 1)) / sum(pow(p, (lo + hi) / 2)) FROM p) <= 4.0 AS good FROM rep WHERE i < 30)
+), t AS (
+  SELECT greatest((SELECT lo FROM ent WHERE i = 30), CASE WHEN (SELECT max(1 / p) / count(*) FROM p) <= 4.0 THEN 0.0 ELSE (SELECT hi FROM rep WHERE i = 30) END) AS t
+), w AS (
+  SELECT src, tokens, total, round(pow(p, t) / (SELECT sum(pow(p, t)) FROM p, t), 9) AS weight FROM p, t, tot
+), b AS (
+  SELECT src, weight, tokens::BIGINT AS tokens, floor(weight * total * 1.0)::BIGINT AS due FROM w
+), b2 AS (
+  SELECT src, weight, due // tokens AS passes, due - (due // tokens) * tokens AS rest FROM b
+), blocks AS (
+  SELECT src, substr(h, 1, 3) AS block, sum(tok) AS n FROM d GROUP BY ALL
+), placed AS (
+  SELECT src, block, n, coalesce(sum(n) OVER (PARTITION BY src ORDER BY md5('mix/' || src || '/' || block) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM blocks
+), docs2 AS (
+  SELECT d.*, b2.weight, b2.passes, n, rest - before AS remaining,
+         coalesce(sum(tok) OVER (PARTITION BY d.src, block ORDER BY h, doc_id NULLS FIRST, tok, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
+  FROM d JOIN placed ON placed.src = d.src AND placed.block = substr(d.h, 1, 3) LEFT JOIN b2 ON b2.src = d.src
+)
+SELECT doc_id, source, tok AS n_tokens, coalesce(weight, 0) AS weight,
+       CAST(coalesce(passes, 1) + CASE WHEN remaining > 0 AND remaining >= n THEN 1 WHEN remaining > 0 AND run < remaining THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM docs2
+"""
+
+OP3_SQL = """
+WITH c AS (
+  SELECT DISTINCT vec_id AS id, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), d AS (
+  SELECT q.id AS query_id, c.id, list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: abs(z[1] - z[2])))::BIGINT AS distance
+  FROM c q, c WHERE q.id % 20 = 0 AND q.id <> c.id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance FROM ranked WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_topk_search": OP3_SQL,
+    "op1_mixing": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
 }
