@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontaminate, line_dedup, mixing, pii, token_output, topk, toxicity, url_filter
+from trackloom.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, token_output, topk, toxicity, url_filter
 from trackloom.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(codes, codes.filter("id % 20 = 0"), k=10)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digest(line_dedup.LineStore(spark, min_docs=10).insert(docs).apply(docs))
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
     "op3_topk_search": op3_topk_search,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op8_token_output": op8_token_output,
