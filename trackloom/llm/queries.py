@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, token_output, topk, toxicity, url_filter
+from trackloom.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, substring_dedup, token_output, topk, toxicity, url_filter
 from trackloom.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_output": op8_token_output,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
