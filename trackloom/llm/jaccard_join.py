@@ -193,7 +193,12 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         """Members of buckets of two or more, ranked in them; rows of three numbers, spilled if a bucket is large."""
         w = Window.partitionBy("sig")
         sigs = some.select("nid", F.explode("sigs").alias("sig"))
-        return scratch.save(sigs.withColumns({"rank": F.row_number().over(w.orderBy("nid")), "pivot": F.min("nid").over(w), "top": F.max("nid").over(w)}).filter("pivot < top").select("sig", "nid", "rank", "pivot"), name)
+        members = scratch.save(sigs.withColumn("size", F.count("*").over(w)).filter("size > 1"), f"{name}-members")
+        # who shares most signatures with others is nearest to all of them: the original of a group of near copies leads
+        score = members.groupBy("nid").agg(F.sum("size").alias("score"))
+        lead = w.orderBy(F.desc("score"), "nid")
+        ranked = members.join(score, "nid").withColumns({"rank": F.row_number().over(lead), "pivot": F.first("nid").over(lead)})
+        return scratch.save(ranked.select("sig", "nid", "rank", "pivot"), name)
 
     buckets = placed(nodes, "buckets")
     pairs = scratch.save(buckets.filter("rank > 1").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct(), "pairs-0")
