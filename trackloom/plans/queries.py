@@ -293,7 +293,8 @@ def truth(spark, scenario: str = "demo", seconds: float = 180.0) -> DataFrame:
 
 def _fused(spark, algorithm: str):
     gt = truth(spark)
-    return tracking.fuse(g.simulate(gt), algorithm), gt
+    # scoring reads the tracks several times
+    return tracking.fuse(g.simulate(gt), algorithm).persist(), gt
 
 
 @query()
@@ -348,11 +349,12 @@ def target_metrics(spark, sf):
 def algorithm_comparison(spark, sf):
     """Overall scores of every algorithm; an algorithm is a scenario dimension, so all run side by side."""
     gt = truth(spark)
-    sensor = g.simulate(gt)
+    sensor = g.simulate(gt).persist()
     parts = [tracking.fuse(sensor, a).withColumn("scenario", F.lit(a)) for a in ("basic", "advanced", "advanced_fixed_q", "imm")]
     fused = parts[0]
     for p in parts[1:]:
         fused = fused.unionByName(p)
+    fused = fused.persist()
     algorithms = spark.createDataFrame([(a,) for a in ("basic", "advanced", "advanced_fixed_q", "imm")], "scenario string")
     return scoring.tracking_metrics(fused, gt.drop("scenario").crossJoin(algorithms))
 
