@@ -77,7 +77,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[at], at - (ends - lengths)[text[at]], grams[at]
 
 
-def _pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     texts, k = batch.column(column).to_pylist(), 0
     while k < len(texts):
         n, size = k, 0
@@ -191,8 +191,8 @@ def _removed(buckets: int):
         order = np.argsort(names, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(names[order])) + 1, [len(order)]])
         out, start = [], 0
-        while start < len(cuts) - 1:  # some hundred thousand anchors at a time, whole names
-            end = max(start + 1, int(np.searchsorted(cuts, cuts[start] + 100_000)) - 1)
+        while start < len(cuts) - 1:  # some ten thousand anchors at a time, whole names
+            end = max(start + 1, int(np.searchsorted(cuts, cuts[start] + 15_000)) - 1)
             own = order[cuts[start] : cuts[end]]
             start = end
             n = len(own)
