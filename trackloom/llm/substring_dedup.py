@@ -122,9 +122,10 @@ def _name_anchors(buckets: int):
                 again[:-1] |= same
                 lead = ~np.concatenate([[False], same]) if len(name) else again
                 group = (name % np.uint64(buckets)).astype(np.int64)
-                ask = lead
+                # in the order of documents, whose ids then compress to little
+                by = np.argsort(doc, kind="stable")
+                ask, told = by[lead[by]], by[again[by]]
                 yield from _packed(["bucket", "names", "docs"], group[ask], [name[ask], doc[ask]])
-                told = again
                 yield from _packed(["bucket", "names", "docs"], -1 - (doc[told] % np.uint64(buckets)).astype(np.int64), [name[told], doc[told]])
 
     return run
@@ -174,7 +175,7 @@ def _contexts(buckets: int):
                     raw = np.frombuffer(b"".join(part) + bytes(AROUND), np.uint8)
                     start = (np.cumsum(lengths) - lengths)[text] + at - (SPAN - 1)
                     around = raw[np.maximum(start[:, None] + np.arange(AROUND), 0)]
-                    place = np.stack([at, lengths[text]], 1).astype(np.int64)
+                    place = np.stack([at, lengths[text]], 1).astype(np.int32)
                     out += _packed(CONTEXT.names, (name % np.uint64(buckets)).astype(np.int64), [name, ids[first + text], keys[first + text], place, around])
         return pa.Table.from_batches(out, schema=CONTEXT) if out else CONTEXT.empty_table()
 
@@ -187,7 +188,7 @@ def _removed(buckets: int):
     def run(group: pa.Table) -> pa.Table:
         column = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
         names, docs, keys = column("names", np.uint64), column("docs", np.uint64), column("keys", np.int64)
-        place, around = column("places", np.int64).reshape(-1, 2), column("around", np.uint8).reshape(-1, AROUND)
+        place, around = column("places", np.int32).reshape(-1, 2).astype(np.int64), column("around", np.uint8).reshape(-1, AROUND)
         order = np.argsort(names, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(names[order])) + 1, [len(order)]])
         out, start = [], 0
@@ -234,7 +235,7 @@ def _finish(texts: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table({"did": texts.column("did"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, bytes_a_task: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, bytes_a_task: int = 12 << 20) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for each row of ``docs``.
 
     A null text is empty. A null doc_id counts as larger than all others, and ids must not be negative or 2**63 - 1.
