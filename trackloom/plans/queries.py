@@ -11,6 +11,7 @@ from trackloom.functions import scalars as s
 from trackloom.operators import generators as g
 from trackloom.operators import scoring, tracking
 from trackloom.operators import timeseries as ts
+from trackloom.plans import api
 from trackloom.plans.registry import ORACLES, QUERIES
 
 
@@ -364,3 +365,15 @@ def target_association(spark, sf):
     """Association of tracks with one target, and its segments."""
     fused, gt = _fused(spark, "imm")
     return scoring.association_segments(scoring.associate_target(fused, gt.filter("callsign = 'T1'"), 400.0, 1.5))
+
+
+@query()
+def association_diagnosis(spark, sf):
+    """How measurements found their tracks."""
+    return api.diagnosis_summary(api.diagnose(g.simulate(truth(spark))))
+
+
+@query()
+def sensor_profile(spark, sf):
+    """Measurements by target and sensor."""
+    return api.sensor_profile(g.simulate(truth(spark)))
