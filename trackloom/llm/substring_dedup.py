@@ -195,22 +195,29 @@ def _removed(buckets: int):
         while start < len(cuts) - 1:  # some ten thousand anchors at a time, whole names
             end = max(start + 1, int(np.searchsorted(cuts, cuts[start] + 15_000)) - 1)
             own = order[cuts[start] : cuts[end]]
-            start = end
-            n = len(own)
+            start, n = end, len(own)
             hashes = window_hashes(around[own].reshape(-1), LENGTH)
             offset = np.arange(SPAN)
             flat = (np.arange(n)[:, None] * AROUND + offset).reshape(-1)
             at = (place[own, 0][:, None] - (SPAN - 1) + offset).reshape(-1)
             good = (at >= 0) & (at + LENGTH <= np.repeat(place[own, 1], SPAN))
             h = mix64(hashes[flat[good]] + np.repeat(names[own], SPAN)[good] * np.uint64(BASE)) + np.tile(offset, n)[good].astype(np.uint64)
-            doc, key, at = np.repeat(docs[own], SPAN)[good], np.repeat(keys[own], SPAN)[good], at[good]
+            doc = np.repeat(docs[own], SPAN)[good]
             by = np.argsort(h, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]])) if len(by) else by
             if not len(first):
                 continue
             least = np.repeat(np.minimum.reduceat(doc[by], first), np.diff(np.concatenate([first, [len(by)]])))
-            gone = by[doc[by] > least]
-            out += _packed(schema.names, _part(key[gone], buckets), [key[gone], at[gone]])
+            # neighbouring starts of an anchor as one run: its first start and the end of its last string
+            hit = np.zeros((n, SPAN + 2), np.int8)
+            row, offset = np.divmod(np.flatnonzero(good)[by[doc[by] > least]], SPAN)
+            hit[row, offset + 1] = 1
+            edge = np.diff(hit, axis=1)
+            row, begin = np.nonzero(edge == 1)
+            end = np.nonzero(edge == -1)[1] - 1 + LENGTH
+            shift = place[own[row], 0] - (SPAN - 1)
+            runs = np.stack([shift + begin, shift + end], 1).astype(np.int32)
+            out += _packed(schema.names, _part(keys[own[row]], buckets), [keys[own[row]], runs])
         return pa.Table.from_batches(out, schema=schema) if out else schema.empty_table()
 
     return run
@@ -218,15 +225,15 @@ def _removed(buckets: int):
 
 def _finish(texts: pa.Table, found: pa.Table) -> pa.Table:
     keys = np.frombuffer(b"".join(found.column("keys").to_pylist()), np.int64)
-    starts = np.frombuffer(b"".join(found.column("starts").to_pylist()), np.int64)
-    order = np.lexsort((starts, keys))
-    keys, starts = keys[order], starts[order]
+    runs = np.frombuffer(b"".join(found.column("starts").to_pylist()), np.int32).reshape(-1, 2)
+    order = np.argsort(keys, kind="stable")
+    keys, runs = keys[order], runs[order]
     n_bytes, n_removed, n_spans, kept = [], [], [], []
     for key, data in zip(texts.column("key").to_pylist(), texts.column("data").to_pylist()):
-        own = starts[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")]
+        own = runs[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")]
         cover = np.zeros(len(data) + 1, np.int64)
-        np.add.at(cover, own, 1)
-        np.add.at(cover, own + LENGTH, -1)
+        np.add.at(cover, own[:, 0], 1)
+        np.add.at(cover, own[:, 1], -1)
         gone = np.cumsum(cover)[:-1] > 0 if len(own) else np.zeros(len(data), bool)
         n_bytes.append(len(data))
         n_removed.append(int(gone.sum()))
