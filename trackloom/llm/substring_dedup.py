@@ -182,6 +182,12 @@ def _contexts(buckets: int):
     return run
 
 
+def _inner_hashes(around: np.ndarray) -> np.ndarray:
+    """Hashes of the SPAN strings in each row of bytes around an anchor."""
+    flat = (np.arange(len(around))[:, None] * AROUND + np.arange(SPAN)).reshape(-1)
+    return window_hashes(around.reshape(-1), LENGTH)[flat]
+
+
 def _removed(buckets: int):
     schema = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("starts", pa.binary())])
 
@@ -196,12 +202,12 @@ def _removed(buckets: int):
             end = max(start + 1, int(np.searchsorted(cuts, cuts[start] + 15_000)) - 1)
             own = order[cuts[start] : cuts[end]]
             start, n = end, len(own)
-            hashes = window_hashes(around[own].reshape(-1), LENGTH)
             offset = np.arange(SPAN)
-            flat = (np.arange(n)[:, None] * AROUND + offset).reshape(-1)
+            # some thousand anchors at a time: a very common name may have many more
+            hashes = np.concatenate([_inner_hashes(around[own[k : k + 4096]]) for k in range(0, n, 4096)])
             at = (place[own, 0][:, None] - (SPAN - 1) + offset).reshape(-1)
             good = (at >= 0) & (at + LENGTH <= np.repeat(place[own, 1], SPAN))
-            h = mix64(hashes[flat[good]] + np.repeat(names[own], SPAN)[good] * np.uint64(BASE)) + np.tile(offset, n)[good].astype(np.uint64)
+            h = mix64(hashes[good] + np.repeat(names[own], SPAN)[good] * np.uint64(BASE)) + np.tile(offset, n)[good].astype(np.uint64)
             doc = np.repeat(docs[own], SPAN)[good]
             by = np.argsort(h, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]])) if len(by) else by
