@@ -126,5 +126,5 @@ def allocate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with each row repeated as often as it is drawn; all columns stay."""
     rows, copies = with_copies(docs, settings)
-    drawn = rows.join(copies.filter("copies > 0").select("__row", "copies"), "__row")
-    return drawn.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    drawn = rows.join(copies.filter("copies > 0").select("__row", F.col("copies").alias("__copies")), "__row")
+    return drawn.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
