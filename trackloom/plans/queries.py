@@ -283,7 +283,7 @@ def guarded_rates(spark, sf):
     return c.select("user_id", scoring.ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), scoring.ratio(F.col("tp"), F.col("gt")).alias("recall"))
 
 
-# --- composites over simulated scenarios; no SQL expresses trackers
+# --- composites over scenarios; no SQL expresses trackers
 
 
 def truth(spark, scenario: str = "demo", seconds: float = 180.0) -> DataFrame:
@@ -292,10 +292,37 @@ def truth(spark, scenario: str = "demo", seconds: float = 180.0) -> DataFrame:
     return a.unionByName(b).unionByName(g.weave_route(b, "T3", 3000.0, 100.0))
 
 
-def _fused(spark, algorithm: str):
-    gt = truth(spark)
+#: A scenario is so many neighbouring users, so scenarios grow in number with the table and not in size.
+USERS = 10
+#: Seconds in a unit of the trackers' time: one user's events are then some units apart, as a radar's scans are. In plain
+#: seconds they are hours apart and every track is deleted before its second measurement.
+UNIT_S = 10_000.0
+
+
+def measured(spark, sf) -> DataFrame:
+    """Every event as a measurement: the view of SURVEY 7.3 (``sensor`` is the event type, ``local_track_id`` the user, ``x``
+    the value, ``y`` props.k, quality 1 + user_id % 15) in the trackers' columns, with differenced velocities."""
+    e = table(spark, sf, "events").withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    e = e.join(F.broadcast(e.agg(F.min("seconds").alias("__first"))))  # one row
+    e = e.withColumns({"time": (F.col("seconds") - F.col("__first")) / UNIT_S, "x": F.col("value"), "y": F.get_json_object("props", "$.k").cast("double")})
+    w = ts.ordered("user_id", "time", "event_id")
+    dt = F.greatest(ts.difference("time", w), F.lit(0.1))
+    e = e.withColumns({f"v{c}": F.coalesce(ts.difference(c, w) / dt, F.lit(0.0)) for c in "xy"})
+    user = F.col("user_id").cast("string")
+    names = {"scenario": F.floor(F.col("user_id") / USERS).cast("string"), "ord": F.col("event_id"), "sensor": F.col("event_type"), "local_track_id": user, "callsign_true": user, "track_quality": 1 + F.pmod("user_id", F.lit(15)), "is_clutter": F.lit(False)}
+    return api.sensor_table(e.withColumns(names))
+
+
+def purchases(sensor: DataFrame) -> DataFrame:
+    """The users' purchases as the truth, on the plane."""
+    zero = F.lit(0.0)
+    return sensor.filter("sensor = 'purchase'").select("scenario", F.col("local_track_id").alias("callsign"), "time", "x", "y", zero.alias("z"), "vx", "vy", zero.alias("vz"))
+
+
+def _fused(spark, sf, algorithm: str):
+    sensor = measured(spark, sf)
     # scoring reads the tracks several times
-    return tracking.fuse(g.simulate(gt), algorithm).persist(), gt
+    return tracking.fuse(sensor, algorithm).persist(), purchases(sensor)
 
 
 @query()
@@ -319,61 +346,64 @@ def minimum_separation(spark, sf):
 
 @query()
 def fusion_basic(spark, sf):
-    return _fused(spark, "basic")[0]
+    return _fused(spark, sf, "basic")[0]
 
 
 @query()
 def fusion_advanced(spark, sf):
-    return _fused(spark, "advanced")[0]
+    return _fused(spark, sf, "advanced")[0]
 
 
 @query()
 def fusion_imm(spark, sf):
-    return _fused(spark, "imm")[0]
+    return _fused(spark, sf, "imm")[0]
 
 
 @query()
 def tracking_metrics(spark, sf):
     """Overall scores of the interacting-multiple-model tracker."""
-    fused, gt = _fused(spark, "imm")
+    fused, gt = _fused(spark, sf, "imm")
     return scoring.tracking_metrics(fused, gt)
 
 
 @query()
 def target_metrics(spark, sf):
     """Scores by target."""
-    fused, gt = _fused(spark, "imm")
+    fused, gt = _fused(spark, sf, "imm")
     return scoring.target_metrics(fused, gt)
 
 
 @query()
 def algorithm_comparison(spark, sf):
     """Overall scores of every algorithm; an algorithm is a scenario dimension, so all run side by side."""
-    gt = truth(spark)
-    sensor = g.simulate(gt).persist()
-    parts = [tracking.fuse(sensor, a).withColumn("scenario", F.lit(a)) for a in ("basic", "advanced", "advanced_fixed_q", "imm")]
+    sensor = measured(spark, sf).persist()
+    within = lambda a: F.concat_ws("/", F.lit(a), "scenario")
+    parts = [tracking.fuse(sensor, a).withColumn("scenario", within(a)) for a in ("basic", "advanced", "advanced_fixed_q", "imm")]
     fused = parts[0]
     for p in parts[1:]:
         fused = fused.unionByName(p)
     fused = fused.persist()
-    algorithms = spark.createDataFrame([(a,) for a in ("basic", "advanced", "advanced_fixed_q", "imm")], "scenario string")
-    return scoring.tracking_metrics(fused, gt.drop("scenario").crossJoin(algorithms))
+    algorithms = spark.createDataFrame([(a,) for a in ("basic", "advanced", "advanced_fixed_q", "imm")], "algorithm string")
+    gt = purchases(sensor).crossJoin(F.broadcast(algorithms)).withColumn("scenario", within(F.col("algorithm"))).drop("algorithm")
+    return scoring.tracking_metrics(fused, gt)
 
 
 @query()
 def target_association(spark, sf):
-    """Association of tracks with one target, and its segments."""
-    fused, gt = _fused(spark, "imm")
-    return scoring.association_segments(scoring.associate_target(fused, gt.filter("callsign = 'T1'"), 400.0, 1.5))
+    """Association of tracks with each target in turn, and its segments."""
+    fused, gt = _fused(spark, sf, "imm")
+    own = F.concat_ws("/", "scenario", "callsign")
+    each = fused.join(F.broadcast(gt.select("scenario", "callsign").distinct()), "scenario").withColumn("scenario", own).drop("callsign")
+    return scoring.association_segments(scoring.associate_target(each, gt.withColumn("scenario", own), 400.0, 1.5))
 
 
 @query()
 def association_diagnosis(spark, sf):
     """How measurements found their tracks."""
-    return api.diagnosis_summary(api.diagnose(g.simulate(truth(spark))))
+    return api.diagnosis_summary(api.diagnose(measured(spark, sf)))
 
 
 @query()
 def sensor_profile(spark, sf):
     """Measurements by target and sensor."""
-    return api.sensor_profile(g.simulate(truth(spark)))
+    return api.sensor_profile(measured(spark, sf))
