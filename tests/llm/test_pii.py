@@ -65,3 +65,17 @@ def test_held_out_precision():
         missed += label and not hit
     assert right / (right + wrong) > 0.95
     assert right / (right + missed) > 0.6
+
+
+def test_numbers_of_many_groups_are_proposed_and_redacted_whole():
+    model = pii.train()
+    for number in ["00 33 1 23 45 67 89", "0033 (0)1 23 45 67 89", "0 1 23 45 67 89 01 2"]:
+        text = f"please call {number} today"
+        whole = (12, 3, 12 + len(number))
+        assert whole in set(pii.candidates(text)), number
+    dotted = "411.111.11.11.11.11.11"
+    assert (5, 2, 5 + len(dotted)) in set(pii.candidates(f"card {dotted} now"))
+    for number in ["00 33 1 23 45 67 89", "0033 (0)1 23 45 67 89"]:
+        text = f"please call {number} today"
+        spans = pii._join(pii.added_spans(text, pii.base_spans(text), model))
+        assert pii.redact(text, spans) == "please call <phone> today", (number, spans)
