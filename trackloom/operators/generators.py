@@ -4,7 +4,7 @@ do not depend on partitions, order or retries."""
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,6 +67,7 @@ class Spiral:
     climb: float = 5.0
     centre: tuple[float, float] = (100000.0, 100000.0)
     z0: float = 3000.0
+    direction: int = 1
 
     def __post_init__(self):
         if min(self.hz, self.speed, self.turns, *self.radius) <= 0 or self.climb >= self.speed:
@@ -97,7 +98,7 @@ def spiral_route(spark: SparkSession, scenario: str, callsign: str, p: Spiral =
     ask = spark.range(n).select(F.lit(callsign).alias("callsign"), (F.col("id") / p.hz).alias("time"), F.least(F.col("id") * (p.length() / (duration * p.hz)), F.lit(p.length() * (1 - 1e-12))).alias("s"))
     at = interpolation_join(ask, curve, "callsign", "s", ["theta"], edge="clamp")
     r = radius(F.col("theta"))
-    at = at.select(F.lit(scenario).alias("scenario"), "callsign", "time", (p.centre[0] + r * F.cos("theta")).alias("x"), (p.centre[1] + r * F.sin("theta")).alias("y"), (p.z0 + p.climb * F.col("time")).alias("z"), "theta", r.alias("spiral_radius_m"))
+    at = at.select(F.lit(scenario).alias("scenario"), "callsign", "time", (p.centre[0] + r * F.cos("theta")).alias("x"), (p.centre[1] + p.direction * r * F.sin("theta")).alias("y"), (p.z0 + p.climb * F.col("time")).alias("z"), "theta", r.alias("spiral_radius_m"))
     w = ordered("callsign", "time")
     out = at.withColumns({f"v{c}": gradient(c, "time", w) for c in "xyz"})
     out = out.withColumns({"speed": s.speed(F.col("vx"), F.col("vy"), F.col("vz")), "__h": F.atan2("vy", "vx")})
@@ -134,6 +135,18 @@ class Radar:
     max_range: float = 400_000.0
     clutter: float = 0.0
     realistic: bool = False
+    # the rest is of simulate_realistic only
+    z: float = 0.0
+    bias: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    drift: float = 0.0
+    quality_jitter: int = 1
+    penalty: int = 0
+    pd_range: float = 150_000.0
+    pd_min: float = 0.3
+    visible: float = 0.1
+    azimuth: tuple[float, float] = (-180.0, 180.0)
+    elevation: tuple[float, float] = (-90.0, 90.0)
+    box: tuple[float, ...] = (-400_000.0, 400_000.0, -400_000.0, 400_000.0, 0.0, 15_000.0)
 
 
 RADARS = (
@@ -142,6 +155,14 @@ RADARS = (
     Radar("RADAR_C", -30_000.0, 35_000.0, 10.0, 0.3, 0.85, 140.0, 5.0, 8, 1.5, clutter=0.3),
 )
 
+#: The realistic radars of the reference; clutter is a count for each scan.
+REALISTIC = (
+    Radar("REAL_A", 0.0, 0.0, 2.5, 0.4, 0.95, 0.0, 0.0, 13, 0.3, 500_000.0, 0.000075, True, 0.0, (15.0, -10.0, 5.0), 0.05, 1, 3, 150_000.0, 0.5, 0.01),
+    Radar("REAL_B", 50_000.0, -5_000.0, 5.0, 1.0, 0.88, 0.0, 0.0, 10, 0.8, 500_000.0, 0.00005, True, 0.0, (-25.0, 20.0, -7.0), 0.08, 2, 3, 120_000.0, 0.4, 0.00875),
+    Radar("REAL_C", 15_000.0, 60_000.0, 10.0, 2.5, 0.8, 0.0, 0.0, 7, 1.5, 500_000.0, 0.000025, True, 0.0, (40.0, 35.0, 12.0), 0.12, 2, 2, 80_000.0, 0.3, 0.00575, box=(-100_000.0, 100_000.0, -100_000.0, 100_000.0, 0.0, 12_000.0)),
+)
+ANGLE_SIGMA = math.radians(0.05)
+
 
 def scan_schedule(gt: DataFrame, radars: tuple[Radar, ...], seed: int) -> DataFrame:
     """``scenario, sensor, callsign, scan, scan_time``: jittered scans of each radar over each target's life."""
@@ -188,6 +209,99 @@ def simulate(gt: DataFrame, radars: tuple[Radar, ...] = RADARS, seed: int = 42)
     return both.withColumn("ord", F.row_number().over(order).cast("long"))
 
 
+def maneuvering(gt: DataFrame) -> DataFrame:
+    """``gt`` with ``dvx, dvy``, each row's velocity less the row's before; zero for targets of fewer than three rows."""
+    w = Window.partitionBy("scenario", "callsign").orderBy("time")
+    long = F.count("*").over(Window.partitionBy("scenario", "callsign")) >= 3
+    return gt.withColumns({f"d{c}": F.when(long, F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))).otherwise(0.0) for c in ("vx", "vy")})
+
+
+def _ends(lives: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Two samples of each object's line: at ``first`` and at ``last``."""
+    ends = lives.withColumns({"__a": first, "__b": last}).withColumn("time", F.explode(F.array("__a", "__b")))
+    return ends.withColumns({c: F.col(c) + F.col(f"v{c}") * (F.col("time") - F.col("__a")) for c in "xyz"}).drop("__a", "__b")
+
+
+def static_points(gt: DataFrame, n: int = 1, seed: int = 42, box: tuple[float, ...] = (-300_000.0, 300_000.0, -300_000.0, 300_000.0, 0.0, 15_000.0)) -> DataFrame:
+    """GT rows and ``label`` of ``n`` points of each scenario that every radar sees, from 0 to the scenario's end."""
+    own = gt.groupBy("scenario").agg(F.max("time").alias("t1")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))) if n else F.explode(F.array().cast("array<int>")))
+    kind = F.element_at(F.array(*map(F.lit, ("building", "terrain", "metal", "mountain"))), (F.floor(4 * uniform(seed, "kind", F.col("scenario"), F.col("k"))) + 1).cast("int"))
+    at = {c: box[2 * i] + (box[2 * i + 1] - box[2 * i]) * uniform(seed, "static" + c, F.col("scenario"), F.col("k")) for i, c in enumerate("xyz")}
+    rows = own.withColumns(at | {f"v{c}": F.lit(0.0) for c in "xyz"} | {"callsign": F.format_string("SC%d", "k"), "label": F.concat(F.lit("STATIC_CLUTTER_"), kind)})
+    return _ends(rows, F.lit(0.0), F.col("t1")).select(*GT, "label")
+
+
+def ghost_tracks(gt: DataFrame, n: int = 1, seed: int = 42, life: tuple[float, float] = (50.0, 90.0), speeds: tuple[float, float] = (5.0, 15.0)) -> DataFrame:
+    """GT rows and ``label`` of ``n`` slow straight tracks of each scenario, within ``life`` and the scenario's time."""
+    own = gt.groupBy("scenario").agg(F.greatest(F.min("time"), F.lit(life[0])).alias("a"), F.least(F.max("time"), F.lit(life[1])).alias("b")).filter("a < b")
+    own = own.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))) if n else F.explode(F.array().cast("array<int>")))
+    u = lambda name, low, high: low + (high - low) * uniform(seed, "ghost" + name, F.col("scenario"), F.col("k"))
+    speed, angle = u("speed", *speeds), u("angle", 0.0, 2 * math.pi)
+    rows = own.withColumns({"x": u("x", -200_000.0, 200_000.0), "y": u("y", -200_000.0, 200_000.0), "z": u("z", 500.0, 10_000.0), "vx": speed * F.cos(angle), "vy": speed * F.sin(angle), "vz": normal(seed, "ghostvz", F.col("scenario"), F.col("k")), "callsign": F.format_string("GH%d", "k"), "label": F.lit("GHOST_TRACK")})
+    return _ends(rows, F.col("a"), F.col("b")).select(*GT, "label")
+
+
+def simulate_realistic(gt: DataFrame, radars: tuple[Radar, ...] = REALISTIC, seed: int = 42, static: int = 1, ghosts: int = 1) -> DataFrame:
+    """Measurements of ``gt`` with static points, ghosts and a little background clutter: detection falls with range inside
+    the field of view, quality falls in manoeuvres, noise is polar, velocities are Doppler's, and a bias walks from scan to
+    scan of a radar (targets in order; its last value holds for clutter)."""
+    by = lambda f: F.coalesce(*(F.when(F.col("sensor") == r.name, f(r)) for r in radars))
+    draw = lambda name, low, high: F.floor(low + (high - low + 1) * uniform(seed, name, *who))
+    who = (F.col("scenario"), F.col("sensor"), F.col("callsign"), F.col("scan"))
+    anchor = static_points(gt, 1, seed).withColumns({"callsign": F.lit("DC"), "label": F.lit("DYNAMIC_CLUTTER")})
+    zero = {f"d{c}": F.lit(0.0) for c in ("vx", "vy")}
+    things = maneuvering(gt).select(*GT, "dvx", "dvy", F.lit("target").alias("kind"), F.col("callsign").alias("label"))
+    for kind, more in (("static", static_points(gt, static, seed)), ("ghost", ghost_tracks(gt, ghosts, seed)), ("dynamic", anchor)):
+        things = things.unionByName(more.withColumns(zero | {"kind": F.lit(kind)}))
+    # kinds may share a callsign
+    things = things.withColumn("callsign", F.concat_ws(":", "kind", "callsign"))
+    values = ["x", "y", "z", "vx", "vy", "vz", "dvx", "dvy"]
+    scans = scan_schedule(things, radars, seed).filter("scan > 0").withColumns({"key": F.concat_ws("/", "scenario", "callsign"), "time": F.col("scan_time")})
+    seen = interpolation_join(scans, things.withColumn("key", F.concat_ws("/", "scenario", "callsign")).select("key", "time", *values), "key", "time", values, edge="clamp")
+    seen = seen.join(things.select("scenario", "callsign", "kind", "label").distinct(), ["scenario", "callsign"])
+    # the walk: rows of targets in order; of clutter, which sorts after them, the sum over all
+    walk = Window.partitionBy("scenario", "sensor").orderBy(F.when(F.col("kind") == "target", 0).otherwise(1), F.when(F.col("kind") == "target", F.col("callsign")), F.when(F.col("kind") == "target", F.col("scan")))
+    for i, c in enumerate("xyz"):
+        seen = seen.withColumn(f"b{c}", by(lambda r: F.lit(float(r.bias[i]))) + F.sum(F.when(F.col("kind") == "target", by(lambda r: F.lit(r.drift)) * normal(seed, "walk" + c, *who)).otherwise(0.0)).over(walk))
+    spot = {c: F.when(F.col("kind") == "dynamic", F.lit(0.0)).otherwise(F.col(c) - by(lambda r: F.lit(float((r.x, r.y, r.z)[i])))) for i, c in enumerate("xyz")}
+    seen = seen.withColumns({f"d{c}": e for c, e in spot.items()}).withColumns({"r": s.speed(F.col("dx"), F.col("dy"), F.col("dz")), "az": F.atan2("dy", "dx")})
+    seen = seen.withColumn("el", F.atan2(F.col("dz"), F.greatest(F.hypot("dx", "dy"), F.lit(1e-6))))
+    view = lambda x, y, z: by(lambda r: s.in_view(x, y, z, r.max_range, r.azimuth, r.elevation))
+    chance = F.when(F.col("kind") == "target", by(lambda r: s.range_dependent_pd(F.col("r"), r.pd, r.pd_range, r.max_range, r.pd_min))).when(F.col("kind") == "static", by(lambda r: F.lit(r.visible))).otherwise(1.0)
+    w = Window.partitionBy("scenario", "sensor", "callsign").orderBy("scan")
+    seen = seen.withColumn("hit", view(F.col("dx"), F.col("dy"), F.col("dz")) & (uniform(seed, "hit", *who) <= chance))
+    seen = seen.withColumn("island", F.sum(F.when(F.lag("hit", 1, True).over(w), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = F.hypot("dvx", "dvy") > 5.0
+    own_tq = by(lambda r: F.lit(r.quality) - F.when(turn, r.penalty).otherwise(0) + draw("tq", -r.quality_jitter, r.quality_jitter))
+    tq = F.when(F.col("kind") == "target", own_tq).when(F.col("kind") == "static", draw("tq", 1, 3)).when(F.col("kind") == "ghost", draw("tq", 2, 5)).otherwise(draw("tq", 1, 2))
+    seen = seen.withColumn("track_quality", s.clip(tq, 1, 15).cast("int")).withColumns({"sp": s.quality_to_sigma(F.col("track_quality"), s.POSITION_SIGMA), "sv": s.quality_to_sigma(F.col("track_quality"), s.VELOCITY_SIGMA)})
+    seen = seen.withColumns({"rm": F.col("r") + F.col("sp") * normal(seed, "range", *who), "am": F.col("az") + ANGLE_SIGMA * normal(seed, "azimuth", *who), "em": F.col("el") + ANGLE_SIGMA * normal(seed, "elevation", *who)})
+
+    def axes(az: str, el: str) -> list[list[Column]]:
+        """Unit vectors along the line of sight, across and up."""
+        ca, sa, ce, se = F.cos(az), F.sin(az), F.cos(el), F.sin(el)
+        return [[ce * ca, ce * sa, se], [-sa, ca, F.lit(0.0)], [-se * ca, -se * sa, ce]]
+
+    along = [sum((F.col(f"v{c}") * u for c, u in zip("yz", a[1:])), F.col("vx") * a[0]) for a in axes("az", "el")]
+    radial = F.when(F.col("kind") == "ghost", 1.5).otherwise(1.0)
+    seen = seen.withColumns({f"m{k}": v + F.col("sv") * k_sigma * normal(seed, f"doppler{k}", *who) for k, (v, k_sigma) in enumerate(zip(along, (radial, F.lit(4.0), F.lit(2.0))))})
+    basis = axes("am", "em")
+    place = {c: by(lambda r: F.lit(float((r.x, r.y, r.z)[i]))) + F.col(f"b{c}") + F.col("rm") * basis[0][i] for i, c in enumerate("xyz")}
+    doppler = {c: F.col("m0") * basis[0][i] + F.col("m1") * basis[1][i] + F.col("m2") * basis[2][i] for i, c in enumerate("xyz")}
+    velocity = {f"v{c}": F.when(F.col("kind") == "static", 2 * F.col("sv") * normal(seed, "still" + c, *who)).otherwise(e) for c, e in doppler.items()}
+    late = F.round(F.col("scan_time") + by(lambda r: F.lit(r.latency)), 2).alias("time")
+    spread = F.sqrt(F.col("sp") * F.col("sp") + 2 * F.pow(F.col("r") * ANGLE_SIGMA, 2)).alias("sigma_pos_m")
+    name = F.when(F.col("kind") == "static", F.concat_ws("-", "sensor", "callsign")).otherwise(F.format_string("%s-%s-%03d", "sensor", "callsign", "island"))
+    found = seen.filter("hit and kind <> 'dynamic'").select("scenario", late, "sensor", name.alias("local_track_id"), F.col("label").alias("callsign_true"), *(e.alias(c) for c, e in (place | velocity).items()), "track_quality", spread, F.col("sv").alias("sigma_vel_mps"), (F.col("kind") != "target").alias("is_clutter"))
+    count = by(lambda r: poisson(0.3 * r.clutter, seed, "dynamic", *who))
+    noise = seen.filter("kind = 'dynamic'").withColumn("n", count).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    noise = noise.withColumns({c: by(lambda r: r.box[2 * i] + (r.box[2 * i + 1] - r.box[2 * i]) * uniform(seed, "at" + c, *who, F.col("k"))) for i, c in enumerate("xyz")})
+    noise = noise.filter(view(*(F.col(c) - by(lambda r: F.lit(float((r.x, r.y, r.z)[i]))) for i, c in enumerate("xyz"))))
+    false = noise.select("scenario", late, "sensor", F.format_string("%s-DC-%05d-%d", "sensor", "scan", "k").alias("local_track_id"), F.col("label").alias("callsign_true"), "x", "y", "z", *((0.2 * F.col("sv") * normal(seed, "by" + c, *who, F.col("k"))).alias(f"v{c}") for c in "xyz"), "track_quality", F.col("sp").alias("sigma_pos_m"), F.col("sv").alias("sigma_vel_mps"), F.lit(True).alias("is_clutter"))
+    order = Window.partitionBy("scenario", "time").orderBy("sensor", "local_track_id")
+    return found.unionByName(false).withColumn("ord", F.row_number().over(order).cast("long"))
+
+
 def separations(track: DataFrame, others: DataFrame) -> DataFrame:
     """``callsign, min_distance``: least distance of ``track`` to each other target at its own times."""
     parts = others.select("callsign").distinct()
@@ -195,3 +309,16 @@ def separations(track: DataFrame, others: DataFrame) -> DataFrame:
     near = interpolation_join(ask, others, "callsign", "time", ["x", "y", "z"], edge="drop")
     d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
     return near.groupBy("callsign").agg(F.min(d).alias("min_distance"))
+
+
+def separated_spiral(spark: SparkSession, scenario: str, callsign: str, others: DataFrame, p: Spiral = Spiral(), least: float = 1000.0) -> DataFrame:
+    """The first of seven spirals (as given, its centre moved by 50 km along an axis, 3 km higher, turning the other way) that
+    keeps ``least`` m from every target of ``others``."""
+    (x, y), far = p.centre, 50_000.0
+    specs = [p, *(replace(p, centre=c) for c in ((x + far, y), (x - far, y), (x, y + far), (x, y - far))), replace(p, z0=p.z0 + 3000.0), replace(p, direction=-p.direction)]
+    for spec in specs:
+        route = spiral_route(spark, scenario, callsign, spec)
+        nearest = separations(route, others).agg(F.min("min_distance")).first()[0]
+        if nearest is None or nearest >= least:
+            return route
+    raise ValueError(f"no spiral keeps {least} m from the other targets")

@@ -327,8 +327,9 @@ def _fused(spark, sf, algorithm: str):
 
 @query()
 def simulated_sensors(spark, sf):
-    """Jittered scans, detection, noise, local tracks, clutter."""
-    return g.simulate(truth(spark))
+    """Plain and realistic radars over one scenario, with static points, ghosts and clutter."""
+    gt = truth(spark)
+    return g.simulate(gt).unionByName(g.simulate_realistic(gt))
 
 
 @query()
@@ -339,9 +340,10 @@ def spiral(spark, sf):
 
 @query()
 def minimum_separation(spark, sf):
-    """Least distances between targets."""
+    """Least distances between targets: of the first, and of a spiral placed apart from all."""
     gt = truth(spark)
-    return g.separations(gt.filter("callsign = 'T1'"), gt.filter("callsign <> 'T1'"))
+    first = g.separations(gt.filter("callsign = 'T1'"), gt.filter("callsign <> 'T1'")).withColumn("track", F.lit("T1"))
+    return first.unionByName(g.separations(g.separated_spiral(spark, "demo", "T5", gt), gt).withColumn("track", F.lit("T5")))
 
 
 @query()
