@@ -2,7 +2,7 @@ import numpy as np
 
 from trackloom.llm import jaccard_join as j
 
-SCHEMA = "doc_id long, text string, n string, key string, nid string"
+SCHEMA = "doc_id long, text string, did string, tag string, row string"
 
 
 def sets(text, width=3):
@@ -67,21 +67,59 @@ def test_empty(spark):
     assert run(spark, []) == []
 
 
+def left(elements, percent, crowded):
+    """Signatures after the document's most crowded ones are left out; ``crowded`` ranks any signature."""
+    sigs, kinds = j.signatures(elements, percent)
+    keep = set(sigs[kinds >= j.DELETION].tolist())
+    for k in np.unique(kinds[kinds < j.DELETION]):
+        own = sorted(sigs[kinds == k].tolist(), key=crowded)
+        keep |= set(own[j._crowds(percent)[k] :])
+    return keep
+
+
 def test_signatures_lose_no_link():
-    """Every linked pair shares a signature, over sizes around the bands' ends."""
+    """Every linked pair shares a signature that neither leaves out, over sizes around the bands' ends."""
     rng = np.random.default_rng(2)
     missed = linked = 0
-    for _ in range(3000):
-        size = int(rng.integers(1, 120))
-        a = rng.integers(0, 2**63, size).astype(np.uint64)
-        drop = int(rng.integers(0, size // 10 + 2))
-        b = np.concatenate([a[min(drop, size - 1) :], rng.integers(0, 2**63, int(rng.integers(0, size // 12 + 1))).astype(np.uint64)])
+    for percent in (80, 90):
+        for _ in range(3000):
+            size = int(rng.integers(1, 160))
+            a = rng.integers(0, 2**63, size).astype(np.uint64)
+            drop = int(rng.integers(0, size * (100 - percent) // 100 + 2))
+            b = np.concatenate([a[min(drop, size - 1) :], rng.integers(0, 2**63, int(rng.integers(0, size // 12 + 1))).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
+                linked += 1
+                # the worst ranking: what the two share is more crowded than the rest
+                common = set(j.signatures(a, percent)[0].tolist()) & set(j.signatures(b, percent)[0].tolist())
+                crowded = lambda s: (s not in common, s)
+                missed += not left(a, percent, crowded) & left(b, percent, crowded)
+    assert linked > 600 and missed == 0
+
+
+def test_sketches_pass_every_link():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = (rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64) for _ in range(2))
         a, b = np.unique(a), np.unique(b)
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 90 * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
-            linked += 1
-            missed += not len(np.intersect1d(j.signatures(a, 90), j.signatures(b, 90)))
-    assert linked > 300 and missed == 0
+        x, y = j.sketch(a), j.sketch(b)
+        n = min(len(x), len(y))
+        assert np.bitwise_count(j.folded(x, n) ^ j.folded(y, n)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """Copies of one text with ever more changes: most pairs are near the threshold and unlinked, and buckets hold all."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(160):
+        text = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 9)), replace=False):
+            text[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(text)))
+    monkeypatch.setattr(j, "BLOCK", 40)
+    assert run(spark, rows) == brute(rows)
 
 
 def test_keep_one(spark):

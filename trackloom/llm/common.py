@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +56,31 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+SIEVE_BITS = 1 << 24
+SIEVE_HASHES = 4
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, keys: list[str], out: bool = False) -> DataFrame:
+    """The rows of ``rows`` whose ``keys`` may be in ``wanted``, before a join with it, so that others need not be shuffled;
+    with ``out`` the others, whose keys certainly are not. A Bloom filter of 2 MB at any size: when ``wanted`` has many more
+    than a million keys, ever more rows pass and only the saving ends."""
+    bits = SIEVE_BITS
+    places = F.explode(F.array(*(F.pmod(F.xxhash64(*keys, F.lit(k)), F.lit(bits)) for k in range(SIEVE_HASHES))))
+    words = wanted.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    found = words.toArrow()  # a word for each 64 bits of the filter at most
+    table = np.zeros(bits // 64, np.int64)
+    table[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(at: pd.DataFrame) -> pd.Series:
+        p = at.to_numpy()
+        return pd.Series(((sent.value[p >> 6] >> (p & 63)) & 1).all(axis=1))
+
+    hit = held(F.struct(*(F.pmod(F.xxhash64(*keys, F.lit(k)), F.lit(bits)).alias(f"p{k}") for k in range(SIEVE_HASHES))))
+    return rows.filter(~hit if out else hit)
+
+
 def open_fs(uri: str):
     """(filesystem, path) of pyarrow for a URI of the shared folder."""
     from pyarrow import fs

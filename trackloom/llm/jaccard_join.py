@@ -2,13 +2,17 @@
 
 A document's set is its distinct word shingles. Sets that link at threshold t differ in H elements at most, H by the sizes
 of the band. The universe is hashed into m segments of the band; ``y`` of them also index their one-deletion neighbourhoods
-and so tolerate one difference. If every segment failed, the sets would differ in (m - y) + 2y > H + slack elements, so
-linked sets share a signature even where each document leaves out up to ``slack`` nearly empty segments, whose signatures
-would match almost everything. A cost model chooses y for each band. Candidates are verified exactly on their sets.
+and so tolerate one difference. With m + y = H + 1 + slack, linked sets share more than ``slack`` exact segments or one of
+the neighbourhoods, so each document may leave ``slack`` exact segments unindexed:
 
-Copies of one set are one node. Within a signature's bucket a pivot is verified against the others, a star and not all
-pairs; only members that the links found so far leave in another group than some other member are paired again, with
-twice as many pivots a round, until no untested pair could join two groups.
+- up to ``light`` nearly empty ones, whose signatures would match almost everything, by a cost model of the band;
+- its ``crowd`` most crowded ones by the measured number of documents under each signature. Two documents rank the segments
+  they share alike, so what either leaves out of those is ``crowd`` of them at most.
+
+Buckets of up to PAIRS documents give pairs, larger ones meet in cells of two blocks. A pair is passed over if the parity
+sketches of its sets (the parity of the elements hashed to each bit; sketches differ in no more bits than the sets in
+elements) prove it unlinked. Of the others a forest is verified exactly, word by word, then what could still join two of
+its trees, until no untested pair can. Copies of one set are one node, numbered by 64 bits of the hash of the set.
 """
 
 from __future__ import annotations
@@ -22,12 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Scratch, mix64, utf8
+from trackloom.llm.common import Scratch, mix64, sieve, utf8
 
 NULL_ID = 2**63 - 1
 RATIO = 1.3
 LIGHT = 2
+CROWD = 0.2
+PAIRS = 16
+BLOCK = 2048
+HEAVY = 8
 SALTS = 16
+DELETION = 128
+PART_BYTES = 8 << 20
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 
 
@@ -59,17 +69,18 @@ def band(size: int) -> tuple[int, int, int]:
 
 
 @lru_cache(4096)
-def allocation(high: int, percent: int) -> tuple[int, int, int]:
-    """(segments, of them with one deletion, slack) of the band of sizes up to ``high`` at the least cost; no segments
+def allocation(high: int, percent: int) -> tuple[int, int, int, int]:
+    """(segments, of them with one deletion, light, crowd) of the band of sizes up to ``high`` at the least cost; no segments
     where only equal sets link. Cost: signatures of a set, and ``weight`` candidates for each signature of an exact
-    segment of up to LIGHT elements that has to be given, as likely as a Poisson share says."""
+    segment of up to LIGHT elements that has to be given, as likely as a Poisson share says. What can't be known from sizes,
+    the crowded signatures, is left to ``crowd`` and the measured counts."""
     differ = high * (100 - percent) // percent
     if differ == 0:
-        return 0, 0, 0
-    weight, best = 40.0, None
+        return 0, 0, 0, 0
+    crowd, weight, best = int(CROWD * differ), 40.0, None
     for y in range(0, min(differ + 2, 7)):
         for slack in range(0, y + 1):
-            m = differ + 1 + slack - y
+            m = differ + 1 + slack + crowd - y
             if m < max(y, 1):
                 continue
             mean = high / (m + y)
@@ -80,18 +91,17 @@ def allocation(high: int, percent: int) -> tuple[int, int, int]:
             cost = m - y + y * (1 + two) + weight * (light * over + empty)
             if best is None or cost < best[0]:
                 best = (cost, m, y, slack)
-    return best[1:]
+    return *best[1:], crowd
 
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Distinct signatures of a set: one set of them for each band that a partner of its size or less can be in."""
-    size, out = len(elements), []
-    if not size:
-        return np.empty(0, np.int64)
+def signatures(elements: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct signatures of a set, one set of them for each band that a partner of its size or less can be in, and each
+    one's band, with DELETION added where a segment has one-deletion neighbourhoods."""
+    size, out, kinds = len(elements), [], []
     low = -(-size * percent // 100)
-    while True:
+    while size:
         k, first, last = band(low)
-        m, y, slack = allocation(last, percent)
+        m, y, slack, _ = allocation(last, percent)
         if m:
             slot = (mix64(elements ^ np.uint64(MULTIPLIERS[3])) % np.uint64(m + y)).astype(np.int64)
             segment = np.where(slot < 2 * y, slot // 2, slot - y)
@@ -107,45 +117,260 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
             if len(light) <= slack:
                 given[light] = False
             out.append(mix64(sums[given] + salt[given]))
+            kinds.append(np.where(np.arange(m) < y, k + DELETION, k)[given])
             if y:
                 own = seg < y
                 out.append(mix64(sums[seg[own]] - values[own] + salt[seg[own]]))
+                kinds.append(np.full(len(out[-1]), k + DELETION))
         if last >= size:
             break
         low = last + 1
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.uint8)
+    found, at = np.unique(np.concatenate(out), return_index=True)
+    return found.view(np.int64), np.concatenate(kinds)[at].astype(np.uint8)
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements under each of 64 or more bits, twice the elements or more; a power of two, so that larger
+    sketches fold to the size of smaller ones."""
+    bits = max(64, 1 << (2 * len(elements) - 1).bit_length())
+    odd = np.bincount((mix64(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def node_of(elements: np.ndarray) -> int:
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh3_128_digest(elements.tobytes())[:8], "little", signed=True)
+
+
+#: A signature goes by five of its bytes and its part. Parts under 0 hold whole numbers of signatures.
+RECORDS = pa.schema([("part", pa.int64()), ("sigs", pa.binary()), ("nids", pa.binary()), ("kinds", pa.binary())])
+TOLD = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("nid", pa.int64()), ("sketch", pa.binary())])
+SIG_BYTES = 5
 
 
 def _describe(width: int, percent: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in rows:
-            n, key, sigs = [], [], []
-            for data in batch.column(1).to_pylist():
+            n, nid, made = [], [], []
+            for data in batch.column(2).to_pylist():
                 s = shingles(data, width)
                 n.append(len(s))
-                key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sigs.append(signatures(s, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["did", "tag", "n", "key", "sigs"])
+                nid.append(node_of(s))
+                made.append(sketch(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nid, pa.int64()), pa.array(made, pa.binary())], schema=TOLD)
+
+    return run
+
+
+def _records(part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each part, of the columns' bytes in their order."""
+    if len(part):
+        order = np.argsort(part, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+        arrays = [pa.array([x[g].tobytes() for g in groups], pa.binary()) for x in columns]
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[g[0]]) for g in groups], pa.int64()), *arrays], schema=RECORDS)
+
+
+def _sign(width: int, percent: int, parts: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            seen, sigs, nids, kinds = set(), [], [], []
+            for data in batch.column(0).to_pylist():
+                s = shingles(data, width)
+                if not len(s) or (node := node_of(s)) in seen:
+                    continue
+                seen.add(node)
+                sig, kind = signatures(s, percent)
+                sigs.append(sig)
+                kinds.append(kind)
+                nids.append(np.full(len(sig), node))
+            if not sigs:
+                continue
+            sig, nid, kind = np.concatenate(sigs), np.concatenate(nids), np.concatenate(kinds)
+            part = ((sig.view(np.uint64) >> np.uint64(8 * SIG_BYTES)) % np.uint64(parts)).astype(np.int64)
+            # a signature of many nodes goes on as rows dealt by node; two of them tell its part that it is shared
+            order = np.argsort(sig, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0])) if len(sig) else order
+            size = np.diff(np.append(first, len(sig)))
+            rank = np.arange(len(sig)) - np.repeat(first, size)
+            heavy = np.empty(len(sig), bool)
+            heavy[order] = np.repeat(size >= HEAVY, size) & (rank >= 2)
+            low = sig.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
+            yield from _records(part[~heavy], low[~heavy], nid[~heavy], kind[~heavy])
+            yield from _records(-1 - nid[heavy] % parts, _short(sig[heavy], parts), nid[heavy], kind[heavy])
 
     return run
 
 
+def _short(sig: np.ndarray, parts: int) -> np.ndarray:
+    """The number that a signature goes by: five bytes and the part."""
+    u = sig.view(np.uint64)
+    return ((u & np.uint64((1 << 8 * SIG_BYTES) - 1)) | ((u >> np.uint64(8 * SIG_BYTES)) % np.uint64(parts)) << np.uint64(8 * SIG_BYTES)).view(np.int64)
+
+
+SHARED = pa.schema([("sig", pa.int64()), ("nid", pa.int64()), ("kind", pa.int32())])
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """Signatures that two nodes or more have."""
+    part = group.column("part")[0].as_py()
+    joined = lambda c, t: np.frombuffer(b"".join(group.column(c).to_pylist()), t)
+    nid, kind = joined("nids", np.int64), joined("kinds", np.uint8)
+    if part < 0:
+        sig = joined("sigs", np.int64)
+    else:
+        wide = np.zeros((len(nid), 8), np.uint8)
+        wide[:, :SIG_BYTES] = joined("sigs", np.uint8).reshape(-1, SIG_BYTES)
+        sig = wide.view(np.int64).reshape(-1) | np.int64(part << 8 * SIG_BYTES)
+        order = np.lexsort((nid, sig))
+        sig, nid, kind = sig[order], nid[order], kind[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (np.diff(sig) != 0) | (np.diff(nid) != 0)
+        sig, nid, kind = sig[new], nid[new], kind[new]
+        same = np.diff(sig) == 0
+        keep = np.zeros(len(sig), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        sig, nid, kind = sig[keep], nid[keep], kind[keep]
+    return pa.table({"sig": sig, "nid": nid, "kind": kind.astype(np.int32)}, schema=SHARED)
+
+
+def _whole_runs(rows: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole runs of rows with equal first ``keys`` columns, from rows in their order."""
+    held: list[pa.RecordBatch] = []
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            x = batch.column(k).to_numpy(zero_copy_only=False)
+            change[1:] |= x[1:] != x[:-1]
+            change[0] |= bool(held) and x[0] != held[-1].column(k)[-1].as_py()
+        cut = np.flatnonzero(change)
+        if len(cut):
+            held.append(batch.slice(0, int(cut[-1])))
+            yield pa.Table.from_batches(held)
+            held = [batch.slice(int(cut[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _small_pairs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, nid) in the order of sig -> distinct pairs of each bucket."""
+    for table in _whole_runs(rows, 1):
+        sig, nid = table.column(0).to_numpy(), table.column(1).to_numpy()
+        out = []
+        for step in range(1, PAIRS):
+            at = np.flatnonzero(sig[step:] == sig[:-step])
+            if not len(at):
+                break
+            out.append(np.stack([np.minimum(nid[at], nid[at + step]), np.maximum(nid[at], nid[at + step])], 1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _cells(percent: int, every: bool):
+    """(sig, i, j, nid, n, root, sketch) in the order of cells -> pairs (a, b) of different roots that sketches let pass:
+    all of them, or a forest over the roots."""
+
+    def search(nid: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def near(k: int, others: np.ndarray) -> np.ndarray:
+            d = np.bitwise_count(bits[others] ^ bits[k]).sum(1, dtype=np.int64)
+            return others[(d * (100 + percent) <= (n[others] + n[k]) * (100 - percent)) & (root[others] != root[k])]
+
+        if every:
+            for k in range(len(nid) - 1):
+                found = near(k, np.arange(k + 1, len(nid)))
+                yield np.full(len(found), nid[k]), nid[found]
+            return
+        left, queue = np.ones(len(nid), bool), []
+        for first in range(len(nid)):
+            if left[first]:
+                own = np.flatnonzero(left & (root == root[first]))
+                left[own] = False
+                queue += own.tolist()
+            while queue:
+                k = queue.pop()
+                others = np.flatnonzero(left)
+                if not len(others):
+                    return
+                found = near(k, others)
+                if len(found):
+                    found = found[np.unique(root[found], return_index=True)[1]]
+                    yield np.full(len(found), nid[k]), nid[found]
+                    own = np.flatnonzero(left & np.isin(root, root[found]))
+                    left[own] = False
+                    queue += own.tolist()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_runs(rows, 3):
+            keys = np.stack([table.column(k).to_numpy() for k in range(3)], 1)
+            nid, n, root = (table.column(k).to_numpy() for k in (3, 4, 5))
+            data, left, right = table.column(6).to_pylist(), [], []
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a > 1 and (root[a:b] != root[a]).any():
+                    size = min(len(x) for x in data[a:b]) // 8
+                    bits = np.stack([folded(np.frombuffer(x, np.uint64), size) for x in data[a:b]])
+                    for x, y in search(nid[a:b], n[a:b], root[a:b], bits):
+                        left.append(np.minimum(x, y))
+                        right.append(np.maximum(x, y))
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _passed(percent: int):
+    """(a, b, na, nb, sketch of a, of b) -> (a, b) that sketches let pass."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keep = []
+            columns = [batch.column(k).to_pylist() for k in range(2, 6)]
+            for k, (na, nb, x, y) in enumerate(zip(*columns)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                size = min(len(x), len(y))
+                d = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64))
+                if d * (100 + percent) <= (na + nb) * (100 - percent):
+                    keep.append(k)
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+
+    return run
+
+
+def shingle_set(data: bytes, width: int) -> set:
+    words = data.lower().split()
+    n = min(width, len(words))
+    return set(zip(*(words[k : len(words) - n + 1 + k] for k in range(n)))) if n else set()
+
+
 def _verify(width: int, percent: int):
-    """Streams (pivot, salt, nid, data) rows, each pivot's own before its members; gives the pairs that link."""
+    """Streams (pivot, nid, data) rows, each pivot's own before its members; gives the pairs that link, word by word."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, np.empty(0, np.uint64)
+        at, own = None, set()
         for batch in rows:
             left, right = [], []
             for pivot, nid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if nid == pivot:
                     if at != pivot:
-                        at, own = pivot, shingles(data, width)
+                        at, own = pivot, shingle_set(data, width)
                     continue
-                other = shingles(data, width)
-                both = len(np.intersect1d(own, other, assume_unique=True)) if at == pivot else 0
+                other = shingle_set(data, width)
+                both = len(own & other) if at == pivot else 0
                 if 100 * both >= percent * (len(own) + len(other) - both):
                     left.append(pivot)
                     right.append(nid)
@@ -156,9 +381,10 @@ def _verify(width: int, percent: int):
 
 def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): the smallest node of its component, by alternating large and
-    small stars; edges are saved between rounds, and a common neighbour is a join key that may be split."""
+    small stars until a round changes no edge; edges are saved between rounds, and a common neighbour is a join key that
+    may be split."""
     step, now = 0, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, seen = scratch.save(now, f"{name}-0"), None
+    now = scratch.save(now, f"{name}-0")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -167,11 +393,9 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         step += 1
-        now = scratch.save(small, f"{name}-{step}")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum("v")).first()
-        if mark == seen:
+        last, now = now, scratch.save(small, f"{name}-{step}")
+        if now.count() == last.count() and not now.join(last, ["u", "v"], "left_anti").limit(1).count():
             break
-        seen = mark
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
 
@@ -181,39 +405,64 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     the text, ``root`` the number of its group.
 
     Sets link when 100 * intersection >= percent * union. Empty sets link with nothing. Copies, null ids and repeated rows
-    keep a row each.
+    keep a row each; very long texts have more segments, not larger ones; other columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), utf8("text").alias("data")).withColumn("tag", F.xxhash64("data"))
-    told = scratch.save(texts.mapInArrow(_describe(width, percent), "did long, tag long, n long, key binary, sigs array<long>"), "told")
-    nodes = told.filter("n > 0").groupBy("key").agg(F.min("did").alias("did"), F.any_value("sigs").alias("sigs"))
-    nodes = scratch.save(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-
-    def placed(some: DataFrame, name: str) -> DataFrame:
-        """Members of buckets of two or more, ranked in them; rows of three numbers, spilled if a bucket is large."""
-        w = Window.partitionBy("sig")
-        sigs = some.select("nid", F.explode("sigs").alias("sig"))
-        members = scratch.save(sigs.withColumn("size", F.count("*").over(w)).filter("size > 1"), f"{name}-members")
-        # who shares most signatures with others is nearest to all of them: the original of a group of near copies leads
-        score = members.groupBy("nid").agg(F.sum("size").alias("score"))
-        lead = w.orderBy(F.desc("score"), "nid")
-        ranked = members.join(score, "nid").withColumns({"rank": F.row_number().over(lead), "pivot": F.first("nid").over(lead)})
-        return scratch.save(ranked.select("sig", "nid", "rank", "pivot"), name)
-
-    buckets = placed(nodes, "buckets")
-    pairs = scratch.save(buckets.filter("rank > 1").select(F.col("pivot").alias("a"), F.col("nid").alias("b")).distinct(), "pairs-0")
-    involved = nodes.select("nid", "did", "key").join(buckets.select("nid").distinct(), "nid")
+    told = scratch.save(texts.select("did", "tag", "data").mapInArrow(_describe(width, percent), "did long, tag long, n long, nid long, sketch binary"), "told")
+    parts = int(max(16, -(-texts.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0] // PART_BYTES)))
+    signed = texts.select("data").mapInArrow(_sign(width, percent, parts), "part long, sigs binary, nids binary, kinds binary")
+    shared = scratch.save(signed.groupBy("part").applyInArrow(_shared, "sig long, nid long, kind int"), "shared").distinct()
+
+    # each document leaves out its most crowded signatures
+    crowds = F.array(*(F.lit(c) for c in _crowds(percent)))
+    sizes = shared.groupBy("sig").agg(F.count("*").alias("size"))
+    ranked = shared.join(sizes, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("nid", "kind").orderBy(F.desc("size"), "sig")))
+    kept = ranked.filter((F.col("kind") >= DELETION) | (F.col("rank") > F.get(crowds, F.col("kind"))))
+    kept = scratch.save(kept.filter("size > 1").select("sig", "nid", "size"), "kept")
+    nodes = told.filter("n > 0").groupBy("nid").agg(F.min(F.struct("did", "tag")).alias("own"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    nodes = scratch.save(nodes.join(kept.select("nid").distinct(), "nid"), "nodes")
+
+    small = kept.filter(F.col("size") <= PAIRS).select("sig", "nid").repartition("sig").sortWithinPartitions("sig").mapInArrow(_small_pairs, "a long, b long").distinct()
+    side = lambda c: nodes.select(F.col("nid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    both = small.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    small = scratch.save(both.mapInArrow(_passed(percent), "a long, b long"), "pairs")
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own")))
+    large = kept.filter(F.col("size") > PAIRS).withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(others))
+    large = large.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nid")
+
+    def candidates(roots: DataFrame | None, every: bool) -> DataFrame:
+        """``a, b, ra, rb``: pairs of different roots, all of them or enough to connect what they connect."""
+        cells, pairs = large.withColumn("root", F.col("nid")), small.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        if roots is not None:
+            cells = large.join(roots, F.col("nid") == F.col("node"), "left").select(*large.columns, F.coalesce("root", "nid").alias("root"))
+            live = cells.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
+            cells, pairs = cells.join(live, "sig"), _rooted(small, roots)
+        cells = cells.join(nodes.select("nid", "n", "sketch"), "nid").select("sig", "i", "j", "nid", "n", "root", "sketch")
+        cells = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "nid")
+        more = cells.mapInArrow(_cells(percent, every), "a long, b long").distinct()
+        more = _rooted(more, roots) if roots is not None else more.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        return pairs.filter("ra <> rb").union(more)
+
+    def forest(pairs: DataFrame) -> DataFrame:
+        """For each larger root its pair with the smallest lesser one."""
+        ends = pairs.select(F.greatest("ra", "rb").alias("hi"), F.least("ra", "rb").alias("lo"), "a", "b")
+        return ends.groupBy("hi").agg(F.min(F.struct("lo", "a", "b")).alias("x")).select("x.a", "x.b")
 
     def pick(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in rows:  # a doc_id given to several texts: the node's own is the one with its key
-            data, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            keep = [k for k in range(len(data)) if xxhash.xxh3_128_digest(shingles(data[k], width).tobytes()) == keys[k]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["nid", "data"])
+        for batch in rows:  # a doc_id and tag given to several texts: the node's own is the one with its set
+            nid, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = pa.array([k for k in range(len(data)) if node_of(shingles(data[k], width)) == nid[k]], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["nid", "data"])
 
-    fetched = texts.join(involved, "did").select("nid", "data", "key").mapInArrow(pick, "nid long, data binary")
-    fetched = scratch.save(fetched, "texts")  # a node repeated under one doc_id is verified twice, with the same result
+    pool = scratch.save(candidates(None, False), "pool")
+    ends = pool.select(F.col("a").alias("nid")).union(pool.select("b")).distinct()
+    wanted = scratch.save(nodes.join(ends, "nid").select("nid", "own.did", "own.tag"), "wanted")
+    fetched = sieve(texts, wanted, ["did", "tag"]).join(wanted, ["did", "tag"]).select("nid", "data")
+    fetched = scratch.save(fetched.mapInArrow(pick, "nid long, data binary"), "texts")
 
     def verified(todo: DataFrame, name: str) -> DataFrame:
         salted = todo.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
@@ -222,45 +471,64 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         rows = members.union(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"))
         return scratch.save(rows.select("a", "b", "data").mapInArrow(_verify(width, percent), "a long, b long").distinct(), name)
 
-    links = verified(pairs, "links-0")
-    done, first, turn = pairs, 2, 1
-    fresh = True
-    while True:
-        if fresh:
+    tested = scratch.save(forest(pool), "tested-0")
+    links = verified(tested, "links-0")
+    roots = scratch.save(connected(links, scratch, "star-0"), "roots-0")
+    for turn in (1, 2):  # once more a forest, over the trees found; then every pair that could still join two of them
+        open_ = scratch.save(candidates(roots, turn == 2).join(tested, ["a", "b"], "left_anti"), f"open-{turn}")
+        if not open_.limit(1).count():
+            if turn == 2:
+                break
+            continue
+        todo = scratch.save(forest(open_) if turn == 1 else open_.select("a", "b").distinct(), f"tested-{turn}")
+        more = verified(todo, f"links-{turn}")
+        tested = tested.union(todo)
+        if more.limit(1).count():
+            links = links.union(more)
             roots = scratch.save(connected(links, scratch, f"star-{turn}"), f"roots-{turn}")
-        rooted = buckets.join(roots, F.col("nid") == F.col("node"), "left").select("sig", "nid", "rank", F.coalesce("root", "nid").alias("root"))
-        split = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("size")).filter((F.col("lo") < F.col("hi")) & (F.col("size") > first)).select("sig")
-        open_ = scratch.save(rooted.join(split, "sig"), f"open-{turn}")
-        lead = open_.filter(F.col("rank").between(first, 2 * first - 1)).select("sig", F.col("nid").alias("a"), F.col("rank").alias("ra"), F.col("root").alias("xa"))
-        todo = lead.join(open_, "sig").filter("rank > ra and root <> xa").select("a", F.col("nid").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        todo = scratch.save(todo, f"pairs-{turn}")
-        if not open_.filter(F.col("rank") >= first).limit(1).count():
-            break
-        fresh = todo.limit(1).count() > 0
-        if fresh:
-            links = links.union(verified(todo, f"links-{turn}"))
-            done = done.union(todo)
-        first, turn = 2 * first, turn + 1
-    named = nodes.join(roots, F.col("nid") == F.col("node"), "left").select("key", "did", F.coalesce("root", "nid").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("did").alias("component"))
-    by_key = named.join(smallest, "root").select("key", "component", "root")
-    filled = told.select("did", "tag", "n", "key").filter("n > 0").join(by_key, "key").select("did", "tag", "n", "component", "root")
+    rows = told.filter("n > 0").join(roots, F.col("nid") == F.col("node"), "left").select("did", "tag", "n", F.coalesce("root", "nid").alias("root"))
+    rows = scratch.save(rows, "rooted")
+    filled = rows.join(rows.groupBy("root").agg(F.min("did").alias("component")), "root").select("did", "tag", "n", "component", "root")
     return filled.union(told.filter("n = 0").select("did", "tag", "n", F.col("did").alias("component"), F.lit(None).cast("long").alias("root")))
 
 
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b`` with their roots."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    return pairs.select("a", "b", "ra", "rb")
+
+
+@lru_cache(8)
+def _crowds(percent: int) -> list[int]:
+    """``crowd`` of every band of up to DELETION bands."""
+    out, low = [], 1
+    while len(out) < DELETION:
+        _, _, high = band(low)
+        out.append(allocation(high, percent)[3])
+        low = high + 1
+    return out
+
+
 def report(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id``. Rows with a null doc_id take part in links; a component of nothing else has a
-    null id."""
+    null id. A null, empty or blank text has no shingle; very long texts and rows repeated are as in :func:`components`;
+    columns of any other name are ignored."""
     real = lambda c: F.when(F.col(c) == NULL_ID, None).otherwise(F.col(c))
     return components(docs, width, percent).select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest doc_id (then hash of the text), null last; documents
-    without words all stay, as do all columns. Of rows repeated with doc_id and text one stays."""
-    found = Scratch(docs.sparkSession, "keep").save(components(docs, width, percent), "found")
-    first = found.filter("n > 0").groupBy("root").agg(F.min(F.struct("did", "tag")).alias("x")).select("x.did", "x.tag")
-    rows = docs.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__tag": F.xxhash64(utf8("text"))})
-    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
-    kept = rows.filter(~blank).join(first, (F.col("__did") == F.col("did")) & (F.col("__tag") == F.col("tag"))).dropDuplicates(["__did", "__tag"])
-    return kept.select(*docs.columns).union(docs.filter(blank))
+    without words all stay, as do all columns, whatever their names. Of rows repeated with doc_id and text one stays."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = scratch.save(components(docs, width, percent).filter("n > 0"), "found")
+    first = found.groupBy("root").agg(F.min(F.struct("did", "tag")).alias("first"))
+    rows = found.groupBy("root", "did", "tag").agg(F.count("*").alias("times")).join(first, "root")
+    leads = (F.col("did") == F.col("first.did")) & (F.col("tag") == F.col("first.tag"))
+    # documents that go, and those of which repeated rows go; all others stay as they are and meet nothing
+    judged = scratch.save(rows.select("did", "tag", leads.alias("leads"), "times").filter("not leads or times > 1"), "judged")
+    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(utf8("text")).alias("tag"))
+    maybe = sieve(held, judged, ["did", "tag"]).join(judged, ["did", "tag"], "left")
+    once = maybe.filter("leads").dropDuplicates(["did", "tag"]).select("row").union(maybe.filter("leads is null").select("row"))
+    return sieve(held, judged, ["did", "tag"], out=True).select("row").union(once).select("row.*")
