@@ -2,7 +2,7 @@ import numpy as np
 
 from trackloom.llm import substring_dedup as s
 
-SCHEMA = "doc_id long, text string, key string, part string"
+SCHEMA = "doc_id long, text string, key string, did string"
 
 
 def brute(rows):
@@ -36,7 +36,7 @@ def corpus():
         if k % 3 == 0:
             parts.insert(0, passages[int(rng.integers(0, 12))])
         rows.append((int(rng.integers(0, 400)), "".join(parts)))
-    rows += [(500 + k, rows[3][1]) for k in range(30)] + [(600, None), (601, ""), (None, rows[9][1]), (602, "a" * 3000), (603, "a" * 49), (604, "a" * 50), (605, rows[3][1][:60]), (7, rows[3][1]), (7, rows[3][1])]
+    rows += [(500 + k, rows[3][1]) for k in range(30)] + [(600, None), (601, ""), (None, rows[9][1]), (602, "a" * 3000), (603, "a" * 49), (604, "a" * 50), (605, rows[3][1][:60]), (7, rows[3][1]), (7, rows[3][1]), (-5, rows[8][1]), (-9, rows[8][1][:70] + "tail"), (606, "b" * 25 + "\0" * 60), (607, "b" * 25 + "\0" * 59 + "c")]
     return rows
 
 
@@ -62,3 +62,9 @@ def test_equal_strings_share_an_anchor():
         text, at, name = s.anchors([a + w + b, b + w + a])
         inside = [{(p - lead, h) for t, p, h in zip(text, at, name) if t == k and lead <= p <= lead + 25} for k, lead in ((0, len(a)), (1, len(b)))]
         assert inside[0] & inside[1]
+
+
+def test_strings_of_one_hash_stay_apart():
+    around = np.frombuffer(b"".join(bytes([65 + k % 3]) * s.AROUND for k in range(9)), np.uint8).reshape(9, s.AROUND)
+    by, new = s._sorted_strings(np.zeros(9, np.uint64), np.arange(9), np.zeros(9, np.int64), around)
+    assert [int(around[k, 0]) for k in by] == sorted(around[:, 0].tolist()) and np.flatnonzero(new).tolist() == [0, 3, 6]

@@ -5,12 +5,15 @@ cover of them, needs several shuffles of a record for every byte. What a differe
 strings meet at a sampled position with the same offset in both, a content-defined sample gives with far fewer positions:
 of every 50-byte string the 25-byte gram of smallest hash is sampled (``anchors``), a fifteenth of all positions. So
 
-1. anchors are named by the hash of their gram and sorted by name; names of one document only cannot be part of a repeat;
-2. the other anchors go on with the bytes around them, which hold every 50-byte string that the anchor stands for; these
-   are named and sorted, and each name's smallest document removes the name from the others;
-3. what was removed is brought together for each document.
-
-Every step sorts fixed-width numbers in numpy, packed in a row for each bucket of names.
+1. whole copies of a smaller document are settled by a hash of the text; they take no further part;
+2. anchors are named by the hash of their gram and sorted by name; names of one document only cannot be part of a repeat;
+3. the other anchors go on with the bytes around them, which hold every 50-byte string that the anchor stands for; of equal
+   surroundings in one batch only the smallest document's goes on. The strings are sorted and neighbours compared byte by
+   byte, and each string's smallest document removes it from the others;
+4. what was removed is brought together for each document that has any.
+
+Every step sorts fixed-width numbers in numpy, packed in a row for each bucket of names; texts and surroundings travel
+compressed.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Scratch, mix64, utf8
+from trackloom.llm.common import Scratch, mix64, sieve, utf8
 
 LENGTH, GRAM = 50, 25
 SPAN = LENGTH - GRAM + 1
 BASE = 0x9E3779B97F4A7C15
 NULL_ID = 2**63 - 1
+NAME_BYTES = 5
+PIECE = 1 << 19
+WHOLE = 8 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -77,8 +83,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[at], at - (ends - lengths)[text[at]], grams[at]
 
 
-def _pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
-    texts, k = batch.column(column).to_pylist(), 0
+def _pieces(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
+    k = 0
     while k < len(texts):
         n, size = k, 0
         while n < len(texts) and (n == k or size + len(texts[n]) <= most):
@@ -88,18 +94,21 @@ def _pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 19) -> Iterator
         k = n
 
 
-def _packed(names: list[str], groups: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A row for each value of ``groups``, of the columns' bytes."""
-    if not len(groups):
-        return
-    order = np.argsort(groups, kind="stable")
-    cuts = np.flatnonzero(np.diff(groups[order])) + 1
-    starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(order)]])
-    arrays = [pa.array(groups[order][starts], pa.int64())]
-    for c in columns:
-        c = np.ascontiguousarray(c[order])
-        arrays.append(pa.array([c[a:b].tobytes() for a, b in zip(starts.tolist(), stops.tolist())], pa.binary()))
-    yield pa.RecordBatch.from_arrays(arrays, names=names)
+def _packed(schema: pa.Schema, groups: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each value of ``groups``, of the columns' bytes in their order."""
+    if len(groups):
+        order = np.argsort(groups, kind="stable")
+        cuts = np.flatnonzero(np.diff(groups[order])) + 1
+        starts, stops = np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(order)]]).tolist()
+        arrays = [pa.array(groups[order][starts], pa.int64())]
+        for c in columns:
+            c = np.ascontiguousarray(c[order])
+            arrays.append(pa.array([c[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary()))
+        yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
 
 def _part(numbers: np.ndarray, parts: int) -> np.ndarray:
@@ -107,165 +116,301 @@ def _part(numbers: np.ndarray, parts: int) -> np.ndarray:
     return np.mod(numbers, np.int64(parts))
 
 
+def _short(name: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, name): a name goes by five of its bytes and its bucket. Two grams under one name cost work, not rightness."""
+    bucket = (name >> np.uint64(8 * NAME_BYTES)) % np.uint64(buckets)
+    return bucket.astype(np.int64), ((name & np.uint64((1 << 8 * NAME_BYTES) - 1)) | bucket << np.uint64(8 * NAME_BYTES)).view(np.int64)
+
+
+NAMES = pa.schema([("bucket", pa.int64()), ("names", pa.binary()), ("docs", pa.binary())])
+
+
 def _name_anchors(buckets: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            ids = batch.column(0).to_numpy()
-            for first, texts in _pieces(batch, 1):
-                text, _, name = anchors(texts)
-                pair = np.unique(np.stack([name, ids[first + text].astype(np.uint64)], 1), axis=0) if len(name) else np.empty((0, 2), np.uint64)
-                name, doc = pair[:, 0], pair[:, 1]
+            ids, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for first, texts in _pieces(data, WHOLE):
+                found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+                for k, some in _pieces(texts):
+                    text, _, name = anchors(some)
+                    found.append((ids[first + k + text], name))
+                doc, name = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+                order = np.lexsort((doc, name))
+                doc, name = doc[order], name[order]
+                new = np.ones(len(name), bool)
+                new[1:] = (np.diff(doc) != 0) | (name[1:] != name[:-1])
+                doc, name = doc[new], name[new]
                 # a name of two documents of this batch is known to repeat; one record tells the other batches
-                again = np.zeros(len(name), bool)
                 same = name[1:] == name[:-1]
+                again, lead = np.zeros(len(name), bool), np.ones(len(name), bool)
                 again[1:] |= same
                 again[:-1] |= same
-                lead = ~np.concatenate([[False], same]) if len(name) else again
-                group = (name % np.uint64(buckets)).astype(np.int64)
+                lead[1:] = ~same
+                bucket, short = _short(name, buckets)
                 # in the order of documents, whose ids then compress to little
                 by = np.argsort(doc, kind="stable")
                 ask, told = by[lead[by]], by[again[by]]
-                yield from _packed(["bucket", "names", "docs"], group[ask], [name[ask], doc[ask]])
-                yield from _packed(["bucket", "names", "docs"], -1 - (doc[told] % np.uint64(buckets)).astype(np.int64), [name[told], doc[told]])
+                yield from _packed(NAMES, bucket[ask], [short[ask].view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES], doc[ask]])
+                yield from _packed(NAMES, -1 - _part(doc[told], buckets), [short[told], doc[told]])
 
     return run
 
 
+PART = pa.schema([("part", pa.int64()), ("names", pa.binary()), ("docs", pa.binary())])
+
+
 def _repeated_names(buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        number = group.column("bucket")[0].as_py()
-        names = np.frombuffer(b"".join(group.column("names").to_pylist()), np.uint64)
-        docs = np.frombuffer(b"".join(group.column("docs").to_pylist()), np.uint64)
+        number, docs = group.column("bucket")[0].as_py(), _joined(group, "docs", np.int64)
         if number >= 0:
+            wide = np.zeros((len(docs), 8), np.uint8)
+            wide[:, :NAME_BYTES] = _joined(group, "names", np.uint8).reshape(-1, NAME_BYTES)
+            names = wide.view(np.int64).reshape(-1) | np.int64(number << 8 * NAME_BYTES)
             order = np.lexsort((docs, names))
             names, docs = names[order], docs[order]
-            first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else order
             size = np.diff(np.concatenate([first, [len(names)]]))
             # records of one document's name come from different batches only if the document was repeated there
-            several = np.repeat((np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)), size)
+            several = np.repeat((np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)), size) if len(names) else np.empty(0, bool)
             names, docs = names[several], docs[several]
-        parts = list(_packed(["part", "names", "docs"], _part(docs.view(np.int64), buckets), [names, docs]))
-        return pa.Table.from_batches(parts, schema=PART) if parts else PART.empty_table()
+        else:
+            names = _joined(group, "names", np.int64)
+        by = np.argsort(docs, kind="stable")
+        parts = list(_packed(PART, _part(docs[by], buckets), [names[by], docs[by]]))
+        return pa.Table.from_batches(parts, schema=PART)
 
     return run
 
 
-PART = pa.schema([("part", pa.int64()), ("names", pa.binary()), ("docs", pa.binary())])
-CONTEXT = pa.schema([("bucket", pa.int64()), ("names", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("around", pa.binary())])
+TEXTS = pa.schema([("part", pa.int64()), ("dids", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+
+
+def _pack_texts(parts: int, by_key: bool):
+    """(did, key, data) -> a row for each part, of all its texts compressed; dealt by did or by key."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in rows:
+            did, key, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for first, texts in _pieces(data, WHOLE):
+                own = slice(first, first + len(texts))
+                part, sizes = _part((key if by_key else did)[own], parts), np.array([len(x) for x in texts], np.int64)
+                for p in np.unique(part).tolist():
+                    at = np.flatnonzero(part == p)
+                    arrays = [did[own][at].tobytes(), key[own][at].tobytes(), sizes[at].tobytes(), pack.compress(b"".join([texts[k] for k in at.tolist()]))]
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([x], pa.binary()) for x in arrays)], schema=TEXTS)
+
+    return run
+
+
+def _unpacked(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    for dids, keys, sizes, texts in zip(*(table.column(c).to_pylist() for c in ("dids", "keys", "sizes", "texts"))):
+        ends, data = np.cumsum(np.frombuffer(sizes, np.int64)).tolist(), unpack.decompress(texts)
+        yield np.frombuffer(dids, np.int64), np.frombuffer(keys, np.int64), [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 AROUND = 2 * LENGTH - GRAM
+CONTEXT = pa.schema([("bucket", pa.int64()), ("names", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("around", pa.binary())])
 
 
 def _contexts(buckets: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        names = np.frombuffer(b"".join(found.column("names").to_pylist()), np.uint64)
-        docs = np.frombuffer(b"".join(found.column("docs").to_pylist()), np.uint64)
-        wanted = np.unique(mix64(names) ^ docs)
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        names, docs = _joined(found, "names", np.int64), _joined(found, "docs", np.int64)
+        wanted = np.unique(mix64(names.view(np.uint64)) ^ docs.view(np.uint64))
         out = []
-        if len(wanted):
-            for batch in texts.select(["did", "key", "data"]).combine_chunks().to_batches():
-                ids, keys = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
-                for first, part in _pieces(batch, 2):
-                    text, at, name = anchors(part)
-                    hit = np.isin(mix64(name) ^ ids[first + text], wanted)
-                    text, at, name = text[hit], at[hit], name[hit]
-                    if not len(text):
-                        continue
+        for dids, keys, data in _unpacked(texts) if len(wanted) else ():
+            held = []
+            for first, some in _pieces(data):
+                text, at, name = anchors(some)
+                _, short = _short(name, buckets)
+                hit = np.isin(mix64(short.view(np.uint64)) ^ dids[first + text].view(np.uint64), wanted)
+                text, at, short = text[hit], at[hit], short[hit]
+                if len(text):
                     # bytes around the gram, which hold each string it stands for; past the text's ends, nothing valid
-                    lengths = np.array([len(x) for x in part], np.int64)
-                    raw = np.frombuffer(b"".join(part) + bytes(AROUND), np.uint8)
+                    lengths = np.array([len(x) for x in some], np.int64)
+                    raw = np.frombuffer(b"".join(some) + bytes(AROUND), np.uint8)
                     start = (np.cumsum(lengths) - lengths)[text] + at - (SPAN - 1)
                     around = raw[np.maximum(start[:, None] + np.arange(AROUND), 0)]
-                    place = np.stack([at, lengths[text]], 1).astype(np.int32)
-                    out += _packed(CONTEXT.names, (name % np.uint64(buckets)).astype(np.int64), [name, ids[first + text], keys[first + text], place, around])
-        return pa.Table.from_batches(out, schema=CONTEXT) if out else CONTEXT.empty_table()
+                    held.append((short, dids[first + text], keys[first + text], np.stack([at, lengths[text]], 1), around))
+            if not held:
+                continue
+            short, doc, key, place, around = (np.concatenate(x) for x in zip(*held))
+            # of equal whole surroundings the smallest document's go on, and the others' strings are removed
+            whole = (place[:, 0] >= SPAN - 1) & (place[:, 0] + LENGTH <= place[:, 1])
+            line = around.view(f"S{AROUND}").reshape(-1)
+            order = np.lexsort((doc, line, whole))
+            order = order[whole[order]]
+            lead = np.ones(len(order), bool)
+            lead[1:] = (around[order[1:]] != around[order[:-1]]).any(1)
+            least = np.repeat(doc[order[lead]], np.diff(np.append(np.flatnonzero(lead), len(order))))
+            known = np.zeros(len(doc), bool)
+            known[order] = doc[order] > least
+            begin = place[known, 0] - (SPAN - 1)
+            out += _settled(key[known], np.stack([begin, begin + AROUND], 1), -1, buckets)
+            rest = np.flatnonzero(~known)
+            for b in _packed(CONTEXT, short[rest] >> (8 * NAME_BYTES), [short[rest], doc[rest], key[rest], place[rest].astype(np.int32), around[rest]]):
+                out.append(b.set_column(5, "around", pa.array([pack.compress(x) for x in b.column(5).to_pylist()], pa.binary())))
+        return pa.Table.from_batches(out, schema=CONTEXT)
 
     return run
 
 
+def _settled(key: np.ndarray, runs: np.ndarray, sign: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Removed runs as rows of CONTEXT with numbers under 0 for buckets, on their way to the documents."""
+    for b in _packed(PAIRED, sign - _part(key, parts), [key, runs.astype(np.int32)]):
+        none = pa.array([b""] * b.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), none, none, b.column(1), b.column(2), none], schema=CONTEXT)
+
+
+PAIRED = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("runs", pa.binary())])
+GONE = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("runs", pa.binary()), ("who", pa.list_(pa.int64()))])
+
+
 def _inner_hashes(around: np.ndarray) -> np.ndarray:
     """Hashes of the SPAN strings in each row of bytes around an anchor."""
     flat = (np.arange(len(around))[:, None] * AROUND + np.arange(SPAN)).reshape(-1)
     return window_hashes(around.reshape(-1), LENGTH)[flat]
 
 
-def _removed(buckets: int):
-    schema = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("starts", pa.binary())])
+def _sorted_strings(h: np.ndarray, row: np.ndarray, at: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether each begins another string): strings sorted by hash, neighbours compared byte by byte; by their bytes
+    where a hash should stand for two."""
+    strings = np.lib.stride_tricks.sliding_window_view(around, LENGTH, axis=1)
+    by = np.argsort(h, kind="stable")
 
+    def change() -> np.ndarray:
+        new, step = np.ones(len(by), bool), 1 << 16
+        for k in range(1, len(by), step):
+            a, b = by[k - 1 : k - 1 + min(step, len(by) - k)], by[k : k + step]
+            same = h[a] == h[b]
+            a, b, both = a[same], b[same], np.flatnonzero(same) + k
+            new[both[(strings[row[a], at[a]] == strings[row[b], at[b]]).all(1)]] = False
+        return new
+
+    new = change()
+    if (new[1:] & (h[by[1:]] == h[by[:-1]])).any():
+        by = np.lexsort((np.ascontiguousarray(strings[row, at]).view(f"V{LENGTH}").reshape(-1).view(f"S{LENGTH}"), h))
+        new = change()
+    return by, new
+
+
+def _removed(buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        column = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
-        names, docs, keys = column("names", np.uint64), column("docs", np.uint64), column("keys", np.int64)
-        place, around = column("places", np.int32).reshape(-1, 2).astype(np.int64), column("around", np.uint8).reshape(-1, AROUND)
+        import zstandard
+
+        number, out = group.column("bucket")[0].as_py(), []
+        keys = _joined(group, "keys", np.int64)
+        if number < 0:
+            out += _told(keys, _joined(group, "places", np.int32).reshape(-1, 2), buckets)
+            return pa.Table.from_batches(out, schema=GONE)
+        unpack = zstandard.ZstdDecompressor()
+        names, docs = _joined(group, "names", np.int64), _joined(group, "docs", np.int64)
+        place = _joined(group, "places", np.int32).reshape(-1, 2).astype(np.int64)
+        around = np.frombuffer(b"".join(unpack.decompress(x) for x in group.column("around").to_pylist()), np.uint8).reshape(-1, AROUND)
         order = np.argsort(names, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(names[order])) + 1, [len(order)]])
-        out, start = [], 0
+        start = 0
         while start < len(cuts) - 1:  # some ten thousand anchors at a time, whole names
             end = max(start + 1, int(np.searchsorted(cuts, cuts[start] + 15_000)) - 1)
             own = order[cuts[start] : cuts[end]]
             start, n = end, len(own)
-            offset = np.arange(SPAN)
             # some thousand anchors at a time: a very common name may have many more
             hashes = np.concatenate([_inner_hashes(around[own[k : k + 4096]]) for k in range(0, n, 4096)])
-            at = (place[own, 0][:, None] - (SPAN - 1) + offset).reshape(-1)
-            good = (at >= 0) & (at + LENGTH <= np.repeat(place[own, 1], SPAN))
-            h = mix64(hashes[good] + np.repeat(names[own], SPAN)[good] * np.uint64(BASE)) + np.tile(offset, n)[good].astype(np.uint64)
-            doc = np.repeat(docs[own], SPAN)[good]
-            by = np.argsort(h, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]])) if len(by) else by
-            if not len(first):
+            begin = (place[own, 0][:, None] - (SPAN - 1) + np.arange(SPAN)).reshape(-1)
+            good = np.flatnonzero((begin >= 0) & (begin + LENGTH <= np.repeat(place[own, 1], SPAN)))
+            row, offset = np.divmod(good, SPAN)
+            doc = docs[own[row]]
+            by, new = _sorted_strings(hashes[good], own[row], offset, around)
+            if not len(by):
                 continue
+            first = np.flatnonzero(new)
             least = np.repeat(np.minimum.reduceat(doc[by], first), np.diff(np.concatenate([first, [len(by)]])))
             # neighbouring starts of an anchor as one run: its first start and the end of its last string
             hit = np.zeros((n, SPAN + 2), np.int8)
-            row, offset = np.divmod(np.flatnonzero(good)[by[doc[by] > least]], SPAN)
-            hit[row, offset + 1] = 1
+            gone = by[doc[by] > least]
+            hit[row[gone], offset[gone] + 1] = 1
             edge = np.diff(hit, axis=1)
             row, begin = np.nonzero(edge == 1)
             end = np.nonzero(edge == -1)[1] - 1 + LENGTH
             shift = place[own[row], 0] - (SPAN - 1)
-            runs = np.stack([shift + begin, shift + end], 1).astype(np.int32)
-            out += _packed(schema.names, _part(keys[own[row]], buckets), [keys[own[row]], runs])
-        return pa.Table.from_batches(out, schema=schema) if out else schema.empty_table()
+            out += _told(keys[own[row]], np.stack([shift + begin, shift + end], 1).astype(np.int32), buckets)
+        return pa.Table.from_batches(out, schema=GONE)
 
     return run
 
 
+def _told(keys: np.ndarray, runs: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    for b in _packed(PAIRED, _part(keys, parts), [keys, runs]):
+        who = pa.array([np.unique(np.frombuffer(x, np.int64)).tolist() for x in b.column(1).to_pylist()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*b.columns, who], schema=GONE)
+
+
+RESULT = pa.schema([("did", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+
+
 def _finish(texts: pa.Table, found: pa.Table) -> pa.Table:
-    keys = np.frombuffer(b"".join(found.column("keys").to_pylist()), np.int64)
-    runs = np.frombuffer(b"".join(found.column("starts").to_pylist()), np.int32).reshape(-1, 2)
+    keys, runs = _joined(found, "keys", np.int64), _joined(found, "runs", np.int32).reshape(-1, 2)
     order = np.argsort(keys, kind="stable")
-    keys, runs = keys[order], runs[order]
-    n_bytes, n_removed, n_spans, kept = [], [], [], []
-    for key, data in zip(texts.column("key").to_pylist(), texts.column("data").to_pylist()):
-        own = runs[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")]
-        cover = np.zeros(len(data) + 1, np.int64)
-        np.add.at(cover, own[:, 0], 1)
-        np.add.at(cover, own[:, 1], -1)
-        gone = np.cumsum(cover)[:-1] > 0 if len(own) else np.zeros(len(data), bool)
-        n_bytes.append(len(data))
-        n_removed.append(int(gone.sum()))
-        n_spans.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
-        kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if len(own) else data)
-    return pa.table({"did": texts.column("did"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+    keys, runs, out = keys[order], runs[order], []
+    for dids, own_keys, data in _unpacked(texts):
+        n_bytes, n_removed, n_spans, kept = [], [], [], []
+        for key, text in zip(own_keys.tolist(), data):
+            own = runs[np.searchsorted(keys, key) : np.searchsorted(keys, key, "right")]
+            cover = np.zeros(len(text) + 1, np.int64)
+            np.add.at(cover, own[:, 0], 1)
+            np.add.at(cover, own[:, 1], -1)
+            gone = np.cumsum(cover)[:-1] > 0
+            n_bytes.append(len(text))
+            n_removed.append(int(gone.sum()))
+            n_spans.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
+            kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if len(own) else text)
+        arrays = [pa.array(dids), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())]
+        out.append(pa.RecordBatch.from_arrays(arrays, schema=RESULT))
+    return pa.Table.from_batches(out, schema=RESULT)
 
 
 def remove_repeats(docs: DataFrame, bytes_a_task: int = 12 << 20) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for each row of ``docs``.
 
-    A null text is empty. A null doc_id counts as larger than all others, and ids must not be negative or 2**63 - 1.
-    Rows of one doc_id remove nothing from each other. Repeated rows keep a row each; other columns are ignored.
+    A null text is empty. A null doc_id counts as larger than all others (as does 2**63 - 1, which stands for it and
+    comes back as null); other ids compare as signed numbers. Rows of one doc_id remove nothing from each other. Repeated
+    rows keep a row each; very long texts are cut nowhere; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), utf8("text").alias("data"))
     rows = rows.withColumn("key", F.xxhash64("did", "data"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     buckets = int(max(16, -(-size // bytes_a_task)))
-    named = rows.select("did", "data").mapInArrow(_name_anchors(buckets), "bucket long, names binary, docs binary")
+
+    told = rows.filter(F.octet_length("data") >= LENGTH).select("did", "key", F.md5("data").alias("text"))
+    first = told.groupBy("text").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most")
+    copies = scratch.save(told.join(first, "text").filter("did > least").select("did", "key").distinct(), "copies")
+    maybe = sieve(rows, copies, ["key"])
+    held = maybe.join(copies, ["did", "key"], "left_anti").select(*rows.columns)
+    live = sieve(rows, copies, ["key"], out=True).union(held)
+    copied = maybe.join(copies, ["did", "key"]).select("did", F.octet_length("data").cast("long").alias("n_bytes"))
+
+    named = live.select("did", "data").mapInArrow(_name_anchors(buckets), "bucket long, names binary, docs binary")
     repeated = scratch.save(named.groupBy("bucket").applyInArrow(_repeated_names(buckets), "part long, names binary, docs binary"), "names")
-    parted = rows.withColumn("part", F.pmod("did", F.lit(buckets)))
-    context = parted.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_contexts(buckets), "bucket long, names binary, docs binary, keys binary, places binary, around binary")
-    gone = scratch.save(context.groupBy("bucket").applyInArrow(_removed(buckets), "part long, keys binary, starts binary"), "starts")
-    final = rows.withColumn("part", F.pmod("key", F.lit(buckets)))
-    return final.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_finish, "did long, n_bytes long, n_removed long, n_spans long, kept binary").select(F.when(F.col("did") == NULL_ID, None).otherwise(F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    packed = lambda some, by_key: some.select("did", "key", "data").mapInArrow(_pack_texts(buckets, by_key), "part long, dids binary, keys binary, sizes binary, texts binary").groupBy("part")
+    context = packed(live, False).cogroup(repeated.groupBy("part")).applyInArrow(_contexts(buckets), "bucket long, names binary, docs binary, keys binary, places binary, around binary")
+    gone = scratch.save(context.groupBy("bucket").applyInArrow(_removed(buckets), "part long, keys binary, runs binary, who array<long>"), "gone")
+
+    # documents that lose nothing meet nothing
+    losers = gone.select(F.explode("who").alias("key")).distinct()
+    lost = packed(sieve(live, losers, ["key"]), True).cogroup(gone.groupBy("part")).applyInArrow(_finish, "did long, n_bytes long, n_removed long, n_spans long, kept binary")
+    whole = sieve(live, losers, ["key"], out=True).select("did", F.octet_length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("data").alias("kept"))
+    copied = copied.select("did", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    doc_id = F.when(F.col("did") == NULL_ID, None).otherwise(F.col("did"))
+    return lost.union(whole).union(copied).select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def digest(result: DataFrame) -> DataFrame:
