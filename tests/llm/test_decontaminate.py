@@ -6,7 +6,7 @@ import pytest
 from trackloom.llm import decontaminate as d
 
 LOW = str.maketrans(d.AZ, d.LOW)
-SCHEMA = "doc_id long, text string, n_words string, words string, w string"
+SCHEMA = "doc_id long, text string, k1 string, row string, __row string"
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (10, "Short Item"), (2, "--"), (3, None), (9, "ÀB àb x"), (4, "q " * 13)]
 
 
@@ -40,12 +40,12 @@ def items(spark):
     return spark.createDataFrame([(*r, "z") for r in ITEMS], "item_id long, text string, h string")
 
 
-@pytest.mark.parametrize("bound", [d.SET_BOUND, 0])
-def test_against_brute_force(spark, bound):
+@pytest.mark.parametrize("part", [d.SET_PART, 2])
+def test_against_brute_force(spark, part):
     rows, docs = frame(spark)
-    got = d.report(docs, items(spark), set_bound=bound).collect()
+    got = d.report(docs, items(spark), set_part=part).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(((r[0], *brute(r[1])) for r in rows), key=str)
-    kept = d.remove_documents(docs, items(spark), set_bound=bound)
+    kept = d.remove_documents(docs, items(spark), set_part=part)
     assert kept.columns == docs.columns
     assert kept.count() == sum(not brute(r[1])[4] for r in rows)
 
@@ -57,6 +57,17 @@ def test_remove_spans(spark):
     assert got[1] == ""
 
 
+def test_hits_of_different_length_overlap(spark):
+    from pyspark.sql import functions as F
+
+    rows = [([(1, 13), (2, 2), (9, 13), (15, 1), (30, 2)],), ([(5, 1), (6, 1)],), ([],)]
+    df = spark.createDataFrame(rows, "hits array<struct<at:int,n:int>>").select(d.n_hit().alias("n"), F.flatten(F.transform(d.covered(), lambda x: F.concat(F.array_repeat(F.lit(0), x["gap"]), F.array_repeat(F.lit(1), x["run"])))).alias("m"))
+    got = df.collect()
+    for (h,), r in zip(rows, got):
+        inside = {k for a, n in h for k in range(a, a + n)}
+        assert r.n == len(inside) and [k + 1 for k, x in enumerate(r.m) if x] == sorted(inside)
+
+
 def test_empty(spark):
     _, docs = frame(spark)
     assert d.report(docs.limit(0), items(spark)).collect() == []

@@ -1,8 +1,9 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams; DataFrame functions only.
 
-The benchmark's windows are hashed and become a hash set that every task receives; a document's own windows are hashed in
-place, array by array, and probe the set without leaving their row. Only documents with a probable hit go on, to be
-verified word by word against the benchmark's windows.
+The distinct hashes of the benchmark's windows are the hash set, a broadcast join's build side. A document's windows are
+hashed in place and probe it as rows (text key, position, hash) that no exchange carries; only the probable hits go on, with
+their words, to be verified against the benchmark's windows. A set of more than ``set_part`` hashes is probed in parts of
+that size by a slice of the hashes, so what is broadcast at once is bounded at any size of the benchmark.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from trackloom.llm.common import Scratch
 AZ, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: (item, window) pairs up to which the hash set is part of the tasks themselves; beyond it windows are joined.
-SET_BOUND = 20_000
+#: Hashes that are broadcast at once, some 40 MB of them.
+SET_PART = 1_000_000
 
 
 def lower_az(text: Column) -> Column:
@@ -40,96 +41,103 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", "n", h.alias("h"), F.array_join("w", " ").alias("w"))
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def text_keys() -> list[Column]:
+    """128 bits that stand for a text; equal texts have equal hits."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def with_hits(docs: DataFrame, windows: DataFrame, set_bound: int = SET_BOUND) -> DataFrame:
-    """``docs`` with ``__n`` (words) and ``__hits``: the benchmark's windows in a document as (at, n, w), ``at`` from 1.
-
-    Up to ``set_bound`` (item, window) pairs, windows probe the hash set and verify their words inside the row, so nothing
-    is shuffled. Beyond it the documents are saved with a key and their windows joined with the benchmark's.
-    """
-    known = windows.select("n", "h", "w").limit(set_bound + 1).collect()  # bounded
-    if len(known) <= set_bound:
-        parts = []
-        for n in sorted({r.n for r in known}):
-            hashes = ",".join(sorted({str(r.h) if r.h >= 0 else f"({r.h})" for r in known if r.n == n}))
-            equal = ",".join(sorted({_text(r.w) for r in known if r.n == n}))
-            # element by element: slice() copies the whole array for every window
-            each = ", ".join(f"get(__words, i + {k - 1})" for k in range(n))
-            w = f"concat_ws(' ', {each})"
-            probable = f"filter(if(size(__words) >= {n}, sequence(1, size(__words) - {n - 1}), array()), i -> xxhash64({each}) in ({hashes}))"
-            verified = f"filter({probable}, i -> {w} in ({equal}))"
-            parts.append(f"transform({verified}, i -> struct(i as at, {n} as n, {w} as w))")
-        hits = F.expr(f"concat({','.join(parts)})") if parts else F.expr("cast(array() as array<struct<at:int,n:int,w:string>>)")
-        # a row number in each step, which the filter must use, keeps filters above from being pushed below it, where they would repeat its work
-        step = docs.select("*", words(F.col("text")).alias("__words"), F.monotonically_increasing_id().alias("__row"))
-        return step.select(*docs.columns, F.size("__words").cast("long").alias("__n"), hits.alias("__hits"), (F.monotonically_increasing_id() + F.col("__row")).alias("__row"))
+def hits(docs: DataFrame, windows: DataFrame, set_part: int = SET_PART) -> DataFrame:
+    """``k1, k2, n_words, hits, items`` for each different text with a window of the benchmark in it: ``hits`` are structs (at, n) by
+    ``at``, from 1, the longest of each; ``items`` the sorted item_ids."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    keyed = scratch.save(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-    cut = keyed.select("__key", words(F.col("text")).alias("words"))
+    windows = scratch.save(windows, "windows")
+    known = scratch.save(windows.select("n", "h").distinct(), "set")
+    parts = max(1, -(-known.count() // set_part))
+    sizes = sorted(r.n for r in known.select("n").distinct().collect())  # as many as a window has words, at most
+    each = lambda n: ", ".join(f"get(words, i + {k - 1})" for k in range(n))
+    # element by element: slice() copies the whole array for every window
+    probes = [f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> struct(i as at, {n} as n, xxhash64({each(n)}) as h)), array())" for n in sizes]
+    cut = docs.select(*text_keys(), words(F.col("text")).alias("words"))
+    probed = cut.select("k1", "k2", "words", F.explode(F.expr(f"concat({','.join(probes)})")).alias("p")).select("k1", "k2", "words", "p.*") if sizes else None
     found = None
-    for (n,) in sorted(windows.select("n").distinct().collect()):  # as many as a window has words, at most
-        own = windows.filter(F.col("n") == n).select("h", "w").distinct()
-        each = ", ".join(f"get(words, i + {k - 1})" for k in range(n))
-        probes = f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> struct(i as at, xxhash64({each}) as h, concat_ws(' ', {each}) as w)), array())"
-        each = cut.select("__key", F.explode(F.expr(probes)).alias("p")).select("__key", "p.at", F.lit(n).alias("n"), "p.h", "p.w")
-        each = each.join(own, ["h", "w"]).select("__key", F.struct("at", "n", "w").alias("hit"))
-        found = each if found is None else found.union(each)
-    hits = found.groupBy("__key").agg(F.collect_list("hit").alias("__hits"))
-    none = F.expr("cast(array() as array<struct<at:int,n:int,w:string>>)")
-    return keyed.join(hits, "__key", "left").withColumn("__hits", F.coalesce("__hits", none)).withColumn("__n", F.size(words(F.col("text"))).cast("long")).drop("__key")
-
-
-def n_hit() -> Column:
+    for k in range(parts):
+        own = known if parts == 1 else known.filter(F.pmod("h", F.lit(parts)) == k)
+        if probed is not None:
+            hit = probed.join(F.broadcast(own), ["n", "h"])
+            hit = hit.select("k1", "k2", F.size("words").cast("long").alias("n_words"), "at", "n", "h", F.array_join(F.slice("words", F.col("at"), F.col("n")), " ").alias("w"))
+            found = hit if found is None else found.union(hit)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "k1 long, k2 long, n_words long, hits array<struct<at:int,n:int>>, items array<string>")
+    places = found.groupBy("k1", "k2", "n_words", "n", "h", "w").agg(F.collect_set("at").alias("ats"))
+    owners = windows.groupBy("n", "h", "w").agg(F.collect_set("item_id").alias("owners"))
+    true = places.join(owners, ["n", "h", "w"])
+    spans = F.transform("ats", lambda x: F.struct(x.alias("at"), F.col("n").alias("n")))
+    all_ = true.groupBy("k1", "k2", "n_words").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("items"))
+    longest = F.filter("all", lambda x, k: F.coalesce(F.get("all", k + 1)["at"] != x["at"], F.lit(True)))
+    return scratch.save(all_.select("k1", "k2", "n_words", longest.alias("hits"), "items"), "hits")
+
+
+def covered(window: int = WINDOW) -> Column:
+    """``hits`` as structs (gap, run): words that none covers before a hit, and those that it covers first."""
+    # hits start at different words, so one that is ``window`` places earlier in the array has ended
+    ends = lambda k: F.array_max(F.transform(F.filter(F.sequence(k - window, k - 1), lambda q: q >= 0), lambda q: F.get("hits", q)["at"] + F.get("hits", q)["n"]))
+
+    def piece(x: Column, k: Column) -> Column:
+        before = F.coalesce(ends(k), F.lit(1))
+        return F.struct(F.greatest(x["at"] - before, F.lit(0)).alias("gap"), F.greatest(x["at"] + x["n"] - F.greatest(x["at"], before), F.lit(0)).alias("run"))
+
+    return F.transform("hits", piece)
+
+
+def n_hit(window: int = WINDOW) -> Column:
     """Words inside any hit window."""
-    return F.size(F.array_distinct(F.flatten(F.transform("__hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))).cast("long")
+    return F.coalesce(F.aggregate(covered(window), F.lit(0), lambda acc, x: acc + x["run"]), F.lit(0)).cast("long")
+
+
+def is_contaminated(share: int) -> Column:
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int, set_part: int) -> DataFrame:
+    """``k1, k2, n_words, n_hit, items`` of the texts that are hit."""
+    return hits(docs, benchmark_windows(benchmark, window), set_part).select("k1", "k2", "n_words", n_hit(window).alias("n_hit"), "items")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, set_bound: int = SET_BOUND) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, set_part: int = SET_PART) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for each row of ``docs``; contaminated: one word in
     ``share`` or more is hit.
 
-    A null text has no words. Null doc_ids and repeated rows keep a row each; other columns are ignored; an empty table
-    gives an empty result, an empty benchmark hits nothing.
+    A null text has no words. Null doc_ids and repeated rows keep a row each; very long texts are probed whole; other
+    columns are ignored; an empty table gives an empty result, an empty benchmark hits nothing.
     """
-    windows = benchmark_windows(benchmark, window)
-    rows = with_hits(docs.select(F.col("doc_id").alias("__doc"), "text"), windows, set_bound)
-    rows = rows.select("__doc", "__n", n_hit().alias("__hit"), F.array_distinct(F.transform("__hits", lambda x: x["w"])).alias("__w"))
-    rows = rows.withColumn("__key", F.monotonically_increasing_id()).select("__key", "__doc", "__n", "__hit", F.explode_outer("__w").alias("w"))
-    # no window in most rows: the join is small whatever its kind, and Spark picks it by the sizes it sees
-    named = rows.join(windows.select("w", "item_id"), "w", "left")
-    items = F.array_sort(F.collect_set("item_id"))
-    return (
-        named.groupBy("__key", "__doc", "__n", "__hit")
-        .agg(items.alias("__items"))
-        .select(
-            F.col("__doc").alias("doc_id"),
-            F.col("__n").alias("n_words"),
-            F.col("__hit").alias("n_hit"),
-            F.size("__items").cast("long").alias("n_items"),
-            F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
-            ((F.col("__hit") > 0) & (share * F.col("__hit") >= F.col("__n"))).alias("contaminated"),
-        )
-    )
-
-
-def remove_documents(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, set_bound: int = SET_BOUND) -> DataFrame:
-    """``docs`` without contaminated documents; all columns stay."""
-    rows = with_hits(docs, benchmark_windows(benchmark, window), set_bound).withColumn("__hit", n_hit())
-    barrier = F.col("__row") >= 0 if "__row" in rows.columns else F.lit(True)
-    return rows.filter(~((F.col("__hit") > 0) & (share * F.col("__hit") >= F.col("__n"))) & barrier).select(*docs.columns)
-
-
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_bound: int = SET_BOUND) -> DataFrame:
-    """``docs`` with the hit words and what separates them from the word before cut from ``text``; other columns and
-    untouched texts stay as they are."""
-    rows = with_hits(docs, benchmark_windows(benchmark, window), set_bound)
-    hit = F.array_distinct(F.flatten(F.transform("__hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))
+    rows = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), *text_keys())
+    rows = rows.join(judged(docs, benchmark, window, set_part).drop("n_words"), ["k1", "k2"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
+    items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), is_contaminated(share).alias("contaminated")
+    )
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, share: int = 20, window: int = WINDOW, set_part: int = SET_PART) -> DataFrame:
+    """``docs`` without contaminated documents. All columns stay, whatever their names; null and empty texts, null ids and
+    repeated rows stay; very long texts are probed whole; an empty table or benchmark removes nothing."""
+    gone = judged(docs, benchmark, window, set_part).filter(is_contaminated(share)).select("k1", "k2")
+    held = docs.select(F.struct("*").alias("row"), *text_keys())
+    return held.join(gone, ["k1", "k2"], "left_anti").select("row.*")
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_part: int = SET_PART) -> DataFrame:
+    """``docs`` with the hit words and what separates them from the word before cut from ``text``. Other columns, whatever
+    their names, and untouched texts, null and empty ones with them, stay as they are; repeated rows are cut alike; the work
+    on a very long text grows with its words."""
+    found = hits(docs, benchmark_windows(benchmark, window), set_part).select("k1", "k2", covered(window).alias("pieces"))
+    held = docs.select(F.struct("*").alias("row"), "text", *text_keys()).join(found, ["k1", "k2"], "left")
     # the text as (gap, word) pieces, then whatever follows the last word
     piece = r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
     tail = F.regexp_extract("text", r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
-    kept = F.array_join(F.filter(F.regexp_extract_all("text", F.lit(piece), F.lit(1)), lambda x, k: ~F.array_contains("__hit", k + 1)), "")
-    cut = F.when(F.size("__hit") > 0, F.concat(kept, tail)).otherwise(F.col("text"))
-    return rows.withColumn("__hit", hit).withColumn("text", cut).select(*docs.columns)
+    gone = F.flatten(F.transform("pieces", lambda x: F.concat(F.array_repeat(F.lit(False), x["gap"]), F.array_repeat(F.lit(True), x["run"]))))
+    held = held.withColumn("gone", gone).withColumn("words", F.regexp_extract_all("text", F.lit(piece), F.lit(1)))
+    kept = F.array_join(F.filter("words", lambda x, k: ~F.coalesce(F.get("gone", k), F.lit(False))), "")
+    cut = F.when(F.col("pieces").isNotNull(), F.concat(kept, tail)).otherwise(F.col("text"))
+    return held.withColumn("cut", cut).select(F.col("row").withField("text", F.col("cut")).alias("row")).select("row.*")
