@@ -41,7 +41,14 @@ def cases():
 def test_against_brute_force(spark):
     rows = cases()
     assert run(spark, rows) == brute(rows)
-    assert run(spark, rows, broadcast_bytes=0) == brute(rows)
+    assert run(spark, rows, shard_keys=1) == brute(rows)
+
+
+def test_many_cells(spark):
+    rows = cases()
+    docs = frame(spark, rows)
+    store = d.LineStore(spark, shards=2).insert(docs)
+    assert sorted(map(tuple, d.digest(store.apply(docs, cell_bytes=10_000)).collect()), key=str) == brute(rows)
 
 
 def test_deletion_restores_the_state(spark):
@@ -49,6 +56,11 @@ def test_deletion_restores_the_state(spark):
     store = d.LineStore(spark).insert(frame(spark, rows[:40])).insert(frame(spark, rows[40:])).delete(frame(spark, rows[:30]))
     want = d.LineStore(spark).insert(frame(spark, rows[30:]))
     assert sorted(map(tuple, store.counts.collect())) == sorted(map(tuple, want.counts.collect()))
+    # the filters hold what the counts say: keys that fell below the threshold were deleted from them
+    held = {r.shard: r.keys for r in store.filters.collect() if r.keys}
+    assert held == {r.shard: r.keys for r in want.filters.collect() if r.keys}
+    marks = lambda x: {r.shard: sorted(np.frombuffer(r.slots, np.uint16)[np.frombuffer(r.slots, np.uint16) > 0].tolist()) for r in x.filters.collect() if r.keys}
+    assert marks(store) == marks(want)
     got = d.digest(store.apply(frame(spark, rows[30:]))).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows[30:])
 
