@@ -181,11 +181,26 @@ def _records(part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]
 
 
 def _sign(width: int, percent: int, parts: int):
+    def dealt(sigs: list[np.ndarray], nids: list[np.ndarray], kinds: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sig, nid, kind = np.concatenate(sigs), np.concatenate(nids), np.concatenate(kinds)
+        part = ((sig.view(np.uint64) >> np.uint64(8 * SIG_BYTES)) % np.uint64(parts)).astype(np.int64)
+        # a signature of many nodes goes on as rows dealt by node; two of them tell its part that it is shared
+        order = np.argsort(sig, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0])) if len(sig) else order
+        size = np.diff(np.append(first, len(sig)))
+        rank = np.arange(len(sig)) - np.repeat(first, size)
+        heavy = np.empty(len(sig), bool)
+        heavy[order] = np.repeat(size >= HEAVY, size) & (rank >= 2)
+        low = sig.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
+        yield from _records(part[~heavy], low[~heavy], nid[~heavy], kind[~heavy])
+        yield from _records(-1 - nid[heavy] % parts, _short(sig[heavy], parts), nid[heavy], kind[heavy])
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = set(), 0  # of one task's nodes each goes on once
+        sigs, nids, kinds = [], [], []
         for batch in rows:
-            seen, sigs, nids, kinds = set(), [], [], []
-            for data in batch.column(0).to_pylist():
-                s = shingles(data, width)
+            for data in batch.column(0):
+                s = shingles(data.as_py(), width)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
@@ -193,20 +208,12 @@ def _sign(width: int, percent: int, parts: int):
                 sigs.append(sig)
                 kinds.append(kind)
                 nids.append(np.full(len(sig), node))
-            if not sigs:
-                continue
-            sig, nid, kind = np.concatenate(sigs), np.concatenate(nids), np.concatenate(kinds)
-            part = ((sig.view(np.uint64) >> np.uint64(8 * SIG_BYTES)) % np.uint64(parts)).astype(np.int64)
-            # a signature of many nodes goes on as rows dealt by node; two of them tell its part that it is shared
-            order = np.argsort(sig, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0])) if len(sig) else order
-            size = np.diff(np.append(first, len(sig)))
-            rank = np.arange(len(sig)) - np.repeat(first, size)
-            heavy = np.empty(len(sig), bool)
-            heavy[order] = np.repeat(size >= HEAVY, size) & (rank >= 2)
-            low = sig.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
-            yield from _records(part[~heavy], low[~heavy], nid[~heavy], kind[~heavy])
-            yield from _records(-1 - nid[heavy] % parts, _short(sig[heavy], parts), nid[heavy], kind[heavy])
+                held += len(sig)
+                if held >= 1 << 19:
+                    yield from dealt(sigs, nids, kinds)
+                    sigs, nids, kinds, held = [], [], [], 0
+        if sigs:
+            yield from dealt(sigs, nids, kinds)
 
     return run
 
