@@ -2,7 +2,7 @@ import math
 
 from trackloom.llm import mixing as m
 
-SCHEMA = "doc_id long, text string, source string, weight string, copies string"
+SCHEMA = "doc_id long, text string, source string, row string, __row string"
 
 
 def frame(spark):

@@ -79,3 +79,11 @@ def test_numbers_of_many_groups_are_proposed_and_redacted_whole():
         text = f"please call {number} today"
         spans = pii._join(pii.added_spans(text, pii.base_spans(text), model))
         assert pii.redact(text, spans) == "please call <phone> today", (number, spans)
+
+
+def test_candidates_keep_off_every_base_span():
+    text = "call 0170 5557713 " + "_".join(f"{k}.1.1.1" for k in range(12)) + "@host.com"
+    base, model = pii.base_spans(text), pii.train()
+    assert len(base) > 9
+    assert all(b <= base[0][0] or a >= base[-1][2] for a, _, b in pii.added_spans(text, base, model))
+    assert [text[a:b] for a, k, b in pii.candidates("MAIL JANE.X AT HOST DOT CO DOT UK or j[AT]h.org") if k == 0] == ["JANE.X AT HOST DOT CO DOT UK", "j[AT]h.org"]

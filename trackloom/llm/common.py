@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,17 +11,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``. Executors must share it, so there is no other choice where it is
+    unset: on a cluster a folder of one machine would lose tables silently. On local masters, as in tests, one machine is
+    all there is, and a temporary folder does."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="trackloom-")
@@ -97,8 +101,12 @@ def utf8(column: str) -> F.Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def batches(*columns: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in columns])
+def free_name(base: str, names: list[str] | tuple[str, ...]) -> str:
+    """A column name that none of ``names`` is, in any case."""
+    taken = {n.lower() for n in names}
+    while base in taken:
+        base += "_"
+    return base
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -87,8 +87,8 @@ def source_budgets(counted: DataFrame, settings: Settings) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, settings: Settings = Settings(), texts: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a row number ``__row``, and ``__row, __tokens, weight, copies`` for each. Without ``texts`` only
-    ``doc_id, source`` of ``docs`` are kept.
+    """The rows of ``docs`` as structs ``row`` with a row number ``__row``, and ``__row, __tokens, weight, copies`` for each.
+    Without ``texts`` only ``doc_id, source`` of ``docs`` are kept.
 
     A null source is a source of its own. Documents without tokens come once each with every whole pass, never in part.
     Null doc_ids and repeated rows are rows like others; ties in a block are ordered by doc_id, then tokens. An empty table
@@ -98,10 +98,10 @@ def with_copies(docs: DataFrame, settings: Settings = Settings(), texts: bool =
     scratch = Scratch(docs.sparkSession, "mixing")
     hashed = F.md5(F.concat(F.lit(s.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     # the row number is saved with the rows: a later scan could deal them otherwise
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    source = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("__row"), source.alias("__source"), token_count(F.col("text")).alias("__tokens"), hashed.alias("__hash"), F.col("doc_id").alias("__id"), F.col("source").alias("__from"))
     rows = scratch.save(rows, "rows") if texts else rows
-    told = rows.withColumns({"__tokens": token_count(F.col("text")), "__source": F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")), "__hash": hashed})
-    counted = scratch.save(told.select("__row", "__source", "__tokens", "__hash", F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.substring("__hash", 1, s.digits).alias("__block")), "counted")
+    counted = scratch.save(rows.select("__row", "__source", "__tokens", "__hash", "__id", "__from", F.substring("__hash", 1, s.digits).alias("__block")), "counted")
     budgets = scratch.save(source_budgets(counted, s), "budgets")
     blocks = counted.groupBy("__source", "__block").agg(F.sum("__tokens").alias("n"))
     order = F.md5(F.concat(F.lit(s.seed + "/"), "__source", F.lit("/"), "__block"))
@@ -114,7 +114,7 @@ def with_copies(docs: DataFrame, settings: Settings = Settings(), texts: bool =
     # one block for each source at most is entered in part
     run = F.coalesce(F.sum("__tokens").over(Window.partitionBy("__source", "__block").orderBy("__hash", "__id", "__tokens", "__row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = placed.filter("left > 0 and left < n").withColumn("run", run).select("__row", "__tokens", "weight", (F.col("passes") + F.when(F.col("run") < F.col("left"), 1).otherwise(0)).alias("copies"))
-    return rows if texts else counted.select("__row", F.col("__id").alias("doc_id"), F.col("__from").alias("source")), scratch.save(whole.union(part), "copies")
+    return rows.select("__row", "row") if texts else counted.select("__row", F.col("__id").alias("doc_id"), F.col("__from").alias("source")), scratch.save(whole.union(part), "copies")
 
 
 def allocate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -124,7 +124,9 @@ def allocate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with each row repeated as often as it is drawn; all columns stay."""
+    """``docs`` with each row repeated as often as it is drawn. All columns stay, whatever their names; null sources, ids and
+    texts, empty texts, ties, repeated rows and an empty table are as in :func:`with_copies`; a very long text is one row
+    that may end its source's budget late."""
     rows, copies = with_copies(docs, settings)
-    drawn = rows.join(copies.filter("copies > 0").select("__row", F.col("copies").alias("__copies")), "__row")
-    return drawn.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    drawn = rows.select("__row", "row").join(copies.filter("copies > 0").select("__row", "copies"), "__row")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -11,8 +11,10 @@ The trees are fitted on the driver from labelled examples that a seeded generato
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +74,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 CLUSTER = re.compile(r"[+(]?[0-9][0-9 ().\-/\[\]]{5,}[0-9]")
 GROUP = re.compile(r"[0-9]+")
-MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|@| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]{1,63}){1,4}")
+AT = re.compile(r" ?(?:\(at\)|\[at\]|@) ?| at ", re.I)
+# names in the DNS have 63 characters at most, local parts 64; longer ones are no addresses
+HOST = re.compile(r"[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\.| dot ) ?[A-Za-z0-9-]{1,63}+)++", re.I)
 WORDS = {
     "email": ("mail", "e-mail", "contact", "correo", "courriel", "write", "kontakt"),
     "ip": ("ip", "host", "server", "address", "adresse", "addr"),
@@ -84,10 +88,14 @@ WORDS = {
 
 def candidates(text: str) -> Iterator[tuple[int, int, int]]:
     """(start, kind number, end) of everything that might be personal data beyond the rules; spans overlap. Windows hold
-    19 digits at most, which bounds the spans of a text by its length."""
-    if "at" in text and ("dot" in text or "(at)" in text or "[at]" in text):
-        for m in MAIL.finditer(text):
-            yield m.start(), 0, m.end()
+    19 digits at most, the most that a card or phone number has, which bounds the spans of a text by its length."""
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > 0 and m.start() - start <= 64 and text[start - 1] in LOCAL:
+            start -= 1
+        found = HOST.match(text, m.end()) if m.start() - 64 <= start < m.start() else None
+        if found:
+            yield start, 0, found.end()
     for m in CLUSTER.finditer(text):
         groups = [(m.start() + g.start(), m.start() + g.end()) for g in GROUP.finditer(m.group())]
         for i, (a, first_end) in enumerate(groups):
@@ -195,8 +203,11 @@ def labelled_examples(count: int, seed: int) -> Iterator[tuple[str, int, int, in
         kind = int(rng.integers(0, 8))
         cue = ""
         if kind == 0:
-            s = f"{word()}{some('.', '')}{word()}{some(' at ', ' (at) ', '(at)', '[at]')}{word()}{some(' dot ', ' (dot) ', '[dot]', '(dot)')}{some('com', 'org', 'net', 'de')}"
+            s = f"{word()}{some('.', '')}{word()}{some(' at ', ' (at) ', '(at)', '[at]', ' @ ')}{word()}{some(' dot ', ' (dot) ', '[dot]', '(dot)')}{some('com', 'org', 'net', 'de')}"
+            s = some(s, s, f"{word()} @ {word()}.{some('com', 'org', 'net')}")
             cue, truth = some("", "mail ", "contact "), 0
+            if rng.random() < 0.25:
+                s = s.upper()
         elif kind == 1:
             s = some("[.]", " . ").join(str(int(rng.integers(0, 256))) for _ in range(4))
             cue, truth = some("", "server ", "ip ", "host "), 1
@@ -249,25 +260,19 @@ def train(examples: int = 6000, precision: float = 0.98, seed: int = 11) -> Mode
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Model) -> list[tuple[int, int, int]]:
     """Selected candidates that touch no base span; of overlapping ones the best, then the longest, then the first."""
-    taken = [(a, b) for a, _, b in base]
-    free = [c for c in dict.fromkeys(candidates(text)) if not any(c[0] < b and a < c[2] for a, b in _near(taken, c))]
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    # a base span that starts before the candidate's end touches it if the farthest end of those is past its start
+    free = [c for c in dict.fromkeys(candidates(text)) if not (k := bisect_left(starts, c[2])) or ends[k - 1] <= c[0]]
     if not free:
         return []
     p = model.trees.predict(np.array([features(text, *c) for c in free]))
     out: list[tuple[int, int, int]] = []
     for k in sorted((k for k, c in enumerate(free) if p[k] >= model.threshold[c[1]]), key=lambda k: (-p[k], free[k][0] - free[k][2], free[k])):
         a, _, b = free[k]
-        if not any(a < y and x < b for x, _, y in out):
-            out.append(free[k])
-    return sorted(out)
-
-
-def _near(taken: list[tuple[int, int]], c: tuple[int, int, int]) -> list[tuple[int, int]]:
-    """Of spans sorted by start, those that may overlap ``c``: base spans of one kind never overlap, so few do."""
-    from bisect import bisect_left
-
-    k = bisect_left(taken, (c[2], 0))
-    return taken[max(0, k - 8) : k]
+        at = bisect_left(out, (b,))  # chosen spans never overlap, so the one before is the only one to look at
+        if not at or out[at - 1][2] <= a:
+            out.insert(at, free[k])
+    return out
 
 
 def _join(spans: list[tuple[int, int, int]]) -> str:
@@ -277,7 +282,8 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone`` (base spans), ``base, spans`` (``kind:start:end`` in code points, comma-joined
     by start, then kind) for each row of ``docs``. A null text is empty; null doc_ids and repeated rows keep their rows;
-    other columns are ignored. One pass without a shuffle."""
+    a very long text is searched whole; other columns are ignored; an empty table gives an empty result. One pass without a
+    shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model or train())
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"]
 

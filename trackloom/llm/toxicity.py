@@ -17,20 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import utf8
+from trackloom.llm.common import free_name, utf8
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows`` rows of each class at most are fitted on (those of smallest hash), each with its whole text; longer
-    training texts than ``max_bytes`` are passed over in favour of shorter ones, which bounds the driver's memory.
-    ``bits``: size of the hashed term space. ``rank``: width of the interaction vectors."""
+    """``max_rows`` rows of each class at most are fitted on (those of smallest hash), each with its whole text, while all of
+    a class have ``max_bytes`` at most, which bounds the driver's memory. ``bits``: size of the hashed term space.
+    ``kept_terms``: terms that are fitted, those of largest chi statistic. ``rank``: width of the interaction vectors."""
 
     max_rows: int = 2000
-    max_bytes: int = 20_000
+    max_bytes: int = 32 << 20
     bits: int = 18
     sizes: tuple[int, ...] = (4, 5)
     kept_terms: int = 2048
@@ -153,14 +153,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> t
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("high")).filter("toxic = high").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
-    # a prefix of the hash order, three times as long as needed, chosen before any text is read
-    picked = known.filter("toxic = 1").orderBy("h").limit(3 * s.max_rows).union(known.filter("toxic = 0").orderBy("h").limit(3 * s.max_rows))
-    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("data")).filter(F.octet_length("data") <= s.max_bytes)
-    joined = texts.join(F.broadcast(picked), "doc_id")  # at most 6 * max_rows rows of three numbers
-    rows = None
+    # numbers alone are ordered; of a doc_id's several texts the one of smallest hash counts
+    own = F.struct(F.xxhash64("text").alias("tag"), F.octet_length("text").alias("size"))
+    there = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"))
+    there = there.join(known, "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("own").alias("own")).select("doc_id", "toxic", "h", "own.*")
+    picked = None
     for label in (1, 0):
-        part = joined.filter(F.col("toxic") == label).orderBy("h", "data").limit(s.max_rows)
-        rows = part if rows is None else rows.union(part)
+        part = there.filter(F.col("toxic") == label).orderBy("h").limit(s.max_rows)
+        part = part.withColumn("run", F.sum("size").over(Window.partitionBy("toxic").orderBy("h", "doc_id"))).filter(F.col("run") <= s.max_bytes).select("doc_id", "tag", "toxic")
+        picked = part if picked is None else picked.union(part)
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.encode("text", "UTF-8").alias("data"))
+    rows = texts.join(F.broadcast(picked), ["doc_id", "tag"])  # at most 2 * max_rows rows of three numbers
+    rows = rows.groupBy("doc_id", "toxic").agg(F.any_value("data").alias("data")).orderBy("doc_id")
     got = rows.select("data", "toxic").toArrow()
     return got.column("data").to_pylist(), np.array(got.column("toxic").to_pylist(), np.int64)
 
@@ -173,7 +177,7 @@ def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> Dat
     """The ``keep`` columns of ``docs`` and the score as ``name``, one row for each row of ``docs``; a null text scores as an empty
     one. No shuffle: the model (under 5 MB by its settings) is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, utf8("text").alias("__data"))
+    kept = docs.select(*keep, utf8("text").alias(free_name("data", keep)))
     schema = docs.select(*keep).schema.add(name, "double")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +206,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings:
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` without the documents scored at or over ``threshold``; all columns stay."""
-    names = docs.columns
-    return score(docs, train(docs, labels, settings), *names, name="__score").filter(F.col("__score") < threshold).select(*names)
+    """``docs`` without the documents scored at or over ``threshold``. All columns stay, whatever their names; a null or
+    empty text is scored by the frame alone, a very long one whole; repeated rows are judged alike; without labels every
+    text has the same low score and stays; an empty table stays empty."""
+    name = free_name("score", docs.columns)
+    return score(docs, train(docs, labels, settings), *docs.columns, name=name).filter(F.col(name) < threshold).select(*docs.columns)
