@@ -86,4 +86,5 @@ def test_candidates_keep_off_every_base_span():
     base, model = pii.base_spans(text), pii.train()
     assert len(base) > 9
     assert all(b <= base[0][0] or a >= base[-1][2] for a, _, b in pii.added_spans(text, base, model))
-    assert [text[a:b] for a, k, b in pii.candidates("MAIL JANE.X AT HOST DOT CO DOT UK or j[AT]h.org") if k == 0] == ["JANE.X AT HOST DOT CO DOT UK", "j[AT]h.org"]
+    mails = "MAIL JANE.X AT HOST DOT CO DOT UK, or j[AT]h.org"
+    assert [mails[a:b] for a, k, b in pii.candidates(mails) if k == 0] == ["JANE.X AT HOST DOT CO DOT UK", "j[AT]h.org"]
