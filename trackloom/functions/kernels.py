@@ -100,9 +100,11 @@ def regular(p: np.ndarray, floor: np.ndarray | None = None, least: float = 1e-6)
     p = p.copy()
     p[..., k, k] = diagonal
     value, vector = np.linalg.eigh(p)
-    if (value < least).any():
-        p = np.einsum("...ij,...j,...kj->...ik", vector, np.maximum(value, least), vector)
-        p = 0.5 * (p + np.swapaxes(p, -1, -2))
+    bad = (value < least).any(-1)
+    if bad.any():
+        value, vector = np.maximum(value[bad], least), vector[bad]
+        fixed = (vector * value[..., None, :]) @ np.swapaxes(vector, -1, -2)
+        p[bad] = 0.5 * (fixed + np.swapaxes(fixed, -1, -2))
     return p
 
 
@@ -122,15 +124,18 @@ def log_likelihood(d: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.where((sign > 0) & np.isfinite(v), v, -np.inf)
 
 
-def probabilities(p: np.ndarray, floor: float = 1e-12) -> np.ndarray:
-    """Columns floored and scaled to sum 1."""
+def probabilities(p: np.ndarray, floor: float = 1e-12, axis: int = -1) -> np.ndarray:
+    """Floored and scaled to sum 1 along ``axis``."""
     p = np.maximum(np.nan_to_num(p, nan=floor, posinf=floor, neginf=floor), floor)
-    return p / p.sum(0)
+    return p / p.sum(axis, keepdims=True)
 
 
 def posterior(prior: np.ndarray, loglik: np.ndarray) -> np.ndarray:
+    """Mode probabilities of stacked mixtures after their likelihoods; the prior where none is finite."""
     raw = np.log(probabilities(prior)) + loglik
-    return probabilities(np.exp(raw - raw.max())) if np.isfinite(raw).any() else probabilities(prior)
+    some = np.isfinite(raw).any(-1, keepdims=True)
+    most = np.where(some, raw.max(-1, keepdims=True), 0.0)
+    return np.where(some, probabilities(np.exp(np.where(some, raw - most, 0.0))), probabilities(prior))
 
 
 def joseph(x: np.ndarray, p: np.ndarray, z: np.ndarray, r: np.ndarray, seen: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,21 +151,22 @@ def joseph(x: np.ndarray, p: np.ndarray, z: np.ndarray, r: np.ndarray, seen: np.
 
 
 def mix(x: np.ndarray, p: np.ndarray, mu: np.ndarray, switch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interacting-multiple-model mixing: mixed states and covariances for each mode, and predicted probabilities."""
+    """Interacting-multiple-model mixing of stacked mixtures: mixed states and covariances for each mode, and predicted
+    probabilities."""
     mu = probabilities(mu)
-    ahead = probabilities(switch.T @ mu)
-    w = probabilities(switch * mu[:, None] / ahead[None, :])
-    x0 = w.T @ x
-    d = x[:, None, :] - x0[None, :, :]
-    p0 = np.einsum("ij,iab->jab", w, p) + np.einsum("ij,ija,ijb->jab", w, d, d)
+    ahead = probabilities(mu @ switch)
+    w = probabilities(switch * mu[..., :, None] / ahead[..., None, :], axis=-2)
+    x0 = np.swapaxes(w, -1, -2) @ x
+    d = x[..., :, None, :] - x0[..., None, :, :]
+    p0 = np.einsum("...ij,...iab->...jab", w, p) + np.einsum("...ij,...ija,...ijb->...jab", w, d, d)
     return x0, p0, ahead
 
 
 def moments(x: np.ndarray, p: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of a mixture."""
-    mean = mu @ x
-    d = x - mean
-    return mean, np.einsum("i,iab->ab", mu, p) + np.einsum("i,ia,ib->ab", mu, d, d)
+    """Means and covariances of stacked mixtures."""
+    mean = np.einsum("...i,...ia->...a", mu, x)
+    d = x - mean[..., None, :]
+    return mean, np.einsum("...i,...iab->...ab", mu, p) + np.einsum("...i,...ia,...ib->...ab", mu, d, d)
 
 
 def cross_lmmse(x: np.ndarray, p: np.ndarray, z: np.ndarray, r: np.ndarray, rho: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
@@ -253,9 +259,8 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
-def polar_covariance(x: float, y: float, z: float, s_r: float, s_az: float, s_el: float) -> np.ndarray:
-    """Position covariance of a range, azimuth, elevation measurement."""
-    ground = max(np.hypot(x, y), 1e-9)
-    r = max(np.sqrt(ground**2 + z**2), 1e-9)
-    j = np.array([[x / r, -y, -x * z / ground], [y / r, x, -y * z / ground], [z / r, 0.0, ground]])
+def polar_covariance(r: float, az: float, el: float, s_r: float, s_az: float, s_el: float) -> np.ndarray:
+    """Position covariance of a range, azimuth (from x to y), elevation measurement of independent errors."""
+    ce, se, ca, sa = np.cos(el), np.sin(el), np.cos(az), np.sin(az)
+    j = np.array([[ce * ca, -r * ce * sa, -r * se * ca], [ce * sa, r * ce * ca, -r * se * sa], [se, 0.0, r * ce]])
     return j @ np.diag([s_r**2, s_az**2, s_el**2]) @ j.T

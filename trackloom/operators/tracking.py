@@ -12,9 +12,14 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trackloom.functions import kernels as k
 
+# Qualities, sigmas at the worst and best quality, the vertical errors of radars without and with heights.
+BEST_TQ, WORST_POS, BEST_POS, WORST_VEL, BEST_VEL = 15, 1500.0, 30.0, 25.0, 0.5
+BLIND_Z, ELEVATION_ERROR, VERTICAL_VELOCITY = 1e6, 0.005, 1.5
+
 POSITION6, VELOCITY6 = np.array([0, 2, 4]), np.array([1, 3, 5])
 SEEN9 = np.array([0, 1, 3, 4, 6, 7])
 POSITION9, VELOCITY9 = np.array([0, 3, 6]), np.array([1, 4, 7])
@@ -57,15 +62,41 @@ def hit_gain(tq: float) -> float:
     return 0.5 + 0.45 * (tq - 1) / 14.0
 
 
+def good(sigma) -> bool:
+    return sigma is not None and bool(np.isfinite(sigma)) and sigma > 0
+
+
+def quality_sigmas(tq: float) -> tuple[float, float]:
+    """Position and velocity sigma of a quality from 1 to 15, geometric between the worst and the best."""
+    part = (tq - 1) / (BEST_TQ - 1)
+    return WORST_POS * (BEST_POS / WORST_POS) ** part, WORST_VEL * (BEST_VEL / WORST_VEL) ** part
+
+
 class Basic:
     """Constant velocity, one measurement at a time, linear fusion under assumed cross-covariance."""
 
     name, one_by_one, position, velocity = "basic", True, POSITION6, VELOCITY6
     chi2_duplicate, source_map = 16.0, False
 
+    least_variance = 1e-12
+
+    def covariance(self, sp: float, sv: float, tq: float, row, z: np.ndarray) -> np.ndarray:
+        """Of a measurement: the sensor's own sigmas if both are good, else the quality's, the same on every axis."""
+        if not (good(sp) and good(sv)):
+            sp, sv = quality_sigmas(tq)
+        return np.diag([sp**2, sv**2] * 3)
+
     def init(self, t: Track, m: Measurement) -> None:
         t.x, t.p = m.z.copy(), m.r.copy()
 
+    def predict_all(self, tracks: list[Track], time: float) -> None:
+        for t in tracks:
+            self.predict(t, time)
+
+    def update_all(self, pairs: list[tuple[Track, Measurement, float]]) -> None:
+        for t, m, nis in pairs:
+            self.update(t, m, nis)
+
     def predict(self, t: Track, time: float) -> None:
         dt = time - t.time
         if dt <= 0:
@@ -116,6 +147,8 @@ class Advanced(Basic):
 
     name, one_by_one, position, velocity, source_map, source_ttl = "advanced", False, POSITION9, VELOCITY9, True, np.inf
 
+    least_variance = 1e-6
+
     def __init__(self, use_ci: bool = True, adaptive: bool = True):
         self.use_ci, self.adaptive = use_ci, adaptive
 
@@ -180,6 +213,21 @@ class Imm(Advanced):
 
     name, source_ttl, revive_window = "imm", 20.0, 10.0
 
+    def covariance(self, sp: float, sv: float, tq: float, row, z: np.ndarray) -> np.ndarray:
+        """Each sigma of its own, else the quality's; heights are worse with range, blind where there is none; polar errors,
+        where a sensor gives them, turned into the axes."""
+        quality = quality_sigmas(tq)
+        sp, sv = (own if good(own) else q for own, q in zip((sp, sv), quality))
+        polar = [getattr(row, c, None) for c in POLAR]
+        if all(x is not None and np.isfinite(x) for x in polar):
+            r = np.diag([0.0, sv**2] * 3)
+            r[np.ix_(POSITION6, POSITION6)] = k.polar_covariance(*map(float, polar))
+        elif pd.isna(row.z):
+            r = np.diag([sp**2, sv**2, sp**2, sv**2, BLIND_Z, BLIND_Z])
+        else:
+            r = np.diag([sp**2, sv**2, sp**2, sv**2, sp**2 + (ELEVATION_ERROR * np.hypot(z[0], z[2])) ** 2, (VERTICAL_VELOCITY * sv) ** 2])
+        return k.regular(r)
+
     def init(self, t: Track, m: Measurement) -> None:
         t.modes = {}
         for axis, at, mu, n in (("xy", slice(0, 4), k.START_XY, 6), ("z", slice(4, 6), k.START_Z, 3)):
@@ -187,30 +235,47 @@ class Imm(Advanced):
             own = np.array([i for i in range(n) if i % 3 < 2])
             x[own], p[np.ix_(own, own)] = m.z[at], m.r[at, at]
             t.modes[axis] = [np.repeat(x[None], len(mu), 0), np.repeat(p[None], len(mu), 0), mu.copy()]
-        self.combine(t)
+        self.combine([t])
+
+    def stacked(self, tracks: list[Track], axis: str) -> list[np.ndarray]:
+        return [np.array([t.modes[axis][n] for t in tracks]) for n in range(3)]
 
-    def combine(self, t: Track) -> None:
-        parts = [k.moments(*t.modes[a]) for a in ("xy", "z")]
-        t.x, t.p = np.concatenate([x for x, _ in parts]), k.regular(k.blocks(*(p for _, p in parts)), np.concatenate([k.FLOOR_XY, k.FLOOR_Z]))
+    def combine(self, tracks: list[Track]) -> None:
+        """States and covariances of the mixtures, all tracks at once."""
+        (xy, pxy), (z, pz) = (k.moments(*self.stacked(tracks, a)) for a in ("xy", "z"))
+        p = np.zeros((len(tracks), 9, 9))
+        p[:, :6, :6], p[:, 6:, 6:] = pxy, pz
+        for t, x, own in zip(tracks, np.concatenate([xy, z], 1), k.regular(p, np.concatenate([k.FLOOR_XY, k.FLOOR_Z]))):
+            t.x, t.p = x, own
 
     def predict(self, t: Track, time: float) -> None:
-        dt = time - t.time
-        if dt < 0:
-            raise ValueError("a track cannot go back in time")
-        if dt == 0:
-            return
-        for axis, models, switch, floor in (("xy", k.models_xy, k.SWITCH_XY, k.FLOOR_XY), ("z", k.models_z, k.SWITCH_Z, k.FLOOR_Z)):
-            x, p, mu = k.mix(*t.modes[axis], switch)
-            f, q = models(dt)
-            p = f @ k.regular(p, floor) @ np.swapaxes(f, -1, -2) + q
-            t.modes[axis] = [np.einsum("mij,mj->mi", f, x), k.regular(p, floor), mu]
-        t.time = time
-        self.combine(t)
-        t.prob *= np.exp(-dt / 30.0)
-        gap = time - t.seen
-        if gap > 5.0:
-            t.prob *= np.exp(-min(dt, gap - 5.0) / 15.0)
-        self.status(t)
+        self.predict_all([t], time)
+
+    def predict_all(self, tracks: list[Track], time: float) -> None:
+        """Tracks that wait for the same time since the same time go as one stack."""
+        by_step: dict[float, list[Track]] = {}
+        for t in tracks:
+            by_step.setdefault(time - t.time, []).append(t)
+        for dt, own in by_step.items():
+            if dt < 0:
+                raise ValueError("a track cannot go back in time")
+            if dt == 0:
+                continue
+            for axis, models, switch, floor in (("xy", k.models_xy, k.SWITCH_XY, k.FLOOR_XY), ("z", k.models_z, k.SWITCH_Z, k.FLOOR_Z)):
+                x, p, mu = k.mix(*self.stacked(own, axis), switch)
+                f, q = models(dt)
+                p = k.regular(f @ k.regular(p, floor) @ np.swapaxes(f, -1, -2) + q, floor)
+                x = np.einsum("mij,tmj->tmi", f, x)
+                for t, *modes in zip(own, x, p, mu):
+                    t.modes[axis] = modes
+            self.combine(own)
+            for t in own:
+                t.time = time
+                t.prob *= np.exp(-dt / 30.0)
+                gap = time - t.seen
+                if gap > 5.0:
+                    t.prob *= np.exp(-min(dt, gap - 5.0) / 15.0)
+                self.status(t)
 
     def status(self, t: Track) -> None:
         if t.time - t.seen > 30.0 or t.prob < 0.2:
@@ -230,16 +295,23 @@ class Imm(Advanced):
         return np.where((xy < k.CHI2_997[4] * wide) & (z < k.CHI2_997[2] * wide), xy + z, np.inf), xy + z
 
     def update(self, t: Track, m: Measurement, nis: float) -> None:
-        if not (np.isfinite(m.z).all() and np.isfinite(m.r).all() and (np.diag(m.r) > 0).all()):
+        self.update_all([(t, m, nis)])
+
+    def update_all(self, pairs: list[tuple[Track, Measurement, float]]) -> None:
+        """Each pair's track by its measurement, as one stack; a track is in one pair at most."""
+        if not pairs:
             return
+        tracks, z, r = [t for t, _, _ in pairs], np.array([m.z for _, m, _ in pairs]), np.array([m.r for _, m, _ in pairs])
         for axis, at, seen, floor in (("xy", slice(0, 4), np.array([0, 1, 3, 4]), k.FLOOR_XY), ("z", slice(4, 6), np.array([0, 1]), k.FLOOR_Z)):
-            x, p, mu = t.modes[axis]
-            z, r = m.z[at], m.r[at, at]
-            loglik = k.log_likelihood(z - x[:, seen], k.regular(p[:, seen[:, None], seen] + r))
-            x, p = k.joseph(x, p, z, r, seen, floor)
-            t.modes[axis] = [x, p, k.posterior(mu, loglik)]
-        self.combine(t)
-        self.hit(t, m)
+            x, p, mu = self.stacked(tracks, axis)
+            own_z, own_r = z[:, None, at], r[:, None, at, at]
+            loglik = k.log_likelihood(own_z - x[..., seen], k.regular(p[..., seen[:, None], seen] + own_r))
+            x, p = k.joseph(x, p, own_z, own_r, seen, floor)
+            for t, *modes in zip(tracks, x, p, k.posterior(mu, loglik)):
+                t.modes[axis] = modes
+        self.combine(tracks)
+        for t, m, _ in pairs:
+            self.hit(t, m)
 
     def duplicate(self, a: Track, b: Track) -> bool:
         d = a.x - b.x
@@ -281,8 +353,7 @@ class Engine:
 
     def _associate(self, time: float, ms: list[Measurement], events: list[dict] | None) -> None:
         policy = self.policy
-        for t in self.tracks:
-            policy.predict(t, time)
+        policy.predict_all(self.tracks, time)
         window = getattr(policy, "revive_window", 0.0)
         self.deleted = [(at, t) for at, t in self.deleted + [(time, t) for t in self.tracks if t.status == "DELETED"] if time - at <= window and window]
         self.tracks = [t for t in self.tracks if t.status != "DELETED"]
@@ -291,10 +362,11 @@ class Engine:
         stage: dict[int, tuple[str, Track]] = {}
         cost, distance = policy.costs(self.tracks, ms) if self.tracks and ms else (np.zeros((len(self.tracks), len(ms))),) * 2
         taken: set[int] = set()
+        pairs: list[tuple[Track, Measurement, float]] = []
         for j, m in enumerate(ms):  # who saw a track last has the first claim
             n = alive.get(self.sources.get(m.source, ("", 0.0))[0])
             if n is not None and n not in taken and np.isfinite(cost[n, j]):
-                policy.update(self.tracks[n], m, distance[n, j])
+                pairs.append((self.tracks[n], m, distance[n, j]))
                 taken.add(n)
                 stage[j] = ("source_map", self.tracks[n])
         rows, cols = [n for n in range(len(self.tracks)) if n not in taken], [j for j in range(len(ms)) if j not in stage]
@@ -304,8 +376,9 @@ class Engine:
             if (sub < 1e9).any():
                 for a, b in k.assign(sub):
                     if sub[a, b] < 1e9:
-                        policy.update(self.tracks[rows[a]], ms[cols[b]], distance[rows[a], cols[b]])
+                        pairs.append((self.tracks[rows[a]], ms[cols[b]], distance[rows[a], cols[b]]))
                         stage[cols[b]] = ("hungarian", self.tracks[rows[a]])
+        policy.update_all(pairs)
         for j, m in enumerate(ms):
             if j not in stage:
                 stage[j] = self._revive(time, m) or self._create(time, m)
@@ -359,53 +432,57 @@ OUTPUT = (
     "scenario string, time double, global_track_id string, x double, y double, z double, vx double, vy double, vz double, ax double, ay double, az double, "
     "pos_sigma_m double, vel_sigma_mps double, sigma_x_m double, sigma_vx_mps double, sigma_y_m double, sigma_vy_mps double, sigma_z_m double, sigma_vz_mps double, "
     "fused_tq int, prob double, mode_prob_xy_cv double, mode_prob_xy_ca double, mode_prob_xy_ct_left double, mode_prob_xy_ct_right double, mode_prob_z_cv double, mode_prob_z_singer double, "
-    "dominant_model string, n_sources int, source_radars string, update_used boolean, is_prediction_only boolean, time_since_update_s double, source_measurement_details string, xy_mode_entropy double, z_mode_entropy double"
+    "dominant_model string, n_sources int, source_radars string, update_used boolean, is_prediction_only boolean, time_since_update_s double, source_measurement_details string, xy_mode_entropy double, z_mode_entropy double, min_cov_eig double, max_cov_eig double, cov_condition_number double"
 )
 NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
 def _row(policy: Basic, t: Track, scenario: str) -> dict:
+    """A fused row; columns that the algorithm does not have are null. Overall sigmas are those of x and vx, as is the fused
+    quality; probabilities have three decimals."""
     wide = len(t.x) == 9
-    state = t.x if wide else np.insert(t.x, [2, 4, 6], 0.0)
-    sigma = np.sqrt(np.maximum(np.diag(t.p)[SEEN9] if wide else np.diag(t.p), 0.0))
-    pos, vel = float(np.sqrt((sigma[::2] ** 2).sum() / 3)), float(np.sqrt((sigma[1::2] ** 2).sum() / 3))
+    state = t.x if wide else np.insert(t.x, [2, 4, 6], np.nan)
+    sigma = np.sqrt(np.maximum(np.diag(t.p)[SEEN9] if wide else np.diag(t.p), policy.least_variance))
     used = abs(t.time - t.seen) <= 1e-9
-    tq = 15 if pos <= 0 else int(np.clip(np.rint(1 + 14 * np.log(pos / 1500.0) / np.log(30.0 / 1500.0)), 1, 15))
     row = dict.fromkeys(NAMES)
-    row |= {"scenario": scenario, "time": t.time, "global_track_id": t.id, "pos_sigma_m": pos, "vel_sigma_mps": vel, "fused_tq": tq, "prob": float(t.prob), "n_sources": len(t.sensors), "source_radars": ", ".join(sorted(t.sensors))}
-    row |= {"update_used": used, "is_prediction_only": not used, "time_since_update_s": t.time - t.seen, "source_measurement_details": "; ".join(sorted(t.details))}
-    row |= dict(zip(("x", "vx", "ax", "y", "vy", "ay", "z", "vz", "az"), state.tolist()))
+    row |= {"scenario": scenario, "time": t.time, "global_track_id": t.id, "pos_sigma_m": float(sigma[0]), "vel_sigma_mps": float(sigma[1]), "prob": round(float(t.prob), 3)}
+    row |= dict(zip(("x", "vx", "ax", "y", "vy", "ay", "z", "vz", "az"), (None if np.isnan(v) else v for v in state.tolist())))
     row |= dict(zip(("sigma_x_m", "sigma_vx_mps", "sigma_y_m", "sigma_vy_mps", "sigma_z_m", "sigma_vz_mps"), sigma.tolist()))
+    row |= {"update_used": used, "is_prediction_only": not used, "time_since_update_s": max(0.0, t.time - t.seen)}
+    if wide:
+        tq = 1 + (BEST_TQ - 1) * np.log(sigma[0] / WORST_POS) / np.log(BEST_POS / WORST_POS)
+        row |= {"fused_tq": int(np.rint(np.clip(tq, 1, BEST_TQ))), "n_sources": len(t.sensors), "source_radars": ", ".join(sorted(t.sensors)), "source_measurement_details": "; ".join(sorted(t.details))}
     if t.modes:
         for axis, names in (("xy", k.MODES_XY), ("z", k.MODES_Z)):
             mu = t.modes[axis][2]
-            row |= {f"mode_prob_{axis}_{n.lower()}": float(p) for n, p in zip(names, mu)} | {f"{axis}_mode_entropy": float(-(mu * np.log(mu)).sum())}
+            row |= {f"mode_prob_{axis}_{n.lower()}": round(float(p), 3) for n, p in zip(names, mu)} | {f"{axis}_mode_entropy": float(-(mu * np.log(mu)).sum())}
         row["dominant_model"] = "XY:{}|Z:{}".format(*policy.dominant(t))
+        value = np.linalg.eigvalsh(t.p)
+        row |= {"min_cov_eig": float(value[0]), "max_cov_eig": float(value[-1]), "cov_condition_number": float(value[-1] / value[0]) if value[0] > 0 else None}
     return row
 
 
-def measurements(frame: pd.DataFrame, blind_z: float = 1e6, elevation_error: float = 0.005) -> Iterator[tuple[float, list[Measurement]]]:
-    """Rows in (time, ordinal) order as one list for each finite time. Missing heights blind the vertical filter; missing or
-    bad sigmas come from the quality."""
+def measurements(frame: pd.DataFrame, policy: Basic) -> Iterator[tuple[float, list[Measurement]]]:
+    """Rows in (time, ordinal) order as one list for each finite time. A missing quality is the best one. A row whose state
+    or covariance is not finite, or has a variance of 0 or less, is passed over: it would find no track and start one of
+    no place. A missing height or vertical velocity counts as 0."""
     frame = frame[np.isfinite(frame["time"].astype(float))].sort_values(["time", "ord"], kind="stable")
     for time, own in frame.groupby("time", sort=True):
         out = []
         for r in own.itertuples(index=False):
-            tq = 1 if pd.isna(r.track_quality) else float(np.clip(r.track_quality, 1, 15))
-            sp, sv = r.sigma_pos_m, r.sigma_vel_mps
-            sp = float(sp) if sp and np.isfinite(sp) and sp > 0 else 1500.0 * (30.0 / 1500.0) ** ((tq - 1) / 14)
-            sv = float(sv) if sv and np.isfinite(sv) and sv > 0 else 25.0 * (0.5 / 25.0) ** ((tq - 1) / 14)
-            flat = pd.isna(r.z)
-            z = np.array([r.x, r.vx, r.y, r.vy, 0.0 if flat else r.z, 0.0 if pd.isna(r.vz) else r.vz], float)
-            vz = blind_z if flat else sp**2 + (elevation_error * np.hypot(r.x, r.y)) ** 2
-            var = [sp**2, sv**2, sp**2, sv**2, vz, blind_z if flat or pd.isna(r.vz) else (1.5 * sv) ** 2]
-            out.append(Measurement(z, np.diag(var), tq, r.sensor, (r.sensor, r.local_track_id), r.callsign_true or ""))
+            tq = float(np.clip(r.track_quality, 1, BEST_TQ)) if pd.notna(r.track_quality) else float(BEST_TQ)
+            z = np.array([r.x, r.vx, r.y, r.vy, 0.0 if pd.isna(r.z) else r.z, 0.0 if pd.isna(r.vz) else r.vz], float)
+            if not np.isfinite(z).all():
+                continue
+            cov = policy.covariance(r.sigma_pos_m, r.sigma_vel_mps, tq, r, z)
+            if np.isfinite(cov).all() and (np.diag(cov) > 0).all():
+                out.append(Measurement(z, cov, tq, r.sensor, (r.sensor, r.local_track_id), r.callsign_true or ""))
         yield float(time), out
 
 
 def run_scenario(frame: pd.DataFrame, algorithm: str, scenario: str) -> pd.DataFrame:
     engine, rows = Engine(algorithm), []
-    for time, ms in measurements(frame):
+    for time, ms in measurements(frame, engine.policy):
         rows += [_row(engine.policy, t, scenario) for t in engine.step(time, ms)]
     return pd.DataFrame(rows, columns=NAMES)
 
@@ -413,12 +490,17 @@ def run_scenario(frame: pd.DataFrame, algorithm: str, scenario: str) -> pd.DataF
 SENSOR = "scenario string, time double, ord long, sensor string, local_track_id string, callsign_true string, x double, y double, z double, vx double, vy double, vz double, track_quality int, sigma_pos_m double, sigma_vel_mps double, is_clutter boolean"
 
 
+#: Optional columns: range, azimuth and elevation in metres and radians with their errors.
+POLAR = ("range", "azimuth", "elevation", "sigma_range", "sigma_az", "sigma_el")
+
+
 def fuse(sensor: DataFrame, algorithm: str = "imm") -> DataFrame:
-    """Fused tracks of every scenario of ``sensor`` (columns SENSOR). Tracks of one scenario depend on one another, so a
+    """Fused tracks of every scenario of ``sensor`` (columns SENSOR, and POLAR where it has them). Tracks of one scenario depend on one another, so a
     scenario is one task; scenarios are independent."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return run_scenario(frame, algorithm, str(frame["scenario"].iloc[0]))
 
     names = [c.split()[0] for c in SENSOR.split(", ")]
-    return sensor.select(*names).groupBy("scenario").applyInPandas(run, OUTPUT)
+    polar = [F.col(c).cast("double") for c in POLAR if set(POLAR) <= set(sensor.columns)]
+    return sensor.select(*names, *polar).groupBy("scenario").applyInPandas(run, OUTPUT)

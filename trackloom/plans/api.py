@@ -48,7 +48,7 @@ def diagnose(sensor: DataFrame, algorithm: str = "imm") -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         engine, events = tracking.Engine(algorithm), []
-        for time, ms in tracking.measurements(frame):
+        for time, ms in tracking.measurements(frame, engine.policy):
             engine.step(time, ms, events)
         got = pd.DataFrame(events, columns=[c.split()[0] for c in EVENTS.split(", ")][1:])
         got.insert(0, "scenario", str(frame["scenario"].iloc[0]))

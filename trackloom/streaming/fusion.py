@@ -28,7 +28,7 @@ def fuse_stream(sensor: DataFrame, algorithm: str = "imm", lateness: str = "10 s
             held = pd.concat(waiting, ignore_index=True)
             seconds = held["ts"].astype("int64") / 1e9 if held["ts"].dtype.kind == "M" else held["ts"]
             ready = seconds <= until
-            for time, ms in measurements(held[ready]):
+            for time, ms in measurements(held[ready], engine.policy):
                 rows += [_row(engine.policy, t, key[0]) for t in engine.step(time, ms)]
             waiting = [held[~ready]] if (~ready).any() else []
         state.update((pickle.dumps((engine, waiting)),))
