@@ -34,7 +34,7 @@ BASE = 0x9E3779B97F4A7C15
 NULL_ID = 2**63 - 1
 NAME_BYTES = 5
 PIECE = 1 << 19
-WHOLE = 8 << 20
+WHOLE = 2 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -231,7 +231,8 @@ def _contexts(buckets: int):
             for first, some in _pieces(data):
                 text, at, name = anchors(some)
                 _, short = _short(name, buckets)
-                hit = np.isin(mix64(short.view(np.uint64)) ^ dids[first + text].view(np.uint64), wanted)
+                mark = mix64(short.view(np.uint64)) ^ dids[first + text].view(np.uint64)
+                hit = wanted[np.minimum(np.searchsorted(wanted, mark), len(wanted) - 1)] == mark
                 text, at, short = text[hit], at[hit], short[hit]
                 if len(text):
                     # bytes around the gram, which hold each string it stands for; past the text's ends, nothing valid
@@ -245,11 +246,13 @@ def _contexts(buckets: int):
             short, doc, key, place, around = (np.concatenate(x) for x in zip(*held))
             # of equal whole surroundings the smallest document's go on, and the others' strings are removed
             whole = (place[:, 0] >= SPAN - 1) & (place[:, 0] + LENGTH <= place[:, 1])
-            line = around.view(f"S{AROUND}").reshape(-1)
-            order = np.lexsort((doc, line, whole))
-            order = order[whole[order]]
+            order = np.flatnonzero(whole)
+            h = _line_hashes(around[order])
+            by = np.lexsort((doc[order], h))
+            order, h = order[by], h[by]
             lead = np.ones(len(order), bool)
-            lead[1:] = (around[order[1:]] != around[order[:-1]]).any(1)
+            same = np.flatnonzero(h[1:] == h[:-1]) + 1
+            lead[same] = (around[order[same]] != around[order[same - 1]]).any(1)
             least = np.repeat(doc[order[lead]], np.diff(np.append(np.flatnonzero(lead), len(order))))
             known = np.zeros(len(doc), bool)
             known[order] = doc[order] > least
@@ -263,6 +266,16 @@ def _contexts(buckets: int):
     return run
 
 
+def _line_hashes(around: np.ndarray) -> np.ndarray:
+    """A hash of each whole row of bytes."""
+    words = np.zeros((len(around), -(-AROUND // 8)), np.uint64)
+    words.view(np.uint8)[:, :AROUND] = around
+    h = np.zeros(len(around), np.uint64)
+    for c in range(words.shape[1]):
+        h = mix64(h + words[:, c] * np.uint64(BASE))
+    return h
+
+
 def _settled(key: np.ndarray, runs: np.ndarray, sign: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Removed runs as rows of CONTEXT with numbers under 0 for buckets, on their way to the documents."""
     for b in _packed(PAIRED, sign - _part(key, parts), [key, runs.astype(np.int32)]):
