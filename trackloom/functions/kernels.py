@@ -94,11 +94,11 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def regular(p: np.ndarray, floor: np.ndarray | None = None, least: float = 1e-6) -> np.ndarray:
     """Symmetric, finite, diagonal at or over ``floor``, eigenvalues at or over ``least``; any stack of matrices."""
-    p = np.nan_to_num(0.5 * (p + np.swapaxes(p, -1, -2)), nan=0.0, posinf=1e12, neginf=-1e12)
+    p = 0.5 * (p + np.swapaxes(p, -1, -2))
+    if not np.isfinite(p).all():
+        p = np.nan_to_num(p, nan=0.0, posinf=1e12, neginf=-1e12)
     k = np.arange(p.shape[-1])
-    diagonal = np.maximum(p[..., k, k], least if floor is None else floor)
-    p = p.copy()
-    p[..., k, k] = diagonal
+    p[..., k, k] = np.maximum(p[..., k, k], least if floor is None else floor)
     value, vector = np.linalg.eigh(p)
     bad = (value < least).any(-1)
     if bad.any():
@@ -126,7 +126,7 @@ def log_likelihood(d: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 def probabilities(p: np.ndarray, floor: float = 1e-12, axis: int = -1) -> np.ndarray:
     """Floored and scaled to sum 1 along ``axis``."""
-    p = np.maximum(np.nan_to_num(p, nan=floor, posinf=floor, neginf=floor), floor)
+    p = np.maximum(np.where(np.isfinite(p), p, floor), floor)
     return p / p.sum(axis, keepdims=True)
 
 

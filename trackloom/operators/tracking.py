@@ -62,8 +62,8 @@ def hit_gain(tq: float) -> float:
     return 0.5 + 0.45 * (tq - 1) / 14.0
 
 
-def good(sigma) -> bool:
-    return sigma is not None and bool(np.isfinite(sigma)) and sigma > 0
+def good(sigma: float) -> bool:
+    return bool(np.isfinite(sigma)) and sigma > 0
 
 
 def quality_sigmas(tq: float) -> tuple[float, float]:
@@ -80,7 +80,7 @@ class Basic:
 
     least_variance = 1e-12
 
-    def covariance(self, sp: float, sv: float, tq: float, row, z: np.ndarray) -> np.ndarray:
+    def covariance(self, sp: float, sv: float, tq: float, z: np.ndarray, flat: bool, polar: np.ndarray) -> np.ndarray:
         """Of a measurement: the sensor's own sigmas if both are good, else the quality's, the same on every axis."""
         if not (good(sp) and good(sv)):
             sp, sv = quality_sigmas(tq)
@@ -213,16 +213,15 @@ class Imm(Advanced):
 
     name, source_ttl, revive_window = "imm", 20.0, 10.0
 
-    def covariance(self, sp: float, sv: float, tq: float, row, z: np.ndarray) -> np.ndarray:
+    def covariance(self, sp: float, sv: float, tq: float, z: np.ndarray, flat: bool, polar: np.ndarray) -> np.ndarray:
         """Each sigma of its own, else the quality's; heights are worse with range, blind where there is none; polar errors,
         where a sensor gives them, turned into the axes."""
         quality = quality_sigmas(tq)
         sp, sv = (own if good(own) else q for own, q in zip((sp, sv), quality))
-        polar = [getattr(row, c, None) for c in POLAR]
-        if all(x is not None and np.isfinite(x) for x in polar):
+        if np.isfinite(polar).all():
             r = np.diag([0.0, sv**2] * 3)
-            r[np.ix_(POSITION6, POSITION6)] = k.polar_covariance(*map(float, polar))
-        elif pd.isna(row.z):
+            r[np.ix_(POSITION6, POSITION6)] = k.polar_covariance(*polar)
+        elif flat:
             r = np.diag([sp**2, sv**2, sp**2, sv**2, BLIND_Z, BLIND_Z])
         else:
             r = np.diag([sp**2, sv**2, sp**2, sv**2, sp**2 + (ELEVATION_ERROR * np.hypot(z[0], z[2])) ** 2, (VERTICAL_VELOCITY * sv) ** 2])
@@ -467,17 +466,26 @@ def measurements(frame: pd.DataFrame, policy: Basic) -> Iterator[tuple[float, li
     or covariance is not finite, or has a variance of 0 or less, is passed over: it would find no track and start one of
     no place. A missing height or vertical velocity counts as 0."""
     frame = frame[np.isfinite(frame["time"].astype(float))].sort_values(["time", "ord"], kind="stable")
-    for time, own in frame.groupby("time", sort=True):
+    times = frame["time"].to_numpy(float)
+    number = lambda c: pd.to_numeric(frame[c]).to_numpy(float, na_value=np.nan)
+    sp, sv, quality = (number(c) for c in ("sigma_pos_m", "sigma_vel_mps", "track_quality"))
+    states = np.stack([number(c) for c in ("x", "vx", "y", "vy", "z", "vz")], 1)
+    flat = np.isnan(states[:, 4])
+    states[:, 4:] = np.where(np.isnan(states[:, 4:]), 0.0, states[:, 4:])
+    polar = np.stack([number(c) for c in POLAR], 1) if set(POLAR) <= set(frame.columns) else np.full((len(frame), 6), np.nan)
+    quality = np.where(np.isfinite(quality), np.clip(quality, 1, BEST_TQ), BEST_TQ)
+    names = [frame[c].tolist() for c in ("sensor", "local_track_id", "callsign_true")]
+    cuts = np.flatnonzero(np.diff(times)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frame)]):
         out = []
-        for r in own.itertuples(index=False):
-            tq = float(np.clip(r.track_quality, 1, BEST_TQ)) if pd.notna(r.track_quality) else float(BEST_TQ)
-            z = np.array([r.x, r.vx, r.y, r.vy, 0.0 if pd.isna(r.z) else r.z, 0.0 if pd.isna(r.vz) else r.vz], float)
-            if not np.isfinite(z).all():
-                continue
-            cov = policy.covariance(r.sigma_pos_m, r.sigma_vel_mps, tq, r, z)
-            if np.isfinite(cov).all() and (np.diag(cov) > 0).all():
-                out.append(Measurement(z, cov, tq, r.sensor, (r.sensor, r.local_track_id), r.callsign_true or ""))
-        yield float(time), out
+        for n in range(a, b):
+            if np.isfinite(states[n]).all():
+                cov = policy.covariance(sp[n], sv[n], quality[n], states[n], flat[n], polar[n])
+                if np.isfinite(cov).all() and (np.diag(cov) > 0).all():
+                    sensor, local, label = (c[n] for c in names)
+                    out.append(Measurement(states[n], cov, float(quality[n]), sensor, (sensor, local), label or ""))
+        if b > a:
+            yield float(times[a]), out
 
 
 def run_scenario(frame: pd.DataFrame, algorithm: str, scenario: str) -> pd.DataFrame:
