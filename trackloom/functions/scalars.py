@@ -82,9 +82,11 @@ def entropy(p: Column) -> Column:
 
 
 def normalise(p: Column, floor: float = 1e-12) -> Column:
-    """Probabilities floored (non-finite count as the floor) and scaled to sum 1."""
+    """Probabilities floored (non-finite count as the floor) and scaled to sum 1; floors and sum are computed once."""
     floored = F.transform(p, lambda x: F.when(finite(x), F.greatest(x, F.lit(floor))).otherwise(F.lit(floor)))
-    return F.transform(floored, lambda x: x / F.aggregate(floored, F.lit(0.0), lambda a, y: a + y))
+    total = lambda f: F.array(F.aggregate(f, F.lit(0.0), lambda a, y: a + y))
+    # arrays of one element bind a value for what is inside
+    return F.flatten(F.flatten(F.transform(F.array(floored), lambda f: F.transform(total(f), lambda t: F.transform(f, lambda x: x / t)))))
 
 
 def dominant(names: tuple[str, ...], p: Column) -> Column:
@@ -108,10 +110,12 @@ def range_dependent_pd(r: Column, best: float, flat_to: float, end: float, floor
 
 
 def radar_bucket(name: Column) -> Column:
-    """A, B, C or OTHER by the last letter of the first token with such an ending."""
-    tokens = F.split(F.upper(F.trim(name)), r"[\s,;@]+")
-    hit = F.get(F.filter(tokens, lambda t: t.rlike("(^|_|-)[ABC]$")), F.lit(0))
-    return F.coalesce(F.right(hit, F.lit(1)), F.lit("OTHER"))
+    """A, B, C or OTHER: the last token between ``-`` and ``_`` that is one of the letters, else the last character."""
+    upper = F.upper(F.trim(name))
+    letters = ("A", "B", "C")
+    token = F.try_element_at(F.filter(F.split(upper, "[-_]"), lambda t: t.isin(*letters)), F.lit(-1))
+    last = F.right(upper, F.lit(1))
+    return F.coalesce(token, F.when(last.isin(*letters), last), F.lit("OTHER"))
 
 
 def decimal_comma(text: Column) -> Column:
@@ -125,3 +129,56 @@ def initial_probability(tq: Column) -> Column:
 def effective_gate(score: Column, base: float = 22.5) -> Column:
     """Widened by up to 1.8 times for manoeuvring tracks."""
     return F.when(score > 0.6, F.least(base * (1 + 0.8 * score), F.lit(1.8 * base))).otherwise(F.lit(base))
+
+
+def to_polar(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Range, azimuth from x to y, elevation; radians."""
+    return speed(x, y, z), F.atan2(y, x), F.atan2(z, F.greatest(F.hypot(x, y), F.lit(1e-6)))
+
+
+def sight_axes(az: Column, el: Column) -> list[list[Column]]:
+    """Unit vectors along the line of sight, across and up."""
+    ca, sa, ce, se = F.cos(az), F.sin(az), F.cos(el), F.sin(el)
+    return [[ce * ca, ce * sa, se], [-sa, ca, F.lit(0.0)], [-se * ca, -se * sa, ce]]
+
+
+def project(v: list[Column], axes: list[list[Column]]) -> list[Column]:
+    """Components of a vector along each axis."""
+    return [v[0] * a[0] + v[1] * a[1] + v[2] * a[2] for a in axes]
+
+
+def vertical_variances(sigma_pos: Column, sigma_vel: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Variances of height and climb: blind without a height, else worse with range."""
+    blind, wide = F.lit(1e6), 1.5 * sigma_vel
+    return F.when(z.isNull(), blind).otherwise(sigma_pos * sigma_pos + F.pow(0.005 * F.hypot(x, y), 2)), F.when(z.isNull(), blind).otherwise(wide * wide)
+
+
+def diagonal_distance(d: list[Column], variance: list[Column]) -> Column:
+    """Squared Mahalanobis distance under independent errors."""
+    terms = [x * x / v for x, v in zip(d, variance)]
+    return sum(terms[1:], terms[0])
+
+
+def physical_gate(away: Column, turn: Column, spread: Column, wobble: Column, since: Column) -> Column:
+    """Whether place, velocity and acceleration of a measurement fit a track: 750 m or three sigmas, 120 m/s, and 30 m/s^2
+    beyond three sigmas over the time unseen, a second at least."""
+    return (away <= F.greatest(F.lit(750.0), 3 * spread)) & (turn <= 120.0) & (F.greatest(F.lit(0.0), turn - 3 * wobble) / F.greatest(since, F.lit(1.0)) <= 30.0)
+
+
+def colour(index: Column, palette: tuple[str, ...]) -> Column:
+    """An entry of a palette that starts anew after its end."""
+    return F.element_at(F.array(*map(F.lit, palette)), (F.pmod(index, F.lit(len(palette))) + 1).cast("int"))
+
+
+def exaggerated(z: Column, origin: Column, factor: float) -> Column:
+    return origin + (z - origin) * factor
+
+
+def scene_axes(x: Column, y: Column, z: Column, origin: tuple[Column, Column, Column], scale: float) -> tuple[Column, Column, Column]:
+    """East, north, up as a scene's right, up, back."""
+    return x - origin[0], (z - origin[2]) * scale, -(y - origin[1])
+
+
+def at_epoch(seconds: Column, epoch: str = "1970-01-01 00:00:00") -> Column:
+    """Relative seconds as a timestamp."""
+    return F.timestamp_micros(F.unix_micros(F.lit(epoch).cast("timestamp")) + F.rint(seconds * 1e6).cast("long"))

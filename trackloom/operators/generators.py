@@ -187,7 +187,8 @@ def simulate(gt: DataFrame, radars: tuple[Radar, ...] = RADARS, seed: int = 42)
     truth = gt.withColumn("key", F.concat_ws("/", "scenario", "callsign")).select("key", "time", "x", "y", "z", "vx", "vy", "vz")
     seen = interpolation_join(scans, truth, "key", "time", ["x", "y", "z", "vx", "vy", "vz"], edge="clamp").join(params, "sensor")
     r = F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2) + F.pow("z", 2))
-    chance = F.when(F.col("realistic"), F.col("pd") * F.when(r <= 0.5 * F.col("far"), 1.0).otherwise(F.greatest(F.lit(0.3), 1.5 - r / F.col("far")))).otherwise(F.col("pd"))
+    falling = F.coalesce(*(F.when(F.col("sensor") == x.name, s.range_dependent_pd(r, x.pd, x.pd_range, x.max_range, x.pd_min)) for x in radars))
+    chance = F.when(F.col("realistic"), falling).otherwise(F.col("pd"))
     who = (F.col("sensor"), F.col("callsign"), F.col("scan"))
     hit = (uniform(seed, "hit", *who) <= chance) & (r <= F.col("far"))
     w = Window.partitionBy("scenario", "sensor", "callsign").orderBy("scan")
@@ -198,9 +199,9 @@ def simulate(gt: DataFrame, radars: tuple[Radar, ...] = RADARS, seed: int = 42)
     found = seen.filter("hit").select("scenario", F.round(F.col("scan_time") + F.col("late"), 2).alias("time"), "sensor", F.format_string("%s-%s-%03d", "sensor", "callsign", "island").alias("local_track_id"), F.col("callsign").alias("callsign_true"), *(c.alias(n) for n, c in noisy.items()), tq.alias("track_quality"), spread.alias("sigma_pos_m"), F.col("sv").alias("sigma_vel_mps"), F.lit(False).alias("is_clutter"))
     # clutter: a Poisson count for each scan of the first target, uniform in the scenario's box
     box = gt.groupBy("scenario").agg(*(f(c).alias(f"{c}{n}") for c in "xyz" for n, f in ((0, F.min), (1, F.max))), F.min("callsign").alias("callsign"))
-    rate = sum(r.clutter for r in radars) / max(1, len(radars))
+    count = F.coalesce(*(F.when(F.col("sensor") == x.name, poisson(x.clutter, seed, "clutter", F.col("sensor"), F.col("scan"))) for x in radars))
     noise = scan_schedule(gt, radars, seed).join(box, ["scenario", "callsign"]).join(params, "sensor")
-    noise = noise.withColumn("n", poisson(rate, seed, "clutter", F.col("sensor"), F.col("scan"))).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    noise = noise.withColumn("n", count).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     spot = (F.col("scenario"), F.col("sensor"), F.col("scan"), F.col("k"))
     place = {c: F.col(f"{c}0") - 5000 + (F.col(f"{c}1") - F.col(f"{c}0") + 10000) * uniform(seed, "at" + c, *spot) for c in "xyz"} | {f"v{c}": 400 * uniform(seed, "by" + c, *spot) - 200 for c in "xyz"}
     false = noise.select("scenario", F.round(F.col("scan_time") + F.col("late"), 2).alias("time"), "sensor", F.format_string("%s-C-%05d-%d", "sensor", "scan", "k").alias("local_track_id"), F.lit("CLUTTER").alias("callsign_true"), *(c.alias(n) for n, c in place.items()), (F.floor(uniform(seed, "ctq", *spot) * 3) + 1).cast("int").alias("track_quality"), F.col("sp").alias("sigma_pos_m"), F.col("sv").alias("sigma_vel_mps"), F.lit(True).alias("is_clutter"))
@@ -277,15 +278,10 @@ def simulate_realistic(gt: DataFrame, radars: tuple[Radar, ...] = REALISTIC, see
     seen = seen.withColumn("track_quality", s.clip(tq, 1, 15).cast("int")).withColumns({"sp": s.quality_to_sigma(F.col("track_quality"), s.POSITION_SIGMA), "sv": s.quality_to_sigma(F.col("track_quality"), s.VELOCITY_SIGMA)})
     seen = seen.withColumns({"rm": F.col("r") + F.col("sp") * normal(seed, "range", *who), "am": F.col("az") + ANGLE_SIGMA * normal(seed, "azimuth", *who), "em": F.col("el") + ANGLE_SIGMA * normal(seed, "elevation", *who)})
 
-    def axes(az: str, el: str) -> list[list[Column]]:
-        """Unit vectors along the line of sight, across and up."""
-        ca, sa, ce, se = F.cos(az), F.sin(az), F.cos(el), F.sin(el)
-        return [[ce * ca, ce * sa, se], [-sa, ca, F.lit(0.0)], [-se * ca, -se * sa, ce]]
-
-    along = [sum((F.col(f"v{c}") * u for c, u in zip("yz", a[1:])), F.col("vx") * a[0]) for a in axes("az", "el")]
+    along = s.project([F.col(f"v{c}") for c in "xyz"], s.sight_axes(F.col("az"), F.col("el")))
     radial = F.when(F.col("kind") == "ghost", 1.5).otherwise(1.0)
     seen = seen.withColumns({f"m{k}": v + F.col("sv") * k_sigma * normal(seed, f"doppler{k}", *who) for k, (v, k_sigma) in enumerate(zip(along, (radial, F.lit(4.0), F.lit(2.0))))})
-    basis = axes("am", "em")
+    basis = s.sight_axes(F.col("am"), F.col("em"))
     place = {c: by(lambda r: F.lit(float((r.x, r.y, r.z)[i]))) + F.col(f"b{c}") + F.col("rm") * basis[0][i] for i, c in enumerate("xyz")}
     doppler = {c: F.col("m0") * basis[0][i] + F.col("m1") * basis[1][i] + F.col("m2") * basis[2][i] for i, c in enumerate("xyz")}
     velocity = {f"v{c}": F.when(F.col("kind") == "static", 2 * F.col("sv") * normal(seed, "still" + c, *who)).otherwise(e) for c, e in doppler.items()}

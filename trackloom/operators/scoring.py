@@ -120,3 +120,10 @@ def best_state(associated: DataFrame) -> DataFrame:
     """The nearest associated row of each time."""
     w = Window.partitionBy("scenario", "time").orderBy("position_error_m", "global_track_id")
     return associated.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def nearest_truth(fused: DataFrame, truth: DataFrame, frame: list[str], track: str, target: str, distance: Column) -> DataFrame:
+    """``track, target, distance``: of each fused row the nearest target of its frame, the first by name on ties; a target may
+    serve several. Frames hold a few targets, and the least of them is found in the join's own task before any shuffle."""
+    near = fused.join(truth, frame).withColumn("distance", distance)
+    return near.groupBy(track).agg(F.min(F.struct("distance", target)).alias("x")).select(track, f"x.{target}", "x.distance")

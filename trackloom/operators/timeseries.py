@@ -13,17 +13,20 @@ def _aligned(left: DataFrame, right: DataFrame, key: str, time: str, values: lis
     rows = left.select(key, F.col(time).alias("__t"), F.struct(*left.columns).alias("__row"), empty.alias("__s"), F.lit(1).alias("__side"))
     samples = right.filter(F.col(time).isNotNull()).select(key, F.col(time).alias("__t"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), sample.alias("__s"), F.lit(0).alias("__side"))
     both = rows.unionByName(samples)
-    up = Window.partitionBy(key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(key).orderBy(F.desc("__t"), F.desc(F.lit(0) - F.col("__side"))).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumns({"__before": F.last("__s", True).over(up), "__after": F.last("__s", True).over(down)}).filter("__row is not null")
+    # samples of one time stand in the order of their values, so that the last one is the same in every run
+    up = Window.partitionBy(key).orderBy("__t", "__side", "__s").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key).orderBy(F.desc("__t"), "__side", F.col("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    # a row without a time lies nowhere between samples
+    placed = lambda w: F.when(F.col("__t").isNotNull(), F.last("__s", True).over(w))
+    return both.withColumns({"__before": placed(up), "__after": placed(down)}).filter("__row is not null")
 
 
 def interpolation_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], edge: str = "null", min_rows: int = 1) -> DataFrame:
     """``left`` with ``values`` of ``right`` interpolated linearly at its times.
 
     ``edge`` outside the samples: ``null`` keeps the row with nulls, ``clamp`` takes the end sample, ``drop`` leaves the
-    row out. With fewer than ``min_rows`` samples of a key values are null. Of samples at one time the last in order
-    counts.
+    row out. With fewer than ``min_rows`` samples of a key, or without a time, values are null. Of samples at one time the
+    one of largest values counts.
     """
     found = _aligned(left, right, key, time, values)
     if min_rows > 1:
@@ -111,11 +114,37 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, width: float, key: str | None = None) -> DataFrame:
-    """``[key,] bin, n`` of all bins between the smallest and the largest, empty ones too."""
+    """``[key,] bin, n`` of all bins between the smallest and the largest, empty ones too. Gaps are filled from each bin to
+    the next, so no array is longer than a gap."""
     keys = [key] if key else []
-    counted = df.groupBy(*keys, F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    span = counted.groupBy(*keys).agg(F.explode(F.sequence(F.min("bin"), F.max("bin"))).alias("bin"))
-    return span.join(counted, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    spans = counted.withColumn("__next", F.coalesce(F.lead("bin", 1).over(Window.partitionBy(*keys).orderBy("bin")) - 1, F.col("bin")))
+    spans = spans.withColumn("k", F.explode(F.sequence("bin", "__next")))
+    return spans.select(*keys, F.col("k").alias("bin"), F.when(F.col("k") == F.col("bin"), F.col("n")).otherwise(0).alias("n"))
+
+
+def evenly_picked(df: DataFrame, order: list[str], most: int, key: str) -> DataFrame:
+    """Of each key ``most`` rows at equal steps from the first to the last, or all where there are no more."""
+    w = Window.partitionBy(key)
+    rows = df.withColumns({"__last": F.count("*").over(w) - 1, "__at": F.row_number().over(w.orderBy(*order)) - 1})
+    # the i-th pick is row floor(i * last / (most - 1)); row k is one if the first i at or past it lands on it
+    pick = f"(__at * {most - 1} + __last - 1) div __last"
+    return rows.filter(f"__last < {most} or ({pick}) * __last div {most - 1} = __at").drop("__last", "__at")
+
+
+def monotonic_checks(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """``key, rising, repeated``: whether ``value`` never falls in the order, and how many rows repeat an earlier value."""
+    d = difference(value, ordered(key, order))
+    return df.withColumn("__d", d).groupBy(key).agg((F.count_if(F.col("__d") < 0) == 0).alias("rising"), (F.count(value) - F.count_distinct(value)).alias("repeated"))
+
+
+def realigned(df: DataFrame, scans: DataFrame, key: str, time: str, who: list[str], order: list[str]) -> DataFrame:
+    """``df`` with each time moved to the key's nearest scan, the earlier on ties, and of rows of one (key, time, who) the first
+    in order; times of a key without scans stay."""
+    names = df.columns
+    moved = nearest_join(df, scans.select(key, time).distinct(), key, time, [])
+    moved = moved.withColumn("__was", F.col(time)).withColumn(time, F.coalesce("matched_time", time))
+    return keep_first(moved, [key, time, *who], ["__was", *order]).select(*names)
 
 
 def every_kth(df: DataFrame, order: list[str], most: int, key: str) -> DataFrame:

@@ -102,12 +102,13 @@ def keep_first(spark, sf):
 
 
 def _two_sides(spark, sf):
+    """Every event asks for the purchases around it."""
     d = signal(spark, sf)
-    have = d.filter("event_id % 2 = 0").groupBy("user_id", "t").agg(F.max("value").alias("v"))
-    return d.filter("event_id % 2 = 1").select("user_id", "event_id", "t"), have
+    have = d.filter("event_type = 'purchase'").groupBy("user_id", "t").agg(F.max("value").alias("v"))
+    return d.select("user_id", "event_id", "t"), have
 
 
-SIDES = f"{SIGNAL}, have AS (SELECT user_id, t, max(value) AS v FROM sig WHERE event_id % 2 = 0 GROUP BY 1, 2), ask AS (SELECT user_id, event_id, t FROM sig WHERE event_id % 2 = 1), b AS (SELECT a.*, h.t AS bt, h.v AS bv FROM ask a ASOF LEFT JOIN have h ON a.user_id = h.user_id AND a.t >= h.t), ba AS (SELECT b.*, h.t AS nt, h.v AS nv FROM b ASOF LEFT JOIN have h ON b.user_id = h.user_id AND b.t <= h.t)"
+SIDES = f"{SIGNAL}, have AS (SELECT user_id, t, max(value) AS v FROM sig WHERE event_type = 'purchase' GROUP BY 1, 2), ask AS (SELECT user_id, event_id, t FROM sig), b AS (SELECT a.*, h.t AS bt, h.v AS bv FROM ask a ASOF LEFT JOIN have h ON a.user_id = h.user_id AND a.t >= h.t), ba AS (SELECT b.*, h.t AS nt, h.v AS nv FROM b ASOF LEFT JOIN have h ON b.user_id = h.user_id AND b.t <= h.t)"
 
 
 def _interpolated(edge: str):
@@ -147,11 +148,11 @@ def anti_join(spark, sf):
     return table(spark, sf, "customer").join(table(spark, sf, "orders").filter("o_totalprice > 350000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT o_orderkey, c_mktsegment, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 100000")
+@query("SELECT o_orderkey, c_mktsegment, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
 def lookup_join(spark, sf):
     """Dictionary and configuration joins; Spark broadcasts the side whose size is small."""
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
-    return o.filter("o_totalprice > 100000").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "c_mktsegment", "n_name")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "c_mktsegment", "n_name")
 
 
 @query("SELECT r_name, n_name, abs(r_regionkey - n_regionkey) AS gap FROM region, nation")
@@ -405,7 +406,20 @@ def association_diagnosis(spark, sf):
     return api.diagnosis_summary(api.diagnose(measured(spark, sf)))
 
 
-@query()
+PROFILE = """
+WITH e AS (
+  SELECT event_id, user_id, event_type, value AS x, CAST(json_extract(props, '$.k') AS DOUBLE) AS y, (epoch_us(ts) / 1e6 - (SELECT min(epoch_us(ts)) / 1e6 FROM events)) / 10000.0 AS time FROM events
+), v AS (
+  SELECT *, coalesce((x - lag(x) OVER w) / greatest(time - lag(time) OVER w, 0.1), 0) AS vx, coalesce((y - lag(y) OVER w) / greatest(time - lag(time) OVER w, 0.1), 0) AS vy FROM e WINDOW w AS (PARTITION BY user_id ORDER BY time, event_id)
+)
+SELECT CAST(user_id AS VARCHAR) AS callsign_true, event_type AS sensor, count(*) AS n, count(DISTINCT user_id) AS local_tracks, round(min(time), 6) AS first, round(max(time), 6) AS last,
+       round(avg(1 + user_id % 15), 6) AS mean_quality, round(avg(sqrt(vx * vx + vy * vy)), 6) AS mean_speed, 0::BIGINT AS clutter
+FROM v GROUP BY 1, 2
+"""
+
+
+@query(PROFILE)
 def sensor_profile(spark, sf):
     """Measurements by target and sensor."""
-    return api.sensor_profile(measured(spark, sf))
+    found = api.sensor_profile(measured(spark, sf))
+    return found.withColumns({c: F.round(c, 6) for c in ("first", "last", "mean_quality", "mean_speed")})
