@@ -86,47 +86,51 @@ def source_budgets(counted: DataFrame, settings: Settings) -> DataFrame:
     return rows.select("__source", "weight", "tokens", passes.alias("passes"), (F.col("due") - passes * F.col("tokens")).alias("rest"))
 
 
-def with_copies(docs: DataFrame, settings: Settings = Settings(), texts: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` as structs ``row`` with a row number ``__row``, and ``__row, __tokens, weight, copies`` for each.
-    Without ``texts`` only ``doc_id, source`` of ``docs`` are kept.
+#: Blocks that are broadcast at most, some 100 MB of them; more meet the rows in a join that shuffles both.
+BROADCAST_BLOCKS = 1_000_000
+
+
+def drawn(docs: DataFrame, settings: Settings, *keep: Column) -> DataFrame:
+    """``keep`` columns of ``docs`` as ``row``, and ``__tokens, weight, copies`` of each row.
 
     A null source is a source of its own. Documents without tokens come once each with every whole pass, never in part.
-    Null doc_ids and repeated rows are rows like others; ties in a block are ordered by doc_id, then tokens. An empty table
-    stays empty. A hot source is split in its blocks: no task ever holds more than one block's rows in order.
+    Null doc_ids and repeated rows are rows like others; ties in a block are ordered by doc_id, tokens and text. An empty
+    table stays empty. Whole blocks are drawn or left by a table of blocks that every task has, so texts are not moved; only
+    the one block of each source that is entered in part has its rows ordered. A source's blocks grow with ``digits``.
     """
     s = settings
     scratch = Scratch(docs.sparkSession, "mixing")
     hashed = F.md5(F.concat(F.lit(s.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    # the row number is saved with the rows: a later scan could deal them otherwise
     source = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
-    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("__row"), source.alias("__source"), token_count(F.col("text")).alias("__tokens"), hashed.alias("__hash"), F.col("doc_id").alias("__id"), F.col("source").alias("__from"))
-    rows = scratch.save(rows, "rows") if texts else rows
-    counted = scratch.save(rows.select("__row", "__source", "__tokens", "__hash", "__id", "__from", F.substring("__hash", 1, s.digits).alias("__block")), "counted")
-    budgets = scratch.save(source_budgets(counted, s), "budgets")
-    blocks = counted.groupBy("__source", "__block").agg(F.sum("__tokens").alias("n"))
+    rows = docs.select(F.struct(*keep).alias("row"), source.alias("__source"), token_count(F.col("text")).alias("__tokens"), hashed.alias("__hash"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text"))
+    rows = rows.withColumn("__block", F.substring("__hash", 1, s.digits))
+    blocks = scratch.save(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("n")), "counts")
+    budgets = scratch.save(source_budgets(blocks.withColumnRenamed("n", "__tokens"), s), "budgets")
     order = F.md5(F.concat(F.lit(s.seed + "/"), "__source", F.lit("/"), "__block"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.withColumn("before", before).join(budgets, "__source")
-    left = F.col("rest") - F.col("before")
-    blocks = scratch.save(blocks.select("__source", "__block", "weight", "passes", "n", left.alias("left")), "blocks")
-    placed = counted.join(blocks, ["__source", "__block"], "left")
-    whole = placed.filter("coalesce(left, 0) <= 0 or left >= n").select("__row", "__tokens", "weight", (F.coalesce("passes", F.lit(1)) + F.when((F.col("left") >= F.col("n")) & (F.col("left") > 0), 1).otherwise(0)).alias("copies"))
+    blocks = scratch.save(blocks.select("__source", "__block", "weight", "passes", "n", (F.col("rest") - F.col("before")).alias("left")), "blocks")
+    small = blocks.count() <= BROADCAST_BLOCKS
+    placed = rows.join(F.broadcast(blocks) if small else blocks, ["__source", "__block"], "left")
+    more = F.when((F.col("left") >= F.col("n")) & (F.col("left") > 0), 1).otherwise(0)
+    whole = placed.filter("coalesce(left, 0) <= 0 or left >= n").select("row", "__tokens", "weight", (F.coalesce("passes", F.lit(1)) + more).alias("copies"))
     # one block for each source at most is entered in part
-    run = F.coalesce(F.sum("__tokens").over(Window.partitionBy("__source", "__block").orderBy("__hash", "__id", "__tokens", "__row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = placed.filter("left > 0 and left < n").withColumn("run", run).select("__row", "__tokens", "weight", (F.col("passes") + F.when(F.col("run") < F.col("left"), 1).otherwise(0)).alias("copies"))
-    return rows.select("__row", "row") if texts else counted.select("__row", F.col("__id").alias("doc_id"), F.col("__from").alias("source")), scratch.save(whole.union(part), "copies")
+    w = Window.partitionBy("__source", "__block").orderBy("__hash", "__id", "__tokens", "__text").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.coalesce(F.sum("__tokens").over(w), F.lit(0))
+    part = placed.filter("left > 0 and left < n").withColumn("run", run).select("row", "__tokens", "weight", (F.col("passes") + F.when(F.col("run") < F.col("left"), 1).otherwise(0)).alias("copies"))
+    return whole.union(part)
 
 
 def allocate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, source, n_tokens, weight, copies``: how often each document is drawn."""
-    rows, copies = with_copies(docs, settings, texts=False)
-    return rows.select("__row", "doc_id", "source").join(copies, "__row").select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("copies").cast("long").alias("copies"))
+    """``doc_id, source, n_tokens, weight, copies``: how often each document is drawn; rows of every kind as in
+    :func:`drawn`, a very long text counted whole, other columns ignored."""
+    rows = drawn(docs, settings, F.col("doc_id"), F.col("source"))
+    return rows.select("row.doc_id", "row.source", F.col("__tokens").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("copies").cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with each row repeated as often as it is drawn. All columns stay, whatever their names; null sources, ids and
-    texts, empty texts, ties, repeated rows and an empty table are as in :func:`with_copies`; a very long text is one row
-    that may end its source's budget late."""
-    rows, copies = with_copies(docs, settings)
-    drawn = rows.select("__row", "row").join(copies.filter("copies > 0").select("__row", "copies"), "__row")
-    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    texts, empty texts, ties, repeated rows and an empty table are as in :func:`drawn`; a very long text is one row that may
+    end its source's budget late."""
+    rows = drawn(docs, settings, F.col("*"))
+    return rows.filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
