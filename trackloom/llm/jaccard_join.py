@@ -34,6 +34,7 @@ LIGHT = 2
 CROWD = 0.2
 PAIRS = 16
 BLOCK = 2048
+FIRST = 8
 HEAVY = 8
 SALTS = 16
 DELETION = 128
@@ -442,8 +443,10 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     large = large.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nid")
 
     def candidates(roots: DataFrame | None, every: bool) -> DataFrame:
-        """``a, b, ra, rb``: pairs of different roots, all of them or enough to connect what they connect."""
-        cells, pairs = large.withColumn("root", F.col("nid")), small.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        """``a, b, ra, rb``: pairs of different roots, all of them or enough to connect what they connect. Without roots yet,
+        from one in FIRST of the large buckets: near copies share many, and what they leave comes with the roots."""
+        cells = large.filter(F.pmod(F.xxhash64("sig"), F.lit(FIRST)) == 0).withColumn("root", F.col("nid"))
+        pairs = small.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
         if roots is not None:
             cells = large.join(roots, F.col("nid") == F.col("node"), "left").select(*large.columns, F.coalesce("root", "nid").alias("root"))
             live = cells.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
@@ -465,21 +468,27 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
             keep = pa.array([k for k in range(len(data)) if node_of(shingles(data[k], width)) == nid[k]], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["nid", "data"])
 
-    pool = scratch.save(candidates(None, False), "pool")
-    ends = pool.select(F.col("a").alias("nid")).union(pool.select("b")).distinct()
-    wanted = scratch.save(nodes.join(ends, "nid").select("nid", "own.did", "own.tag"), "wanted")
-    fetched = sieve(texts, wanted, ["did", "tag"]).join(wanted, ["did", "tag"]).select("nid", "data")
-    fetched = scratch.save(fetched.mapInArrow(pick, "nid long, data binary"), "texts")
-
-    def verified(todo: DataFrame, name: str) -> DataFrame:
+    def fetched(todo: DataFrame, have: DataFrame | None, name: str) -> DataFrame:
+        """``nid, data`` of the nodes of some pairs, one document's text for each, beside those that are there already."""
+        ends = todo.select(F.col("a").alias("nid")).union(todo.select("b")).distinct()
+        ends = ends if have is None else ends.join(have.select("nid"), "nid", "left_anti")
+        wanted = scratch.save(nodes.join(ends, "nid").select("nid", "own.did", "own.tag"), f"wanted-{name}")
+        if have is not None and not wanted.limit(1).count():
+            return have
+        found = sieve(texts, wanted, ["did", "tag"]).join(wanted, ["did", "tag"]).select("nid", "data")
+        found = scratch.save(found.mapInArrow(pick, "nid long, data binary"), f"texts-{name}")
+        return found if have is None else have.union(found)
+
+    def verified(todo: DataFrame, data: DataFrame, name: str) -> DataFrame:
         salted = todo.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-        members = salted.join(fetched.withColumnRenamed("nid", "b"), "b").select("a", "salt", "b", "data")
-        pivots = salted.select("a", "salt").distinct().join(fetched.withColumnRenamed("nid", "a"), "a").select("a", "salt", F.col("a").alias("b"), "data")
+        members = salted.join(data.withColumnRenamed("nid", "b"), "b").select("a", "salt", "b", "data")
+        pivots = salted.select("a", "salt").distinct().join(data.withColumnRenamed("nid", "a"), "a").select("a", "salt", F.col("a").alias("b"), "data")
         rows = members.union(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b") != F.col("a"))
         return scratch.save(rows.select("a", "b", "data").mapInArrow(_verify(width, percent), "a long, b long").distinct(), name)
 
-    tested = scratch.save(forest(pool), "tested-0")
-    links = verified(tested, "links-0")
+    tested = scratch.save(forest(scratch.save(candidates(None, False), "pool")), "tested-0")
+    data = fetched(tested, None, "0")
+    links = verified(tested, data, "links-0")
     roots = scratch.save(connected(links, scratch, "star-0"), "roots-0")
     for turn in (1, 2):  # once more a forest, over the trees found; then every pair that could still join two of them
         open_ = scratch.save(candidates(roots, turn == 2).join(tested, ["a", "b"], "left_anti"), f"open-{turn}")
@@ -488,7 +497,8 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
                 break
             continue
         todo = scratch.save(forest(open_) if turn == 1 else open_.select("a", "b").distinct(), f"tested-{turn}")
-        more = verified(todo, f"links-{turn}")
+        data = fetched(todo, data, str(turn))
+        more = verified(todo, data, f"links-{turn}")
         tested = tested.union(todo)
         if more.limit(1).count():
             links = links.union(more)
