@@ -89,17 +89,18 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(y, -30, 30)))
 
 
-def select_terms(rows: list[np.ndarray], labels: np.ndarray, space: int, kept: int) -> np.ndarray:
-    """Terms of largest signed chi statistic against the labels; ties go to the smaller hash."""
+def select_terms(texts: list[bytes], labels: np.ndarray, settings: Settings) -> np.ndarray:
+    """Terms of largest signed chi statistic against the labels; ties go to the smaller hash. One text's terms at a time."""
+    space = 1 << settings.bits
     pos, neg = np.zeros(space), np.zeros(space)
-    for terms, label in zip(rows, labels):
-        (pos if label else neg)[terms] += 1
+    for text, label in zip(texts, labels):
+        (pos if label else neg)[terms_of([text], settings.sizes, settings.bits)[1]] += 1
     p, n = max(labels.sum(), 1), max(len(labels) - labels.sum(), 1)
     seen = pos + neg
     rate = seen / (p + n)
     weight = np.abs(pos / p - neg / n) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / p + 1 / n))
     weight[seen < 3] = 0
-    order = np.lexsort((np.arange(space), -weight))[:kept]
+    order = np.lexsort((np.arange(space), -weight))[: settings.kept_terms]
     return np.sort(order[weight[order] > 0])
 
 
@@ -112,20 +113,18 @@ def fit(texts: list[bytes], labels: np.ndarray, settings: Settings = Settings())
     share = (labels.sum() + 0.1) / (len(labels) + 1.0)
     if not len(labels) or labels.min() == labels.max():
         return Model(s, place, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, s.rank)))
-    rows = [terms_of([x], s.sizes, s.bits)[1] for x in texts]
-    terms = select_terms(rows, labels, space, s.kept_terms)
+    terms = select_terms(texts, labels, s)
     place[terms] = np.arange(len(terms))
-    inside = [at[at >= 0] for at in (place[r] for r in rows)]
-    x = np.zeros((len(rows), len(terms)), np.float32)
-    for k, at in enumerate(inside):
-        x[k, at] = 1
+    x = np.zeros((len(texts), len(terms)), np.float32)
+    for k, text in enumerate(texts):
+        x[k, terms_of([text], s.sizes, s.bits, place)[1]] = 1
     rng, f32 = np.random.default_rng(s.seed), np.float32
     w, v, bias = np.zeros(len(terms), f32), rng.normal(0, 0.01, (len(terms), s.rank)).astype(f32), f32(np.log(share / (1 - share)))
     gw, gv, gb = np.full(len(terms), 1e-3, f32), np.full(v.shape, 1e-3, f32), 1e-3
     # rejecting a clean text is the worse mistake: the clean class weighs three times as much in all
     weight = np.where(labels == 1, 0.25 / labels.sum(), 0.75 / (labels == 0).sum()).astype(f32) * len(labels)
     for _ in range(s.epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(texts))
         for k in range(0, len(order), 256):
             part = order[k : k + 256]
             b = x[part]
