@@ -84,3 +84,31 @@ def test_stacked_filters_equal_single_ones():
         for a, b in zip(one.tracks, many.tracks):
             assert a.x == pytest.approx(b.x, rel=1e-9, abs=1e-6) and a.p == pytest.approx(b.p, rel=1e-9, abs=1e-6)
             assert a.modes["xy"][2] == pytest.approx(b.modes["xy"][2], rel=1e-9)
+
+
+def test_diagnosis_gives_the_gate_that_failed():
+    engine, events = t.Engine("advanced"), []
+    m = lambda x, source, vx=0.0: t.Measurement(np.array([x, vx, 0, 0, 0, 0.0]), np.diag([100, 4] * 3).astype(float), 15, "R", ("R", source), "T")
+    engine.step(0.0, [m(0.0, "1")], events)
+    engine.step(1.0, [m(5.0, "1")], events)
+    engine.step(2.0, [m(5000.0, "1")], events)
+    first, second, third = (e for e in events if e["event_type"] == "measurement")
+    assert first["result"] == "SOURCE_MAP_NOT_FOUND;NO_ACTIVE_TRACK;NEW_TRACK_CREATED" and first["created_global_track_id"] == "GT-0001"
+    assert second["result"] == "ACCEPTED" and second["accepted_global_track_id"] == "GT-0001" and second["d2"] < second["effective_gate"] == 22.5
+    assert third["result"] == "MAHALANOBIS_GATE_FAIL;NEW_TRACK_CREATED" and third["position_innovation_m"] > 4000 and third["source_map_found"]
+    engine.step(60.0, [], events)
+    gone = [e for e in events if e["event_type"] == "track_deleted"]
+    assert {e["assigned_global_track_id"] for e in gone} == {"GT-0001", "GT-0002"} and gone[0]["labels"] == ["T"] and gone[0]["was"] == "TENTATIVE"
+
+
+def test_debug_summary(spark):
+    from trackloom.operators import generators as g
+    from trackloom.plans import api, queries
+
+    sensor = g.simulate(queries.truth(spark, seconds=60.0)).persist()
+    debug = api.association_debug(sensor).persist()
+    rows = debug.filter("event_type = 'measurement'")
+    assert rows.count() == sensor.count() and rows.filter("result is null or measurement_accepted <> (accepted_global_track_id is not null)").isEmpty()
+    own = api.debug_summary(debug, "T1").first()
+    assert own.total_measurements == own.accepted + own.rejected == sensor.filter("callsign_true = 'T1'").count()
+    assert own.new_tracks == own.rejected and own.accepted > 0 and own.max_effective_gate >= 22.5

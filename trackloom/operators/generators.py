@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as s
-from trackloom.operators.timeseries import gradient, interpolation_join, ordered, unwrap
+from trackloom.operators.timeseries import gradient, interpolation_join, ordered, realigned, unwrap
 
 GT = ["scenario", "callsign", "time", "x", "y", "z", "vx", "vy", "vz"]
 
@@ -298,6 +298,37 @@ def simulate_realistic(gt: DataFrame, radars: tuple[Radar, ...] = REALISTIC, see
     return found.unionByName(false).withColumn("ord", F.row_number().over(order).cast("long"))
 
 
+def target_measurements(gt: DataFrame, radars: tuple[Radar, ...] = REALISTIC, seed: int = 42, noise_scale: float = 1.0, detection_probability: float | None = None) -> DataFrame:
+    """Measurements of the targets alone, without clutter; errors about the truth ``noise_scale`` times as large, and another
+    chance of detection where one is given."""
+    if noise_scale <= 0:
+        raise ValueError("noise_scale must be over 0")
+    if detection_probability is not None and not 0 <= detection_probability <= 1:
+        raise ValueError("detection_probability must be between 0 and 1")
+    if detection_probability is not None:
+        radars = tuple(replace(r, pd=detection_probability, pd_min=min(r.pd_min, detection_probability)) for r in radars)
+    real = all(r.realistic for r in radars)
+    found = (simulate_realistic(gt, radars, seed, 0, 0) if real else simulate(gt, radars, seed)).filter("not is_clutter")
+    if noise_scale == 1.0:
+        return found
+    late = F.coalesce(*(F.when(F.col("sensor") == r.name, r.latency) for r in radars))
+    names, axes = found.columns, ["x", "y", "z", "vx", "vy", "vz"]
+    whose = lambda df, c: df.withColumn("__key", F.concat_ws("/", "scenario", c))
+    truth = whose(gt, "callsign").select("__key", F.col("time").alias("__time"), *(F.col(c).alias(f"true_{c}") for c in axes))
+    beside = interpolation_join(whose(found, "callsign_true").withColumn("__time", F.col("time") - late), truth, "__key", "__time", [f"true_{c}" for c in axes], edge="clamp")
+    scaled = {c: F.col(f"true_{c}") + noise_scale * (F.col(c) - F.col(f"true_{c}")) for c in axes} | {c: noise_scale * F.col(c) for c in ("sigma_pos_m", "sigma_vel_mps")}
+    return beside.withColumns(scaled).select(*names)
+
+
+def add_target(sensor: DataFrame, target: DataFrame, callsign: str) -> DataFrame:
+    """``sensor`` with the measurements of one target replaced by ``target``, moved to each radar's nearest scan, one for a
+    scan; the other rows stay as they are."""
+    base = sensor.filter(~F.col("callsign_true").eqNullSafe(F.lit(callsign)))
+    keyed = lambda df: df.withColumn("__key", F.concat_ws("/", "scenario", "sensor"))
+    moved = realigned(keyed(target), keyed(base).filter("time is not null"), "__key", "time", ["callsign_true"], ["ord"])
+    return base.unionByName(moved.drop("__key"))
+
+
 def separations(track: DataFrame, others: DataFrame) -> DataFrame:
     """``callsign, min_distance``: least distance of ``track`` to each other target at its own times."""
     parts = others.select("callsign").distinct()

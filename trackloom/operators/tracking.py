@@ -52,6 +52,9 @@ class Track:
     nis: float = 0.0
     score: float = 0.0
     modes: dict[str, Any] = field(default_factory=dict)
+    # of a diagnosis only: the labels of its measurements, its status before the last prediction
+    labels: set = field(default_factory=set)
+    was: str = ""
 
 
 def start_probability(tq: float) -> float:
@@ -76,7 +79,7 @@ class Basic:
     """Constant velocity, one measurement at a time, linear fusion under assumed cross-covariance."""
 
     name, one_by_one, position, velocity = "basic", True, POSITION6, VELOCITY6
-    chi2_duplicate, source_map = 16.0, False
+    chi2_duplicate, source_map, base_gate = 16.0, False, 25.0
 
     least_variance = 1e-12
 
@@ -118,6 +121,22 @@ class Basic:
         sign, logdet = np.linalg.slogdet(s)
         return np.where(d < 25.0, d + np.where(sign > 0, logdet, 0.0), np.inf), d
 
+    def gate(self, t: Track) -> float:
+        return self.base_gate
+
+    def candidates(self, tracks: list[Track], ms: list[Measurement]) -> list[list[dict]]:
+        """For each measurement what a diagnosis wants to know of each track: innovations, distance, gates and cost."""
+        seen = SEEN9 if tracks and len(tracks[0].x) == 9 else np.arange(6)
+        out = []
+        for m in ms:
+            own = []
+            for t in tracks:
+                d, c = t.x[seen] - m.z, t.p[np.ix_(seen, seen)] + m.r
+                d2 = float(k.mahalanobis(d, c))
+                own.append({"predicted_global_track_id": t.id, "position_innovation_m": float(np.linalg.norm(d[POSITION6])), "velocity_innovation_mps": float(np.linalg.norm(d[VELOCITY6])), "d2": d2, "base_gate": self.base_gate, "effective_gate": self.gate(t), "q_scale": t.q_scale, "maneuver_score": t.score, "last_nis": t.nis, "assignment_cost": d2 + max(0.0, float(np.linalg.slogdet(c)[1]))})
+            out.append(own)
+        return out
+
     def update(self, t: Track, m: Measurement, nis: float) -> None:
         t.x, t.p = k.cross_lmmse(t.x, t.p, m.z, m.r)
         self.hit(t, m)
@@ -147,7 +166,7 @@ class Advanced(Basic):
 
     name, one_by_one, position, velocity, source_map, source_ttl = "advanced", False, POSITION9, VELOCITY9, True, np.inf
 
-    least_variance = 1e-6
+    least_variance, base_gate = 1e-6, 22.5
 
     def __init__(self, use_ci: bool = True, adaptive: bool = True):
         self.use_ci, self.adaptive = use_ci, adaptive
@@ -172,7 +191,7 @@ class Advanced(Basic):
             t.status = "CONFIRMED"
 
     def gate(self, t: Track) -> float:
-        return 22.5 * (min(1.8, max(1.0, 1 + 0.8 * t.score)) if t.score > 0.6 else 1.0)
+        return self.base_gate * (min(1.8, max(1.0, 1 + 0.8 * t.score)) if t.score > 0.6 else 1.0)
 
     def costs(self, tracks, ms):
         s = np.array([t.p for t in tracks])[:, SEEN9[:, None], SEEN9][:, None] + np.array([m.r for m in ms])[None]
@@ -211,7 +230,14 @@ class Advanced(Basic):
 class Imm(Advanced):
     """Interacting multiple models, horizontal and vertical apart, by Kalman updates."""
 
-    name, source_ttl, revive_window = "imm", 20.0, 10.0
+    name, source_ttl, revive_window, base_gate = "imm", 20.0, 10.0, k.CHI2_997[4] + k.CHI2_997[2]
+
+    def gate(self, t: Track) -> float:
+        """What horizontal and vertical distances may reach together."""
+        return self.base_gate * self.widened(t)
+
+    def widened(self, t: Track) -> float:
+        return 1.0 if self.dominant(t)[0] == "CV" else 1.4
 
     def covariance(self, sp: float, sv: float, tq: float, z: np.ndarray, flat: bool, polar: np.ndarray) -> np.ndarray:
         """Each sigma of its own, else the quality's; heights are worse with range, blind where there is none; polar errors,
@@ -290,7 +316,7 @@ class Imm(Advanced):
         s = np.array([t.p for t in tracks])[:, SEEN9[:, None], SEEN9][:, None] + np.array([m.r for m in ms])[None]
         d = np.array([t.x for t in tracks])[:, SEEN9][:, None] - np.array([m.z for m in ms])[None]
         xy, z = k.mahalanobis(d[..., :4], s[..., :4, :4]), k.mahalanobis(d[..., 4:], s[..., 4:, 4:])
-        wide = np.array([1.0 if self.dominant(t)[0] == "CV" else 1.4 for t in tracks])[:, None]
+        wide = np.array([self.widened(t) for t in tracks])[:, None]
         return np.where((xy < k.CHI2_997[4] * wide) & (z < k.CHI2_997[2] * wide), xy + z, np.inf), xy + z
 
     def update(self, t: Track, m: Measurement, nis: float) -> None:
@@ -352,14 +378,20 @@ class Engine:
 
     def _associate(self, time: float, ms: list[Measurement], events: list[dict] | None) -> None:
         policy = self.policy
+        if events is not None:
+            for t in self.tracks:
+                t.was = t.status
         policy.predict_all(self.tracks, time)
         window = getattr(policy, "revive_window", 0.0)
+        if events is not None:
+            events += [{"event_type": "track_deleted", "time": time, "assigned_global_track_id": t.id, "labels": sorted(t.labels), "was": t.was} for t in self.tracks if t.status == "DELETED"]
         self.deleted = [(at, t) for at, t in self.deleted + [(time, t) for t in self.tracks if t.status == "DELETED"] if time - at <= window and window]
         self.tracks = [t for t in self.tracks if t.status != "DELETED"]
         alive = {t.id: n for n, t in enumerate(self.tracks)}
         self.sources = {s: (i, at) for s, (i, at) in self.sources.items() if i in alive and time - at <= policy.source_ttl} if policy.source_map else {}
         stage: dict[int, tuple[str, Track]] = {}
         cost, distance = policy.costs(self.tracks, ms) if self.tracks and ms else (np.zeros((len(self.tracks), len(ms))),) * 2
+        known = [] if events is None else self._known(ms, alive)
         taken: set[int] = set()
         pairs: list[tuple[Track, Measurement, float]] = []
         for j, m in enumerate(ms):  # who saw a track last has the first claim
@@ -384,7 +416,35 @@ class Engine:
             if policy.source_map:
                 self.sources[m.source] = (stage[j][1].id, time)
             if events is not None:
-                events.append({"event_type": "measurement", "time": time, "label": m.label, "sensor": m.sensor, "local_track_id": m.source[1], "accepted_stage": stage[j][0], "assigned_global_track_id": stage[j][1].id})
+                stage[j][1].labels.add(m.label)
+                events.append({"event_type": "measurement", "time": time, "label": m.label, "sensor": m.sensor, "local_track_id": m.source[1], "accepted_stage": stage[j][0], "assigned_global_track_id": stage[j][1].id} | self._judged(known[j], *stage[j]))
+
+    def _known(self, ms: list[Measurement], alive: dict[str, int]) -> list[dict]:
+        """What a diagnosis notes of each measurement before any is used."""
+        out = []
+        for m, own in zip(ms, self.policy.candidates(self.tracks, ms)):
+            mapped = self.sources.get(m.source, ("", 0.0))[0]
+            first = next((c for c in own if c["predicted_global_track_id"] == mapped), None) or min(own, key=lambda c: c["assignment_cost"], default=None)
+            out.append({"source_map_found": mapped in alive, "active_track_count": len(self.tracks), "candidates": {c["predicted_global_track_id"]: c for c in own}, "first": first})
+        return out
+
+    def _judged(self, known: dict, stage: str, track: Track) -> dict:
+        """Why a measurement was accepted, or by which gate it was not."""
+        accepted = stage in ("source_map", "hungarian", "revive")
+        own = (known["candidates"].get(track.id) if accepted else None) or known["first"] or {"base_gate": self.policy.base_gate, "effective_gate": self.policy.base_gate}
+        reasons = ["ACCEPTED"]
+        if not accepted:
+            reasons = [] if known["source_map_found"] else ["SOURCE_MAP_NOT_FOUND"]
+            if not known["active_track_count"]:
+                reasons.append("NO_ACTIVE_TRACK")
+            elif not own["d2"] < own["effective_gate"]:
+                reasons.append("MAHALANOBIS_GATE_FAIL")
+            elif own["velocity_innovation_mps"] > 120.0:
+                reasons.append("VELOCITY_GATE_FAIL")
+            else:
+                reasons.append("HUNGARIAN_NOT_SELECTED")
+            reasons.append("NEW_TRACK_CREATED")
+        return {"source_map_found": known["source_map_found"], "active_track_count": known["active_track_count"], "accepted_global_track_id": track.id if accepted else None, "created_global_track_id": None if accepted else track.id, "measurement_accepted": accepted, "result": ";".join(reasons)} | own
 
     def _revive(self, time: float, m: Measurement) -> tuple[str, Track] | None:
         reach = [self.policy.can_revive(t, m, time - at) for at, t in self.deleted]

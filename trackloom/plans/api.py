@@ -50,13 +50,52 @@ def diagnose(sensor: DataFrame, algorithm: str = "imm") -> DataFrame:
         engine, events = tracking.Engine(algorithm), []
         for time, ms in tracking.measurements(frame, engine.policy):
             engine.step(time, ms, events)
-        got = pd.DataFrame(events, columns=[c.split()[0] for c in EVENTS.split(", ")][1:])
+        got = pd.DataFrame([e for e in events if e["event_type"] == "measurement"], columns=[c.split()[0] for c in EVENTS.split(", ")][1:])
         got.insert(0, "scenario", str(frame["scenario"].iloc[0]))
         return got
 
     return sensor.groupBy("scenario").applyInPandas(run, EVENTS)
 
 
+DEBUG = (
+    "scenario string, event_type string, time double, label string, sensor string, local_track_id string, source_map_found boolean, active_track_count int, predicted_global_track_id string, "
+    "position_innovation_m double, velocity_innovation_mps double, d2 double, base_gate double, effective_gate double, q_scale double, maneuver_score double, last_nis double, assignment_cost double, "
+    "accepted_global_track_id string, created_global_track_id string, measurement_accepted boolean, result string, assigned_global_track_id string, was string, labels array<string>"
+)
+
+
+def association_debug(sensor: DataFrame, algorithm: str = "advanced") -> DataFrame:
+    """A row for each measurement with the innovations, distance and gates of the track that took it, or of the one that
+    should have, and the reasons; and one for each deletion of a track, with its status before and its measurements' labels."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        engine, events = tracking.Engine(algorithm), []
+        for time, ms in tracking.measurements(frame, engine.policy):
+            engine.step(time, ms, events)
+        # kinds of events have different columns: None, not NaN, where one has none
+        got = pd.DataFrame(events, columns=[c.split()[0] for c in DEBUG.split(", ")][1:], dtype=object)
+        got = got.where(got.notna(), None)
+        got.insert(0, "scenario", str(frame["scenario"].iloc[0]))
+        return got
+
+    return sensor.groupBy("scenario").applyInPandas(run, DEBUG)
+
+
+def debug_summary(debug: DataFrame, target: str) -> DataFrame:
+    """``scenario`` and the counts of one target's measurements by result, its tracks, and the largest adaptive values."""
+    own = debug.filter((F.col("event_type") == "measurement") & (F.col("label") == target))
+    why = lambda x: F.count_if(F.col("result").contains(x))
+    made = F.count("created_global_track_id")
+    ids = F.count_distinct(F.coalesce("accepted_global_track_id", "created_global_track_id"))
+    rows = own.groupBy("scenario").agg(
+        F.count("*").alias("total_measurements"), F.count_if("measurement_accepted").alias("accepted"), F.count_if(~F.col("measurement_accepted")).alias("rejected"), F.count_if(F.col("d2") < F.col("effective_gate")).alias("gate_inside"),
+        why("MAHALANOBIS_GATE_FAIL").alias("gate_rejected"), why("VELOCITY_GATE_FAIL").alias("velocity_rejected"), why("HUNGARIAN_NOT_SELECTED").alias("hungarian_rejected"), made.alias("new_tracks"), F.greatest(made - 1, F.lit(0)).alias("track_recreations"),
+        ids.alias("unique_global_track_ids"), F.max("q_scale").alias("max_q_scale"), F.max("maneuver_score").alias("max_maneuver_score"), F.max("effective_gate").alias("max_effective_gate"),
+    )
+    gone = debug.filter((F.col("event_type") == "track_deleted") & F.array_contains("labels", target)).groupBy("scenario").agg(F.count("*").alias("track_deletions"), F.count_if(F.col("was") == "CONFIRMED").alias("confirmed_track_deletions"), F.count_if(F.col("was") == "TENTATIVE").alias("tentative_track_deletions"))
+    return rows.join(gone, "scenario", "left").fillna(0, ["track_deletions", "confirmed_track_deletions", "tentative_track_deletions"])
+
+
 def diagnosis_summary(events: DataFrame) -> DataFrame:
     stage = F.col("accepted_stage")
     return events.groupBy("scenario", "label").agg(F.count("*").alias("n"), *(F.count_if(stage == x).alias(x) for x in ("source_map", "hungarian", "revive", "create")), F.count_distinct("assigned_global_track_id").alias("tracks"), F.array_join(F.array_sort(F.collect_set("sensor")), ", ").alias("sensors"))

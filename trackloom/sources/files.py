@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 GROUND_TRUTH = "time double, x double, y double, z double, vx double, vy double, vz double, callsign string, lat double, lon double, alt_m double, time_unix double"
 ALIASES = {"time": ("time", "t", "timestamp"), "x": ("x", "x_m", "pos_x"), "y": ("y", "y_m", "pos_y"), "z": ("z", "z_m", "alt", "alt_m"), "callsign": ("callsign", "target", "id")}
 
+from trackloom.operators.timeseries import same_rows
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Headed CSV by column name; columns that a file lacks are null, others are ignored."""
@@ -58,10 +60,31 @@ def replace_target(existing: DataFrame, target: DataFrame, key: str, value: str)
     return existing.filter(~F.col(key).eqNullSafe(F.lit(value))).unionByName(target, allowMissingColumns=True)
 
 
+def update_in_place(spark: SparkSession, path: str, target: DataFrame, key: str, value: str, merge=replace_target) -> DataFrame:
+    """The Parquet table at ``path`` with one key value's rows replaced by ``target``. ``merge(existing, target, key, value)``
+    is written beside the table, read back, and takes its place only if all other rows are as they were; else ValueError, and
+    the table stays."""
+    old = spark.read.parquet(path)
+    staged = path.rstrip("/") + "__staged"
+    merge(old, target, key, value).write.mode("overwrite").parquet(staged)
+    new = spark.read.parquet(staged)
+    others = lambda df: df.filter(~F.col(key).eqNullSafe(F.lit(value)))
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    here, there = jvm.Path(path), jvm.Path(staged)
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not same_rows(others(old), others(new)):
+        fs.delete(there, True)
+        raise ValueError(f"{path}: rows of other targets would change")
+    fs.delete(here, True)
+    fs.rename(there, here)
+    return spark.read.schema(new.schema).parquet(path)
+
+
 def write_scenario(tables: dict[str, DataFrame], folder: str, window: tuple[float, float] | None = None, fmt: str = "parquet") -> None:
-    """Each table under ``folder``, cut to the time window if there is one."""
+    """Each table under ``folder``: cut to the time window, or whole and in canonical form, without the columns that hold one
+    target's extras only."""
     for name, df in tables.items():
-        rows = df.filter(F.col("time").between(*window)) if window else df
+        rows = df.filter(F.col("time").between(*window)) if window else df.drop(*(c for c in df.columns if c.startswith("spiral_")))
         writer = rows.write.mode("overwrite")
         (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(f"{folder}/{name}")
 
