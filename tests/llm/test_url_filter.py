@@ -47,5 +47,14 @@ def test_tree_extends_labels(spark):
     assert {got[k].verdict for k in range(106, 215)} == {"allow"}
 
 
+def test_hosts_without_rules_take_the_shares_of_all_hosts(spark):
+    rules = (u.Rule("a.org", "/casino/", "block"), u.Rule("b.org", "/casino/", "block"), u.Rule("a.org", "/docs/", "allow"))
+    urls = [f"http://{h}.org/casino/{k}" for h in "ab" for k in range(60)] + [f"http://a.org/docs/{k}" for k in range(60)]
+    urls += [f"http://new.org/{part}/{k}" for part in ("casino", "docs") for k in range(5)]
+    got = {r.page_id: r for r in u.judge(frame(spark, urls), rules).collect()}
+    assert {got[k].verdict for k in range(180, 185)} == {"block"} and {got[k].verdict for k in range(185, 190)} == {"allow"}
+    assert got[180].rule is None and got[180].template.startswith("casino")
+
+
 def test_empty(spark):
     assert u.judge(frame(spark, [])).collect() == []

@@ -2,8 +2,8 @@
 
 The tree: below each host, a segment that varies is generalised to a wildcard of its kind, level by level; branches whose
 labels are statistically alike are merged; and every template gets a smoothed share of bad labels. Labels are the verdicts
-of the rules themselves, so the tree extends what the rules state to look-alike templates of the same host, then of all
-hosts. Everything works on counts of distinct templates: a hot host is summed before anything is shuffled.
+of the rules themselves, so the tree extends what the rules state to look-alike templates of the same host; a host of which
+the rules say nothing takes its templates' shares from a tree over all hosts together. Everything works on counts of distinct templates: a hot host is summed before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import Scratch
 
+#: Host of the tree over all hosts; no host of a url holds a slash.
+ALL = "/"
 AZ, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -103,8 +105,10 @@ def template_tree(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     wildcard of its direction. Unlabelled pages count ``unknown_weight`` each as not bad.
     """
     s, scratch = settings, Scratch(pages.sparkSession, "urls")
-    rows = pages.select("host", segments(F.col("path"), s.depth).alias("key"), F.when(F.col("verdict") == "block", 1.0).otherwise(0.0).alias("bad"), F.when(F.col("verdict").isNull(), s.unknown_weight).otherwise(1.0).alias("w"))
-    tree = rows.groupBy("host", "key").agg(F.sum("w").alias("w"), F.sum("bad").alias("bad")).withColumn("template", F.array().cast("array<string>"))
+    rows = pages.select("host", segments(F.col("path"), s.depth).alias("key"), F.when(F.col("verdict") == "block", 1.0).otherwise(0.0).alias("bad"), F.when(F.col("verdict").isNull(), s.unknown_weight).otherwise(1.0).alias("w"), F.col("verdict").isNotNull().cast("long").alias("known"))
+    sums = [F.sum("w").alias("w"), F.sum("bad").alias("bad"), F.sum("known").alias("known")]
+    own = scratch.save(rows.groupBy("host", "key").agg(*sums), "counts")
+    tree = own.unionByName(own.groupBy("key").agg(*sums).withColumn("host", F.lit(ALL))).withColumn("template", F.array().cast("array<string>"))
     tree = scratch.save(tree, "level-0")
     for level in range(s.depth + 1):
         tree = tree.withColumn("segment", F.coalesce(F.get("key", F.lit(level)), F.lit("")))
@@ -114,24 +118,30 @@ def template_tree(pages: DataFrame, settings: Settings = Settings()) -> DataFram
         z = (F.col("b1") / F.col("w1") - share) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-6)) / F.col("w1"))
         step = F.when(F.col("segment") == "", "").when((F.abs(z) <= s.alike) | (F.col("w1") < s.least_rows), "*").when(F.col("kinds") <= s.distinct, F.col("segment")).when(z > 0, "*worse").otherwise("*better")
         steps = branches.join(parents, ["host", "template"]).select("host", "template", "segment", step.alias("step"))
-        tree = tree.join(steps, ["host", "template", "segment"]).select("host", "key", "w", "bad", F.array_append("template", F.col("step")).alias("template"))
+        tree = tree.join(steps, ["host", "template", "segment"]).select("host", "key", "w", "bad", "known", F.array_append("template", F.col("step")).alias("template"))
         tree = scratch.save(tree, f"level-{level + 1}")
     # smoothed shares: all hosts, then the host, then the template
-    overall = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("w"), F.lit(0.0)) + 5.0)).alias("p0"))
+    overall = tree.filter(F.col("host") != ALL).agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("w"), F.lit(0.0)) + 5.0)).alias("p0"))
     p0 = float(overall.first()[0])
     smooth = lambda prior: (F.sum("bad") + s.prior_rows * prior) / (F.sum("w") + s.prior_rows)
     hosts = tree.groupBy("host").agg(smooth(F.lit(p0)).alias("p1"))
     shares = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("w").alias("w")).join(hosts, "host")
     shares = shares.select("host", "template", ((F.col("b") + s.prior_rows * F.col("p1")) / (F.col("w") + s.prior_rows)).alias("bad_share"))
-    return tree.select("host", "template", "key").join(shares, ["host", "template"]).select("host", "key", F.array_join(F.filter("template", lambda x: x != ""), "/").alias("template"), "bad_share")
+    found = tree.select("host", "template", "key").join(shares, ["host", "template"]).select("host", "key", F.array_join(F.filter("template", lambda x: x != ""), "/").alias("template"), "bad_share")
+    found = scratch.save(found, "shares")
+    known = tree.groupBy("host").agg((F.sum("known") > 0).alias("known"))
+    everywhere = found.filter(F.col("host") == ALL).select("key", F.col("template").alias("t_all"), F.col("bad_share").alias("s_all"))
+    both = found.filter(F.col("host") != ALL).join(known, "host").join(everywhere, "key")
+    return both.select("host", "key", F.when(F.col("known"), F.col("template")).otherwise(F.col("t_all")).alias("template"), F.when(F.col("known"), F.col("bad_share")).otherwise(F.col("s_all")).alias("bad_share"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings = Settings()) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, bad_share`` for every row of ``pages``.
 
     The verdict is the rule's where one fits, else the tree's: ``block`` where the template's smoothed share of bad reaches
-    ``block_at``. A url without a host is allowed unless its template says otherwise. Null page_ids and repeated rows keep
-    a row each; other columns are ignored; an empty table gives an empty result.
+    ``block_at``. A url without a host is allowed unless its template says otherwise. Null urls, null page_ids and repeated
+    rows keep a row each; segments of a very long path beyond the tree's depth are one tail; other columns are ignored; an
+    empty table gives an empty result.
     """
     url = F.coalesce("url", F.lit(""))
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
