@@ -41,3 +41,28 @@ def test_spiral_moves_away_from_a_target(spark):
     assert route.agg(F.avg("x")).first()[0] > 140_000
     with pytest.raises(ValueError):
         g.separated_spiral(spark, "s", "T5", block, p, least=1e6)
+
+
+def test_fixed_rate_radars(spark):
+    gt = g.line_route(spark, "s", "T", (50_000.0, 20_000.0, 3000.0), (100.0, 0.0, 0.0), 1000.0)
+    one = g.FixedRadar("R", 2.5, 0.3, 0.8, 80.0, 2.0, 0.05, 0.5)
+    got = g.simulate_fixed_rate(gt, (one,)).persist()
+    real = got.filter("not is_clutter")
+    assert 0.75 < real.count() / 401 < 0.85 and real.filter("time % 2.5 <> 0 or round(arrival_time - time, 3) <> 0.3").isEmpty()
+    along = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) - F.sqrt((50_000 + 100 * F.col("time")) ** 2 + 20_000.0**2 + 3000.0**2)
+    mean, spread, wobble = real.agg(F.avg(along), F.stddev(along), F.stddev(F.col("vx") - 100)).first()
+    assert abs(mean) < 20 and 65 < spread < 95 and 1.6 < wobble < 2.4
+    false = got.filter("is_clutter")
+    assert 150 < false.count() < 260 and false.filter("x < 50000 or x > 150000 or callsign_true <> 'CLUTTER'").isEmpty()
+    assert ts.same_rows(got, g.simulate_fixed_rate(gt.repartition(3), (one,)))
+
+
+def test_plain_radars_with_bias_and_the_sigmas_of_quality(spark):
+    gt = g.line_route(spark, "s", "T", (50_000.0, 20_000.0, 3000.0), (100.0, 0.0, 0.0), 3000.0)
+    one = replace(g.REALISTIC[0], realistic=False, pd=1.0, latency=0.0, bias=(500.0, -300.0, 100.0))
+    got = g.simulate(gt, (one,)).filter("not is_clutter").persist()
+    quality = {r.track_quality for r in got.select("track_quality").distinct().collect()}
+    assert quality == {12, 13, 14}  # 13, one up or down, and no manoeuvre
+    assert got.filter(F.abs(F.col("sigma_pos_m") - 1500 * F.pow(F.lit(30 / 1500), (F.col("track_quality") - 1) / 14)) > 1e-6).isEmpty()
+    x, y, z = got.agg(F.avg(F.col("x") - 50_000 - 100 * F.col("time")), F.avg(F.col("y") - 20_000), F.avg(F.col("z") - 3000)).first()
+    assert abs(x - 500) < 12 and abs(y + 300) < 12 and abs(z - 100) < 12

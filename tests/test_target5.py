@@ -20,7 +20,7 @@ def fifth(spark):
 
 
 def test_measurements_scale_about_the_truth(fifth):
-    key = ["sensor", "local_track_id", "ord"]
+    key = ["sensor", "local_track_id", "time"]
     one = g.target_measurements(fifth, seed=7).persist()
     assert one.count() > 10 and set(r.callsign_true for r in one.collect()) == {"T5"}
     assert ts.same_rows(one, g.target_measurements(fifth, seed=7)) and not ts.same_rows(one, g.target_measurements(fifth, seed=8))

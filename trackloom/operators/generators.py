@@ -179,13 +179,15 @@ def scan_schedule(gt: DataFrame, radars: tuple[Radar, ...], seed: int) -> DataFr
 
 def simulate(gt: DataFrame, radars: tuple[Radar, ...] = RADARS, seed: int = 42) -> DataFrame:
     """Measurements of ``gt`` by ``radars`` with clutter: detection by chance (falling with range for realistic radars),
-    noise, islands of one local track between misses, arrival stamps, and quality draws."""
+    noise on each axis, a constant bias, islands of one local track between misses, arrival stamps, and quality draws. A
+    radar without sigmas of its own has its qualities', which fall in manoeuvres."""
     spark = gt.sparkSession
     fields = "sensor string, rx double, ry double, pd double, sp double, sv double, q int, late double, far double, clutter double, realistic boolean"
     params = F.broadcast(spark.createDataFrame([(r.name, r.x, r.y, r.pd, r.sigma_pos, r.sigma_vel, r.quality, r.latency, r.max_range, r.clutter, r.realistic) for r in radars], fields))
     scans = scan_schedule(gt, radars, seed).withColumns({"key": F.concat_ws("/", "scenario", "callsign"), "time": F.col("scan_time")})
-    truth = gt.withColumn("key", F.concat_ws("/", "scenario", "callsign")).select("key", "time", "x", "y", "z", "vx", "vy", "vz")
-    seen = interpolation_join(scans, truth, "key", "time", ["x", "y", "z", "vx", "vy", "vz"], edge="clamp").join(params, "sensor")
+    values = ["x", "y", "z", "vx", "vy", "vz", "dvx", "dvy"]
+    truth = maneuvering(gt).withColumn("key", F.concat_ws("/", "scenario", "callsign")).select("key", "time", *values)
+    seen = interpolation_join(scans, truth, "key", "time", values, edge="clamp").join(params, "sensor")
     r = F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2) + F.pow("z", 2))
     falling = F.coalesce(*(F.when(F.col("sensor") == x.name, s.range_dependent_pd(r, x.pd, x.pd_range, x.max_range, x.pd_min)) for x in radars))
     chance = F.when(F.col("realistic"), falling).otherwise(F.col("pd"))
@@ -194,9 +196,16 @@ def simulate(gt: DataFrame, radars: tuple[Radar, ...] = RADARS, seed: int = 42)
     w = Window.partitionBy("scenario", "sensor", "callsign").orderBy("scan")
     seen = seen.withColumns({"hit": hit, "r": r}).withColumn("island", F.sum(F.when(F.lag("hit", 1, True).over(w), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spread = F.when(F.col("realistic"), F.sqrt(F.col("sp") * F.col("sp") + 2 * F.pow(F.col("r") * 0.001, 2))).otherwise(F.col("sp"))
-    noisy = {c: F.col(c) + spread * normal(seed, c, *who) for c in "xyz"} | {f"v{c}": F.col(f"v{c}") + F.col("sv") * normal(seed, "v" + c, *who) for c in "xyz"}
-    tq = s.clip(F.col("q") - F.floor(F.col("r") / 100_000.0) + F.floor(uniform(seed, "tq", *who) * 3) - 1, 1, 15).cast("int")
-    found = seen.filter("hit").select("scenario", F.round(F.col("scan_time") + F.col("late"), 2).alias("time"), "sensor", F.format_string("%s-%s-%03d", "sensor", "callsign", "island").alias("local_track_id"), F.col("callsign").alias("callsign_true"), *(c.alias(n) for n, c in noisy.items()), tq.alias("track_quality"), spread.alias("sigma_pos_m"), F.col("sv").alias("sigma_vel_mps"), F.lit(False).alias("is_clutter"))
+    of = lambda f: F.coalesce(*(F.when(F.col("sensor") == r.name, F.lit(f(r))) for r in radars))
+    own = F.col("sp") > 0
+    turned = F.when(F.hypot("dvx", "dvy") > 5.0, of(lambda r: r.penalty)).otherwise(0)
+    jitter = of(lambda r: r.quality_jitter)
+    drawn = F.floor(uniform(seed, "tq", *who) * (2 * jitter + 1)) - jitter
+    tq = s.clip(F.col("q") - F.when(own, F.floor(F.col("r") / 100_000.0)).otherwise(turned) + drawn, 1, 15).cast("int")
+    spread = F.when(own, spread).otherwise(s.quality_to_sigma(tq, s.POSITION_SIGMA))
+    wobble = F.when(F.col("sv") > 0, F.col("sv")).otherwise(s.quality_to_sigma(tq, s.VELOCITY_SIGMA))
+    noisy = {c: F.col(c) + of(lambda r: float(r.bias[i])) + spread * normal(seed, c, *who) for i, c in enumerate("xyz")} | {f"v{c}": F.col(f"v{c}") + wobble * normal(seed, "v" + c, *who) for c in "xyz"}
+    found = seen.filter("hit").select("scenario", F.round(F.col("scan_time") + F.col("late"), 2).alias("time"), "sensor", F.format_string("%s-%s-%03d", "sensor", "callsign", "island").alias("local_track_id"), F.col("callsign").alias("callsign_true"), *(c.alias(n) for n, c in noisy.items()), tq.alias("track_quality"), spread.alias("sigma_pos_m"), wobble.alias("sigma_vel_mps"), F.lit(False).alias("is_clutter"))
     # clutter: a Poisson count for each scan of the first target, uniform in the scenario's box
     box = gt.groupBy("scenario").agg(*(f(c).alias(f"{c}{n}") for c in "xyz" for n, f in ((0, F.min), (1, F.max))), F.min("callsign").alias("callsign"))
     count = F.coalesce(*(F.when(F.col("sensor") == x.name, poisson(x.clutter, seed, "clutter", F.col("sensor"), F.col("scan"))) for x in radars))
@@ -298,6 +307,52 @@ def simulate_realistic(gt: DataFrame, radars: tuple[Radar, ...] = REALISTIC, see
     return found.unionByName(false).withColumn("ord", F.row_number().over(order).cast("long"))
 
 
+@dataclass(frozen=True)
+class FixedRadar:
+    name: str
+    period: float
+    latency: float
+    pd: float
+    sigma_range: float
+    sigma_vel: float
+    sigma_degrees: float
+    clutter: float
+
+
+#: Radars that scan at one rate.
+FIXED = (FixedRadar("RADAR_A", 2.5, 0.3, 0.95, 80.0, 2.0, 0.05, 0.04), FixedRadar("RADAR_B", 5.0, 0.8, 0.88, 150.0, 4.0, 0.08, 0.06), FixedRadar("RADAR_C", 10.0, 1.5, 0.8, 300.0, 7.0, 0.12, 0.08))
+
+
+def simulate_fixed_rate(gt: DataFrame, radars: tuple[FixedRadar, ...] = FIXED, seed: int = 42) -> DataFrame:
+    """Measurements of all targets of a scenario at common scan times, with ``arrival_time``: elevation, bearing and range with
+    their errors, velocities with errors on each axis, and a Poisson count of clutter for each scan, uniform in the truth's
+    box. ``time`` is the scan's."""
+    of = lambda f: F.coalesce(*(F.when(F.col("sensor") == r.name, F.lit(f(r))) for r in radars))
+    box = gt.groupBy("scenario").agg(F.min("time").alias("t0"), F.max("time").alias("t1"), *(f(c).alias(f"{c}{n}") for c in "xyz" for n, f in ((0, F.min), (1, F.max))))
+    each = box.withColumn("sensor", F.explode(F.array(*(F.lit(r.name) for r in radars))))
+    last = F.floor((F.col("t1") - F.col("t0")) / of(lambda r: r.period)).cast("int")
+    scans = each.withColumn("scan", F.explode(F.sequence(F.lit(0), last))).withColumn("time", F.col("t0") + F.col("scan") * of(lambda r: r.period))
+    lives = gt.groupBy("scenario", "callsign").agg(F.min("time").alias("born"), F.max("time").alias("gone"))
+    ask = scans.select("scenario", "sensor", "scan", "time").join(lives, "scenario").filter(F.col("time").between(F.col("born"), F.col("gone")))
+    who = (F.col("scenario"), F.col("sensor"), F.col("callsign"), F.col("scan"))
+    ask = ask.filter(uniform(seed, "hit", *who) <= of(lambda r: r.pd)).withColumn("key", F.concat_ws("/", "scenario", "callsign"))
+    values = ["x", "y", "z", "vx", "vy", "vz"]
+    seen = interpolation_join(ask, gt.withColumn("key", F.concat_ws("/", "scenario", "callsign")).select("key", "time", *values), "key", "time", values, edge="clamp")
+    r, az, el = s.to_polar(F.col("x"), F.col("y"), F.col("z"))
+    angle = of(lambda r: math.radians(r.sigma_degrees))
+    seen = seen.withColumns({"r": r + of(lambda r: r.sigma_range) * normal(seed, "range", *who), "az": az + angle * normal(seed, "bearing", *who), "el": el + angle * normal(seed, "elevation", *who)})
+    at = {c: F.col("r") * u for c, u in zip("xyz", s.sight_axes(F.col("az"), F.col("el"))[0])} | {f"v{c}": F.col(f"v{c}") + of(lambda r: r.sigma_vel) * normal(seed, "v" + c, *who) for c in "xyz"}
+    stamps = [F.round("time", 3).alias("time"), F.round(F.col("time") + of(lambda r: r.latency), 3).alias("arrival_time"), F.col("sensor")]
+    found = seen.select("scenario", *stamps, F.concat_ws("-", "sensor", "callsign").alias("local_track_id"), F.col("callsign").alias("callsign_true"), *(c.alias(n) for n, c in at.items()), F.lit(10).alias("track_quality"), of(lambda r: r.sigma_range).alias("sigma_pos_m"), of(lambda r: r.sigma_vel).alias("sigma_vel_mps"), F.lit(False).alias("is_clutter"))
+    count = F.coalesce(*(F.when(F.col("sensor") == r.name, poisson(r.clutter, seed, "clutter", F.col("scenario"), F.col("sensor"), F.col("scan"))) for r in radars))
+    noise = scans.withColumn("n", count).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    spot = (F.col("scenario"), F.col("sensor"), F.col("scan"), F.col("k"))
+    place = {c: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * uniform(seed, "at" + c, *spot) for c in "xyz"} | {f"v{c}": wide * normal(seed, "by" + c, *spot) for c, wide in zip("xyz", (15.0, 15.0, 5.0))}
+    false = noise.select("scenario", *stamps, F.format_string("%s-CL-%d-%d", "sensor", F.floor("time").cast("long"), F.col("k") - 1).alias("local_track_id"), F.lit("CLUTTER").alias("callsign_true"), *(c.alias(n) for n, c in place.items()), F.lit(2).alias("track_quality"), F.lit(1000.0).alias("sigma_pos_m"), F.lit(15.0).alias("sigma_vel_mps"), F.lit(True).alias("is_clutter"))
+    order = Window.partitionBy("scenario", "time").orderBy("sensor", "local_track_id")
+    return found.unionByName(false).withColumn("ord", F.row_number().over(order).cast("long"))
+
+
 def target_measurements(gt: DataFrame, radars: tuple[Radar, ...] = REALISTIC, seed: int = 42, noise_scale: float = 1.0, detection_probability: float | None = None) -> DataFrame:
     """Measurements of the targets alone, without clutter; errors about the truth ``noise_scale`` times as large, and another
     chance of detection where one is given."""

@@ -16,8 +16,8 @@ SIGMAS = ("sigma_x_m", "sigma_vx_mps", "sigma_y_m", "sigma_vy_mps", "sigma_z_m",
 
 def truth_at(gt: DataFrame, times: DataFrame) -> DataFrame:
     """Truth of every target at every time of its scenario's timeline, within its life (two samples at least)."""
-    targets = gt.select("scenario", "callsign").distinct()
-    ask = times.select("scenario", "time").distinct().join(targets, "scenario").withColumn("key", F.concat_ws("/", "scenario", "callsign"))
+    lives = gt.groupBy("scenario", "callsign").agg(F.min("time").alias("__born"), F.max("time").alias("__gone"))
+    ask = times.select("scenario", "time").distinct().join(lives, "scenario").filter("time between __born and __gone").drop("__born", "__gone").withColumn("key", F.concat_ws("/", "scenario", "callsign"))
     have = gt.withColumn("key", F.concat_ws("/", "scenario", "callsign")).select("key", "time", *AXES)
     return interpolation_join(ask, have, "key", "time", list(AXES), edge="null", min_rows=2).filter("x is not null").drop("key")
 

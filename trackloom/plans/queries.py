@@ -333,6 +333,12 @@ def simulated_sensors(spark, sf):
     return g.simulate(gt).unionByName(g.simulate_realistic(gt))
 
 
+@query()
+def fixed_rate_sensors(spark, sf):
+    """Radars of one rate with elevation, bearing and range errors over one scenario."""
+    return g.simulate_fixed_rate(truth(spark))
+
+
 @query()
 def spiral(spark, sf):
     """Climbing spiral."""
