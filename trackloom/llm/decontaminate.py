@@ -55,11 +55,18 @@ def hits(docs: DataFrame, windows: DataFrame, set_part: int = SET_PART) -> DataF
     known = scratch.save(windows.select("n", "h").distinct(), "set")
     parts = max(1, -(-known.count() // set_part))
     sizes = sorted(r.n for r in known.select("n").distinct().collect())  # as many as a window has words, at most
-    each = lambda n: ", ".join(f"get(words, i + {k - 1})" for k in range(n))
-    # element by element: slice() copies the whole array for every window
-    probes = [f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> struct(i as at, {n} as n, xxhash64({each(n)}) as h)), array())" for n in sizes]
+    # each position is a row with the document's own array beside it, and its hashes are compiled code; nothing is copied
     cut = docs.select(*text_keys(), words(F.col("text")).alias("words"))
-    probed = cut.select("k1", "k2", "words", F.explode(F.expr(f"concat({','.join(probes)})")).alias("p")).select("k1", "k2", "words", "p.*") if sizes else None
+    probed = None
+    if sizes:
+        starts = F.when(F.size("words") >= sizes[0], F.sequence(F.lit(1), F.size("words") - (sizes[0] - 1)))
+        probed = cut.select("k1", "k2", "words", F.explode(starts).alias("at"))
+        hashes = [F.when(F.size("words") - F.col("at") >= n - 1, F.xxhash64(*(F.get("words", F.col("at") + (k - 1)) for k in range(n)))) for n in sizes]
+        if len(sizes) == 1:
+            probed = probed.select("k1", "k2", "words", "at", F.lit(sizes[0]).alias("n"), hashes[0].alias("h"))
+        else:
+            each = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), h.alias("h")) for n, h in zip(sizes, hashes))))
+            probed = probed.select("k1", "k2", "words", "at", each.alias("p")).select("k1", "k2", "words", "at", "p.*")
     found = None
     for k in range(parts):
         own = known if parts == 1 else known.filter(F.pmod("h", F.lit(parts)) == k)
