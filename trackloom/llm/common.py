@@ -44,6 +44,18 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches, which Spark bounds by rows alone. Its 10,000 rows are some 40 MB of text
+    several times over in a task; the session's bound is lowered to ARROW_ROWS where it is higher."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 class Scratch:
     """Tables of one operator run under the shared folder. Lineage ends at each saved table, so lost executors cost
     at most the stage that was running; the folder is removed when the driver exits."""
@@ -51,6 +63,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        small_batches(spark)
         _MADE.append((spark, self.path))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -284,6 +286,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     by start, then kind) for each row of ``docs``. A null text is empty; null doc_ids and repeated rows keep their rows;
     a very long text is searched whole; other columns are ignored; an empty table gives an empty result. One pass without a
     shuffle."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model or train())
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"]
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import free_name, utf8
+from trackloom.llm.common import free_name, small_batches, utf8
 
 
 @dataclass(frozen=True)
@@ -175,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
     """The ``keep`` columns of ``docs`` and the score as ``name``, one row for each row of ``docs``; a null text scores as an empty
     one. No shuffle: the model (under 5 MB by its settings) is broadcast."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, utf8("text").alias(free_name("data", keep)))
     schema = docs.select(*keep).schema.add(name, "double")
