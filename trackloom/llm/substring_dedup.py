@@ -34,7 +34,7 @@ BASE = 0x9E3779B97F4A7C15
 NULL_ID = 2**63 - 1
 NAME_BYTES = 5
 PIECE = 1 << 19
-WHOLE = 2 << 20
+NAMED, PACKED, HELD = 16 << 20, 8 << 20, 100_000
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -94,6 +94,19 @@ def _pieces(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, list[b
         k = n
 
 
+def _gathered(rows: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.Table]:
+    """Batches together until their texts have ``most`` bytes, so that a task hands on few and long packed rows."""
+    held, size = [], 0
+    for batch in rows:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _packed(schema: pa.Schema, groups: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """A row for each value of ``groups``, of the columns' bytes in their order."""
     if len(groups):
@@ -127,31 +140,29 @@ NAMES = pa.schema([("bucket", pa.int64()), ("names", pa.binary()), ("docs", pa.b
 
 def _name_anchors(buckets: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            ids, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for first, texts in _pieces(data, WHOLE):
-                found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
-                for k, some in _pieces(texts):
-                    text, _, name = anchors(some)
-                    found.append((ids[first + k + text], name))
-                doc, name = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                order = np.lexsort((doc, name))
-                doc, name = doc[order], name[order]
-                new = np.ones(len(name), bool)
-                new[1:] = (np.diff(doc) != 0) | (name[1:] != name[:-1])
-                doc, name = doc[new], name[new]
-                # a name of two documents of this batch is known to repeat; one record tells the other batches
-                same = name[1:] == name[:-1]
-                again, lead = np.zeros(len(name), bool), np.ones(len(name), bool)
-                again[1:] |= same
-                again[:-1] |= same
-                lead[1:] = ~same
-                bucket, short = _short(name, buckets)
-                # in the order of documents, whose ids then compress to little
-                by = np.argsort(doc, kind="stable")
-                ask, told = by[lead[by]], by[again[by]]
-                yield from _packed(NAMES, bucket[ask], [short[ask].view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES], doc[ask]])
-                yield from _packed(NAMES, -1 - _part(doc[told], buckets), [short[told], doc[told]])
+        for table in _gathered(rows, 1, NAMED):
+            ids, found = table.column(0).to_numpy(), [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+            for k, some in _pieces(table.column(1).to_pylist()):
+                text, _, name = anchors(some)
+                found.append((ids[k + text], name))
+            doc, name = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            order = np.lexsort((doc, name))
+            doc, name = doc[order], name[order]
+            new = np.ones(len(name), bool)
+            new[1:] = (np.diff(doc) != 0) | (name[1:] != name[:-1])
+            doc, name = doc[new], name[new]
+            # a name of two documents of this batch is known to repeat; one record tells the other batches
+            same = name[1:] == name[:-1]
+            again, lead = np.zeros(len(name), bool), np.ones(len(name), bool)
+            again[1:] |= same
+            again[:-1] |= same
+            lead[1:] = ~same
+            bucket, short = _short(name, buckets)
+            # in the order of documents, whose ids then compress to little
+            by = np.argsort(doc, kind="stable")
+            ask, told = by[lead[by]], by[again[by]]
+            yield from _packed(NAMES, bucket[ask], [short[ask].view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES], doc[ask]])
+            yield from _packed(NAMES, -1 - _part(doc[told], buckets), [short[told], doc[told]])
 
     return run
 
@@ -192,15 +203,13 @@ def _pack_texts(parts: int, by_key: bool):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in rows:
-            did, key, data = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for first, texts in _pieces(data, WHOLE):
-                own = slice(first, first + len(texts))
-                part, sizes = _part((key if by_key else did)[own], parts), np.array([len(x) for x in texts], np.int64)
-                for p in np.unique(part).tolist():
-                    at = np.flatnonzero(part == p)
-                    arrays = [did[own][at].tobytes(), key[own][at].tobytes(), sizes[at].tobytes(), pack.compress(b"".join([texts[k] for k in at.tolist()]))]
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([x], pa.binary()) for x in arrays)], schema=TEXTS)
+        for table in _gathered(rows, 2, PACKED):
+            did, key, texts = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_pylist()
+            part, sizes = _part(key if by_key else did, parts), np.array([len(x) for x in texts], np.int64)
+            for p in np.unique(part).tolist():
+                at = np.flatnonzero(part == p)
+                arrays = [did[at].tobytes(), key[at].tobytes(), sizes[at].tobytes(), pack.compress(b"".join([texts[k] for k in at.tolist()]))]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([x], pa.binary()) for x in arrays)], schema=TEXTS)
 
     return run
 
@@ -219,15 +228,33 @@ CONTEXT = pa.schema([("bucket", pa.int64()), ("names", pa.binary()), ("docs", pa
 
 
 def _contexts(buckets: int):
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+    def handed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
+        short, doc, key, place, around = (np.concatenate(x) for x in zip(*held))
+        # of equal whole surroundings the smallest document's go on, and the others' strings are removed
+        order = np.flatnonzero((place[:, 0] >= SPAN - 1) & (place[:, 0] + LENGTH <= place[:, 1]))
+        h = _line_hashes(around[order])
+        by = np.lexsort((doc[order], h))
+        order, h = order[by], h[by]
+        lead = np.ones(len(order), bool)
+        same = np.flatnonzero(h[1:] == h[:-1]) + 1
+        lead[same] = (around[order[same]] != around[order[same - 1]]).any(1)
+        least = np.repeat(doc[order[lead]], np.diff(np.append(np.flatnonzero(lead), len(order))))
+        known = np.zeros(len(doc), bool)
+        known[order] = doc[order] > least
+        begin = place[known, 0] - (SPAN - 1)
+        yield from _settled(key[known], np.stack([begin, begin + AROUND], 1), -1, buckets)
+        rest = np.flatnonzero(~known)
+        for b in _packed(CONTEXT, short[rest] >> (8 * NAME_BYTES), [short[rest], doc[rest], key[rest], place[rest], around[rest]]):
+            yield b.set_column(5, "around", pa.array([pack.compress(x) for x in b.column(5).to_pylist()], pa.binary()))
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         names, docs = _joined(found, "names", np.int64), _joined(found, "docs", np.int64)
         wanted = np.unique(mix64(names.view(np.uint64)) ^ docs.view(np.uint64))
-        out = []
+        out, held, n = [], [], 0
         for dids, keys, data in _unpacked(texts) if len(wanted) else ():
-            held = []
             for first, some in _pieces(data):
                 text, at, name = anchors(some)
                 _, short = _short(name, buckets)
@@ -240,27 +267,13 @@ def _contexts(buckets: int):
                     raw = np.frombuffer(b"".join(some) + bytes(AROUND), np.uint8)
                     start = (np.cumsum(lengths) - lengths)[text] + at - (SPAN - 1)
                     around = raw[np.maximum(start[:, None] + np.arange(AROUND), 0)]
-                    held.append((short, dids[first + text], keys[first + text], np.stack([at, lengths[text]], 1), around))
-            if not held:
-                continue
-            short, doc, key, place, around = (np.concatenate(x) for x in zip(*held))
-            # of equal whole surroundings the smallest document's go on, and the others' strings are removed
-            whole = (place[:, 0] >= SPAN - 1) & (place[:, 0] + LENGTH <= place[:, 1])
-            order = np.flatnonzero(whole)
-            h = _line_hashes(around[order])
-            by = np.lexsort((doc[order], h))
-            order, h = order[by], h[by]
-            lead = np.ones(len(order), bool)
-            same = np.flatnonzero(h[1:] == h[:-1]) + 1
-            lead[same] = (around[order[same]] != around[order[same - 1]]).any(1)
-            least = np.repeat(doc[order[lead]], np.diff(np.append(np.flatnonzero(lead), len(order))))
-            known = np.zeros(len(doc), bool)
-            known[order] = doc[order] > least
-            begin = place[known, 0] - (SPAN - 1)
-            out += _settled(key[known], np.stack([begin, begin + AROUND], 1), -1, buckets)
-            rest = np.flatnonzero(~known)
-            for b in _packed(CONTEXT, short[rest] >> (8 * NAME_BYTES), [short[rest], doc[rest], key[rest], place[rest].astype(np.int32), around[rest]]):
-                out.append(b.set_column(5, "around", pa.array([pack.compress(x) for x in b.column(5).to_pylist()], pa.binary())))
+                    held.append((short, dids[first + text], keys[first + text], np.stack([at, lengths[text]], 1).astype(np.int32), around))
+                    n += len(text)
+                if n >= HELD:
+                    out += handed(held)
+                    held, n = [], 0
+        if held:
+            out += handed(held)
         return pa.Table.from_batches(out, schema=CONTEXT)
 
     return run
