@@ -292,18 +292,17 @@ def _cells(percent: int, every: bool):
     """(sig, i, j, nid, n, root, sketch) in the order of cells -> pairs (a, b) of different roots that sketches let pass:
     all of them, or a forest over the roots."""
 
-    def search(nid: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         def near(k: int, others: np.ndarray) -> np.ndarray:
             d = np.bitwise_count(bits[others] ^ bits[k]).sum(1, dtype=np.int64)
             return others[(d * (100 + percent) <= (n[others] + n[k]) * (100 - percent)) & (root[others] != root[k])]
 
         if every:
-            for k in range(len(nid) - 1):
-                found = near(k, np.arange(k + 1, len(nid)))
-                yield np.full(len(found), nid[k]), nid[found]
+            for k in range(len(n) - 1):
+                yield k, near(k, np.arange(k + 1, len(n)))
             return
-        left, queue = np.ones(len(nid), bool), []
-        for first in range(len(nid)):
+        left, queue = np.ones(len(n), bool), []
+        for first in range(len(n)):
             if left[first]:
                 own = np.flatnonzero(left & (root == root[first]))
                 left[own] = False
@@ -316,26 +315,40 @@ def _cells(percent: int, every: bool):
                 found = near(k, others)
                 if len(found):
                     found = found[np.unique(root[found], return_index=True)[1]]
-                    yield np.full(len(found), nid[k]), nid[found]
+                    yield k, found
                     own = np.flatnonzero(left & np.isin(root, root[found]))
                     left[own] = False
                     queue += own.tolist()
 
+    def told(pairs: dict | set) -> pa.RecordBatch:
+        ends = [x[-2:] for x in (pairs.values() if isinstance(pairs, dict) else pairs)]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in ends], pa.int64()) for k in range(2)], names=["a", "b"])
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task's cells share most of their members: each pair leaves it once, and of a forest each larger root's best
+        every_pair, best = set(), {}
         for table in _whole_runs(rows, 3):
             keys = np.stack([table.column(k).to_numpy() for k in range(3)], 1)
             nid, n, root = (table.column(k).to_numpy() for k in (3, 4, 5))
-            data, left, right = table.column(6).to_pylist(), [], []
+            data = table.column(6).to_pylist()
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a > 1 and (root[a:b] != root[a]).any():
                     size = min(len(x) for x in data[a:b]) // 8
                     bits = np.stack([folded(np.frombuffer(x, np.uint64), size) for x in data[a:b]])
-                    for x, y in search(nid[a:b], n[a:b], root[a:b], bits):
-                        left.append(np.minimum(x, y))
-                        right.append(np.maximum(x, y))
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    ids, roots = nid[a:b].tolist(), root[a:b].tolist()
+                    for k, found in search(n[a:b], root[a:b], bits):
+                        for f in found.tolist():
+                            pair = (min(ids[k], ids[f]), max(ids[k], ids[f]))
+                            if every:
+                                every_pair.add(pair)
+                            else:
+                                hi, one = max(roots[k], roots[f]), (min(roots[k], roots[f]), *pair)
+                                best[hi] = min(best.get(hi, one), one)
+                if len(every_pair) + len(best) >= 1 << 19:
+                    yield told(every_pair if every else best)
+                    every_pair, best = set(), {}
+        yield told(every_pair if every else best)
 
     return run
 
