@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, substring_dedup, token_output, topk, toxicity, url_filter
+from trackloom.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, resampling, substring_dedup, token_output, topk, toxicity, url_filter
 from trackloom.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    "op11_resampling": op11_resampling,
 }
 
 # A-Z alone are lower-cased, whatever the locale
@@ -168,7 +173,47 @@ WITH c AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id, distance FROM ranked WHERE rank <= 10
 """
 
+# n-grams of each text are told apart first, and a checksum is taken once for each different one, byte by byte
+OP11_SQL = f"""
+WITH crc_table AS (
+  SELECT list(list_reduce([n] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS t
+  FROM (SELECT unnest(range(256))::BIGINT AS n)
+), texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, {OP2_WORDS} AS ws FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, {OP2_WORDS} FROM benchmark
+), grams AS (
+  SELECT side, r, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+                                     list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS g FROM texts
+), counted AS (
+  SELECT side, r, g, count(*) AS n FROM grams GROUP BY ALL
+), hexed AS (
+  SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM counted)
+), placed AS (
+  SELECT g, xor(list_reduce([4294967295] || list_transform(range(1, len(x), 2), lambda i: (16 * (instr('0123456789ABCDEF', x[i]) - 1) + instr('0123456789ABCDEF', x[i + 1]) - 1)::BIGINT),
+                            lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed, crc_table
+), hashed AS (
+  SELECT side, r, bucket, sum(n)::BIGINT AS n FROM counted JOIN placed USING (g) GROUP BY ALL
+), sizes AS (
+  SELECT b.bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::BIGINT AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::BIGINT AS t
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN hashed USING (bucket) GROUP BY b.bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM sizes) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sizes) + 10000)::DOUBLE)))::BIGINT AS gain FROM sizes
+), weighed AS (
+  SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM hashed JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(ws) >= 20 AS eligible,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN weighed USING (r) WHERE side = 'd'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id NULLS LAST) AS k FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND k <= 5 * (SELECT count(*) FROM scored WHERE eligible) // 100 THEN k END AS rank
+FROM ranked
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_resampling": OP11_SQL,
     "op3_topk_search": OP3_SQL,
     "op1_mixing": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
