@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, resampling, substring_dedup, token_output, topk, toxicity, url_filter
+from trackloom.llm import decontaminate, divergence, jaccard_join, line_dedup, mixing, pii, resampling, substring_dedup, token_output, topk, toxicity, url_filter
 from trackloom.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
     "op11_resampling": op11_resampling,
+    "op12_divergence": op12_divergence,
 }
 
 # A-Z alone are lower-cased, whatever the locale
@@ -212,7 +217,42 @@ SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND k <= 5 * (SELEC
 FROM ranked
 """
 
+OP12_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_filter(string_split_regex({LOWER_AZ.format("coalesce(text, '')")}, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (
+  SELECT lang, source, term, r, count(*) AS n FROM (SELECT lang, source, r, unnest(ws) AS term FROM d) GROUP BY ALL
+), kept AS (
+  SELECT lang, term FROM w GROUP BY ALL HAVING count(*) >= 3
+), counted AS (
+  SELECT lang, source, term, sum(n) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT lang, source, (SELECT coalesce(sum(n), 0) FROM counted c WHERE c.lang = g.lang AND c.source = g.source) AS total,
+         (SELECT count(*) FROM kept k WHERE k.lang = g.lang) AS v FROM (SELECT DISTINCT lang, source FROM d) g
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0)::HUGEINT + 1) // (total + v)::HUGEINT AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), whole AS (
+  SELECT lang, sum(total) + min(v) AS size FROM groups GROUP BY lang
+), q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n)::HUGEINT + 1) // any_value(size)::HUGEINT AS q FROM counted JOIN whole USING (lang) GROUP BY lang, term
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_divergence": OP12_SQL,
     "op11_resampling": OP11_SQL,
     "op3_topk_search": OP3_SQL,
     "op1_mixing": OP1_SQL,
