@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from trackloom.llm import divergence as d
+from trackloom.llm.common import word_lists
 
 SCHEMA = "doc_id long, text string, lang string, source string, rank string, Part string, terms string"
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -76,9 +77,8 @@ def test_trie_keeps_byte_order_and_merges():
     assert [(t, {s: [x // 2 for x in c] for s, c in v.items()}) for t, v in both.leaves()] == plain_leaves(trie.leaves())
 
 
-def test_stretches_of_a_text(monkeypatch):
-    monkeypatch.setattr(d, "TERMS_AT_ONCE", 2)
-    assert sum(d.terms_of("Ab c1d  é f".encode()), []) == [b"ab", b"c", b"d", "é".encode(), b"f"]
+def test_words_come_in_stretches():
+    assert list(word_lists("Ab c1d  é f".encode().translate(d.TERM_BYTES), 2)) == [[b"ab", b"c"], [b"d", "é".encode()], [b"f"]]
 
 
 def test_shares_are_exact():

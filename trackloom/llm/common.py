@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -114,6 +115,14 @@ def utf8(column: str) -> F.Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def word_lists(data: bytes, at_once: int) -> Iterator[list[bytes]]:
+    """The words of ``data`` between ASCII blanks, ``at_once`` of them at a time."""
+    while data:
+        found = data.split(None, at_once)
+        data = found.pop() if len(found) > at_once else b""
+        yield found
+
+
 def free_name(base: str, names: list[str] | tuple[str, ...]) -> str:
     """A column name that none of ``names`` is, in any case."""
     taken = {n.lower() for n in names}

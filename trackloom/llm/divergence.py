@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Scratch, utf8
+from trackloom.llm.common import Scratch, utf8, word_lists
 
 #: Bytes of terms stay, A-Z in lower case; all others are blanks.
 TERM_BYTES = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -129,15 +129,6 @@ def packed(leaves: Iterator[tuple[bytes, dict]], **head) -> Iterator[dict]:
         yield stretch()
 
 
-def terms_of(data: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text, some at a time."""
-    rest = data.translate(TERM_BYTES)
-    while rest:
-        found = rest.split(None, TERMS_AT_ONCE)
-        rest = found.pop() if len(found) > TERMS_AT_ONCE else b""
-        yield found
-
-
 def tries(docs: DataFrame) -> DataFrame:
     """Packed tries of each task, ``part`` being the task."""
 
@@ -163,7 +154,7 @@ def tries(docs: DataFrame) -> DataFrame:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found, own = occurs[lang, source], set()
                 before = len(found)
-                for terms in terms_of(text.as_py()):
+                for terms in word_lists(text.as_py().translate(TERM_BYTES), TERMS_AT_ONCE):
                     found.update(terms)
                     own.update(terms)
                 inside[lang, source].update(own)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontaminate, divergence, jaccard_join, line_dedup, mixing, pii, resampling, substring_dedup, token_output, topk, toxicity, url_filter
+from trackloom.llm import decontaminate, divergence, jaccard_join, line_dedup, mixing, pii, quality_rules, resampling, substring_dedup, token_output, topk, toxicity, url_filter
 from trackloom.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontaminate": op2_decontaminate,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_resampling": op11_resampling,
     "op12_divergence": op12_divergence,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 # A-Z alone are lower-cased, whatever the locale
@@ -251,7 +256,40 @@ WITH d AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
+OP13_WORDS = "list_filter(string_split_regex({}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {OP13_WORDS.format("coalesce(text, '')")} AS ws FROM documents
+), windows AS (
+  SELECT r, i, ws[i : i + 7] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)
+), repeats AS (
+  SELECT r, count(DISTINCT k) AS n_repeat_words
+  FROM (SELECT r, unnest(range(i, i + 8)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1) GROUP BY r
+), lines AS (
+  SELECT r, host, text, line, len(ws) AS n, {LOWER_AZ.format("array_to_string(ws, ' ')")} AS key
+  FROM (SELECT *, {OP13_WORDS.format("line")} AS ws FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE len(ws) > 0
+), doubled AS (
+  SELECT r, sum(n - 1)::BIGINT AS n_dup_lines FROM (SELECT r, line, count(*) AS n FROM lines GROUP BY r, line) GROUP BY r
+), hosts AS (
+  SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host
+), common AS (
+  SELECT host, key FROM lines JOIN hosts USING (host) GROUP BY host, key HAVING count(DISTINCT text) >= 10 AND 100 * count(DISTINCT text) >= any_value(docs)
+), lost AS (
+  SELECT r, sum(n)::BIGINT AS n_lost FROM lines JOIN common USING (host, key) GROUP BY r
+), counted AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost, 0) AS n_lost
+  FROM d LEFT JOIN repeats USING (r) LEFT JOIN doubled USING (r) LEFT JOIN lost USING (r)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_lost <= 70 * n_words AS kept
+FROM counted
+"""
+
 ORACLES: dict[str, str] = {
+    "op13_quality_rules": OP13_SQL,
     "op12_divergence": OP12_SQL,
     "op11_resampling": OP11_SQL,
     "op3_topk_search": OP3_SQL,

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Scratch, utf8
+from trackloom.llm.common import Scratch, utf8, word_lists
 
 #: Bytes of words stay, A-Z in lower case; all others are blanks. Bytes from 0x80 belong to non-ASCII characters.
 WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -56,10 +56,8 @@ class Settings:
 def features(data: bytes, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(words, buckets of the n-grams that end in them) for stretches of a text. The checksum of an n-gram goes on from that
     of the n-gram without its last word."""
-    rest, carry = data.translate(WORD_BYTES), []
-    while rest:
-        new = rest.split(None, WORDS_AT_ONCE)
-        rest = new.pop() if len(new) > WORDS_AT_ONCE else b""
+    carry = []
+    for new in word_lists(data.translate(WORD_BYTES), WORDS_AT_ONCE):
         words, old = carry + new, len(carry)
         one = list(map(crc32, words))
         spaced = [b" " + w for w in words]
