@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.kernels import assign
+from trackloom.operators.matching import assigned
 from trackloom.operators.timeseries import interpolation_join, nearest_join, segments
 
 AXES = ("x", "y", "z", "vx", "vy", "vz")
@@ -23,28 +21,8 @@ def truth_at(gt: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def match_frames(fused: DataFrame, truth: DataFrame, gate: float) -> DataFrame:
-    """``scenario, time, global_track_id, callsign`` of the least-distance assignment of each frame; the gate applies after it.
-    A matched pair has both ids, a false track no callsign, a missed target no track. Frames are independent."""
-    sides = fused.select("scenario", "time", F.col("global_track_id").alias("id"), "x", "y", "z", F.lit(0).alias("side")).union(truth.select("scenario", "time", "callsign", "x", "y", "z", F.lit(1)))
-    # some frames to a group, so that a group is worth its call
-    sides = sides.withColumn("part", F.floor(F.col("time") / 60.0).cast("long"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for time, own in frame.groupby("time"):
-            a, b = own[own.side == 0].sort_values("id"), own[own.side == 1].sort_values("id")
-            pa, pb = a[["x", "y", "z"]].to_numpy(float), b[["x", "y", "z"]].to_numpy(float)
-            d = np.linalg.norm(pa[:, None] - pb[None], axis=-1)
-            pairs = [(i, j) for i, j in assign(d) if d[i, j] <= gate] if len(a) and len(b) else []
-            ia, ib = a["id"].to_list(), b["id"].to_list()
-            out += [(time, ia[i], ib[j]) for i, j in pairs]
-            out += [(time, x, None) for i, x in enumerate(ia) if i not in {p[0] for p in pairs}]
-            out += [(time, None, x) for j, x in enumerate(ib) if j not in {p[1] for p in pairs}]
-        got = pd.DataFrame(out, columns=["time", "global_track_id", "callsign"])
-        got.insert(0, "scenario", frame["scenario"].iloc[0])
-        return got
-
-    return sides.groupBy("scenario", "part").applyInPandas(run, "scenario string, time double, global_track_id string, callsign string")
+    """``scenario, time, global_track_id, callsign`` of the least-distance assignment of each frame; the gate applies after it."""
+    return assigned(fused, truth, ["scenario", "time"], "global_track_id", "callsign", gate).drop("distance")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -74,12 +52,17 @@ def _quality() -> list[Column]:
 
 
 def tracking_metrics(fused: DataFrame, gt: DataFrame, times: DataFrame | None = None, gate: float = 400.0) -> DataFrame:
-    """One row for each scenario. ``times`` is the denominator's timeline; by default the fused tracks' own times.
+    """One row for each scenario. ``times`` is the denominator's timeline; by default the fused tracks' own times."""
+    truth = truth_at(gt, times if times is not None else fused)
+    if times is not None:
+        fused = fused.join(times.select("scenario", "time").distinct(), ["scenario", "time"], "left_semi")
+    return frame_scores(fused, truth, gate)
+
+
+def frame_scores(fused: DataFrame, truth: DataFrame, gate: float = 400.0) -> DataFrame:
+    """One row for each scenario, from tracks and targets given frame by frame (``scenario, time``).
 
     An id switch: a track's match differs from its match in its frame before; a frame without a match resets."""
-    truth = truth_at(gt, times if times is not None else fused)
-    on = (times if times is not None else fused).select("scenario", "time").distinct()
-    fused = fused.join(on, ["scenario", "time"], "left_semi")
     matches = match_frames(fused, truth, gate)
     w = Window.partitionBy("scenario", "global_track_id").orderBy("time")
     before = F.when(F.col("global_track_id").isNotNull(), F.lag("callsign").over(w))
@@ -90,10 +73,17 @@ def tracking_metrics(fused: DataFrame, gt: DataFrame, times: DataFrame | None =
 
 
 def target_metrics(fused: DataFrame, gt: DataFrame, times: DataFrame | None = None, gate: float = 400.0) -> DataFrame:
-    """One row for each target: of the tracks within the gate the nearest matches, the others are false. The gate may come
-    first here because a target is alone; it must not in :func:`tracking_metrics`."""
-    truth = truth_at(gt, times if times is not None else fused)
-    near = truth.join(fused.select("scenario", "time", "global_track_id", *(F.col(c).alias(f"f_{c}") for c in AXES)), ["scenario", "time"])
+    """One row for each target, over the tracks' own times or those of ``times``."""
+    return target_scores(fused, truth_at(gt, times if times is not None else fused), gate)
+
+
+def target_scores(fused: DataFrame, truth: DataFrame, gate: float = 400.0) -> DataFrame:
+    """One row for each target of given frames: of the tracks within the gate the nearest matches, the others are false. The
+    gate may come first here because a target is alone; it must not in :func:`frame_scores`. Targets meet the tracks of
+    their cell of one gate's width along x and of the two beside it."""
+    cell = F.floor(F.col("x") / gate)
+    asked = truth.withColumn("cell", F.explode(F.array(*(cell + k for k in (-1, 0, 1)))))
+    near = asked.join(fused.select("scenario", "time", "global_track_id", cell.alias("cell"), *(F.col(c).alias(f"f_{c}") for c in AXES)), ["scenario", "time", "cell"])
     d = F.sqrt(sum(F.pow(F.col(c) - F.col(f"f_{c}"), 2) for c in "xyz"))
     near = near.withColumn("d", d).filter(F.col("d") <= gate)
     best = near.groupBy("scenario", "time", "callsign").agg(F.min_by("global_track_id", F.struct("d", "global_track_id")).alias("global_track_id"), F.count("*").alias("n"))
