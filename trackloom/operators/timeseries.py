@@ -6,29 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _aligned(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
-    """Rows of ``left`` with the nearest rows of ``right`` on both sides as structs ``__before`` and ``__after``."""
+def _carried(rows: DataFrame, key: str) -> DataFrame:
+    """The last sample before each (key, bucket) and the first one after it, as samples of that bucket. Only one row for each
+    bucket meets the others of its key."""
+    latest = F.when(F.col("__side") == 0, F.struct("__t", "__s"))
+    # of samples at the earliest time the largest, as within a bucket
+    earliest = F.when(F.col("__side") == 0, F.struct((-F.col("__t")).alias("back"), "__s", "__t"))
+    edges = rows.groupBy(key, "__bucket").agg(F.max(latest).alias("last"), F.max(earliest).alias("first"))
+    w = Window.partitionBy(key).orderBy("__bucket")
+    before = F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    ends = edges.select(key, "__bucket", before.alias("a"), after.alias("b"))
+    end = lambda c: F.struct(F.col(f"{c}.__t").alias("t"), F.col(f"{c}.__s").alias("s"))
+    both = ends.select(key, "__bucket", F.explode(F.array(end("a"), end("b"))).alias("x"))
+    return both.filter("x.t is not null").select(key, "__bucket", F.col("x.t").alias("__t"), F.col("x.s").alias("__s"))
+
+
+def _aligned(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], bucket: float | None = None) -> DataFrame:
+    """Rows of ``left`` with the nearest rows of ``right`` on both sides as structs ``__before`` and ``__after``. With
+    ``bucket``, the width of a time bucket, a key's rows are dealt out by bucket."""
     sample = F.struct(F.col(time).alias("t"), *values)
     empty = F.lit(None).cast(right.select(sample.alias("s")).schema["s"].dataType)
     rows = left.select(key, F.col(time).alias("__t"), F.struct(*left.columns).alias("__row"), empty.alias("__s"), F.lit(1).alias("__side"))
-    samples = right.filter(F.col(time).isNotNull()).select(key, F.col(time).alias("__t"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), sample.alias("__s"), F.lit(0).alias("__side"))
-    both = rows.unionByName(samples)
+    none = F.lit(None).cast(rows.schema["__row"].dataType)
+    samples = right.filter(F.col(time).isNotNull()).select(key, F.col(time).alias("__t"), none.alias("__row"), sample.alias("__s"), F.lit(0).alias("__side"))
+    both, keys = rows.unionByName(samples), [key]
+    if bucket is not None:
+        both, keys = both.withColumn("__bucket", F.floor(F.col("__t") / bucket)), [key, "__bucket"]
+        both = both.unionByName(_carried(both, key).withColumns({"__row": none, "__side": F.lit(0)}))
     # samples of one time stand in the order of their values, so that the last one is the same in every run
-    up = Window.partitionBy(key).orderBy("__t", "__side", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(key).orderBy(F.desc("__t"), "__side", F.col("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*keys).orderBy("__t", "__side", "__s").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc("__t"), "__side", F.col("__s")).rowsBetween(Window.unboundedPreceding, 0)
     # a row without a time lies nowhere between samples
     placed = lambda w: F.when(F.col("__t").isNotNull(), F.last("__s", True).over(w))
     return both.withColumns({"__before": placed(up), "__after": placed(down)}).filter("__row is not null")
 
 
-def interpolation_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], edge: str = "null", min_rows: int = 1) -> DataFrame:
+def interpolation_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], edge: str = "null", min_rows: int = 1, bucket: float | None = None) -> DataFrame:
     """``left`` with ``values`` of ``right`` interpolated linearly at its times.
 
+    ``bucket``, a width in time that holds what a task should, deals out the rows of a key that has very many: buckets get the
+    samples beside them from a scan over one row for each bucket. Results are the same.
+
     ``edge`` outside the samples: ``null`` keeps the row with nulls, ``clamp`` takes the end sample, ``drop`` leaves the
     row out. With fewer than ``min_rows`` samples of a key, or without a time, values are null. Of samples at one time the
     one of largest values counts.
     """
-    found = _aligned(left, right, key, time, values)
+    found = _aligned(left, right, key, time, values, bucket)
     if min_rows > 1:
         enough = right.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") >= min_rows).select(key, F.lit(True).alias("__ok"))
         found = found.join(enough, key, "left").withColumns({s: F.when(F.col("__ok"), F.col(s)) for s in ("__before", "__after")})
@@ -41,10 +65,10 @@ def interpolation_join(left: DataFrame, right: DataFrame, key: str, time: str, v
     return found.select("__row.*", *(F.when(inside, a[v] + share * (b[v] - a[v])).otherwise(outer(v)).alias(v) for v in values))
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], tolerance: float | None = None) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], tolerance: float | None = None, bucket: float | None = None) -> DataFrame:
     """As-of join to the nearest sample in time, the earlier on ties; unmatched rows stay with nulls. ``matched_time`` is
-    the sample's."""
-    found = _aligned(left, right, key, time, values)
+    the sample's. ``bucket`` is as in :func:`interpolation_join`."""
+    found = _aligned(left, right, key, time, values, bucket)
     a, b, t = F.col("__before"), F.col("__after"), F.col("__t")
     back = a.isNotNull() & (b.isNull() | (t - a["t"] <= b["t"] - t))
     best = F.when(back, a).otherwise(b)
@@ -100,6 +124,33 @@ def unwrap(angle: str, w: Window) -> Column:
     return F.col(angle) + F.sum(turn).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
+def affine_scan(df: DataFrame, key: str, order: list[str], factor: str, term: str, start: str, bucket: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the value of p -> factor * p + term run down each key's rows from the first row's ``start``.
+
+    Maps compose, so the run is a prefix scan: doubling strides within each ``bucket`` (a column that rises with the order and
+    splits a long key), then over one row for each bucket, then both together; no key's rows meet in one task.
+    """
+
+    def scanned(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+        """``__a, __b`` of each row composed with those of all rows before it in its group."""
+        longest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n
+        w, step = Window.partitionBy(*keys).orderBy(*by), 1
+        while step < longest:  # lags over one order: neither shuffled nor sorted again
+            a, b = F.lag("__a", step).over(w), F.lag("__b", step).over(w)
+            rows = rows.withColumns({"__a": F.when(a.isNotNull(), F.col("__a") * a).otherwise(F.col("__a")), "__b": F.when(a.isNotNull(), F.col("__a") * b + F.col("__b")).otherwise(F.col("__b"))})
+            step *= 2
+        return rows
+
+    held = df.select(key, F.struct(*df.columns).alias("__row"), F.struct(*order).alias("__o"), F.col(bucket).alias("__k"), F.col(factor).alias("__a"), F.col(term).alias("__b"))
+    inside = scanned(held, [key, "__k"], ["__o"])
+    ends = inside.groupBy(key, "__k").agg(F.max_by(F.struct("__a", "__b"), "__o").alias("m"), F.min(F.struct("__o", F.col(f"__row.{start}").alias("p"))).alias("first")).select(key, "__k", F.col("m.__a").alias("__a"), F.col("m.__b").alias("__b"), "first.p")
+    ends = scanned(ends, [key], ["__k"])
+    w = Window.partitionBy(key).orderBy("__k")
+    first = F.first("p").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    entry = ends.select(key, "__k", F.coalesce(F.lag("__a").over(w) * first + F.lag("__b").over(w), first).alias("__p"))
+    return inside.join(entry, [key, "__k"]).select("__row.*", (F.col("__a") * F.col("__p") + F.col("__b")).alias(out))
+
+
 def id_switches(df: DataFrame, track: str, time: str, target: str) -> DataFrame:
     """``track, switches``: matches whose target differs from the row before; a null target (no match) resets."""
     w = ordered(track, time)
