@@ -61,20 +61,29 @@ def test_empty(spark):
     assert d.audit(frame(spark, [(1, None, None, None)])).collect() == []
 
 
-def test_trie_keeps_byte_order_and_merges():
+def leaves(trie):
+    out = []
+    for row in trie.stretches("x", 0):
+        source, n, docs = iter(row["sources"].tolist()), iter(row["n"].tolist()), iter(row["docs"].tolist())
+        out += [(t, {row["names"][next(source)]: (next(n), next(docs)) for _ in range(size)}) for t, size in zip(row["terms"], row["sizes"])]
+    return out
+
+
+def test_trie_keeps_byte_order_and_merges(monkeypatch):
+    monkeypatch.setattr(d, "LEAVES", 7)
     rng = random.Random(2)
     terms = [bytes(rng.choices(b"ab\xc3\xa9", k=rng.randint(1, 6))) for _ in range(400)]
     trie, want = d.RadixTrie(), defaultdict(lambda: defaultdict(lambda: [0, 0]))
     for k, t in enumerate(terms):
-        trie.add(t, f"s{k % 3}", k, 1)
+        trie.add([t], f"s{k % 3}", np.array([k]), np.array([1]))
         want[t][f"s{k % 3}"][0] += k
         want[t][f"s{k % 3}"][1] += 1
-    plain_leaves = lambda x: [(t, {s: list(c) for s, c in v.items()}) for t, v in x]
-    assert plain_leaves(trie.leaves()) == plain_leaves(sorted(want.items()))
+    plain_leaves = [(t, {s: tuple(c) for s, c in v.items()}) for t, v in sorted(want.items())]
+    assert leaves(trie) == plain_leaves and not list(d.RadixTrie().stretches("x", 0))
     both = d.RadixTrie()
-    for row in [*d.packed(trie.leaves()), *d.packed(trie.leaves())]:
-        both.merge(row)
-    assert [(t, {s: [x // 2 for x in c] for s, c in v.items()}) for t, v in both.leaves()] == plain_leaves(trie.leaves())
+    for row in [*trie.stretches("x", 0), *trie.stretches("x", 1)]:
+        both.merge(next(d.unpacked([d.packed(row, d.STRETCH)])))
+    assert leaves(both) == [(t, {s: (2 * n, 2 * m) for s, (n, m) in v.items()}) for t, v in plain_leaves]
 
 
 def test_words_come_in_stretches():

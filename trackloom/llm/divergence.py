@@ -10,9 +10,9 @@ the candidates of each source, in the order that settles ties. All counts and sh
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +26,8 @@ from trackloom.llm.common import Scratch, utf8, word_lists
 #: Bytes of terms stay, A-Z in lower case; all others are blanks.
 TERM_BYTES = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 TERMS_AT_ONCE = 1 << 18
-#: Counters that a task holds before its tries go out.
-HELD = 400_000
+#: Counters that a trie holds before it sums them, and terms of all its tries before a task lets them go.
+HELD, TERMS = 1 << 19, 300_000
 LEAVES = 4096
 FAN = 64
 MARKS = 1 << 18
@@ -38,6 +38,7 @@ STRETCH_SQL = "lang string, part long, names array<string>, terms array<binary>,
 STRETCH = pa.schema(
     [("lang", pa.string()), ("part", pa.int64()), ("names", pa.list_(pa.string())), ("terms", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("sources", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))]
 )
+RANGED = STRETCH.append(pa.field("range", pa.int64()))
 FOUND_SQL = "lang string, source string, part string, item string, value long"
 FOUND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
@@ -49,119 +50,147 @@ class Settings:
 
     least_docs: int = 3
     top: int = 200
-    range_leaves: int = 20_000
+    range_leaves: int = 50_000
     ranges: int = 1 << 14
 
 
 class RadixTrie:
-    """A byte trie of which each edge is the longest stretch without a branch; a term's leaf has counters [occurrences,
-    documents] by source."""
+    """A byte trie of which each edge is the longest stretch without a branch. Leaves are numbered as they come; their counters
+    are arrays of (leaf, source, occurrences, documents), summed when the trie goes out."""
 
     def __init__(self):
-        self.root: list = [b"", {}, None]  # an edge's bytes, the nodes below by their first byte, a term's counters
-
-    def leaf(self, term: bytes) -> dict[str, list[int]]:
-        """The counters of ``term``, new ones if it was not there."""
-        node, at = self.root, 0
-        while at < len(term):
+        self.root: list = [b"", None, -1]  # an edge's bytes, the nodes below by their first byte, a term's leaf
+        self.terms: list[bytes] = []
+        self.known: dict[bytes, int] = {}  # a term that has come before need not walk down again
+        self.names: dict[str, int] = {}
+        self.counters: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def insert(self, term: bytes) -> int:
+        """The number of the term's leaf, a new one if it was not there."""
+        node, at, end = self.root, 0, len(term)
+        while at < end:
+            if node[1] is None:
+                node[1] = {}
             below = node[1].get(term[at])
             if below is None:
-                node[1][term[at]] = below = [term[at:], {}, {}]
-                return below[2]
+                node[1][term[at]] = node = [term[at:], None, -1]
+                break
             edge = below[0]
             if not term.startswith(edge, at):
                 same = 1
-                while at + same < len(term) and same < len(edge) and edge[same] == term[at + same]:
+                while at + same < end and same < len(edge) and edge[same] == term[at + same]:
                     same += 1
-                node[1][term[at]] = fork = [edge[:same], {edge[same]: below}, None]
+                node[1][term[at]] = fork = [edge[:same], {edge[same]: below}, -1]
                 below[0], below = edge[same:], fork
             node, at = below, at + len(below[0])
-        if node[2] is None:
-            node[2] = {}
+        if node[2] < 0:
+            node[2] = len(self.terms)
+            self.terms.append(term)
         return node[2]
 
-    def add(self, term: bytes, source: str, n: int, docs: int) -> None:
-        counters = self.leaf(term)
-        own = counters.get(source)
-        if own is None:
-            counters[source] = [n, docs]
+    def add(self, terms: Collection[bytes], sources: np.ndarray | str, n: np.ndarray, docs: np.ndarray, sizes: np.ndarray | None = None) -> None:
+        """Counters of terms: of one source, or ``sizes`` of them for each term by their numbers in ``names``."""
+        known = self.known
+        for term in set(terms).difference(known):
+            known[term] = self.insert(term)
+        leaf = np.fromiter(map(known.__getitem__, terms), np.int64, len(terms))
+        if sizes is None:
+            sources = np.full(len(leaf), self.names.setdefault(sources, len(self.names)))
         else:
-            own[0] += n
-            own[1] += docs
-
-    def leaves(self) -> Iterator[tuple[bytes, dict[str, list[int]]]]:
-        """Terms and their counters in byte order."""
-        held = [(b"", self.root)]
+            leaf = np.repeat(leaf, sizes)
+        self.counters.append((leaf, sources, n, docs))
+        self.held += len(leaf)
+        if self.held >= max(HELD, len(self.counters[0][0])):  # as many new ones as there are sums already
+            self.counters, self.held = [self._summed(*(np.concatenate(x) for x in zip(*self.counters)))], 0
+
+    def _summed(self, leaf: np.ndarray, source: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
+        key = leaf * len(self.names) + source
+        by = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key[by]) != 0]))
+        return *np.divmod(key[by[first]], len(self.names)), np.add.reduceat(n[by], first), np.add.reduceat(docs[by], first)
+
+    def leaves(self) -> Iterator[int]:
+        """Leaves in the byte order of their terms."""
+        held = [self.root]
         while held:
-            term, (edge, below, counters) = held.pop()
-            term += edge
-            if counters is not None:
-                yield term, counters
-            held += [(term, below[b]) for b in sorted(below, reverse=True)]
-
-    def merge(self, stretch: dict) -> None:
-        """Add a packed stretch of another trie."""
-        names, at = stretch["names"], 0
-        for term, size in zip(stretch["terms"], stretch["sizes"]):
-            for k in range(at, at + size):
-                self.add(term, names[stretch["sources"][k]], stretch["n"][k], stretch["docs"][k])
-            at += size
-
-
-def packed(leaves: Iterator[tuple[bytes, dict]], **head) -> Iterator[dict]:
-    """Stretches of up to LEAVES leaves; the columns in ``head`` go before."""
-    numbers: dict[str, int] = {}
-    rows: list = []
-
-    def stretch() -> dict:
-        made = head | {"names": list(numbers), "terms": [t for t, _ in rows], "sizes": [len(c) for _, c in rows]}
-        flat = [(numbers[s], n, d) for _, c in rows for s, (n, d) in c.items()]
-        return made | {k: [x[i] for x in flat] for i, k in enumerate(("sources", "n", "docs"))}
-
-    for term, counters in leaves:
-        for source in counters:
-            numbers.setdefault(source, len(numbers))
-        rows.append((term, counters))
-        if len(rows) == LEAVES:
-            yield stretch()
-            rows, numbers = [], {}
-    if rows:
-        yield stretch()
+            _, below, leaf = held.pop()
+            if leaf >= 0:
+                yield leaf
+            if below is not None:
+                held += [below[b] for b in sorted(below, reverse=True)]
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves in order, and the sums of their counters: (place in that order, source, occurrences, documents)."""
+        order = np.fromiter(self.leaves(), np.int64, len(self.terms))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        leaf, *rest = (np.concatenate(x) for x in zip(*self.counters))
+        return order, *self._summed(place[leaf], *rest)
+
+    def stretches(self, lang: str, part: int) -> Iterator[dict]:
+        """LEAVES leaves at a time, in order."""
+        if not self.terms:
+            return
+        order, place, source, n, docs = self.summed()
+        names = list(self.names)
+        for at in range(0, len(order), LEAVES):
+            lo, hi = np.searchsorted(place, [at, at + LEAVES])
+            used, own = np.unique(source[lo:hi], return_inverse=True)
+            terms = [self.terms[k] for k in order[at : at + LEAVES].tolist()]
+            yield {"lang": lang, "part": part, "names": [names[k] for k in used.tolist()], "terms": terms, "sizes": np.bincount(place[lo:hi] - at, minlength=len(terms)), "sources": own, "n": n[lo:hi], "docs": docs[lo:hi]}
+
+    def merge(self, row: dict) -> None:
+        """Add a stretch of another trie."""
+        numbers = np.array([self.names.setdefault(x, len(self.names)) for x in row["names"]])
+        self.add(row["terms"].to_pylist(), numbers[row["sources"]], row["n"], row["docs"], row["sizes"])
+
+
+def packed(row: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """A row as a batch; lists may be arrays."""
+    made = []
+    for f in schema:
+        x = row[f.name]
+        if pa.types.is_list(f.type):
+            values = x if isinstance(x, pa.Array) else pa.array(x, f.type.value_type)
+            made.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+        else:
+            made.append(pa.array([x], f.type))
+    return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
+NUMBERS = ("sizes", "sources", "n", "docs", "totals")
+
+
+def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of batches: lists of numbers as arrays, terms as they are, all others as Python has them."""
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns))
+        for k in range(batch.num_rows):
+            row = {c: x[k] for c, x in columns.items()}
+            yield {c: x.values.to_numpy(zero_copy_only=False) if c in NUMBERS else x.values if c == "terms" else x.as_py() for c, x in row.items()}
 
 
 def tries(docs: DataFrame) -> DataFrame:
     """Packed tries of each task, ``part`` being the task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        occurs: dict[tuple, Counter] = defaultdict(Counter)
-        inside: dict[tuple, Counter] = defaultdict(Counter)
-        held = 0
+        part, made = TaskContext.get().partitionId(), defaultdict(RadixTrie)
 
         def out() -> Iterator[pa.RecordBatch]:
-            made: dict[str, RadixTrie] = defaultdict(RadixTrie)
-            for (lang, source), found in occurs.items():
-                trie, docs = made[lang], inside[lang, source]
-                for term, n in found.items():
-                    trie.add(term, source, n, docs[term])
             for lang, trie in made.items():
-                for row in packed(trie.leaves(), lang=lang, part=part):
-                    yield pa.RecordBatch.from_pylist([row], schema=STRETCH)
-            occurs.clear()
-            inside.clear()
+                for row in trie.stretches(lang, part):
+                    yield packed(row, STRETCH)
+            made.clear()
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found, own = occurs[lang, source], set()
-                before = len(found)
+                found: Counter = Counter()
                 for terms in word_lists(text.as_py().translate(TERM_BYTES), TERMS_AT_ONCE):
                     found.update(terms)
-                    own.update(terms)
-                inside[lang, source].update(own)
-                held += len(found) - before
-                if held >= HELD:
-                    yield from out()
-                    held = 0
+                made[lang].add(found, source, np.fromiter(found.values(), np.int64, len(found)), np.ones(len(found), np.int64))
+            if sum(len(trie.terms) for trie in made.values()) >= TERMS:
+                yield from out()
         yield from out()
 
     return docs.select("lang", "source", utf8("text").alias("text")).mapInArrow(count, STRETCH_SQL)
@@ -193,36 +222,31 @@ def ranged(stretches: DataFrame, cuts: dict[str, list[bytes]]) -> DataFrame:
     sent = stretches.sparkSession.sparkContext.broadcast(cuts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = STRETCH.append(pa.field("range", pa.int64()))
-        for batch in batches:
-            for row in batch.to_pylist():
-                bounds, terms, sizes = sent.value.get(row["lang"], []), row["terms"], np.cumsum([0, *row["sizes"]])
-                at, first = 0, bisect_left(bounds, terms[0] + b"\0")
-                for k in range(first, len(bounds) + 1):
-                    to = bisect_left(terms, bounds[k]) if k < len(bounds) else len(terms)
-                    if to > at:
-                        own = {c: row[c][at:to] for c in ("terms", "sizes")} | {c: row[c][sizes[at] : sizes[to]] for c in ("sources", "n", "docs")}
-                        yield pa.RecordBatch.from_pylist([row | own | {"range": k}], schema=schema)
-                    at = to
-                    if at == len(terms):
-                        break
+        for row in unpacked(batches):
+            bounds, terms, ends = sent.value.get(row["lang"], []), row["terms"], np.cumsum(row["sizes"])
+            term = lambda i: terms[i].as_py()
+            at = 0
+            for k in range(bisect_right(bounds, term(0)), len(bounds) + 1):
+                to = bisect_left(range(len(terms)), bounds[k], key=term) if k < len(bounds) else len(terms)
+                if to > at:
+                    lo, hi = ends[at] - row["sizes"][at], ends[to - 1]
+                    yield packed(row | {c: row[c][lo:hi] for c in ("sources", "n", "docs")} | {"terms": terms[at:to], "sizes": row["sizes"][at:to], "range": k}, RANGED)
+                at = to
+                if at == len(terms):
+                    break
 
     return stretches.mapInArrow(cut, STRETCH_SQL + ", range long")
 
 
-def merged(scratch: Scratch, stretches: DataFrame) -> DataFrame:
-    """One trie of each (lang, range), by rounds that merge those of FAN parts."""
-    schema = STRETCH.append(pa.field("range", pa.int64()))
-
+def merged(scratch: Scratch, stretches: DataFrame, last: int) -> DataFrame:
+    """One trie of each (lang, range), by rounds that merge those of FAN parts; ``last`` is the largest part."""
     def meet(table: pa.Table) -> pa.Table:
         trie = RadixTrie()
-        for row in table.to_pylist():
+        for row in unpacked(table.to_batches()):
             trie.merge(row)
-        lang, part, at = (table.column(c)[0].as_py() for c in ("lang", "part", "range"))
-        return pa.Table.from_pylist(list(packed(trie.leaves(), lang=lang, part=part, range=at)), schema=schema)
+        return pa.Table.from_batches([packed(x | {"range": row["range"]}, RANGED) for x in trie.stretches(row["lang"], row["part"])], schema=RANGED)
 
-    # a part is a task's number, so it is known how often FAN of them meet
-    last, k = stretches.agg(F.coalesce(F.max("part"), F.lit(0)).alias("m")).first().m, 0
+    k = 0
     while True:
         stretches = stretches.withColumn("part", F.shiftright("part", FAN.bit_length() - 1)).groupBy("lang", "range", "part").applyInArrow(meet, STRETCH_SQL + ", range long")
         last //= FAN
@@ -236,18 +260,15 @@ def kept_terms(stretches: DataFrame, least_docs: int) -> DataFrame:
     schema = pa.schema([STRETCH.field(c) for c in ("lang", "names", "terms", "sizes", "sources", "n")] + [("totals", pa.list_(pa.int64()))])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array(row["sizes"])
-                docs = np.add.reduceat(np.array(row["docs"]), np.cumsum(sizes) - sizes)
-                stays = docs >= least_docs
+        for row in unpacked(batches):
+            sizes = row["sizes"]
+            stays = np.add.reduceat(row["docs"], np.cumsum(sizes) - sizes) >= least_docs
+            if stays.any():
                 inner = np.repeat(stays, sizes)
-                sources, n = np.array(row["sources"])[inner], np.array(row["n"])[inner]
+                sources, n = row["sources"][inner], row["n"][inner]
                 totals = np.zeros(len(row["names"]), np.int64)
                 np.add.at(totals, sources, n)
-                if stays.any():
-                    made = {"lang": row["lang"], "names": row["names"], "terms": [t for t, s in zip(row["terms"], stays) if s], "sizes": sizes[stays].tolist(), "sources": sources.tolist(), "n": n.tolist(), "totals": totals.tolist()}
-                    yield pa.RecordBatch.from_pylist([made], schema=schema)
+                yield packed(row | {"terms": row["terms"].filter(pa.array(stays)), "sizes": sizes[stays], "sources": sources, "n": n, "totals": totals}, schema)
 
     return stretches.mapInArrow(keep, "lang string, names array<string>, terms array<binary>, sizes array<int>, sources array<int>, n array<long>, totals array<long>")
 
@@ -267,35 +288,34 @@ def compared(kept: DataFrame, top: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: dict[str, np.ndarray] = {}
         best: dict[tuple[str, int], list[tuple]] = {}
-        groups: dict[str, list[str]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                lang, own = row["lang"], row["groups"]
-                names = groups.setdefault(lang, [g["source"] for g in own])
-                of = np.array([g["n"] for g in own], np.int64) + row["v"]
-                place = {name: k for k, name in enumerate(names)}
-                columns = np.array([place[x] for x in row["names"]])[row["sources"]]
-                step = max(1, (1 << 20) // len(names))  # cells of counts at once
-                sizes = np.array(row["sizes"])
-                ends = np.cumsum(sizes)
-                sums = pairs.setdefault(lang, np.zeros((len(names), len(names)), np.int64))
-                for at in range(0, len(sizes), step):
-                    lo, hi = ends[at] - sizes[at], ends[min(at + step, len(sizes)) - 1]
-                    counts = np.zeros((len(sizes[at : at + step]), len(names)), np.int64)
-                    counts[np.repeat(np.arange(len(counts)), sizes[at : at + step]), columns[lo:hi]] = row["n"][lo:hi]
-                    p, q = share(counts, of), share(counts.sum(1), int(of.sum() - row["v"] * (len(names) - 1)))
-                    for k in range(len(names)):
-                        off = p[:, k, None] - p
-                        sums[k] += (off * off // p).sum(0)
-                    off = p - q[:, None]
-                    value = np.where((counts > 0) & (off > 0), off * off // q[:, None], -1)
-                    for k in range(len(names)):
-                        able = np.flatnonzero(value[:, k] >= 0)
-                        able = able[np.argsort(-value[able, k], kind="stable")[:top]]  # leaves stand in UTF-8 order
-                        found = [(-int(value[i, k]), row["terms"][at + i]) for i in able]
-                        best[lang, k] = heapq.nsmallest(top, best.get((lang, k), []) + found)
+        groups: dict[str, tuple[list[str], np.ndarray]] = {}
+        for row in unpacked(batches):
+            lang = row["lang"]
+            names, of = groups.setdefault(lang, ([g["source"] for g in row["groups"]], np.array([g["n"] for g in row["groups"]], np.int64) + row["v"]))
+            place = {name: k for k, name in enumerate(names)}
+            columns = np.array([place[x] for x in row["names"]])[row["sources"]]
+            step = max(1, (1 << 20) // len(names))  # cells of counts at once
+            sizes = row["sizes"]
+            ends = np.cumsum(sizes)
+            sums = pairs.setdefault(lang, np.zeros((len(names), len(names)), np.int64))
+            for at in range(0, len(sizes), step):
+                own = sizes[at : at + step]
+                lo, hi = ends[at] - own[0], ends[at + len(own) - 1]
+                counts = np.zeros((len(own), len(names)), np.int64)
+                counts[np.repeat(np.arange(len(own)), own), columns[lo:hi]] = row["n"][lo:hi]
+                p, q = share(counts, of), share(counts.sum(1), int(of.sum() - row["v"] * (len(names) - 1)))
+                for k in range(len(names)):
+                    off = p[:, k, None] - p
+                    sums[k] += (off * off // p).sum(0)
+                off = p - q[:, None]
+                value = np.where((counts > 0) & (off > 0), off * off // q[:, None], -1)
+                for k in range(len(names)):
+                    able = np.flatnonzero(value[:, k] >= 0)
+                    able = able[np.argsort(-value[able, k], kind="stable")[:top]]  # leaves stand in UTF-8 order
+                    found = [(-int(value[i, k]), row["terms"][at + i].as_py()) for i in able.tolist()]
+                    best[lang, k] = heapq.nsmallest(top, best.get((lang, k), []) + found)
         for lang, sums in pairs.items():
-            names = groups[lang]
+            names = groups[lang][0]
             rows = [(lang, a, "pair", b, int(sums[i, k])) for i, a in enumerate(names) for k, b in enumerate(names) if i != k]
             rows += [(lang, a, "term", t.decode("utf-8", "replace"), -v) for i, a in enumerate(names) for v, t in best[lang, i]]
             if rows:
@@ -317,7 +337,8 @@ def audit(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), "text")
     stretches = scratch.save(tries(rows), "tries")
     cut = ranged(stretches, boundaries(stretches, s))
-    kept = scratch.save(kept_terms(merged(scratch, cut), s.least_docs), "kept")
+    last = stretches.agg(F.coalesce(F.max("part"), F.lit(0)).alias("part")).first().part
+    kept = scratch.save(kept_terms(merged(scratch, cut, last), s.least_docs), "kept")
     totals = kept.select("lang", F.inline(F.arrays_zip(F.col("names").alias("source"), F.col("totals").alias("n"))))
     totals = totals.union(rows.select("lang", "source", F.lit(0).cast("long"))).groupBy("lang", "source").agg(F.sum("n").alias("n"))
     sizes = kept.groupBy("lang").agg(F.sum(F.size("terms")).alias("v"))
