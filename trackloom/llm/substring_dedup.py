@@ -34,7 +34,7 @@ BASE = 0x9E3779B97F4A7C15
 NULL_ID = 2**63 - 1
 NAME_BYTES = 5
 PIECE = 1 << 19
-NAMED, PACKED, HELD = 16 << 20, 8 << 20, 100_000
+NAMED, PACKED, HELD = 8 << 20, 8 << 20, 50_000
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -403,7 +403,7 @@ def _finish(texts: pa.Table, found: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out, schema=RESULT)
 
 
-def remove_repeats(docs: DataFrame, bytes_a_task: int = 12 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, bytes_a_task: int = 8 << 20) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` for each row of ``docs``.
 
     A null text is empty. A null doc_id counts as larger than all others (as does 2**63 - 1, which stands for it and
