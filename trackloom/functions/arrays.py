@@ -105,3 +105,11 @@ def posterior(prior: Column, log_likelihoods: Column) -> Column:
     joint = F.zip_with(prior, log_likelihoods, lambda p, v: F.ln(p) + v)
     total = log_sum_exp(joint)
     return F.transform(joint, lambda x: F.exp(x - total))
+
+
+def polar_covariance(r: Column, az: Column, el: Column, s_r: Column, s_az: Column, s_el: Column) -> Column:
+    """Covariance of a place measured by range, azimuth (from x to y) and elevation with independent errors: J R J'."""
+    ce, se, ca, sa = F.cos(el), F.sin(el), F.cos(az), F.sin(az)
+    turned = F.array(F.array(ce * ca, -r * ce * sa, -r * se * ca), F.array(ce * sa, r * ce * ca, -r * se * sa), F.array(se, F.lit(0.0), r * ce))
+    variances = F.array(s_r * s_r, s_az * s_az, s_el * s_el)
+    return F.transform(turned, lambda a: F.transform(turned, lambda b: dot(F.zip_with(a, variances, lambda x, v: x * v), b)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions import scalars as s
+from trackloom.operators.timeseries import rolling_mean
+
 AXES = ("x", "y", "z")
 
 
@@ -60,3 +63,22 @@ def resample_by_arc(df: DataFrame, key: str, order: list[str], values: list[str]
     share = F.when(F.col("__d") > 0, (F.col("point") * step - F.col("__from")) / (F.col("__to") - F.col("__from"))).otherwise(1.0)
     between = lambda c: F.when(F.col(f"__{c}").isNull(), F.col(c)).otherwise(F.col(f"__{c}") + share * (F.col(c) - F.col(f"__{c}")))
     return points.select(key, "point", (F.col("point") * step).alias("arc"), *(between(c).alias(c) for c in sides))
+
+
+def truth_of_paths(points: DataFrame, key: str, least: int = 5) -> DataFrame:
+    """``key, time, x, y, z, vx, vy, vz`` from points (``time_unix, lat, lon, alt_m``) of any number of paths, each in local metres
+    about its medians and in seconds from its first point.
+
+    Points without a position are left out, of several at one time one stays, a missing height is 0; a path of fewer than
+    ``least`` points is left out. Velocities are differences over 0.1 s at least, cut at 350 m/s and smoothed over three rows.
+    """
+    placed = points.filter("lat is not null and lon is not null").withColumn("alt_m", F.coalesce("alt_m", F.lit(0.0)))
+    enough = F.count("*").over(Window.partitionBy(key)) >= least
+    first = placed.withColumn("__enough", enough).filter("__enough").groupBy(key, "time_unix").agg(F.min(F.struct("lat", "lon", "alt_m")).alias("p")).select(key, "time_unix", "p.*")
+    about = first.groupBy(key).agg(F.median("lat").alias("__lat"), F.median("lon").alias("__lon"), F.median("alt_m").alias("__alt"), F.min("time_unix").alias("__t0"))
+    d = first.join(about, key).withColumns({"time": F.col("time_unix") - F.col("__t0"), "x": s.enu_x(F.col("lon"), F.col("__lat"), F.col("__lon")), "y": s.enu_y(F.col("lat"), F.col("__lat")), "z": F.col("alt_m") - F.col("__alt")})
+    w = Window.partitionBy(key).orderBy("time_unix")
+    dt = F.greatest(F.coalesce(F.col("time") - F.lag("time").over(w), F.lit(1.0)), F.lit(0.1))
+    d = d.withColumns({f"v{c}": s.clip(F.coalesce((F.col(c) - F.lag(c).over(w)) / dt, F.lit(0.0)), -350.0, 350.0) for c in AXES})
+    d = d.withColumns({f"v{c}": rolling_mean(f"v{c}", w) for c in AXES})
+    return d.select(key, "time", *AXES, *(f"v{c}" for c in AXES), "lat", "lon", "alt_m", "time_unix")

@@ -103,7 +103,7 @@ def associate_target(fused: DataFrame, target: DataFrame, gate: float, tolerance
 
 def association_segments(associated: DataFrame, gap: float = 5.0) -> DataFrame:
     keyed = associated.withColumn("key", F.concat_ws("/", "scenario", "global_track_id"))
-    return segments(keyed, "key", "time", gap)
+    return segments(keyed, "key", "time", gap, "position_error_m")
 
 
 def best_state(associated: DataFrame) -> DataFrame:

@@ -76,6 +76,14 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, time: str, values:
     return found.withColumn("__best", F.when(near, best)).select("__row.*", F.col("__best.t").alias("matched_time"), *(F.col(f"__best.{v}").alias(v) for v in values))
 
 
+def free(name: str, df: DataFrame) -> str:
+    """``name``, longer where ``df`` has a column of it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ordered(key: str, *by: str) -> Window:
     return Window.partitionBy(key).orderBy(*by)
 
@@ -93,12 +101,14 @@ def segment_number(time: str, w: Window, gap: float) -> Column:
     return F.sum(F.when(difference(time, w) > gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def segments(df: DataFrame, key: str, time: str, gap: float) -> DataFrame:
-    """``key, segment, start, end, n, duration, max_gap``: runs without a gap over ``gap``."""
-    w = ordered(key, time)
-    marked = df.withColumns({"__gap": difference(time, w), "segment": segment_number(time, w, gap)})
-    inner = F.when(F.col("__gap") <= gap, F.col("__gap"))
-    return marked.groupBy(key, "segment").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"), (F.max(time) - F.min(time)).alias("duration"), F.max(inner).alias("max_gap"))
+def segments(df: DataFrame, key: str, time: str, gap: float, error: str | None = None) -> DataFrame:
+    """``key, segment, start, end, n, duration, max_gap``: runs without a gap over ``gap``; with ``error``, a column, its
+    ``mean_error`` and ``max_error`` too."""
+    w, step = ordered(key, time), free("__gap", df)
+    marked = df.withColumns({step: difference(time, w), "segment": segment_number(time, w, gap)})
+    inner = F.when(F.col(step) <= gap, F.col(step))
+    errors = [F.avg(error).alias("mean_error"), F.max(error).alias("max_error")] if error else []
+    return marked.groupBy(key, "segment").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"), (F.max(time) - F.min(time)).alias("duration"), F.max(inner).alias("max_gap"), *errors)
 
 
 def gradient(value: str, time: str, w: Window) -> Column:
@@ -160,8 +170,13 @@ def id_switches(df: DataFrame, track: str, time: str, target: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    w, n = Window.partitionBy(*keys).orderBy(*order), free("__n", df)
+    return df.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).drop(n)
+
+
+def last_rows(df: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The last ``most`` rows in an order, in that order: a partial top in every task, then one of all."""
+    return df.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(most).orderBy(*(F.col(c).asc_nulls_first() for c in order))
 
 
 def histogram(df: DataFrame, value: str, width: float, key: str | None = None) -> DataFrame:
@@ -176,17 +191,20 @@ def histogram(df: DataFrame, value: str, width: float, key: str | None = None) -
 
 def evenly_picked(df: DataFrame, order: list[str], most: int, key: str) -> DataFrame:
     """Of each key ``most`` rows at equal steps from the first to the last, or all where there are no more."""
-    w = Window.partitionBy(key)
-    rows = df.withColumns({"__last": F.count("*").over(w) - 1, "__at": F.row_number().over(w.orderBy(*order)) - 1})
+    w, last, at = Window.partitionBy(key), free("__last", df), free("__at", df)
+    rows = df.withColumns({last: F.count("*").over(w) - 1, at: F.row_number().over(w.orderBy(*order)) - 1})
     # the i-th pick is row floor(i * last / (most - 1)); row k is one if the first i at or past it lands on it
-    pick = f"(__at * {most - 1} + __last - 1) div __last"
-    return rows.filter(f"__last < {most} or ({pick}) * __last div {most - 1} = __at").drop("__last", "__at")
+    pick = f"({at} * {most - 1} + {last} - 1) div {last}"
+    return rows.filter(f"{last} < {most} or ({pick}) * {last} div {most - 1} = {at}").drop(last, at)
 
 
-def monotonic_checks(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """``key, rising, repeated``: whether ``value`` never falls in the order, and how many rows repeat an earlier value."""
-    d = difference(value, ordered(key, order))
-    return df.withColumn("__d", d).groupBy(key).agg((F.count_if(F.col("__d") < 0) == 0).alias("rising"), (F.count(value) - F.count_distinct(value)).alias("repeated"))
+def monotonic_checks(df: DataFrame, key: str, order: str, values: dict[str, str]) -> DataFrame:
+    """``key`` and, for each value by its prefix, ``rising`` and ``repeated``: whether it never falls in the order, and how many rows
+    repeat an earlier value. All values go in one pass."""
+    w = ordered(key, order)
+    steps = {p: free(f"__{p}", df) for p in values}
+    found = df.withColumns({steps[p]: difference(c, w) for p, c in values.items()})
+    return found.groupBy(key).agg(*(x for p, c in values.items() for x in ((F.count_if(F.col(steps[p]) < 0) == 0).alias(f"{p}_rising"), (F.count(c) - F.count_distinct(c)).alias(f"{p}_repeated"))))
 
 
 def realigned(df: DataFrame, scans: DataFrame, key: str, time: str, who: list[str], order: list[str]) -> DataFrame:
@@ -201,8 +219,9 @@ def realigned(df: DataFrame, scans: DataFrame, key: str, time: str, who: list[st
 def every_kth(df: DataFrame, order: list[str], most: int, key: str) -> DataFrame:
     """Rows 0, k, 2k ... of each key, k the smallest step that leaves ``most`` rows at most."""
     w = Window.partitionBy(key)
-    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(*order)) - 1
-    return df.withColumns({"__n": n, "__at": at}).filter("__at % greatest(1, ceil(__n / {})) = 0".format(most)).drop("__n", "__at")
+    n, at = free("__n", df), free("__at", df)
+    rows = df.withColumns({n: F.count("*").over(w), at: F.row_number().over(w.orderBy(*order)) - 1})
+    return rows.filter(f"{at} % greatest(1, ceil({n} / {most})) = 0").drop(n, at)
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -136,8 +136,7 @@ def frame_pick(spark, sf):
 def monotonic_checks(spark, sf):
     """whether a column never falls, and how often it repeats a value."""
     d = signal(spark, sf)
-    each = [ts.monotonic_checks(d, "user_id", "event_id", c).select("user_id", F.col("rising").alias(f"{n}_rising"), F.col("repeated").alias(f"{n}_repeated")) for c, n in (("t", "time"), ("value", "value"))]
-    return each[0].join(each[1], "user_id")
+    return ts.monotonic_checks(d, "user_id", "event_id", {"time": "t", "value": "value"})
 
 
 SCANS = f"{SIGNAL}, scans AS (SELECT DISTINCT user_id, t FROM sig WHERE event_type = 'purchase'), ask AS (SELECT user_id, event_id, t, event_type FROM sig), b AS (SELECT a.*, s.t AS bt FROM ask a ASOF LEFT JOIN scans s ON a.user_id = s.user_id AND a.t >= s.t), ba AS (SELECT b.*, s.t AS nt FROM b ASOF LEFT JOIN scans s ON b.user_id = s.user_id AND b.t <= s.t), m AS (SELECT *, CASE WHEN bt IS NULL AND nt IS NULL THEN t WHEN nt IS NULL OR t - bt <= nt - t THEN bt ELSE nt END AS moved FROM ba)"
