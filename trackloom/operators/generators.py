@@ -387,7 +387,7 @@ def add_target(sensor: DataFrame, target: DataFrame, callsign: str) -> DataFrame
 def separations(track: DataFrame, others: DataFrame) -> DataFrame:
     """``callsign, min_distance``: least distance of ``track`` to each other target at its own times."""
     parts = others.select("callsign").distinct()
-    ask = track.select("time", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")).join(F.broadcast(parts))
+    ask = track.select("time", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")).join(parts)
     near = interpolation_join(ask, others, "callsign", "time", ["x", "y", "z"], edge="drop")
     d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
     return near.groupBy("callsign").agg(F.min(d).alias("min_distance"))

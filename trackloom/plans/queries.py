@@ -13,6 +13,7 @@ from trackloom.operators import scoring, tracking
 from trackloom.operators import timeseries as ts
 from trackloom.plans import api
 from trackloom.plans.registry import ORACLES, QUERIES
+from trackloom.sources.store import settled
 
 
 def query(sql: str | None = None):
@@ -323,7 +324,7 @@ def purchases(sensor: DataFrame) -> DataFrame:
 def _fused(spark, sf, algorithm: str):
     sensor = measured(spark, sf)
     # scoring reads the tracks several times
-    return tracking.fuse(sensor, algorithm).persist(), purchases(sensor)
+    return settled(tracking.fuse(sensor, algorithm), f"fused-{algorithm}"), purchases(sensor)
 
 
 @query()
@@ -385,15 +386,14 @@ def target_metrics(spark, sf):
 @query()
 def algorithm_comparison(spark, sf):
     """Overall scores of every algorithm; an algorithm is a scenario dimension, so all run side by side."""
-    sensor = measured(spark, sf).persist()
+    sensor = settled(measured(spark, sf), "measured")
     within = lambda a: F.concat_ws("/", F.lit(a), "scenario")
     parts = [tracking.fuse(sensor, a).withColumn("scenario", within(a)) for a in ("basic", "advanced", "advanced_fixed_q", "imm")]
     fused = parts[0]
     for p in parts[1:]:
         fused = fused.unionByName(p)
-    fused = fused.persist()
-    algorithms = spark.createDataFrame([(a,) for a in ("basic", "advanced", "advanced_fixed_q", "imm")], "algorithm string")
-    gt = purchases(sensor).crossJoin(F.broadcast(algorithms)).withColumn("scenario", within(F.col("algorithm"))).drop("algorithm")
+    fused = settled(fused, "fused")
+    gt = purchases(sensor).withColumn("algorithm", F.explode(F.array(*(F.lit(a) for a in api.ALGORITHMS)))).withColumn("scenario", within(F.col("algorithm"))).drop("algorithm")
     return scoring.tracking_metrics(fused, gt)
 
 
@@ -402,7 +402,9 @@ def target_association(spark, sf):
     """Association of tracks with each target in turn, and its segments."""
     fused, gt = _fused(spark, sf, "imm")
     own = F.concat_ws("/", "scenario", "callsign")
-    each = fused.join(F.broadcast(gt.select("scenario", "callsign").distinct()), "scenario").withColumn("scenario", own).drop("callsign")
+    # a target's life and a tolerance around it: other rows can have no match
+    lives = gt.groupBy("scenario", "callsign").agg(F.min("time").alias("born"), F.max("time").alias("gone"))
+    each = fused.join(lives, "scenario").filter(F.col("time").between(F.col("born") - 1.5, F.col("gone") + 1.5)).withColumn("scenario", own).drop("callsign", "born", "gone")
     return scoring.association_segments(scoring.associate_target(each, gt.withColumn("scenario", own), 400.0, 1.5))
 
 

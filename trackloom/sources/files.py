@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackloom.operators.timeseries import same_rows
+from trackloom.sources.store import open_fs
+
 GROUND_TRUTH = "time double, x double, y double, z double, vx double, vy double, vz double, callsign string, lat double, lon double, alt_m double, time_unix double"
 ALIASES = {"time": ("time", "t", "timestamp"), "x": ("x", "x_m", "pos_x"), "y": ("y", "y_m", "pos_y"), "z": ("z", "z_m", "alt", "alt_m"), "callsign": ("callsign", "target", "id")}
 
-from trackloom.operators.timeseries import same_rows
-
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Headed CSV by column name; columns that a file lacks are null, others are ignored."""
@@ -21,10 +22,12 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 
 
 def read_csv_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """As :func:`read_csv`; an absent or empty file is an empty table."""
+    """As :func:`read_csv`; an absent or empty file is an empty table, all other errors are raised."""
     try:
         return read_csv(spark, path, schema)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -64,19 +67,29 @@ def update_in_place(spark: SparkSession, path: str, target: DataFrame, key: str,
     """The Parquet table at ``path`` with one key value's rows replaced by ``target``. ``merge(existing, target, key, value)``
     is written beside the table, read back, and takes its place only if all other rows are as they were; else ValueError, and
     the table stays."""
+    fs, here = open_fs(path.rstrip("/"))
+    staged, aside = f"{here}__staged", f"{here}__aside"
+    there = lambda p: fs.get_file_info(p).type.name != "NotFound"
+    if there(aside):  # an earlier call ended between its two moves: the table is whole in one place or the other
+        if there(here):
+            fs.delete_dir(aside)
+        else:
+            fs.move(aside, here)
     old = spark.read.parquet(path)
-    staged = path.rstrip("/") + "__staged"
-    merge(old, target, key, value).write.mode("overwrite").parquet(staged)
-    new = spark.read.parquet(staged)
+    merge(old, target, key, value).write.mode("overwrite").parquet(path.rstrip("/") + "__staged")
+    new = spark.read.parquet(path.rstrip("/") + "__staged")
     others = lambda df: df.filter(~F.col(key).eqNullSafe(F.lit(value)))
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    here, there = jvm.Path(path), jvm.Path(staged)
-    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not same_rows(others(old), others(new)):
-        fs.delete(there, True)
+        fs.delete_dir(staged)
         raise ValueError(f"{path}: rows of other targets would change")
-    fs.delete(here, True)
-    fs.rename(there, here)
+    fs.move(here, aside)
+    try:
+        fs.move(staged, here)
+    except OSError:
+        fs.move(aside, here)
+        raise
+    fs.delete_dir(aside)
+    spark.catalog.refreshByPath(path)
     return spark.read.schema(new.schema).parquet(path)
 
 

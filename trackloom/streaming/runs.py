@@ -1,13 +1,11 @@
-"""Streams that take what is there and end: sessions by timers, tumbling bins, and the folders they keep their place in."""
+"""Streams that take what is there and end: sessions by timers, tumbling bins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,17 +14,6 @@ OPEN = "start_us long, last_us long, n long, total double"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; where it is unset, as in tests on a local
-    master, a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="trackloom-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 class Sessions(StatefulProcessor):
     """Open sessions of a key as a list state; each ends by a timer once the watermark is past its gap. Rows may come in any
     order within the watermark's delay, so one row can join two sessions."""
