@@ -22,10 +22,28 @@ def corpus(n=400):
     return rows
 
 
-def test_terms_are_distinct_and_framed():
-    text, term = t.terms_of([b"", b"abc abc", b"ABC\tabc"], (4, 5), 14)
-    by = [set(term[text == k]) for k in range(3)]
-    assert len(by[0]) and by[1] == by[2] and len(by[1]) == (text == 1).sum()
+def test_terms_are_distinct():
+    texts = [b"", b"abcd abcd", b"ABCD\tabcd", b"abcd " + b"efgh " * 300, b"xabcd"]
+    text, term = t.terms_of(texts, SMALL)
+    by = [term[text == k] for k in range(5)]
+    assert not len(by[0]) and set(by[1]) == set(by[2]) and all(len(set(x)) == len(x) for x in by)
+    space = 1 << SMALL.bits
+    start = {x for x in by[1].tolist() if x < space}  # one beginning of four bytes, told often
+    assert len(by[1]) == 2 and {x + space for x in start} <= set(by[1].tolist())
+    assert start <= set(by[3].tolist()) and not {x + space for x in start} & set(by[3].tolist())  # one of 301 words
+    assert not start & set(by[4].tolist())  # no beginning inside a word
+
+
+def test_a_very_long_text_does_not_empty_its_class(spark):
+    rows = corpus()
+    h = spark.createDataFrame([(r[0],) for r in rows], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").collect()
+    first = next(r.doc_id for r in h if r.doc_id % 4 == 0)
+    long = [(k, x if k != first else x + " w" * (2 << 20), y) for k, x, y in rows]
+    docs = spark.createDataFrame([(k, x, "", "") for k, x, _ in long], DOCS)
+    labels = spark.createDataFrame([(k, 1, y, "") for k, _, y in rows], LABELS)
+    texts, found = t.training_sample(docs, labels, SMALL)
+    usual = t.training_sample(spark.createDataFrame([(k, x, "", "") for k, x, _ in rows], DOCS), labels, SMALL)[1]
+    assert found.sum() >= usual.sum() - 1 > 50 and (found == 0).sum() == (usual == 0).sum() and max(map(len, texts)) < SMALL.max_text
 
 
 def test_batches_do_not_leak_between_texts():
@@ -38,7 +56,7 @@ def test_batches_do_not_leak_between_texts():
 def test_formula_against_pairs():
     rows = [r[1].encode() for r in corpus(60)]
     model = t.fit(rows, np.array([r[2] for r in corpus(60)]), SMALL)
-    _, at = t.terms_of([rows[3]], SMALL.sizes, SMALL.bits, model.place)
+    _, at = t.terms_of([rows[3]], SMALL, model.place)
     y = float(model.bias) + model.w[at].sum() + sum(float(model.v[i] @ model.v[j]) for i, j in itertools.combinations(at, 2))
     assert abs(model.scores([rows[3]])[0] - 1 / (1 + np.exp(-y))) < 1e-4
 

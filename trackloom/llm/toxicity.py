@@ -1,7 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are the distinct hashed byte n-grams of its lower-cased UTF-8 bytes: stems that mark abuse inside
-inflected or compounded words are terms too, in any language. A factorization machine
+Terms of a text are the beginnings of its words, some bytes long, and the byte n-grams inside them, lower-cased in A-Z and
+hashed: stems that mark abuse inside inflected or compounded words are terms too, in any language. A term that one of
+``dense`` words has, or more, is a second term, as a stem that chance leaves in a long text says less than one told often. A
+factorization machine
 
     y(x) = w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]
 
@@ -26,13 +28,18 @@ from trackloom.llm.common import free_name, small_batches, utf8
 @dataclass(frozen=True)
 class Settings:
     """``max_rows`` rows of each class at most are fitted on (those of smallest hash), each with its whole text, while all of
-    a class have ``max_bytes`` at most, which bounds the driver's memory. ``bits``: size of the hashed term space.
-    ``kept_terms``: terms that are fitted, those of largest chi statistic. ``rank``: width of the interaction vectors."""
+    a class have ``max_bytes`` at most, which bounds the driver's memory; a text of more than ``max_text`` bytes is left
+    out beforehand. ``bits``: size of the hashed term space. ``starts`` and ``sizes``: bytes of the beginnings of words and of
+    the n-grams. ``kept_terms``: terms that are fitted, those of largest chi statistic. ``rank``: width of the interaction
+    vectors."""
 
     max_rows: int = 2000
     max_bytes: int = 32 << 20
-    bits: int = 18
-    sizes: tuple[int, ...] = (4, 5)
+    max_text: int = 2 << 20
+    bits: int = 20
+    starts: tuple[int, ...] = (4, 5, 6, 7, 8)
+    sizes: tuple[int, ...] = (5,)
+    dense: int = 200
     kept_terms: int = 2048
     rank: int = 4
     epochs: int = 25
@@ -41,31 +48,54 @@ class Settings:
     seed: int = 7
 
 
-BLANKS = bytes(32 if 9 <= x <= 13 else x for x in bytes(range(256)).lower())
+#: Bytes of words stay, A-Z in lower case; all others are blanks.
+WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
-def terms_of(texts: list[bytes], sizes: tuple[int, ...], bits: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, term) of the distinct hashed byte n-grams of each lower-cased text, in order, all texts in one pass.
-    Blanks of every kind are one; a text is framed by blanks, so an empty one has the frame's terms only. With ``place``
-    terms are mapped by it and those at -1 left out early."""
-    framed = [b" " + x + b"   " for x in texts]
+def terms_of(texts: list[bytes], s: Settings, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, term) of the distinct terms of each text, in order, all texts in one pass; dense terms stand behind the
+    ``1 << bits`` others. A text without words has none. With ``place`` terms are mapped by it and those at -1 left out."""
+    space, pad = 1 << s.bits, max(*s.starts, *s.sizes, 1)
+    framed = [b" " + x + b" " * pad for x in texts]
     ends = np.cumsum([len(x) for x in framed])
-    raw = np.frombuffer(b"".join(framed).translate(BLANKS) + bytes(8), np.uint8)
-    keys = []
-    for size in sizes:
-        code = np.zeros(len(raw) - 8, np.uint64)
-        for k in range(size):
-            code <<= np.uint64(8)
-            code |= raw[k : k + len(code)]
-        code *= np.uint64(0x9E3779B97F4A7C15 + 2 * size)
-        code >>= np.uint64(64 - bits)
-        term = code.astype(np.int64)
-        at = np.arange(len(term)) if place is None else np.flatnonzero(place[term] >= 0)
-        text = np.searchsorted(ends, at, "right")
-        inside = at + size <= ends[text]
-        keys.append((text[inside] << np.int64(bits)) | (term if place is None else place[term])[at[inside]])
-    found = np.unique(np.concatenate(keys))
-    return found >> np.int64(bits), found & np.int64((1 << bits) - 1)
+    raw = np.frombuffer(b"".join(framed).translate(WORD_BYTES) + b" " * pad, np.uint8)
+    word = raw[: len(raw) - pad] != 32
+    first = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+    words = np.bincount(np.searchsorted(ends, first, "right"), minlength=len(texts))
+    kept = None if place is None else (place[:space] >= 0) | (place[space:] >= 0)
+    keys = [np.empty(0, np.int64)]
+    for salt, sizes, at in ((1, s.starts, first), (0, s.sizes, np.flatnonzero(word))):
+        for size in sizes:
+            inside, code = np.ones(len(at), bool), np.zeros(len(at), np.uint64)
+            for k in range(size):
+                byte = raw[at + k]
+                inside &= byte != 32
+                code = (code << np.uint64(8)) | byte
+            own, code = at[inside], code[inside]
+            term = ((code * np.uint64(0x9E3779B97F4A7C15 + 2 * size + 64 * salt)) >> np.uint64(64 - s.bits)).astype(np.int64)
+            if kept is not None:
+                own, term = own[kept[term]], term[kept[term]]
+            keys.append((np.searchsorted(ends, own, "right") << np.int64(s.bits)) | term)
+    found, n = np.unique(np.concatenate(keys), return_counts=True)
+    text, term = found >> np.int64(s.bits), found & np.int64(space - 1)
+    dense = n * s.dense >= words[text]
+    text, term = np.concatenate([text, text[dense]]), np.concatenate([term, term[dense] + space])
+    if place is not None:
+        term = place[term]
+        text, term = text[term >= 0], term[term >= 0]
+    return text, term
+
+
+def some(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts) of a megabyte or so at a time."""
+    k = 0
+    while k < len(texts):
+        n, size = k, 0
+        while n < len(texts) and (n == k or size + len(texts[n]) <= 1 << 20):
+            size += len(texts[n])
+            n += 1
+        yield k, texts[k:n]
+        k = n
 
 
 @dataclass
@@ -80,7 +110,7 @@ class Model:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         s, n = self.settings, len(texts)
-        text, at = terms_of(texts, s.sizes, s.bits, self.place)
+        text, at = terms_of(texts, s, self.place)
         y = self.bias + np.bincount(text, self.w[at], n)
         v = self.v[at]
         for f in range(self.v.shape[1]):
@@ -90,11 +120,14 @@ class Model:
 
 
 def select_terms(texts: list[bytes], labels: np.ndarray, settings: Settings) -> np.ndarray:
-    """Terms of largest signed chi statistic against the labels; ties go to the smaller hash. One text's terms at a time."""
-    space = 1 << settings.bits
+    """Terms of largest signed chi statistic against the labels; ties go to the smaller hash."""
+    space = 2 << settings.bits
     pos, neg = np.zeros(space), np.zeros(space)
-    for text, label in zip(texts, labels):
-        (pos if label else neg)[terms_of([text], settings.sizes, settings.bits)[1]] += 1
+    for k, part in some(texts):
+        text, term = terms_of(part, settings)
+        toxic = labels[k + text] == 1
+        pos += np.bincount(term[toxic], minlength=space)
+        neg += np.bincount(term[~toxic], minlength=space)
     p, n = max(labels.sum(), 1), max(len(labels) - labels.sum(), 1)
     seen = pos + neg
     rate = seen / (p + n)
@@ -107,7 +140,7 @@ def select_terms(texts: list[bytes], labels: np.ndarray, settings: Settings) ->
 def fit(texts: list[bytes], labels: np.ndarray, settings: Settings = Settings()) -> Model:
     """Adagrad on the logistic loss. Without rows of both classes every text scores the
     smoothed share of label 1."""
-    s, space = settings, 1 << settings.bits
+    s, space = settings, 2 << settings.bits
     labels = np.asarray(labels, np.int64)
     place = np.full(space, -1, np.int32)
     share = (labels.sum() + 0.1) / (len(labels) + 1.0)
@@ -116,8 +149,9 @@ def fit(texts: list[bytes], labels: np.ndarray, settings: Settings = Settings())
     terms = select_terms(texts, labels, s)
     place[terms] = np.arange(len(terms))
     x = np.zeros((len(texts), len(terms)), np.float32)
-    for k, text in enumerate(texts):
-        x[k, terms_of([text], s.sizes, s.bits, place)[1]] = 1
+    for k, part in some(texts):
+        text, term = terms_of(part, s, place)
+        x[k + text, term] = 1
     rng, f32 = np.random.default_rng(s.seed), np.float32
     w, v, bias = np.zeros(len(terms), f32), rng.normal(0, 0.01, (len(terms), s.rank)).astype(f32), f32(np.log(share / (1 - share)))
     gw, gv, gb = np.full(len(terms), 1e-3, f32), np.full(v.shape, 1e-3, f32), 1e-3
@@ -158,7 +192,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> t
     there = there.join(known, "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("own").alias("own")).select("doc_id", "toxic", "h", "own.*")
     picked = None
     for label in (1, 0):
-        part = there.filter(F.col("toxic") == label).orderBy("h").limit(s.max_rows)
+        part = there.filter((F.col("toxic") == label) & (F.col("size") <= s.max_text)).orderBy("h").limit(s.max_rows)
         part = part.withColumn("run", F.sum("size").over(Window.partitionBy("toxic").orderBy("h", "doc_id"))).filter(F.col("run") <= s.max_bytes).select("doc_id", "tag", "toxic")
         picked = part if picked is None else picked.union(part)
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.encode("text", "UTF-8").alias("data"))
@@ -174,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
 def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
     """The ``keep`` columns of ``docs`` and the score as ``name``, one row for each row of ``docs``; a null text scores as an empty
-    one. No shuffle: the model (under 5 MB by its settings) is broadcast."""
+    one. No shuffle: the model (under 10 MB by its settings) is broadcast."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, utf8("text").alias(free_name("data", keep)))
@@ -183,14 +217,7 @@ def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> Dat
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in rows:
-            texts, out, k = batch.column(batch.num_columns - 1).to_pylist(), [], 0
-            while k < len(texts):  # some MB of text at a time
-                n, size = k, 0
-                while n < len(texts) and (n == k or size + len(texts[n]) <= 1 << 20):
-                    size += len(texts[n])
-                    n += 1
-                out.append(m.scores(texts[k:n]))
-                k = n
+            out = [m.scores(part) for _, part in some(batch.column(batch.num_columns - 1).to_pylist())]
             scores = pa.array(np.concatenate(out) if out else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*keep, name])
 
@@ -207,7 +234,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings:
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without the documents scored at or over ``threshold``. All columns stay, whatever their names; a null or
-    empty text is scored by the frame alone, a very long one whole; repeated rows are judged alike; without labels every
+    empty text has the score of no terms, a very long one is scored whole; repeated rows are judged alike; without labels every
     text has the same low score and stays; an empty table stays empty."""
     name = free_name("score", docs.columns)
     return score(docs, train(docs, labels, settings), *docs.columns, name=name).filter(F.col(name) < threshold).select(*docs.columns)
