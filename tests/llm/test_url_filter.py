@@ -56,5 +56,21 @@ def test_hosts_without_rules_take_the_shares_of_all_hosts(spark):
     assert got[180].rule is None and got[180].template.startswith("casino")
 
 
+def test_one_site_alone_says_nothing_of_others(spark):
+    """The same pages, bad on hosts of one site only, and with that site left out of three."""
+    def verdicts(rules):
+        urls = [f"http://{h}/casino/{k}" for h in ("a.org", "m.a.org", "b.org", "c.net") for k in range(40)] + [f"http://{h}/docs/{k}" for h in ("a.org", "b.org", "c.net") for k in range(60)]
+        got = u.judge(frame(spark, urls), rules).collect()
+        return {(h, part): {r.verdict for r in got if r.host == h and r.path.startswith(f"/{part}")} for h in ("a.org", "m.a.org", "b.org", "c.net") for part in ("casino", "docs")}
+
+    bad, good = lambda h: u.Rule(h, "/casino/", "block"), lambda h: u.Rule(h, "/docs/", "allow")
+    one = verdicts((bad("a.org"), good("a.org")))
+    assert one["m.a.org", "casino"] == {"block"} and one["b.org", "casino"] == one["c.net", "casino"] == {"allow"}
+    for left in ("a.org", "b.org", "c.net"):  # each site judged from the other two
+        rules = tuple(f(h) for h in ("a.org", "b.org", "c.net") if h != left for f in (bad, good))
+        found = verdicts(rules)
+        assert found[left, "casino"] == {"block"} and found[left, "docs"] <= {"allow"}
+
+
 def test_empty(spark):
     assert u.judge(frame(spark, [])).collect() == []

@@ -3,7 +3,9 @@
 The tree: below each host, a segment that varies is generalised to a wildcard of its kind, level by level; branches whose
 labels are statistically alike are merged; and every template gets a smoothed share of bad labels. Labels are the verdicts
 of the rules themselves, so the tree extends what the rules state to look-alike templates of the same host; a host of which
-the rules say nothing takes its templates' shares from a tree over all hosts together. Everything works on counts of distinct templates: a hot host is summed before anything is shuffled.
+the rules say nothing takes its templates' shares from a tree over all hosts together, where several sites have shown them
+to be bad: what is bad on one site alone says nothing of others. Everything works on counts of distinct templates: a hot host
+is summed before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -46,7 +48,8 @@ class Settings:
     before they become a wildcard. ``alike``: largest z at which a branch's share of bad counts
     as its parent's; below ``least_rows`` of evidence it always does. ``prior_rows``: weight of
     the parent's share in a template's own. ``unknown_weight``: rows of
-    evidence, as not bad, that an unlabelled page is. ``block_at``: share of bad at which the method blocks."""
+    evidence, as not bad, that an unlabelled page is. ``block_at``: share of bad at which the method blocks. ``least_sites``: sites
+    on which a template must be bad before it counts on others."""
 
     depth: int = 4
     distinct: int = 20
@@ -55,6 +58,12 @@ class Settings:
     prior_rows: float = 5.0
     unknown_weight: float = 0.5
     block_at: float = 0.5
+    least_sites: int = 2
+
+
+def site_of(host: Column) -> Column:
+    """The last two labels of a host; the host where it has no more, or ends in a number."""
+    return F.when(host.rlike(r"[0-9]$"), host).otherwise(F.array_join(F.slice(F.split(host, r"\."), -F.least(F.size(F.split(host, r"\.")), F.lit(2)), 2), "."))
 
 
 def host_of(url: Column) -> Column:
@@ -130,7 +139,9 @@ def template_tree(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     found = tree.select("host", "template", "key").join(shares, ["host", "template"]).select("host", "key", F.array_join(F.filter("template", lambda x: x != ""), "/").alias("template"), "bad_share")
     found = scratch.save(found, "shares")
     known = tree.groupBy("host").agg((F.sum("known") > 0).alias("known"))
-    everywhere = found.filter(F.col("host") == ALL).select("key", F.col("template").alias("t_all"), F.col("bad_share").alias("s_all"))
+    everywhere = found.filter(F.col("host") == ALL).select("key", F.col("template").alias("t_all"), F.col("bad_share").alias("share"))
+    seen = own.filter("bad > 0").select("key", site_of(F.col("host")).alias("site")).distinct().join(everywhere, "key").groupBy("t_all").agg(F.count_distinct("site").alias("sites"))
+    everywhere = everywhere.join(seen, "t_all", "left").select("key", "t_all", F.when(F.col("sites") >= s.least_sites, F.col("share")).otherwise(0.0).alias("s_all"))
     both = found.filter(F.col("host") != ALL).join(known, "host").join(everywhere, "key")
     return both.select("host", "key", F.when(F.col("known"), F.col("template")).otherwise(F.col("t_all")).alias("template"), F.when(F.col("known"), F.col("bad_share")).otherwise(F.col("s_all")).alias("bad_share"))
 
