@@ -406,6 +406,8 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     may be split."""
     step, now = 0, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.save(now, f"{name}-0")
+    state = lambda rows: rows.agg(F.count("*"), *(F.bit_xor(F.xxhash64(F.lit(k), "u", "v")) for k in range(2))).first()  # noqa: E731  of a set of edges
+    last = state(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -414,8 +416,9 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         step += 1
-        last, now = now, scratch.save(small, f"{name}-{step}")
-        if now.count() == last.count() and not now.join(last, ["u", "v"], "left_anti").limit(1).count():
+        now = scratch.save(small, f"{name}-{step}")
+        before, last = last, state(now)
+        if last == before:
             break
     roots = now.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
