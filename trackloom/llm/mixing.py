@@ -86,17 +86,13 @@ def source_budgets(counted: DataFrame, settings: Settings) -> DataFrame:
     return rows.select("__source", "weight", "tokens", passes.alias("passes"), (F.col("due") - passes * F.col("tokens")).alias("rest"))
 
 
-#: Blocks that are broadcast at most, some 100 MB of them; more meet the rows in a join that shuffles both.
-BROADCAST_BLOCKS = 1_000_000
-
-
 def drawn(docs: DataFrame, settings: Settings, *keep: Column) -> DataFrame:
     """``keep`` columns of ``docs`` as ``row``, and ``__tokens, weight, copies`` of each row.
 
     A null source is a source of its own. Documents without tokens come once each with every whole pass, never in part.
     Null doc_ids and repeated rows are rows like others; ties in a block are ordered by doc_id, tokens and text. An empty
-    table stays empty. Whole blocks are drawn or left by a table of blocks that every task has, so texts are not moved; only
-    the one block of each source that is entered in part has its rows ordered. A source's blocks grow with ``digits``.
+    table stays empty. Whole blocks are drawn or left by a row for each source, so texts are not moved; only the one block of
+    each source that is entered in part has its rows ordered. A source's blocks grow with ``digits``.
     """
     s = settings
     scratch = Scratch(docs.sparkSession, "mixing")
@@ -108,16 +104,18 @@ def drawn(docs: DataFrame, settings: Settings, *keep: Column) -> DataFrame:
     budgets = scratch.save(source_budgets(blocks.withColumnRenamed("n", "__tokens"), s), "budgets")
     order = F.md5(F.concat(F.lit(s.seed + "/"), "__source", F.lit("/"), "__block"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("before", before).join(budgets, "__source")
-    blocks = scratch.save(blocks.select("__source", "__block", "weight", "passes", "n", (F.col("rest") - F.col("before")).alias("left")), "blocks")
-    small = blocks.count() <= BROADCAST_BLOCKS
-    placed = rows.join(F.broadcast(blocks) if small else blocks, ["__source", "__block"], "left")
-    more = F.when((F.col("left") >= F.col("n")) & (F.col("left") > 0), 1).otherwise(0)
-    whole = placed.filter("coalesce(left, 0) <= 0 or left >= n").select("row", "__tokens", "weight", (F.coalesce("passes", F.lit(1)) + more).alias("copies"))
+    blocks = blocks.withColumn("before", before).join(budgets, "__source").withColumn("left", F.col("rest") - F.col("before"))
+    # blocks are drawn whole up to the first that the budget does not hold, so a source needs no more than that one's place
+    ends = blocks.filter(~((F.col("left") > 0) & (F.col("left") >= F.col("n")))).groupBy("__source").agg(F.min(F.struct(order.alias("order"), "left")).alias("end"))
+    sources = scratch.save(budgets.join(ends, "__source").select("__source", "weight", "passes", F.col("end.order").alias("order"), F.col("end.left").alias("left")), "sources")
+    placed = rows.withColumn("__order", order).join(sources, "__source", "left")
+    partly = F.coalesce((F.col("__order") == F.col("order")) & (F.col("left") > 0), F.lit(False))
+    more = F.when(F.col("__order") < F.col("order"), 1).otherwise(0)
+    whole = placed.filter(~partly).select("row", "__tokens", "weight", (F.coalesce("passes", F.lit(1)) + more).alias("copies"))
     # one block for each source at most is entered in part
     w = Window.partitionBy("__source", "__block").orderBy("__hash", "__id", "__tokens", "__text").rowsBetween(Window.unboundedPreceding, -1)
     run = F.coalesce(F.sum("__tokens").over(w), F.lit(0))
-    part = placed.filter("left > 0 and left < n").withColumn("run", run).select("row", "__tokens", "weight", (F.col("passes") + F.when(F.col("run") < F.col("left"), 1).otherwise(0)).alias("copies"))
+    part = placed.filter(partly).withColumn("run", run).select("row", "__tokens", "weight", (F.col("passes") + F.when(F.col("run") < F.col("left"), 1).otherwise(0)).alias("copies"))
     return whole.union(part)
 
 
