@@ -66,3 +66,19 @@ def test_plain_radars_with_bias_and_the_sigmas_of_quality(spark):
     assert got.filter(F.abs(F.col("sigma_pos_m") - 1500 * F.pow(F.lit(30 / 1500), (F.col("track_quality") - 1) / 14)) > 1e-6).isEmpty()
     x, y, z = got.agg(F.avg(F.col("x") - 50_000 - 100 * F.col("time")), F.avg(F.col("y") - 20_000), F.avg(F.col("z") - 3000)).first()
     assert abs(x - 500) < 12 and abs(y + 300) < 12 and abs(z - 100) < 12
+
+
+def test_spirals_of_many_scenarios(spark):
+    """Each scenario's choice is what it would be alone; one in which nothing is free has none."""
+    p = g.Spiral(hz=0.2)
+    points = lambda name, x: [(name, "B", t, x, 0.0, 3000.0) for t in (0.0, 500.0)]
+    rows = points("far", 40_000.0) + points("near", 900.0) + points("other", -49_000.0)
+    rows += [("none", f"B{k}", t, x, y, z) for k, (x, y, z) in enumerate([(0.0, 0.0, 4000.0), (5e4, 0.0, 4000.0), (-5e4, 0.0, 4000.0), (0.0, 5e4, 4000.0), (0.0, -5e4, 4000.0)]) for t in (0.0, 500.0)]
+    others = spark.createDataFrame(rows, "scenario string, callsign string, time double, x double, y double, z double")
+    centres = spark.createDataFrame([(s, 0.0, 0.0) for s in ("far", "near", "other", "none")], "scenario string, cx double, cy double")
+    got = g.spirals(centres, "T5", p, 3500.0, others)
+    middle = {r.scenario: (r.x, r.y) for r in got.groupBy("scenario").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect()}
+    assert set(middle) == {"far", "near", "other"}
+    assert abs(middle["far"][0]) < 2000 and middle["near"][0] > 45_000 and abs(middle["other"][0]) < 2000
+    alone = g.separated_spiral(spark, "near", "T5", others.filter("scenario = 'near'"), g.Spiral(hz=0.2, centre=(0.0, 0.0)), 3500.0)
+    assert g.separations(got.filter("scenario = 'near'"), others.filter("scenario = 'near'")).collect() == g.separations(alone, others.filter("scenario = 'near'")).collect()

@@ -384,21 +384,46 @@ def add_target(sensor: DataFrame, target: DataFrame, callsign: str) -> DataFrame
     return base.unionByName(moved.drop("__key"))
 
 
-def separations(track: DataFrame, others: DataFrame) -> DataFrame:
-    """``callsign, min_distance``: least distance of ``track`` to each other target at its own times."""
-    parts = others.select("callsign").distinct()
-    ask = track.select("time", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")).join(parts)
-    near = interpolation_join(ask, others, "callsign", "time", ["x", "y", "z"], edge="drop")
+def separations(track: DataFrame, others: DataFrame, within: tuple[str, ...] = (), who: tuple[str, ...] = ()) -> DataFrame:
+    """``within, who, callsign, min_distance``: least distance of each track (of the columns ``who``, one track where there are none) to
+    each other target of its ``within`` at its own times."""
+    parts = others.select(*within, "callsign").distinct()
+    asked = track.select(*within, *who, "time", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    named = lambda df: df.withColumn("__key", F.concat_ws("/", *within, "callsign"))
+    ask = named(asked.join(parts, list(within)) if within else asked.crossJoin(parts))
+    near = interpolation_join(ask, named(others).select("__key", "time", "x", "y", "z"), "__key", "time", ["x", "y", "z"], edge="drop")
     d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
-    return near.groupBy("callsign").agg(F.min(d).alias("min_distance"))
+    return near.groupBy(*within, *who, "callsign").agg(F.min(d).alias("min_distance"))
 
 
-def separated_spiral(spark: SparkSession, scenario: str, callsign: str, others: DataFrame, p: Spiral = Spiral(), least: float = 1000.0) -> DataFrame:
-    """The first of seven spirals (as given, its centre moved by 50 km along an axis, 3 km higher, turning the other way) that
-    keeps ``least`` m from every target of ``others``."""
+def candidate_spirals(p: Spiral) -> list[Spiral]:
+    """As given, its centre moved by 50 km along an axis, 3 km higher, turning the other way."""
     (x, y), far = p.centre, 50_000.0
-    specs = [p, *(replace(p, centre=c) for c in ((x + far, y), (x - far, y), (x, y + far), (x, y - far))), replace(p, z0=p.z0 + 3000.0), replace(p, direction=-p.direction)]
-    for spec in specs:
+    return [p, *(replace(p, centre=c) for c in ((x + far, y), (x - far, y), (x, y + far), (x, y - far))), replace(p, z0=p.z0 + 3000.0), replace(p, direction=-p.direction)]
+
+
+def spirals(centres: DataFrame, callsign: str, p: Spiral = Spiral(), least: float | None = None, others: DataFrame | None = None) -> DataFrame:
+    """A spiral around the centre ``cx, cy`` of each scenario. With ``least``, the first of seven candidates that keeps so far from
+    every target of ``others`` in its scenario; a scenario in which none does has no spiral. Scenarios are rows: a spiral's
+    points are made once and moved to each."""
+    spark, home = centres.sparkSession, replace(p, centre=(0.0, 0.0))
+    specs = candidate_spirals(home) if least is not None else [home]
+    points = None
+    for k, spec in enumerate(specs):
+        own = spiral_route(spark, "", callsign, spec).drop("scenario").withColumn("candidate", F.lit(k))
+        points = own if points is None else points.unionByName(own)
+    moved = centres.select("scenario", "cx", "cy").crossJoin(points).withColumns({"x": F.col("x") + F.col("cx"), "y": F.col("y") + F.col("cy")}).drop("cx", "cy")
+    if least is None:
+        return moved.drop("candidate")
+    near = separations(moved, others, ("scenario",), ("candidate",)).filter(F.col("min_distance") < least).select("scenario", "candidate").distinct()
+    free = centres.select("scenario", F.explode(F.array(*(F.lit(k) for k in range(len(specs))))).alias("candidate")).join(near, ["scenario", "candidate"], "left_anti")
+    first = free.groupBy("scenario").agg(F.min("candidate").alias("candidate"))
+    return moved.join(first, ["scenario", "candidate"]).drop("candidate")
+
+
+def separated_spiral(spark: SparkSession, scenario: str, callsign: str, others: DataFrame, p: Spiral = Spiral(), least: float = 1000.0) -> DataFrame:
+    """The first of the candidate spirals that keeps ``least`` m from every target of ``others``."""
+    for spec in candidate_spirals(p):
         route = spiral_route(spark, scenario, callsign, spec)
         nearest = separations(route, others).agg(F.min("min_distance")).first()[0]
         if nearest is None or nearest >= least:

@@ -327,31 +327,41 @@ def _fused(spark, sf, algorithm: str):
     return settled(tracking.fuse(sensor, algorithm), f"fused-{algorithm}"), purchases(sensor)
 
 
+def flown(spark, sf) -> DataFrame:
+    """The paths of all users as the truth of their scenarios, for what simulates or avoids targets."""
+    zero = F.lit(0.0)
+    return measured(spark, sf).select("scenario", F.col("local_track_id").alias("callsign"), "time", "x", "y", zero.alias("z"), "vx", "vy", zero.alias("vz"))
+
+
+def centres(gt: DataFrame) -> DataFrame:
+    return gt.groupBy("scenario").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+
+
 @query()
 def simulated_sensors(spark, sf):
-    """Plain and realistic radars over one scenario, with static points, ghosts and clutter."""
-    gt = truth(spark)
+    """Plain and realistic radars over every scenario, with static points, ghosts and clutter."""
+    gt = settled(flown(spark, sf), "flown")
     return g.simulate(gt).unionByName(g.simulate_realistic(gt))
 
 
 @query()
 def fixed_rate_sensors(spark, sf):
-    """Radars of one rate with elevation, bearing and range errors over one scenario."""
-    return g.simulate_fixed_rate(truth(spark))
+    """Radars of one rate with elevation, bearing and range errors over every scenario."""
+    return g.simulate_fixed_rate(flown(spark, sf))
 
 
 @query()
 def spiral(spark, sf):
-    """Climbing spiral."""
-    return g.spiral_route(spark, "demo", "T5")
+    """A climbing spiral around the centre of every scenario."""
+    return g.spirals(centres(flown(spark, sf)), "T5")
 
 
 @query()
 def minimum_separation(spark, sf):
-    """Least distances between targets: of the first, and of a spiral placed apart from all."""
-    gt = truth(spark)
-    first = g.separations(gt.filter("callsign = 'T1'"), gt.filter("callsign <> 'T1'")).withColumn("track", F.lit("T1"))
-    return first.unionByName(g.separations(g.separated_spiral(spark, "demo", "T5", gt), gt).withColumn("track", F.lit("T5")))
+    """In every scenario a spiral that keeps its distance, and its least distances to the targets."""
+    gt = flown(spark, sf)
+    route = settled(g.spirals(centres(gt), "T5", g.Spiral(hz=1.0), 1000.0, gt), "spirals")
+    return g.separations(route, gt, ("scenario",))
 
 
 @query()
