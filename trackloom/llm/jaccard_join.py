@@ -35,6 +35,7 @@ CROWD = 0.2
 PAIRS = 16
 BLOCK = 2048
 FIRST = 8
+TASK_ROWS = 1 << 17
 HEAVY = 8
 SALTS = 16
 DELETION = 128
@@ -463,12 +464,16 @@ def components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         from one in FIRST of the large buckets: near copies share many, and what they leave comes with the roots."""
         cells = large.filter(F.pmod(F.xxhash64("sig"), F.lit(FIRST)) == 0).withColumn("root", F.col("nid"))
         pairs = small.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+        deal = [F.col("sig"), F.col("i"), F.col("j")]
         if roots is not None:
             cells = large.join(roots, F.col("nid") == F.col("node"), "left").select(*large.columns, F.coalesce("root", "nid").alias("root"))
-            live = cells.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-            cells, pairs = cells.join(live, "sig"), _rooted(small, roots)
-        cells = cells.join(nodes.select("nid", "n", "sketch"), "nid").select("sig", "i", "j", "nid", "n", "root", "sketch")
-        cells = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "nid")
+            live = cells.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).filter("lo < hi")
+            # buckets of one tree hold much the same nodes: they go to few tasks, each of which tells a pair once
+            tasks = live.groupBy("lo").agg(F.ceil(F.sum("rows") / TASK_ROWS).alias("tasks"))
+            live = live.join(tasks, "lo").select("sig", "lo", F.pmod(F.xxhash64("sig"), F.col("tasks")).alias("task"))
+            cells, pairs, deal = cells.join(live, "sig"), _rooted(small, roots), [F.col("lo"), F.col("task")]
+        cells = cells.join(nodes.select("nid", "n", "sketch"), "nid").select("sig", "i", "j", "nid", "n", "root", "sketch", *(c for c in deal if roots is not None))
+        cells = cells.repartition(*deal).sortWithinPartitions("sig", "i", "j", "nid").select("sig", "i", "j", "nid", "n", "root", "sketch")
         more = cells.mapInArrow(_cells(percent, every), "a long, b long").distinct()
         more = _rooted(more, roots) if roots is not None else more.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
         return pairs.filter("ra <> rb").union(more)
