@@ -19,77 +19,108 @@ START_Z = np.array([0.90, 0.10])
 
 
 def blocks(*parts: np.ndarray) -> np.ndarray:
-    """Block-diagonal matrix."""
-    n = sum(len(p) for p in parts)
-    out, at = np.zeros((n, n)), 0
+    """Block-diagonal matrices of stacks of blocks."""
+    n = sum(p.shape[-1] for p in parts)
+    out, at = np.zeros(np.broadcast_shapes(*(p.shape[:-2] for p in parts)) + (n, n)), 0
     for p in parts:
-        out[at : at + len(p), at : at + len(p)] = p
-        at += len(p)
+        m = p.shape[-1]
+        out[..., at : at + m, at : at + m] = p
+        at += m
     return out
 
 
-def white_jerk(dt: float, q: float) -> np.ndarray:
+def of_steps(rows: list[list], dt: np.ndarray) -> np.ndarray:
+    """A matrix of numbers and arrays like ``dt`` as a stack of matrices."""
+    out = np.empty(dt.shape + (len(rows), len(rows[0])))
+    for i, row in enumerate(rows):
+        for j, value in enumerate(row):
+            out[..., i, j] = value
+    return out
+
+
+# The models take one step in time or an array of steps, and give a stack of matrices for each.
+
+
+def white_jerk(dt: np.ndarray | float, q: np.ndarray | float) -> np.ndarray:
     k = np.arange(3)
     power = 5 - k[:, None] - k[None, :]
     scale = np.array([[20.0, 8.0, 6.0], [8.0, 3.0, 2.0], [6.0, 2.0, 1.0]])
-    return q * dt**power / scale
+    return np.asarray(q)[..., None, None] * np.asarray(dt)[..., None, None] ** power / scale
 
 
-def white_acceleration(dt: float, q: float) -> np.ndarray:
-    return q * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
+def white_acceleration(dt: np.ndarray | float, q: float) -> np.ndarray:
+    dt = np.asarray(dt, float)
+    return q * of_steps([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]], dt)
 
 
-def shift(dt: float, order: int) -> np.ndarray:
+def shift(dt: np.ndarray | float, order: int) -> np.ndarray:
     """Taylor transition of position and its derivatives."""
     from math import factorial
 
-    return np.array([[dt ** (j - i) / factorial(j - i) if j >= i else 0.0 for j in range(order)] for i in range(order)])
+    dt = np.asarray(dt, float)
+    return of_steps([[dt ** (j - i) / factorial(j - i) if j >= i else 0.0 for j in range(order)] for i in range(order)], dt)
 
 
-def model_basic(dt: float) -> tuple[np.ndarray, np.ndarray]:
-    return blocks(*[shift(dt, 2)] * 3), np.diag([(0.5 * dt * dt) ** 2, dt * dt] * 3)
+def model_basic(dt: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    dt = np.asarray(dt, float)
+    noise = of_steps([[(0.5 * dt * dt) ** 2, 0.0], [0.0, dt * dt]], dt)
+    return blocks(*[shift(dt, 2)] * 3), blocks(*[noise] * 3)
 
 
-def model_acceleration(dt: float, q_scale: float = 1.0, adaptive: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def model_acceleration(dt: np.ndarray | float, q_scale: np.ndarray | float = 1.0, adaptive: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    q_scale = np.asarray(q_scale, float)
     q = white_jerk(dt, 1.5**2 * (q_scale if adaptive else 1.0))
-    xy = q * (2.0 if q_scale > 2.0 else 1.0)
+    xy = q * np.where(q_scale > 2.0, 2.0, 1.0)[..., None, None]
     return blocks(*[shift(dt, 3)] * 3), blocks(xy, xy, q)
 
 
-def models_xy(dt: float) -> tuple[np.ndarray, np.ndarray]:
+def models_xy(dt: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
     """Transitions and noises of MODES_XY, stacked."""
+    dt = np.asarray(dt, float)
     straight = blocks(shift(dt, 2), np.zeros((1, 1)))
     noise = lambda q: blocks(white_acceleration(dt, q), np.full((1, 1), LEAK))
     f = [blocks(straight, straight), blocks(shift(dt, 3), shift(dt, 3))]
+    seen = np.array([0, 1, 3, 4])
     for w in (TURN_RATE, -TURN_RATE):
         s, c = np.sin(w * dt), np.cos(w * dt)
-        turn = np.zeros((6, 6))
-        turn[np.ix_([0, 1, 3, 4], [0, 1, 3, 4])] = [[1, s / w, 0, -(1 - c) / w], [0, c, 0, -s], [0, (1 - c) / w, 1, s / w], [0, s, 0, c]]
+        turn = np.zeros(dt.shape + (6, 6))
+        turn[..., seen[:, None], seen] = of_steps([[1, s / w, 0, -(1 - c) / w], [0, c, 0, -s], [0, (1 - c) / w, 1, s / w], [0, s, 0, c]], dt)
         f.append(turn)
     q = [noise(0.4**2), white_jerk(dt, 8.0**2), noise(2.0**2), noise(2.0**2)]
-    return np.array(f), np.array([blocks(x, x) for x in q])
+    return np.stack(f, -3), np.stack([blocks(x, x) for x in q], -3)
 
 
-def models_z(dt: float, tau: float = 10.0, sigma: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+def models_z(dt: np.ndarray | float, tau: float = 10.0, sigma: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Transitions and noises of MODES_Z, stacked: constant velocity, and Singer's correlated acceleration."""
+    dt = np.asarray(dt, float)
     a, u = 1 / tau, dt / tau
     e, e2 = np.exp(-u), np.exp(-2 * u)
-    singer = np.array([[1, dt, (e + u - 1) / a**2], [0, 1, (1 - e) / a], [0, 0, e]])
+    singer = of_steps([[1, dt, (e + u - 1) / a**2], [0, 1, (1 - e) / a], [0, 0, e]], dt)
     q11 = (1 - e2 + 2 * u + 2 * u**3 / 3 - 2 * u**2 - 4 * u * e) / (2 * a**5)
     q12 = (e2 + 1 - 2 * e + 2 * u * e - 2 * u + u**2) / (2 * a**4)
     q13 = (1 - e2 - 2 * u * e) / (2 * a**3)
     q22 = (4 * e - 3 - e2 + 2 * u) / (2 * a**3)
     q23 = (e2 + 1 - 2 * e) / (2 * a**2)
     q33 = (1 - e2) / (2 * a)
-    noise = 2 * a * sigma**2 * np.array([[q11, q12, q13], [q12, q22, q23], [q13, q23, q33]])
-    return np.array([blocks(shift(dt, 2), np.ones((1, 1))), singer]), np.array([blocks(white_acceleration(dt, 0.2**2), np.full((1, 1), LEAK)), noise])
+    noise = 2 * a * sigma**2 * of_steps([[q11, q12, q13], [q12, q22, q23], [q13, q23, q33]], dt)
+    return np.stack([blocks(shift(dt, 2), np.ones((1, 1))), singer], -3), np.stack([blocks(white_acceleration(dt, 0.2**2), np.full((1, 1), LEAK)), noise], -3)
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of matrices; where one of a stack is singular, each is solved alone."""
     try:
         return np.linalg.solve(a, b)
     except np.linalg.LinAlgError:
-        return np.linalg.pinv(a) @ b
+        return np.linalg.pinv(a) @ b if a.ndim == 2 else np.array([solve(*both) for both in zip(a, b)])
+
+
+def all_over(p: np.ndarray, least: float) -> bool:
+    """Whether all eigenvalues of a stack are surely over ``least``: then a Cholesky factor exists. Costs a tenth of them."""
+    try:
+        np.linalg.cholesky(p - least * np.eye(p.shape[-1]))
+        return True
+    except np.linalg.LinAlgError:
+        return False
 
 
 def regular(p: np.ndarray, floor: np.ndarray | None = None, least: float = 1e-6) -> np.ndarray:
@@ -99,6 +130,8 @@ def regular(p: np.ndarray, floor: np.ndarray | None = None, least: float = 1e-6)
         p = np.nan_to_num(p, nan=0.0, posinf=1e12, neginf=-1e12)
     k = np.arange(p.shape[-1])
     p[..., k, k] = np.maximum(p[..., k, k], least if floor is None else floor)
+    if all_over(p, least):
+        return p
     value, vector = np.linalg.eigh(p)
     bad = (value < least).any(-1)
     if bad.any():
@@ -113,6 +146,9 @@ def mahalanobis(d: np.ndarray, s: np.ndarray) -> np.ndarray:
     try:
         x = np.linalg.solve(s, d[..., None])[..., 0]
     except np.linalg.LinAlgError:
+        if s.ndim > 2:  # a singular one changes nothing of the others
+            d = np.broadcast_to(d, s.shape[:-1])
+            return np.array([mahalanobis(*both) for both in zip(d, s)])
         x = np.einsum("...ij,...j->...i", np.linalg.pinv(s), d)
     v = (d * x).sum(-1)
     return np.where(np.isfinite(v), np.maximum(v, 0.0), np.inf)
@@ -156,72 +192,72 @@ def mix(x: np.ndarray, p: np.ndarray, mu: np.ndarray, switch: np.ndarray) -> tup
     mu = probabilities(mu)
     ahead = probabilities(mu @ switch)
     w = probabilities(switch * mu[..., :, None] / ahead[..., None, :], axis=-2)
-    x0 = np.swapaxes(w, -1, -2) @ x
-    d = x[..., :, None, :] - x0[..., None, :, :]
-    p0 = np.einsum("...ij,...iab->...jab", w, p) + np.einsum("...ij,...ija,...ijb->...jab", w, d, d)
+    into = np.swapaxes(w, -1, -2)
+    x0 = into @ x
+    d = x[..., None, :, :] - x0[..., :, None, :]
+    p0 = (into @ p.reshape(p.shape[:-2] + (-1,))).reshape(p.shape) + np.swapaxes(into[..., None] * d, -1, -2) @ d
     return x0, p0, ahead
 
 
 def moments(x: np.ndarray, p: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Means and covariances of stacked mixtures."""
-    mean = np.einsum("...i,...ia->...a", mu, x)
+    mean = (mu[..., None, :] @ x)[..., 0, :]
     d = x - mean[..., None, :]
-    return mean, np.einsum("...i,...iab->...ab", mu, p) + np.einsum("...i,...ia,...ib->...ab", mu, d, d)
+    return mean, (mu[..., None, None] * p).sum(-3) + np.swapaxes(mu[..., None] * d, -1, -2) @ d
 
 
 def cross_lmmse(x: np.ndarray, p: np.ndarray, z: np.ndarray, r: np.ndarray, rho: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
-    """Linear fusion under an assumed cross-covariance rho * sqrt(max(0, P * R)), element by element."""
+    """Linear fusion under an assumed cross-covariance rho * sqrt(max(0, P * R)), element by element; any stack."""
     c = rho * np.sqrt(np.maximum(0.0, p * r))
-    gain = solve((p + r - c - c.T).T, (p - c).T).T
-    return x + gain @ (z - x), p - gain @ (p - c).T
+    turned = np.swapaxes(p - c, -1, -2)
+    gain = np.swapaxes(solve(np.swapaxes(p + r - c, -1, -2) - c, turned), -1, -2)
+    return x + (gain @ (z - x)[..., None])[..., 0], p - gain @ turned
 
 
 def standard_fuse(x: np.ndarray, p: np.ndarray, z: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    gain = solve((p + r).T, p.T).T
+    gain = np.swapaxes(solve(np.swapaxes(p + r, -1, -2), np.swapaxes(p, -1, -2)), -1, -2)
     out = p - gain @ p
-    return x + gain @ (z - x), 0.5 * (out + out.T)
+    return x + (gain @ (z - x)[..., None])[..., 0], 0.5 * (out + np.swapaxes(out, -1, -2))
 
 
-def minimise(f, low: float, high: float, tolerance: float = 1e-6) -> float:
-    """Golden-section minimum of a unimodal function."""
+def minimise(f, low: np.ndarray, high: np.ndarray, tolerance: float = 1e-6) -> np.ndarray:
+    """Golden-section minima of unimodal functions, one for each element; brackets of one width."""
     ratio = (np.sqrt(5) - 1) / 2
-    a, b = low, high
+    a, b = np.asarray(low, float), np.asarray(high, float)
     c, d = b - ratio * (b - a), a + ratio * (b - a)
     fc, fd = f(c), f(d)
-    while b - a > tolerance:
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - ratio * (b - a)
-            fc = f(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + ratio * (b - a)
-            fd = f(d)
+    while b.size and (b - a).max() > tolerance:
+        left = fc < fd
+        a, b = np.where(left, a, c), np.where(left, d, b)
+        near = np.where(left, b - ratio * (b - a), a + ratio * (b - a))
+        c, d, now = np.where(left, near, d), np.where(left, c, near), f(near)
+        fc, fd = np.where(left, now, fd), np.where(left, fc, now)
     return (a + b) / 2
 
 
 def covariance_intersection(x: np.ndarray, p: np.ndarray, z: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fusion under unknown correlation, the weight of least trace.
+    """Fusion under unknown correlation, the weight of least trace; any stack.
 
     Both informations are diagonalised together once, so a trial weight costs a weighted sum, not an inverse."""
     pi, ri = np.linalg.inv(p), np.linalg.inv(r)
-    half = np.linalg.cholesky(0.5 * (p + p.T))
-    value, vector = np.linalg.eigh(half.T @ ri @ half)
+    half = np.linalg.cholesky(0.5 * (p + np.swapaxes(p, -1, -2)))
+    value, vector = np.linalg.eigh(np.swapaxes(half, -1, -2) @ ri @ half)
     basis = half @ vector
-    weight = (basis * basis).sum(0)
-    w = minimise(lambda t: float((weight / (t + (1 - t) * value)).sum()), 1e-3, 1 - 1e-3)
+    weight = (basis * basis).sum(-2)
+    ends = np.zeros(p.shape[:-2])
+    w = minimise(lambda t: (weight / (t[..., None] + (1 - t[..., None]) * value)).sum(-1), ends + 1e-3, ends + 1 - 1e-3)[..., None, None]
     out = np.linalg.inv(w * pi + (1 - w) * ri)
-    out = 0.5 * (out + out.T)
-    return out @ (w * pi @ x + (1 - w) * ri @ z), out
+    out = 0.5 * (out + np.swapaxes(out, -1, -2))
+    return (out @ (w * pi @ x[..., None] + (1 - w) * ri @ z[..., None]))[..., 0], out
 
 
 def pad_acceleration(z: np.ndarray, r: np.ndarray, variance: float = 1e5) -> tuple[np.ndarray, np.ndarray]:
-    """(x, vx, y, vy, z, vz) as (x, vx, ax, ...): zero accelerations of large variance, axes uncorrelated."""
+    """(x, vx, y, vy, z, vz) as (x, vx, ax, ...): zero accelerations of large variance, axes uncorrelated; any stack."""
     at = np.array([0, 1, 3, 4, 6, 7])
-    x, p = np.zeros(9), np.eye(9) * variance
-    x[at] = z
+    x, p = np.zeros(z.shape[:-1] + (9,)), np.zeros(r.shape[:-2] + (9, 9)) + np.eye(9) * variance
+    x[..., at] = z
     for k in (0, 2, 4):
-        p[np.ix_(at[k : k + 2], at[k : k + 2])] = r[k : k + 2, k : k + 2]
+        p[..., at[k : k + 2, None], at[k : k + 2]] = r[..., k : k + 2, k : k + 2]
     return x, p
 
 
@@ -259,8 +295,10 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
-def polar_covariance(r: float, az: float, el: float, s_r: float, s_az: float, s_el: float) -> np.ndarray:
-    """Position covariance of a range, azimuth (from x to y), elevation measurement of independent errors."""
+def polar_covariance(r: np.ndarray, az: np.ndarray, el: np.ndarray, s_r: np.ndarray, s_az: np.ndarray, s_el: np.ndarray) -> np.ndarray:
+    """Position covariances of range, azimuth (from x to y), elevation measurements of independent errors."""
+    r = np.asarray(r, float)
     ce, se, ca, sa = np.cos(el), np.sin(el), np.cos(az), np.sin(az)
-    j = np.array([[ce * ca, -r * ce * sa, -r * se * ca], [ce * sa, r * ce * ca, -r * se * sa], [se, 0.0, r * ce]])
-    return j @ np.diag([s_r**2, s_az**2, s_el**2]) @ j.T
+    j = of_steps([[ce * ca, -r * ce * sa, -r * se * ca], [ce * sa, r * ce * ca, -r * se * sa], [se, 0.0, r * ce]], r)
+    d = of_steps([[np.square(s_r), 0.0, 0.0], [0.0, np.square(s_az), 0.0], [0.0, 0.0, np.square(s_el)]], r)
+    return j @ d @ np.swapaxes(j, -1, -2)

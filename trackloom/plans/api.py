@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +49,23 @@ EVENTS = "scenario string, event_type string, time double, label string, sensor
 def diagnose(sensor: DataFrame, algorithm: str = "imm") -> DataFrame:
     """A row for each measurement: the stage that accepted it (source_map, hungarian, revive, create) and its track."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        engine, events = tracking.Engine(algorithm), []
-        for time, ms in tracking.measurements(frame, engine.policy):
-            engine.step(time, ms, events)
-        got = pd.DataFrame([e for e in events if e["event_type"] == "measurement"], columns=[c.split()[0] for c in EVENTS.split(", ")][1:])
-        got.insert(0, "scenario", str(frame["scenario"].iloc[0]))
-        return got
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in tracking.whole_scenarios(batches):
+            notes: list[tuple] = []
+            for _ in tracking.steps(frame, algorithm, notes):
+                if len(notes) >= tracking.ROWS:
+                    yield rows(notes)
+                    notes.clear()
+            if notes:
+                yield rows(notes)
+
+    def rows(notes: list[tuple]) -> pa.RecordBatch:
+        got = ((e.scenario, "measurement", time, m.label, m.sensor, m.source[1], stage, track) for e, time, m, stage, track in notes)
+        return tracking.record_batch(dict(zip(names, zip(*got))), EVENTS)
 
-    return sensor.groupBy("scenario").applyInPandas(run, EVENTS)
+    return tracking.by_scenario(sensor).mapInArrow(run, EVENTS)
 
 
 DEBUG = (
