@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import scalars as s
 from trackloom.operators.timeseries import gradient, interpolation_join, ordered, realigned, unwrap
+from trackloom.sources.store import settled
 
 GT = ["scenario", "callsign", "time", "x", "y", "z", "vx", "vy", "vz"]
 
@@ -387,11 +388,19 @@ def add_target(sensor: DataFrame, target: DataFrame, callsign: str) -> DataFrame
 def separations(track: DataFrame, others: DataFrame, within: tuple[str, ...] = (), who: tuple[str, ...] = ()) -> DataFrame:
     """``within, who, callsign, min_distance``: least distance of each track (of the columns ``who``, one track where there are none) to
     each other target of its ``within`` at its own times."""
+    place = F.struct(*who, F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    if who:
+        return _least_distances(track.groupBy(*within, "time").agg(F.collect_list(place).alias("at")), others, within, who)
+    return _least_distances(track.select(*within, "time", F.array(place).alias("at")), others, within, who)
+
+
+def _least_distances(asked: DataFrame, others: DataFrame, within: tuple[str, ...], who: tuple[str, ...]) -> DataFrame:
+    """Of tracks whose places ``at`` a time (``who, px, py, pz``) are one row: a target is asked for once at each time, not for each track."""
     parts = others.select(*within, "callsign").distinct()
-    asked = track.select(*within, *who, "time", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
     named = lambda df: df.withColumn("__key", F.concat_ws("/", *within, "callsign"))
     ask = named(asked.join(parts, list(within)) if within else asked.crossJoin(parts))
     near = interpolation_join(ask, named(others).select("__key", "time", "x", "y", "z"), "__key", "time", ["x", "y", "z"], edge="drop")
+    near = near.select(*within, "callsign", "x", "y", "z", F.inline("at"))
     d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
     return near.groupBy(*within, *who, "callsign").agg(F.min(d).alias("min_distance"))
 
@@ -402,23 +411,47 @@ def candidate_spirals(p: Spiral) -> list[Spiral]:
     return [p, *(replace(p, centre=c) for c in ((x + far, y), (x - far, y), (x, y + far), (x, y - far))), replace(p, z0=p.z0 + 3000.0), replace(p, direction=-p.direction)]
 
 
-def spirals(centres: DataFrame, callsign: str, p: Spiral = Spiral(), least: float | None = None, others: DataFrame | None = None) -> DataFrame:
-    """A spiral around the centre ``cx, cy`` of each scenario. With ``least``, the first of seven candidates that keeps so far from
-    every target of ``others`` in its scenario; a scenario in which none does has no spiral. Scenarios are rows: a spiral's
-    points are made once and moved to each."""
-    spark, home = centres.sparkSession, replace(p, centre=(0.0, 0.0))
-    specs = candidate_spirals(home) if least is not None else [home]
+def _candidate_points(spark: SparkSession, callsign: str, specs: list[Spiral]) -> DataFrame:
+    """Points of spirals around no place, ``candidate`` by ``candidate``."""
     points = None
     for k, spec in enumerate(specs):
         own = spiral_route(spark, "", callsign, spec).drop("scenario").withColumn("candidate", F.lit(k))
         points = own if points is None else points.unionByName(own)
+    return points
+
+
+def spirals(centres: DataFrame, callsign: str, p: Spiral = Spiral(), least: float | None = None, others: DataFrame | None = None) -> DataFrame:
+    """A spiral around the centre ``cx, cy`` of each scenario. With ``least``, the first of seven candidates that keeps so far from
+    every target of ``others`` in its scenario; a scenario in which none does has no spiral. Scenarios are rows: a spiral's
+    points are made once and moved to each."""
+    home = replace(p, centre=(0.0, 0.0))
+    points = _candidate_points(centres.sparkSession, callsign, candidate_spirals(home) if least is not None else [home])
     moved = centres.select("scenario", "cx", "cy").crossJoin(points).withColumns({"x": F.col("x") + F.col("cx"), "y": F.col("y") + F.col("cy")}).drop("cx", "cy")
     if least is None:
         return moved.drop("candidate")
-    near = separations(moved, others, ("scenario",), ("candidate",)).filter(F.col("min_distance") < least).select("scenario", "candidate").distinct()
-    free = centres.select("scenario", F.explode(F.array(*(F.lit(k) for k in range(len(specs))))).alias("candidate")).join(near, ["scenario", "candidate"], "left_anti")
-    first = free.groupBy("scenario").agg(F.min("candidate").alias("candidate"))
-    return moved.join(first, ["scenario", "candidate"]).drop("candidate")
+    return moved.join(_first_free(centres, candidate_distances(centres, others, p), p, least), ["scenario", "candidate"]).drop("candidate")
+
+
+def candidate_distances(centres: DataFrame, others: DataFrame, p: Spiral) -> DataFrame:
+    """``scenario, candidate, callsign, min_distance`` of the candidate spirals. They share their times, at which their places are one row."""
+    points = _candidate_points(centres.sparkSession, "", candidate_spirals(replace(p, centre=(0.0, 0.0))))
+    at = points.groupBy("time").agg(F.collect_list(F.struct("candidate", "x", "y", "z")).alias("at"))
+    moved = F.transform("at", lambda a: F.struct(a["candidate"].alias("candidate"), (a["x"] + F.col("cx")).alias("px"), (a["y"] + F.col("cy")).alias("py"), a["z"].alias("pz")))
+    asked = centres.select("scenario", "cx", "cy").crossJoin(at).select("scenario", "time", moved.alias("at"))
+    return _least_distances(asked, others, ("scenario",), ("candidate",))
+
+
+def _first_free(centres: DataFrame, distances: DataFrame, p: Spiral, least: float) -> DataFrame:
+    """``scenario, candidate``: the first candidate that keeps ``least`` from all."""
+    near = distances.filter(F.col("min_distance") < least).select("scenario", "candidate").distinct()
+    free = centres.select("scenario", F.explode(F.array(*(F.lit(k) for k in range(len(candidate_spirals(p)))))).alias("candidate")).join(near, ["scenario", "candidate"], "left_anti")
+    return free.groupBy("scenario").agg(F.min("candidate").alias("candidate"))
+
+
+def spiral_separations(centres: DataFrame, others: DataFrame, p: Spiral, least: float) -> DataFrame:
+    """``scenario, callsign, min_distance``: :func:`separations` of the spirals that :func:`spirals` takes, from the distances by which it takes them."""
+    distances = settled(candidate_distances(centres, others, p), "candidate-distances")
+    return distances.join(_first_free(centres, distances, p, least), ["scenario", "candidate"]).select("scenario", "callsign", "min_distance")
 
 
 def separated_spiral(spark: SparkSession, scenario: str, callsign: str, others: DataFrame, p: Spiral = Spiral(), least: float = 1000.0) -> DataFrame:
