@@ -107,3 +107,19 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda rows: sorted((r.time, r.global_track_id, round(r.x, 6)) for r in rows)
     got, want = key(spark.table("fused").filter("scenario = 'demo'").collect()), key(tracking.fuse(sensor, "imm").collect())
     assert got == want
+
+
+def test_one_sort_finds_both_neighbours(spark):
+    """Neighbours on both sides come from one order, with several samples at one time and rows without a time."""
+    rows = spark.createDataFrame([("k", t) for t in (None, 0.0, 1.0, 1.5, 2.0, 3.0, 9.0)], "k string, t double")
+    have = spark.createDataFrame([("k", 1.0, 5.0), ("k", 1.0, 7.0), ("k", 3.0, 1.0), ("k", 3.0, 11.0), ("k", 4.0, 0.0)], "k string, t double, v double")
+    found = ts.interpolation_join(rows, have, "k", "t", ["v"], edge="clamp")
+    assert {r.t: r.v for r in found.collect()} == {None: None, 0.0: 7.0, 1.0: 7.0, 1.5: 8.0, 2.0: 9.0, 3.0: 11.0, 9.0: 0.0}
+    near = {r.t: (r.matched_time, r.v) for r in ts.nearest_join(rows, have, "k", "t", ["v"]).collect()}
+    assert near[2.0] == (1.0, 7.0) and near[3.0] == (3.0, 11.0) and near[None] == (None, None)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ts.interpolation_join(rows, have, "k", "t", ["v"], edge="clamp")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum("Sort [" in line for line in plan.splitlines()) == 1

@@ -121,6 +121,14 @@ def derive_path(path: DataFrame, callsign: str, ref: tuple[float, float]) -> Dat
 # --- sensors
 
 
+def small_methods(spark: SparkSession) -> None:
+    """HotSpot never compiles a method of over 8,000 bytes, and a stage of many draws is one: over that, Spark shall generate a
+    method for each operator, which it splits. The session keeps a lower limit."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name, "65535")) > 8000:
+        spark.conf.set(name, "8000")
+
+
 @dataclass(frozen=True)
 class Radar:
     name: str
@@ -183,6 +191,7 @@ def simulate(gt: DataFrame, radars: tuple[Radar, ...] = RADARS, seed: int = 42)
     noise on each axis, a constant bias, islands of one local track between misses, arrival stamps, and quality draws. A
     radar without sigmas of its own has its qualities', which fall in manoeuvres."""
     spark = gt.sparkSession
+    small_methods(spark)
     fields = "sensor string, rx double, ry double, pd double, sp double, sv double, q int, late double, far double, clutter double, realistic boolean"
     params = F.broadcast(spark.createDataFrame([(r.name, r.x, r.y, r.pd, r.sigma_pos, r.sigma_vel, r.quality, r.latency, r.max_range, r.clutter, r.realistic) for r in radars], fields))
     scans = scan_schedule(gt, radars, seed).withColumns({"key": F.concat_ws("/", "scenario", "callsign"), "time": F.col("scan_time")})
@@ -256,6 +265,7 @@ def simulate_realistic(gt: DataFrame, radars: tuple[Radar, ...] = REALISTIC, see
     """Measurements of ``gt`` with static points, ghosts and a little background clutter: detection falls with range inside
     the field of view, quality falls in manoeuvres, noise is polar, velocities are Doppler's, and a bias walks from scan to
     scan of a radar (targets in order; its last value holds for clutter)."""
+    small_methods(gt.sparkSession)
     by = lambda f: F.coalesce(*(F.when(F.col("sensor") == r.name, f(r)) for r in radars))
     draw = lambda name, low, high: F.floor(low + (high - low + 1) * uniform(seed, name, *who))
     who = (F.col("scenario"), F.col("sensor"), F.col("callsign"), F.col("scan"))
@@ -328,6 +338,7 @@ def simulate_fixed_rate(gt: DataFrame, radars: tuple[FixedRadar, ...] = FIXED, s
     """Measurements of all targets of a scenario at common scan times, with ``arrival_time``: elevation, bearing and range with
     their errors, velocities with errors on each axis, and a Poisson count of clutter for each scan, uniform in the truth's
     box. ``time`` is the scan's."""
+    small_methods(gt.sparkSession)
     of = lambda f: F.coalesce(*(F.when(F.col("sensor") == r.name, F.lit(f(r))) for r in radars))
     box = gt.groupBy("scenario").agg(F.min("time").alias("t0"), F.max("time").alias("t1"), *(f(c).alias(f"{c}{n}") for c in "xyz" for n, f in ((0, F.min), (1, F.max))))
     each = box.withColumn("sensor", F.explode(F.array(*(F.lit(r.name) for r in radars))))

@@ -34,12 +34,15 @@ def _aligned(left: DataFrame, right: DataFrame, key: str, time: str, values: lis
     if bucket is not None:
         both, keys = both.withColumn("__bucket", F.floor(F.col("__t") / bucket)), [key, "__bucket"]
         both = both.unionByName(_carried(both, key).withColumns({"__row": none, "__side": F.lit(0)}))
-    # samples of one time stand in the order of their values, so that the last one is the same in every run
-    up = Window.partitionBy(*keys).orderBy("__t", "__side", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.desc("__t"), "__side", F.col("__s")).rowsBetween(Window.unboundedPreceding, 0)
-    # a row without a time lies nowhere between samples
-    placed = lambda w: F.when(F.col("__t").isNotNull(), F.last("__s", True).over(w))
-    return both.withColumns({"__before": placed(up), "__after": placed(down)}).filter("__row is not null")
+    # one order serves both sides; of samples at one time the largest stands first and the others give way, so that what is
+    # beside a row is the same in every run
+    w = Window.partitionBy(*keys).orderBy("__t", "__side", F.col("__s").desc())
+    again = (F.col("__side") == 0) & F.lag("__t").over(w).eqNullSafe(F.col("__t"))
+    both = both.withColumn("__sample", F.when(~again, F.col("__s")))
+    both = both.withColumns({"__before": F.last("__sample", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.expr("lead(__sample) IGNORE NULLS").over(w)}).filter("__row is not null")
+    at, before = F.col("__t"), F.col("__before")
+    # a row without a time lies nowhere between samples; a sample at the row's own time is on both its sides
+    return both.withColumns({"__before": F.when(at.isNotNull(), before), "__after": F.when(before["t"] == at, before).otherwise(F.when(at.isNotNull(), F.col("__next")))})
 
 
 def interpolation_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], edge: str = "null", min_rows: int = 1, bucket: float | None = None) -> DataFrame:
