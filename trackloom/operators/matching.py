@@ -88,19 +88,24 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum(F.pow(a[c] - b[c], 2) for c in "xyz"))
 
 
-def assigned(tracks: DataFrame, targets: DataFrame, frame: list[str], track: str, target: str, gate: float) -> DataFrame:
-    """``frame, track, target, distance``: the assignment of least total distance between the tracks and the targets of each
-    frame; then pairs farther apart than ``gate`` are parted. A pair has both ids, a false track no target, a missed target no
-    track. Both sides have columns ``x, y, z``; what has no finite place matches nothing. Frames with one track or one
-    target are settled by the nearest, all others in stacks of many frames; a frame meets in one row.
-    """
-    side = lambda df, name, k: df.select(*frame, F.col(name).alias("id"), *(F.col(c).cast("double").alias(c) for c in "xyz"), F.lit(k).alias("side"))
+def frames_assigned(tracks: DataFrame, targets: DataFrame, frame: list[str], track: str, target: str, gate: float, keep: tuple[tuple[str, ...], tuple[str, ...]] = ((), ())) -> DataFrame:
+    """``frame, a, b, pairs, lost_a, lost_b``: a row for each frame, its tracks and targets (``id, x, y, z`` and the columns ``keep`` of
+    each side), the pairs within the gate (``i, j, d``: places in ``a`` and ``b``, and distance), and the ids without a finite place."""
+    every = sorted({c for own in keep for c in own} - set("xyz"))
+
+    def side(df: DataFrame, name: str, k: int) -> DataFrame:
+        rest = [F.col(c).cast("double").alias(c) if c in keep[k] else F.lit(None).cast("double").alias(c) for c in every]
+        ids = [(F.col(name) if n == k else F.lit(None).cast(kind)).alias(f"id_{s}") for n, (s, kind) in enumerate(kinds)]
+        return df.select(*frame, *ids, *(F.col(c).cast("double").alias(c) for c in "xyz"), *rest, F.lit(k).alias("side"))
+
+    kinds = [("a", tracks.schema[track].dataType), ("b", targets.schema[target].dataType)]
     rows = side(tracks, track, 0).union(side(targets, target, 1))
     finite = F.lit(True)
     for c in "xyz":
         finite = finite & F.coalesce(F.abs(c) < float("inf"), F.lit(False))
-    held = lambda k: F.array_sort(F.collect_list(F.when(finite & (F.col("side") == k), F.struct("id", "x", "y", "z"))))
-    none = lambda k: F.collect_list(F.when(~finite & (F.col("side") == k), F.col("id")))
+    whose = [[c for c in own if c not in "xyz"] for own in keep]
+    held = lambda k: F.array_sort(F.collect_list(F.when(finite & (F.col("side") == k), F.struct(F.col(f"id_{kinds[k][0]}").alias("id"), "x", "y", "z", *whose[k]))))
+    none = lambda k: F.collect_list(F.when(~finite & (F.col("side") == k), F.col(f"id_{kinds[k][0]}")))
     frames = rows.groupBy(*frame).agg(held(0).alias("a"), held(1).alias("b"), none(0).alias("lost_a"), none(1).alias("lost_b"))
 
     nearest = lambda one, many: F.array_min(F.transform(many, lambda x, k: F.struct(distance(F.get(one, F.lit(0)), x).alias("d"), k.alias("k"))))["k"]
@@ -114,15 +119,26 @@ def assigned(tracks: DataFrame, targets: DataFrame, frame: list[str], track: str
     kind = frames.select(whole).schema["frame"].dataType.simpleString()
     hard = hard.mapInArrow(_solve, f"frame {kind}, pairs {PAIRS}").select("frame.*", "pairs")
 
-    found = small.unionByName(hard)
-    told = F.transform("pairs", lambda p: F.struct(F.get("a", p["i"])["id"].alias("a"), F.get("b", p["j"])["id"].alias("b"), distance(F.get("a", p["i"]), F.get("b", p["j"])).alias("d"), p["i"].alias("i"), p["j"].alias("j")))
-    found = found.withColumn("pairs", F.filter(told, lambda p: p["d"] <= gate))
+    told = F.transform("pairs", lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"), distance(F.get("a", p["i"]), F.get("b", p["j"])).alias("d")))
+    return small.unionByName(hard).withColumn("pairs", F.filter(told, lambda p: p["d"] <= gate))
+
+
+def unmatched(side: str, k: str) -> Column:
+    """What of ``a`` or ``b`` is in no pair; ``k`` is the side's place in a pair."""
+    return F.filter(side, lambda x, n: ~F.exists("pairs", lambda p: p[k] == n))
+
+
+def assigned(tracks: DataFrame, targets: DataFrame, frame: list[str], track: str, target: str, gate: float) -> DataFrame:
+    """``frame, track, target, distance``: the assignment of least total distance between the tracks and the targets of each
+    frame; then pairs farther apart than ``gate`` are parted. A pair has both ids, a false track no target, a missed target no
+    track. Both sides have columns ``x, y, z``; what has no finite place matches nothing. Frames with one track or one
+    target are settled by the nearest, all others in stacks of many frames; a frame meets in one row.
+    """
+    found = frames_assigned(tracks, targets, frame, track, target, gate)
     row = lambda a, b, d: F.struct(a.alias("a"), b.alias("b"), d.alias("d"))
-    missing, far = F.lit(None).cast("string"), F.lit(None).cast("double")
-    left = lambda c, k: F.transform(F.filter(c, lambda x, i: ~F.exists("pairs", lambda p: p[k] == i)), lambda x: x["id"])
-    alone_a, alone_b = F.concat(left("a", "i"), "lost_a"), F.concat(left("b", "j"), "lost_b")
-    text = {c: frames.schema[f"lost_{c}"].dataType.elementType.simpleString() for c in "ab"}
+    far, kind = F.lit(None).cast("double"), {c: found.schema[f"lost_{c}"].dataType.elementType for c in "ab"}
+    left = lambda c, k: F.concat(F.transform(unmatched(c, k), lambda x: x["id"]), f"lost_{c}")
     every = F.concat(
-        F.transform("pairs", lambda p: row(p["a"], p["b"], p["d"])), F.transform(alone_a, lambda x: row(x, missing.cast(text["b"]), far)), F.transform(alone_b, lambda x: row(missing.cast(text["a"]), x, far))
+        F.transform("pairs", lambda p: row(F.get("a", p["i"])["id"], F.get("b", p["j"])["id"], p["d"])), F.transform(left("a", "i"), lambda x: row(x, F.lit(None).cast(kind["b"]), far)), F.transform(left("b", "j"), lambda x: row(F.lit(None).cast(kind["a"]), x, far))
     )
     return found.select(*frame, F.inline(every)).toDF(*frame, track, target, "distance")

@@ -37,7 +37,7 @@ def benchmark(sensor: DataFrame, gt: DataFrame, algorithms: tuple[str, ...] = AL
     times = sensor.select("scenario", "time").distinct()
     overall = targets = None
     for a in algorithms:
-        fused = settled(tracking.fuse(sensor, a), f"fused-{a}")
+        fused = settled(tracking.fuse(sensor, a, scoring.TRACK), f"fused-{a}")
         both = [f(fused, gt, times, gate).withColumn("algorithm", F.lit(a)) for f in (scoring.tracking_metrics, scoring.target_metrics)]
         overall, targets = both if overall is None else (overall.unionByName(both[0]), targets.unionByName(both[1]))
     return overall, targets
