@@ -82,3 +82,14 @@ def test_spirals_of_many_scenarios(spark):
     assert abs(middle["far"][0]) < 2000 and middle["near"][0] > 45_000 and abs(middle["other"][0]) < 2000
     alone = g.separated_spiral(spark, "near", "T5", others.filter("scenario = 'near'"), g.Spiral(hz=0.2, centre=(0.0, 0.0)), 3500.0)
     assert g.separations(got.filter("scenario = 'near'"), others.filter("scenario = 'near'")).collect() == g.separations(alone, others.filter("scenario = 'near'")).collect()
+
+
+def test_spirals_of_many_scenarios_are_made_in_many_tasks(spark):
+    """The centres are a few small rows that Spark puts in one task; what is made of them must not be."""
+    p = g.Spiral(hz=2.0)
+    rows = spark.range(4000).select(F.floor(F.col("id") / 4).cast("string").alias("scenario"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    got = g.spirals(queries.centres(rows), "T5", p)
+    made = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == 1000 * p.points() > 2 * g.MADE and max(made) <= g.MADE + p.points()
+    ends = got.groupBy("scenario").agg(F.count("*").alias("n"), F.count_distinct("time").alias("times"), F.min_by("x", "time").alias("x")).filter(F.abs(F.col("x") - (4 * F.col("scenario").cast("double") + 1.5) - 500) < 1e-6)
+    assert ends.filter((F.col("n") == p.points()) & (F.col("times") == p.points())).count() == 1000

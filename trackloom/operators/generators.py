@@ -83,12 +83,15 @@ class Spiral:
     def duration(self) -> float:
         return self.length() / math.sqrt(self.speed**2 - self.climb**2)
 
+    def points(self) -> int:
+        return int(self.duration() * self.hz) + 1
+
 
 def spiral_route(spark: SparkSession, scenario: str, callsign: str, p: Spiral = Spiral()) -> DataFrame:
     """Climbing spiral of constant speed: the angle is resampled by arc length, velocities are second-order differences.
     One target's rows: the windows are over a scenario's callsign."""
     duration, turn = p.duration(), 2 * math.pi * p.turns
-    n = int(duration * p.hz) + 1
+    n = p.points()
     fine = 4 * n
     radius = lambda th: p.radius[0] + (p.radius[1] - p.radius[0]) * th / turn
     b = (p.radius[1] - p.radius[0]) / turn
@@ -431,16 +434,24 @@ def _candidate_points(spark: SparkSession, callsign: str, specs: list[Spiral]) -
     return points
 
 
+#: So many points are made in a task.
+MADE = 250_000
+
+
+def _tasks(centres: DataFrame, each: int) -> int:
+    """Tasks to deal ``centres`` to that make ``each`` points of a row. They are few small rows, which Spark would leave in one task."""
+    return max(1, math.ceil(centres.count() * each / MADE))
+
+
 def spirals(centres: DataFrame, callsign: str, p: Spiral = Spiral(), least: float | None = None, others: DataFrame | None = None) -> DataFrame:
     """A spiral around the centre ``cx, cy`` of each scenario. With ``least``, the first of seven candidates that keeps so far from
     every target of ``others`` in its scenario; a scenario in which none does has no spiral. Scenarios are rows: a spiral's
-    points are made once and moved to each."""
-    home = replace(p, centre=(0.0, 0.0))
+    points are made once, sent to all tasks and moved to each."""
+    home, centres = replace(p, centre=(0.0, 0.0)), settled(centres.select("scenario", "cx", "cy"), "centres")
     points = _candidate_points(centres.sparkSession, callsign, candidate_spirals(home) if least is not None else [home])
-    moved = centres.select("scenario", "cx", "cy").crossJoin(points).withColumns({"x": F.col("x") + F.col("cx"), "y": F.col("y") + F.col("cy")}).drop("cx", "cy")
-    if least is None:
-        return moved.drop("candidate")
-    return moved.join(_first_free(centres, candidate_distances(centres, others, p), p, least), ["scenario", "candidate"]).drop("candidate")
+    chosen = centres.withColumn("candidate", F.lit(0)) if least is None else centres.join(_first_free(centres, candidate_distances(centres, others, p), p, least), "scenario")
+    moved = chosen.repartition(_tasks(centres, p.points())).join(F.broadcast(points), "candidate")
+    return moved.withColumns({"x": F.col("x") + F.col("cx"), "y": F.col("y") + F.col("cy")}).drop("candidate", "cx", "cy")
 
 
 def candidate_distances(centres: DataFrame, others: DataFrame, p: Spiral) -> DataFrame:
@@ -448,7 +459,8 @@ def candidate_distances(centres: DataFrame, others: DataFrame, p: Spiral) -> Dat
     points = _candidate_points(centres.sparkSession, "", candidate_spirals(replace(p, centre=(0.0, 0.0))))
     at = points.groupBy("time").agg(F.collect_list(F.struct("candidate", "x", "y", "z")).alias("at"))
     moved = F.transform("at", lambda a: F.struct(a["candidate"].alias("candidate"), (a["x"] + F.col("cx")).alias("px"), (a["y"] + F.col("cy")).alias("py"), a["z"].alias("pz")))
-    asked = centres.select("scenario", "cx", "cy").crossJoin(at).select("scenario", "time", moved.alias("at"))
+    dealt = centres.select("scenario", "cx", "cy").repartition(_tasks(centres, p.points() * len(candidate_spirals(p))))
+    asked = dealt.crossJoin(F.broadcast(at)).select("scenario", "time", moved.alias("at"))
     return _least_distances(asked, others, ("scenario",), ("candidate",))
 
 
