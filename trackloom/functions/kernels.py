@@ -115,12 +115,19 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def all_over(p: np.ndarray, least: float) -> bool:
-    """Whether all eigenvalues of a stack are surely over ``least``: then a Cholesky factor exists. Costs a tenth of them."""
-    try:
-        np.linalg.cholesky(p - least * np.eye(p.shape[-1]))
-        return True
-    except np.linalg.LinAlgError:
-        return False
+    """Whether all eigenvalues of a stack are surely over ``least``: then all pivots of an elimination are over 0. The stack goes
+    last, so that a step is a few operations on long vectors; a tenth of the cost of a factor of each matrix."""
+    n = p.shape[-1]
+    a = p.reshape(-1, n * n).T.copy().reshape(n, n, -1)
+    a[np.arange(n), np.arange(n)] -= least
+    for k in range(n):
+        if not (a[k, k] > 0).all():
+            return False
+        # the matrix is symmetric: rows from the diagonal on
+        part = a[k, k + 1 :] / a[k, k]
+        for i in range(k + 1, n):
+            a[i, i:] -= part[i - k - 1] * a[k, i:]
+    return True
 
 
 def regular(p: np.ndarray, floor: np.ndarray | None = None, least: float = 1e-6) -> np.ndarray:

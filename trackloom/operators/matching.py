@@ -84,6 +84,34 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pairs, pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))], names=["frame", "pairs"])
 
 
+def matched(a: np.ndarray, frame_a: np.ndarray, b: np.ndarray, frame_b: np.ndarray, gate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` of the pairs within the gate, from the least-distance assignment of each frame. Places (n, 3) are in
+    order of their frames; frames of one size are solved as a stack."""
+    size = 1 + max(frame_a.max(initial=-1), frame_b.max(initial=-1))
+    na, nb = np.bincount(frame_a, minlength=size), np.bincount(frame_b, minlength=size)
+    at_a, at_b = np.cumsum(na) - na, np.cumsum(nb) - nb
+    both = np.flatnonzero((na > 0) & (nb > 0))
+    found_a, found_b = [np.zeros(0, int)], [np.zeros(0, int)]
+    kinds, of = np.unique(np.stack([na[both], nb[both]], 1), axis=0, return_inverse=True)
+    for kind, (n, m) in enumerate(kinds.tolist()):
+        same = both[of.ravel() == kind]
+        for at in range(0, len(same), max(1, CELLS // (n * m))):
+            own = same[at : at + max(1, CELLS // (n * m))]
+            i, j = at_a[own][:, None] + np.arange(n), at_b[own][:, None] + np.arange(m)
+            cost = np.sqrt(((a[i][:, :, None] - b[j][:, None]) ** 2).sum(-1))
+            if min(n, m) == 1:  # the nearest, the first of equals
+                k = cost.reshape(len(own), -1).argmin(1)
+                rows, cols = k[:, None] // m, k[:, None] % m
+            elif n <= m:
+                rows, cols = np.broadcast_to(np.arange(n), (len(own), n)), assign_stack(cost, np.full(len(own), n))
+            else:
+                rows, cols = assign_stack(np.swapaxes(cost, 1, 2), np.full(len(own), m)), np.broadcast_to(np.arange(m), (len(own), m))
+            near = np.take_along_axis(cost.reshape(len(own), -1), rows * m + cols, 1) <= gate
+            found_a.append(np.take_along_axis(i, rows, 1)[near])
+            found_b.append(np.take_along_axis(j, cols, 1)[near])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum(F.pow(a[c] - b[c], 2) for c in "xyz"))
 
